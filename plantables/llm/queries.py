@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantables.llm import decontaminate, langid, simhash
-from plantables.llm.common import table
+from plantables.llm import decontaminate, langid, records, sharding, simhash
+from plantables.llm.common import cut, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +24,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = records.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    back = cut(records.read(index, 2), "read-back")
+    return records.token_starts(back).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
