@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantables.llm import decontaminate, langid, records, sharding, simhash
+from plantables.llm import decontaminate, langid, mixing, records, sharding, simhash
 from plantables.llm.common import cut, table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.place(table(spark, sf_dir, "documents")).drop("which")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,5 +43,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
