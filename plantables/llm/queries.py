@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantables.llm import chat, decontaminate, langid, mixing, pivots, records, sharding, simhash
+from plantables.llm import chat, decontaminate, langid, mixing, pivots, records, sharding, simhash, substrings
 from plantables.llm.common import cut, table
 
 
@@ -39,6 +39,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_substrings": op5_substrings, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
