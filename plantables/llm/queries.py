@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantables.llm import chat, decontaminate, langid, mixing, pivots, records, sharding, simhash, substrings
+from plantables.llm import chat, decontaminate, langid, licenses, mixing, pivots, records, sharding, simhash, substrings
 from plantables.llm.common import cut, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = chat.from_columns(table(spark, sf_dir, "conversations"), "conv_id")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -59,5 +63,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_substrings": op5_substrings, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_substrings": op5_substrings, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
