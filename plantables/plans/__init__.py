@@ -1 +1 @@
-
+from plantables.plans import core  # noqa: F401  registers its queries
