@@ -1 +1 @@
-from plantables.plans import core  # noqa: F401  registers its queries
+from plantables.plans import core, loads, paged, scalars  # noqa: F401  they register their queries
