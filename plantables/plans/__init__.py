@@ -1 +1 @@
-from plantables.plans import core, loads, paged, scalars  # noqa: F401  they register their queries
+from plantables.plans import core, loads, paged, repairs, scalars  # noqa: F401  they register their queries
