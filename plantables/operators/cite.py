@@ -1,7 +1,11 @@
-"""Names, citations and requirements."""
+"""Names, citations and requirements."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +72,50 @@ def requirement_minimums(required: DataFrame, earned: DataFrame, by: list[str])
     joined = required.join(earned, by, "left")
     status = F.when(F.col("credits").isNull(), "unknown").when(F.col("credits") >= F.col("least"), "met").otherwise("short")
     return joined.select(*by, "least", "credits", status.alias("status"))
+
+
+MENTIONS = "id long, start int, end int, alias string, code string, n_codes int"
+
+
+def match_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(id, text) against (alias, code) -> spans that don't overlap: the longest first, then the earliest.
+
+    Case and the amount of white space don't count; where an alias begins or
+    ends with an ASCII letter, digit or underscore, none may stand beside it.
+    code is null where an alias has several. Spans are places in the text
+    with single spaces. The lexicon is one catalog's names and is broadcast.
+    """
+    spark = texts.sparkSession
+    key = F.lower(F.trim(F.regexp_replace("alias", r"(?U)\s+", " ")))
+    known = lexicon.groupBy(key.alias("alias")).agg(F.count_distinct("code").alias("n"), F.min("code").alias("code")).filter("alias <> ''")
+    given = spark.sparkContext.broadcast([(r.alias, r.code if r.n == 1 else None, r.n) for r in known.toLocalIterator()])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for entry in given.value:
+            search.add_word(entry[0], entry)
+        if given.value:
+            search.make_automaton()
+        for b in batches:
+            out: list[tuple] = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out += [(i, *x) for x in mentions(" ".join((text or "").split()).lower(), search if given.value else None)]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)], [x.split()[0] for x in MENTIONS.split(", ")])
+
+    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, MENTIONS)
+
+
+def mentions(text: str, search) -> list[tuple]:
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    hits = []
+    for last, (alias, code, n) in search.iter(text) if search else ():
+        start, end = last - len(alias) + 1, last + 1
+        if not (word(alias[0]) and start and word(text[start - 1]) or word(alias[-1]) and end < len(text) and word(text[end])):
+            hits.append((start, end, alias, code, n))
+    taken, out = bytearray(len(text)), []
+    for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        if not any(taken[hit[0] : hit[1]]):
+            taken[hit[0] : hit[1]] = b"\1" * (hit[1] - hit[0])
+            out.append(hit)
+    return sorted(out)

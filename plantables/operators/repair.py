@@ -188,3 +188,83 @@ def category_by_prefix(courses: DataFrame, rows: DataFrame, prefix: int = 5) ->
     top = counts.withColumn("__r", best).filter("__r = 1").select("prefix", F.col("category").alias("__most"))
     joined = courses.withColumn("prefix", F.substring("code", 1, prefix)).join(top, "prefix", "left")
     return joined.withColumn("category", F.coalesce("category", "__most")).drop("__most", "prefix")
+
+
+def _bare(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"\s+", ""))
+
+
+def vote_printed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows(doc_id, code, name): the spelling that the document prints most, twice or more and alone, replaces a code's others.
+
+    Counted without white space and case. A code with a spelling that holds
+    another is left alone.
+    """
+    spelt = rows.select("doc_id", "code", _bare(F.col("name")).alias("key")).filter("key <> ''").distinct()
+    a, b = spelt.alias("a"), spelt.select("doc_id", "code", F.col("key").alias("other")).alias("b")
+    twice = a.join(b, ["doc_id", "code"]).filter("key <> other")
+    nested = twice.filter(F.contains("key", "other")).select("doc_id", "code").distinct()
+    asked = twice.select("doc_id", "code", "key").distinct().join(nested, ["doc_id", "code"], "left_anti")
+    text = docs.select("doc_id", _bare(F.col("text")).alias("__text"))
+    times = ((F.length("__text") - F.length(F.replace("__text", F.col("key"), F.lit("")))) / F.length("key")).cast("long")
+    counted = asked.join(text, "doc_id").select("doc_id", "code", "key", times.alias("n"))
+    w = Window.partitionBy("doc_id", "code")
+    best = counted.withColumn("__most", F.max("n").over(w)).filter("n = __most and n >= 2").withColumn("__ties", F.count("*").over(w)).filter("__ties = 1").select("doc_id", "code", F.col("key").alias("__best"))
+    shown = rows.groupBy("doc_id", "code", _bare(F.col("name")).alias("__best")).agg(F.min("name").alias("__name"))
+    joined = rows.join(best, ["doc_id", "code"], "left").join(shown, ["doc_id", "code", "__best"], "left")
+    return joined.withColumn("name", F.coalesce("__name", "name")).select(*rows.columns)
+
+
+def resolve_orphans(rows: DataFrame, index: DataFrame, known: DataFrame, keywords: dict[str, str]) -> DataFrame:
+    """Rows without a code get it from the index of unique names, else from known rows, else from a keyword; tier tells which, null for none."""
+
+    def unique(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(_bare(F.col("name")).alias("__k")).agg(F.when(F.count_distinct("code") == 1, F.min("code")).alias(name))
+
+    word = F.coalesce(*(F.when(F.lower("name").contains(k), v) for k, v in keywords.items())) if keywords else F.lit(None).cast("string")
+    joined = rows.withColumn("__k", _bare(F.col("name"))).join(unique(index, "__one"), "__k", "left").join(unique(known, "__two"), "__k", "left").withColumn("__three", word)
+    tier = F.when(F.col("__one").isNotNull(), "index").when(F.col("__two").isNotNull(), "known").when(F.col("__three").isNotNull(), "keyword")
+    return joined.withColumn("tier", tier).withColumn("code", F.coalesce("__one", "__two", "__three")).drop("__k", "__one", "__two", "__three")
+
+
+def recover_missing(terms: DataFrame, names: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame:
+    """(doc_id, term, text) and described names(doc_id, code, name): codes whose name a term's text holds and its rows lack.
+
+    A name within a longer one found there doesn't count.
+    """
+    long = names.filter(F.length("name") >= least).select("doc_id", "code", "name")
+    met = terms.join(long, "doc_id").filter(F.contains("text", "name")).select("doc_id", "term", "code", "name")
+    longer = met.select("doc_id", "term", F.col("name").alias("other"))
+    inside = met.join(longer, ["doc_id", "term"]).filter((F.col("name") != F.col("other")) & F.contains("other", "name")).select("doc_id", "term", "code", "name").distinct()
+    free = met.join(inside, ["doc_id", "term", "code", "name"], "left_anti")
+    return free.join(rows.select("doc_id", "term", "code"), ["doc_id", "term", "code"], "left_anti").select("doc_id", "term", "code", "name")
+
+
+def series_gaps(rows: DataFrame, deficits: DataFrame, by: list[str]) -> DataFrame:
+    """Numbers missing from a series (stem, number, credits), put in the only term whose deficit is the series' credits.
+
+    rows and deficits (term, deficit) have `by`. A series of unlike credits is left alone.
+    """
+    series = rows.groupBy(*by, "stem").agg(F.max("number").alias("last"), F.collect_set("number").alias("held"), F.min("credits").alias("credits"), F.max("credits").alias("__most")).filter("credits = __most")
+    gaps = series.select(*by, "stem", "credits", F.explode(F.array_except(F.sequence(F.lit(1), F.col("last")), "held")).alias("number"))
+    joined = gaps.join(deficits, by).filter("deficit = credits")
+    w = Window.partitionBy(*by, "stem", "number")
+    return joined.withColumn("__n", F.count("*").over(w)).filter("__n = 1").select(*by, "stem", "number", "credits", "term")
+
+
+def trim_to_printed(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """A name becomes the longest printed name of its code that it starts with and goes beyond."""
+    known = printed.select("code", F.col("name").alias("__p")).distinct()
+    found = rows.select("code", "name").distinct().join(known, "code").filter(F.startswith("name", "__p") & (F.col("name") != F.col("__p")) & (F.col("__p") != ""))
+    best = found.groupBy("code", "name").agg(F.max_by("__p", F.length("__p")).alias("__best"))
+    return rows.join(best, ["code", "name"], "left").withColumn("name", F.coalesce("__best", "name")).drop("__best").select(*rows.columns)
+
+
+def group_numbered_slots(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Slots of one number and two or more labels in a term are alternatives of each other."""
+    label = F.regexp_replace(F.regexp_replace("name", r"\s+", ""), "[0-9]+$", "")
+    number = F.regexp_extract("name", "([0-9]+)$", 1)
+    own = rows.withColumns({"__label": label, "__number": number})
+    w = Window.partitionBy(*by, "__number")
+    several = (F.min("__label").over(w) != F.max("__label").over(w)) & (F.col("__number") != "")
+    return own.withColumn("alt_group", F.when(several, F.concat(F.lit("E"), "__number")).otherwise(F.col("alt_group"))).drop("__label", "__number")

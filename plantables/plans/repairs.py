@@ -224,3 +224,63 @@ add(
         """, e as (select program, category, cast(sum(credits) as bigint) as credits from plan_item where not (program = 'P2' and category = 'R') group by all) select program, category, 6000 as least, credits, case when credits is null then 'unknown' when credits >= 6000 then 'met' else 'short' end as status from (select distinct program, category from plan_item) left join e using (program, category)"""
     ),
 )
+
+VARIANTS = "explode(array('of the', 'OF  the', 'the of', case when doc_id % 3 = 0 then 'the' else 'and' end)) as name"
+add(
+    "r8_vote_printed",
+    lambda s, d: repair.vote_printed(table(s, d, "documents").selectExpr("doc_id", "'c' || doc_id as code", VARIANTS), table(s, d, "documents")).groupBy("doc_id", "name").agg(F.count("*").alias("n")),
+    r""", t as (select doc_id, regexp_replace(lower(text), '\s+', '', 'g') as t from documents), v as (select doc_id, unnest(['ofthe', 'theof', 'and']) as k from documents where doc_id % 3 <> 0),
+n as (select doc_id, k, (length(t) - length(replace(t, k, ''))) // length(k) as n from v join t using (doc_id)), m as (select doc_id, max(n) as m from n group by doc_id),
+b as (select doc_id, min(k) as k from n join m using (doc_id) where n = m and n >= 2 group by doc_id having count(*) = 1), w as (select doc_id, unnest(['of the', 'OF  the', 'the of', case when doc_id % 3 = 0 then 'the' else 'and' end]) as name from documents)
+select doc_id, coalesce(case k when 'ofthe' then 'OF  the' when 'theof' then 'the of' when 'and' then 'and' end, name) as name, count(*) as n from w left join b using (doc_id) group by all""".replace(", t as", "with t as", 1),
+)
+add(
+    "r9_resolve_orphans",
+    lambda s, d: repair.resolve_orphans(
+        table(s, d, "part").selectExpr("p_partkey as id", "case p_partkey % 4 when 0 then p_name || p_partkey when 1 then upper(p_brand) || ' ' || p_partkey when 2 then 'Free choice' else 'nothing' end as name"),
+        table(s, d, "part").filter("p_partkey % 8 < 6").selectExpr("p_name || ' ' || p_partkey as name", "'I' || p_partkey as code"),
+        table(s, d, "part").selectExpr("p_brand || p_partkey as name", "'K' || p_partkey % 2 as code"),
+        {"free": "XXXXXXXX"},
+    ).select("id", "code", "tier"),
+    "select p_partkey as id, case p_partkey % 4 when 0 then 'I' || p_partkey when 1 then 'K1' when 2 then 'XXXXXXXX' end as code, case p_partkey % 4 when 0 then 'index' when 1 then 'known' when 2 then 'keyword' end as tier from part",
+)
+add(
+    "r10_recover_missing",
+    lambda s, d: repair.recover_missing(
+        table(s, d, "documents").selectExpr("source as doc_id", "doc_id as term", "text"),
+        s.createDataFrame([("a", "MIT License"), ("b", "the MIT License"), ("c", "General Public License"), ("d", "short"), ("e", "Apache License")], "code string, name string").crossJoin(table(s, d, "documents").select(F.col("source").alias("doc_id")).distinct()),
+        table(s, d, "documents").filter("doc_id % 2 = 0").selectExpr("source as doc_id", "doc_id as term", "'e' as code"),
+    ),
+    """with n as (select * from (values ('a', 'MIT License'), ('b', 'the MIT License'), ('c', 'General Public License'), ('e', 'Apache License')) v(code, name)), m as (select source as doc_id, doc_id as term, code, name from documents, n where contains(text, name))
+select * from m where not (code = 'e' and term % 2 = 0) and not (code = 'a' and term in (select term from m where code = 'b'))""",
+)
+add(
+    "r11_series_gaps",
+    lambda s, d: repair.series_gaps(
+        table(s, d, "part").filter("p_partkey % 5 <> 2 or p_partkey % 3 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "'s' as stem", "cast(p_partkey % 10 + 1 as int) as number", "3 as credits"),
+        table(s, d, "part").filter("p_partkey % 5 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "p_partkey as term", "cast(case when p_partkey % 7 = 0 then 3 else 1 end as int) as deficit"),
+        ["k"],
+    ),
+    """with g as (select cast(floor(p_partkey / 10) as bigint) as k, cast(p_partkey % 10 + 1 as int) as number from part where p_partkey % 5 = 2 and p_partkey % 3 <> 0), t as (select cast(floor(p_partkey / 10) as bigint) as k, min(p_partkey) as term from part where p_partkey % 5 = 0 and p_partkey % 7 = 0 group by all having count(*) = 1) select k, 's' as stem, number, 3 as credits, term from g join t using (k)""",
+)
+add(
+    "r18_trim_to_printed",
+    lambda s, d: repair.trim_to_printed(
+        table(s, d, "part").selectExpr("p_partkey as code", "p_name || ' ' || p_brand || p_size as name"),
+        table(s, d, "part").selectExpr("p_partkey as code", "p_name as name").union(table(s, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_partkey as code", "p_name || ' ' || p_brand as name")),
+    ),
+    "select p_partkey as code, case when p_partkey % 2 = 0 then p_name || ' ' || p_brand else p_name end as name from part",
+)
+add(
+    "r23_numbered_slots",
+    lambda s, d: repair.group_numbered_slots(plan(s, d, "category || ' ' || (id % 2000)  as name").filter("alt_group is null").select("program", "edition", "track", "year", "semester", "id", "name", "alt_group"), ["program", "edition", "track", "year", "semester"]).select("id", "alt_group"),
+    oracle(", p as (select *, min(category) over w <> max(category) over w as several from plan_item where alt_group is null window w as (partition by program, edition, track, year, semester, id % 2000)) select id, case when several then 'E' || (id % 2000) end as alt_group from p"),
+)
+add(
+    "n1_match_mentions",
+    lambda s, d: cite.match_mentions(table(s, d, "documents").selectExpr("doc_id as id", "text"), s.createDataFrame([("MIT License", "a"), ("License", "b"), ("the  MIT license", "c"), ("GNU General Public License", "d"), ("Apache License", "e"), ("apache license", "f")], "alias string, code string"))
+    .groupBy("id", "alias", "code").agg(F.count("*").alias("n")),
+    r"""with t as (select doc_id as id, ' ' || lower(regexp_replace(text, '\s+', ' ', 'g')) || ' ' as t from documents),
+a as (select id, len(regexp_extract_all(t, '[^a-z0-9_]the mit license[^a-z0-9_]')) as c, len(regexp_extract_all(t, '[^a-z0-9_]mit license[^a-z0-9_]')) as m, len(regexp_extract_all(t, '[^a-z0-9_]gnu general public license[^a-z0-9_]')) as d, len(regexp_extract_all(t, '[^a-z0-9_]apache license[^a-z0-9_]')) as e, len(regexp_extract_all(t, '[^a-z0-9_]license[^a-z0-9_]')) as l from t),
+r as (select id, 'the mit license' as alias, 'c' as code, c as n from a union all select id, 'mit license', 'a', m - c from a union all select id, 'gnu general public license', 'd', d from a union all select id, 'apache license', null, e from a union all select id, 'license', 'b', l - m - d - e from a) select id, alias, code, cast(n as bigint) as n from r where n > 0""",
+)
