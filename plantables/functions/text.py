@@ -196,3 +196,29 @@ def space_trailing_number(second: Column, first: Column) -> Column:
 def pick_credits(table: Column, described: Column, derived: Column) -> Column:
     """the described value, but for a table list of alternatives that holds it; else the derived, else the table's."""
     return F.when(described.isNotNull() & table.contains(" or ") & table.contains(described), table).otherwise(F.coalesce(described, derived, table))
+
+
+#: Fixed value: the primary script of names.
+PRIMARY = r"[\x{0E00}-\x{0E7F}]"
+
+
+def clean_name_primary(c: Column, noise: list[str]) -> Column:
+    """without noise phrases, credit fragments, long Latin words but for one short last one, spaces within the primary script, and lone brackets; never empty."""
+    out = c
+    for phrase in noise:
+        out = F.replace(out, F.lit(phrase), F.lit(" "))
+    out = F.regexp_replace(out, r"[0-9]{1,2}\s*\([0-9xX\s-]*\)", " ")
+    out = F.regexp_replace(out, r"[A-Za-z]{4,}", " ")
+    out = F.regexp_replace(out, rf"(?<={PRIMARY})\s+(?={PRIMARY})", "")
+    out = F.regexp_replace(out, r"\(([^()]*)$", "$1")
+    out = F.regexp_replace(out, r"^([^()]*)\)", "$1")
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.coalesce(F.nullif(out, F.lit("")), c)
+
+
+def split_by_script(c: Column, n: int) -> Column:
+    """the lines of a cell in n pieces, a new one at each line after the first that begins in the primary script; null if they aren't n."""
+    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+    joined = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit("\n"), x)))
+    pieces = F.aggregate(lines, F.array().cast("array<string>"), lambda done, x: F.when((F.size(done) == 0) | x.rlike(rf"^\s*{PRIMARY}"), F.concat(done, F.array(x))).otherwise(joined(done, x)))
+    return F.when(F.size(pieces) == n, pieces)
