@@ -131,3 +131,8 @@ def student_plans(lines: DataFrame, known: DataFrame, edges: DataFrame, cap: int
     before = at.withColumnsRenamed({"code": "requires", "at": "before"})
     order = at.join(pre, "code").join(before, ["student", "requires"], "left").filter("before is null or before >= at").select("student", "code", F.lit("order").alias("fault")).distinct()
     return unknown.distinct().unionByName(repeated).unionByName(over).unionByName(order)
+
+
+def program_present(plan: DataFrame, program: DataFrame) -> DataFrame:
+    """Scopes that have plan rows but no program row."""
+    return plan.select(*SCOPE).distinct().join(program.select(*SCOPE), SCOPE, "left_anti")

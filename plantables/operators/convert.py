@@ -1,4 +1,4 @@
-"""From extracted rows to the relational model, and what tables and descriptions still hold."""
+"""From extracted rows to the relational model, and what tables and descriptions still hold."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plantables.functions import text as f
 from plantables.operators.evaluate import align_multipass, field_stats
+from plantables.operators.pages import assign_section
 
 
 @F.pandas_udf(T.DoubleType())
@@ -126,3 +127,87 @@ def write_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:
     """A metrics table as CSV with a header, or a report as JSON lines."""
     writer = metrics.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
+def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most: int = 2000) -> DataFrame:
+    """(doc_id, block, line_no, line) -> a row for each block: code, name, credits, prerequisite, description.
+
+    The head is the block's first line; credits the first triple in the block;
+    the prerequisite the codes of its first such line; the description the
+    other lines joined and cut. Of a code's blocks the first value that isn't
+    empty counts.
+    """
+    w = Window.partitionBy("doc_id", "block")
+    own = lines.filter("block > 0").withColumn("__first", F.col("line_no") == F.min("line_no").over(w)).withColumn("__pre", F.col("line").rlike(label))
+    triple = F.regexp_extract("line", r"([0-9]{1,2}\([0-9xX]+-[0-9xX]+-[0-9xX]+\))", 1)
+    body = F.when(~F.col("__first") & ~F.col("__pre"), F.struct("line_no", "line"))
+    blocks = own.groupBy("doc_id", "block").agg(
+        F.min(F.when(F.col("__first"), F.regexp_extract("line", "^([0-9]{8})", 1))).alias("code"),
+        F.min(F.when(F.col("__first"), F.trim(F.regexp_replace(F.regexp_replace("line", "^[0-9]{8}", ""), r"[0-9]{1,2}\([0-9xX-]+\)", "")))).alias("name"),
+        F.min_by(triple, F.when(triple != "", F.col("line_no"))).alias("credits"),
+        F.min_by(f.normalize_prerequisite(F.col("line")), F.when(F.col("__pre"), F.col("line_no"))).alias("prerequisite"),
+        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), " "), 1, most).alias("description"),
+    )
+    filled = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("block"))).alias(c)
+    return blocks.filter("code <> ''").groupBy("doc_id", "code").agg(*map(filled, ("name", "credits", "prerequisite", "description")), F.count("*").alias("n_blocks"))
+
+
+def repair_credits(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """Credits from what is printed by code (doc_id, code, usable, first): a blank or bare number takes the first printed triple,
+    an inferred value or one that differs takes the only printed one. rule tells which, and keeps the row from R16.
+    """
+    joined = rows.join(printed.select("doc_id", "code", "usable", F.col("first").alias("__first")), ["doc_id", "code"], "left")
+    bare = F.coalesce(F.col("credits"), F.lit("")).rlike(r"^\s*[0-9]*\s*$")
+    rule = F.when(bare & F.col("__first").isNotNull(), "blank").when(F.col("inferred") & F.col("usable").isNotNull(), "inferred").when(F.col("usable").isNotNull() & (F.col("credits") != F.col("usable")), "differs")
+    value = F.when(rule == "blank", F.col("__first")).when(rule.isNotNull(), F.col("usable")).otherwise(F.col("credits"))
+    return joined.select(*(c for c in rows.columns if c != "credits"), value.alias("credits"), rule.alias("rule"))
+
+
+def fill_second_name(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """An empty second name of a real code becomes the printed one, if all printings of the code agree."""
+    agreed = printed.filter("name_en <> ''").groupBy("doc_id", "code").agg(F.when(F.count_distinct("name_en") == 1, F.min("name_en")).alias("__en"))
+    joined = rows.join(agreed, ["doc_id", "code"], "left")
+    empty = (F.coalesce("name_en", F.lit("")) == "") & F.col("code").rlike("^[0-9]{8}$")
+    return joined.withColumn("name_en", F.when(empty, F.coalesce("__en", "name_en")).otherwise(F.col("name_en"))).select(*rows.columns)
+
+
+def recover_alternatives(options: DataFrame, rows: DataFrame) -> DataFrame:
+    """Options (doc_id, page, grp, code, name) of a table group that the rows lack, with term and group of the sibling on the nearest page; ties to the earlier row."""
+    missing = options.join(rows.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
+    other = options.select("doc_id", "page", "grp", F.col("code").alias("sibling"))
+    near = rows.select("doc_id", F.col("code").alias("sibling"), F.col("page").alias("__page"), "ordinal", "year", "semester", "alt_group")
+    joined = missing.join(other, ["doc_id", "page", "grp"]).join(near, ["doc_id", "sibling"])
+    best = F.row_number().over(Window.partitionBy("doc_id", "page", "grp", "code").orderBy(F.abs(F.col("__page") - F.col("page")), "ordinal"))
+    return joined.withColumn("__n", best).filter("__n = 1").select("doc_id", "page", "code", "name", "year", "semester", "alt_group")
+
+
+def group_cell_codes(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Two or more ungrouped rows of one page and term whose codes one cell lists become a group, unless some group has just those codes."""
+    each = cells.select("doc_id", "page", "cell", F.array_sort(F.array_distinct("codes")).alias("codes")).withColumn("code", F.explode("codes"))
+    free = rows.filter("alt_group is null").select("doc_id", "page", "code", "ordinal", (F.col("year") * 10 + F.col("semester")).alias("term"))
+    met = each.join(free, ["doc_id", "page", "code"])
+    whole = met.groupBy("doc_id", "page", "cell", "codes").agg(F.count("*").alias("n"), F.min("term").alias("lo"), F.max("term").alias("hi")).filter("n >= 2 and lo = hi")
+    held = rows.filter("alt_group is not null").groupBy("doc_id", "alt_group").agg(F.array_sort(F.collect_set("code")).alias("codes")).select("doc_id", "codes")
+    fresh = whole.join(held, ["doc_id", "codes"], "left_anti").select("doc_id", "page", "cell")
+    named = met.join(fresh, ["doc_id", "page", "cell"]).groupBy("doc_id", "ordinal").agg(F.min(F.concat_ws("-", F.lit("cell"), "page", "cell")).alias("__g"))
+    return rows.join(named, ["doc_id", "ordinal"], "left").withColumn("alt_group", F.coalesce("alt_group", "__g")).select(*rows.columns)
+
+
+def term_from_cell(rows: DataFrame, cells: DataFrame, least: int = 10) -> DataFrame:
+    """A row without a term whose name is one entry of one cell takes the term that the cell's other codes agree on. cells(doc_id, cell, code, name)."""
+    lost = rows.filter(F.col("year").isNull() & (F.length("name") >= least)).select("doc_id", "name").distinct()
+    entry = lost.join(cells.select("doc_id", "cell", "name"), ["doc_id", "name"]).groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("cell").alias("cell")).filter("n = 1")
+    placed = cells.select("doc_id", "cell", "code").join(rows.filter("year is not null").select("doc_id", "code", "year", "semester").distinct(), ["doc_id", "code"])
+    agreed = placed.groupBy("doc_id", "cell").agg(F.min(F.struct("year", "semester")).alias("t"), F.max(F.struct("year", "semester")).alias("__t")).filter("t = __t")
+    found = entry.join(agreed, ["doc_id", "cell"]).select("doc_id", "name", "t")
+    joined = rows.join(found, ["doc_id", "name"], "left")
+    lacks = F.col("year").isNull()
+    return joined.withColumns({"semester": F.when(lacks, F.col("t.semester")).otherwise(F.col("semester")), "year": F.coalesce("year", "t.year")}).select(*rows.columns)
+
+
+def split_by_variant(rows: DataFrame, spans: DataFrame, steps) -> tuple[DataFrame, DataFrame]:
+    """Repair steps in order, then a row goes to the sections that hold its page; also counts by section."""
+    for step in steps:
+        rows = step(rows)
+    routed = assign_section(rows, spans)
+    return routed, routed.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_codes"))

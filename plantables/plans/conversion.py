@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantables.functions import text as f
-from plantables.operators import convert, pages
+from plantables.operators import checks, convert, pages, repair
 from plantables.plans.paged import ITEMS, LINES, html_pages, lines
 from plantables.plans.registry import add
 from plantables.sources import roles
@@ -111,3 +111,94 @@ add(
     lambda s, d: table(s, d, "part").selectExpr("p_partkey", "'กข ' || p_size || '\\n' || p_name || case when p_partkey % 3 > 0 then '\\nคง\\n' || p_brand else '' end as x").select("p_partkey", f.split_by_script(F.col("x"), 2).alias("y")),
     "select p_partkey, case when p_partkey % 3 > 0 then ['กข ' || p_size || chr(10) || p_name, 'คง' || chr(10) || p_brand] end as y from part",
 )
+
+
+def _blocks(s, d):
+    """An order's items as description lines: head, prerequisite, two of text."""
+    items = roles.plan_item(s, d).selectExpr("cast(floor(id / 1000) as bigint) % 50 as doc_id", "id", "code", "credits", "year").filter("code like '0%'")
+    parts = F.array(
+        F.expr("code || ' Name ' || year || ' ' || credits || '(1-2-3)'"), F.expr("case when id % 3 = 0 then 'Prerequisite: none' else 'Prerequisite: 00000001 00000002' end"), F.expr("'text ' || year"), F.lit("more")
+    )
+    return items.select("doc_id", F.col("id").alias("block"), F.posexplode(parts).alias("line_no", "line"))
+
+
+add(
+    "d2_parse_blocks",
+    lambda s, d: convert.parse_blocks(_blocks(s, d)),
+    oracle(
+        """, i as (select cast(floor(id / 1000) as bigint) % 50 as doc_id, id, code, credits, year from plan_item where code like '0%') select doc_id, code, 'Name ' || arg_min(year, id) as name, arg_min(credits, id) || '(1-2-3)' as credits, max(case when id % 3 <> 0 then '00000001 00000002' end) as prerequisite, 'text ' || arg_min(year, id) || ' more' as description, count(*) as n_blocks from i group by doc_id, code"""
+    ),
+)
+add(
+    "r15_repair_credits",
+    lambda s, d: convert.repair_credits(
+        roles.plan_item(s, d).selectExpr("program as doc_id", "code", "id", "case id % 4 when 0 then '3' when 1 then null else credits || '(1-2-3)' end as credits", "id % 5 = 0 as inferred"),
+        roles.course(s, d).filter("credits is not null").select(F.explode(F.array(*(F.lit(f"P{i}") for i in range(4)))).alias("doc_id"), "code", F.expr("case when credits % 3 > 0 then credits || '(1-2-3)' end as usable"), F.expr("credits || '(1-2-3)' as first")),
+    ).select("id", "credits", "rule"),
+    oracle(
+        """, c as (select code, credits || '(1-2-3)' as f, case when credits % 3 > 0 then credits || '(1-2-3)' end as u from course where credits is not null), r as (select id, program, code, case id % 4 when 0 then '3' when 1 then null else credits || '(1-2-3)' end as x from plan_item),
+j as (select r.*, case when program <> 'P4' then f end as f, case when program <> 'P4' then u end as u from r left join c using (code)), k as (select *, case when coalesce(x, '') in ('3', '') and f is not null then 'blank' when id % 5 = 0 and u is not null then 'inferred' when u is not null and x <> u then 'differs' end as rule from j)
+select id, case when rule = 'blank' then f when rule is not null then u else x end as credits, rule from k"""
+    ),
+)
+add(
+    "r19_fill_second_name",
+    lambda s, d: convert.fill_second_name(roles.plan_item(s, d).selectExpr("program as doc_id", "code", "id", "case when id % 2 = 0 then category end as name_en"), roles.plan_item(s, d).selectExpr("program as doc_id", "code", "category as name_en")).select("id", "name_en"),
+    oracle(
+        ", a as (select program, code, case when count(distinct category) = 1 then min(category) end as e from plan_item group by all) select id, case when id % 2 = 0 then category when regexp_full_match(code, '[0-9]{8}') then e end as name_en from plan_item join a using (program, code)"
+    ),
+)
+add(
+    "r20_recover_alternatives",
+    lambda s, d: convert.recover_alternatives(
+        roles.plan_item(s, d).filter("alt_group is not null").selectExpr("alt_group as doc_id", "cast(year as int) as page", "semester as grp", "code", "category as name").distinct(),
+        roles.plan_item(s, d).filter("alt_group is not null and id % 3 > 0").selectExpr("alt_group as doc_id", "code", "year + 1 as page", "id as ordinal", "year", "semester", "alt_group"),
+    ),
+    oracle(
+        """, o as (select distinct alt_group as doc_id, year as page, semester as grp, code, category as name from plan_item where alt_group is not null), r as (select * from plan_item where alt_group is not null and id % 3 > 0),
+m as (select o.*, row_number() over (partition by o.doc_id, o.page, o.grp, o.code order by r.id) as n, r.year, r.semester, r.alt_group from o join o b using (doc_id, page, grp) join r on r.alt_group = o.doc_id and r.code = b.code where (o.doc_id, o.code) not in (select (alt_group, code) from r))
+select doc_id, page, code, name, year, semester, alt_group from m where n = 1"""
+    ),
+)
+add(
+    "r21_group_cell_codes",
+    lambda s, d: convert.group_cell_codes(
+        roles.plan_item(s, d).selectExpr("program as doc_id", "cast(floor(id / 1000) as int) as page", "id as ordinal", "code", "year", "semester", "case when id % 1000 > 3 then alt_group end as alt_group"),
+        roles.plan_item(s, d).filter("id % 1000 <= 3").groupBy(F.col("program").alias("doc_id"), F.expr("cast(floor(id / 1000) as int)").alias("page"), F.col("semester").alias("cell")).agg(F.collect_list("code").alias("codes")),
+    ).select("ordinal", "alt_group"),
+    oracle(
+        """, r as (select program, cast(floor(id / 1000) as int) as page, id, code, semester, year * 10 + semester as term, case when id % 1000 > 3 then alt_group end as g from plan_item),
+c as (select program, page, semester as cell, list_sort(list_distinct(list(code))) as codes from r where id % 1000 <= 3 group by all), e as (select *, unnest(codes) as code from c),
+m as (select e.*, r.id, r.term from e join r using (program, page, code) where g is null), w as (select program, page, cell from m group by program, page, cell, codes having count(*) >= 2 and min(term) = max(term) and (program, codes) not in (select (program, list_sort(list_distinct(list(code)))) from r where g is not null group by program, g)),
+n as (select program, id, min('cell-' || page || '-' || cell) as x from m join w using (program, page, cell) group by all) select r.id as ordinal, coalesce(g, x) as alt_group from r left join n using (program, id)"""
+    ),
+)
+add(
+    "r22_term_from_cell",
+    lambda s, d: convert.term_from_cell(
+        roles.plan_item(s, d).selectExpr("program as doc_id", "id", "code", "'long enough ' || id as name", "case when id % 1000 <> 1 then year end as year", "case when id % 1000 <> 1 then semester end as semester"),
+        roles.plan_item(s, d).selectExpr("program as doc_id", "cast(floor(id / 1000) as bigint) as cell", "code", "'long enough ' || id as name"),
+    ).select("id", "year", "semester"),
+    oracle(
+        """, r as (select program, id, cast(floor(id / 1000) as bigint) as cell, code, case when id % 1000 <> 1 then year end as year, case when id % 1000 <> 1 then semester end as semester from plan_item),
+p as (select distinct a.program, a.cell, b.year, b.semester from r a join r b using (program, code) where b.year is not null), t as (select program, cell, min(year) as y, min(semester) as s from p group by all having count(*) = 1)
+select id, coalesce(year, y) as year, case when year is null then s else semester end as semester from r left join t using (program, cell)"""
+    ),
+)
+add(
+    "r28_split_by_variant",
+    lambda s, d: convert.split_by_variant(
+        roles.plan_item(s, d).selectExpr("program as doc_id", "pages[0] as page_no", "id as ordinal", "code", "year", "semester", "category", "alt_group").filter("page_no is not null"),
+        s.createDataFrame([(f"P{i}", x, a, b) for i in range(5) for x, a, b in (("coop", 20, 60), ("nocoop", 50, 90))], "doc_id string, section string, start int, end int"),
+        [lambda r: repair.dissolve_mixed_groups(r, ["doc_id", "year", "semester"]), lambda r: repair.last_term_only(r, ["doc_id"])],
+    )[1],
+    oracle(
+        """, r as (select program as doc_id, pages[1] as p, code, year * 10 + semester as t from plan_item where pages is not null), k as (select * from (select *, max(t) over (partition by doc_id, code) as m from r) where t = m), s as (select * from (values ('coop', 20, 60), ('nocoop', 50, 90)) v(section, a, b))
+select doc_id, section, count(*) as n_rows, count(distinct code) as n_codes from k, s where p between a and b or p not between 20 and 90 group by all"""
+    ),
+)
+add(
+    "c0_program_present",
+    lambda s, d: checks.program_present(roles.plan_item(s, d), roles.plan_item(s, d).filter("not (program = 'P3' and track = 1)").select(*SCOPE).distinct()),
+    oracle("select distinct program, edition, track from plan_item where program = 'P3' and track = 1"),
+)
