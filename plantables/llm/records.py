@@ -9,7 +9,7 @@ ascending doc_id order, file after file; the index has a row for each record
 
 from __future__ import annotations
 
-import re
+import string
 import struct
 import uuid
 import zlib
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from plantables.llm.common import cut, new_path
 
 END_ID = 2
-#: Encoded chunks a worker keeps; the store is emptied when full.
-KEPT_CHUNKS = 600_000
+#: Encoded chunks a worker keeps, twice: a full store becomes the older one, from which what is met again is taken.
+KEPT_CHUNKS = 1_000_000
+#: Texts encoded together.
+GROUP = 1024
 #: Bytes of text for each range of documents, and so for each file.
 FILE_BYTES = 64 << 20
 
@@ -58,10 +61,11 @@ def unframe(f, where: str) -> bytes:
 class Encoder:
     """Ids of whole texts by the tokenizers library, each chunk encoded once while it is kept.
 
-    This byte-level pre-tokenizer never joins what stands before a space with
-    it, so a text may be cut before any space that follows a non-space. Chunks
-    not met before go to the library together, as one text; each starts with
-    a space, and only there does an id stand whose bytes begin with one.
+    This byte-level pre-tokenizer never joins what stands before white space
+    with it, so a text may be cut before a space or a line's end that follows
+    a non-space. Chunks not met before go to the library together, as one
+    text; each starts with a space (or a line's end), and only there does an
+    id stand whose bytes begin with one. A chunk's space isn't part of its key.
     """
 
     def __init__(self, path: str):
@@ -73,60 +77,117 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.kept: dict[str, bytes] = {}
+        self.lines = np.zeros_like(self.opens)
+        self.lines[[i for t, i in vocab.items() if t.startswith("Ċ")]] = True
+        self.kept: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
+        self.marks: dict[str, bytes] = {}  # what has no space before it: marks after words, and texts' starts
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        spaced = [c for c in chunks if " " in c]  # a space of its own would look like a chunk's start
-        self.kept.update((c, self._pack(f" {c}")) for c in spaced)
-        chunks = [c for c in chunks if " " not in c] if spaced else chunks
-        for i in range(0, len(chunks), 4096):
-            some = chunks[i : i + 4096]
-            ids = np.array(self.library.encode_batch_fast(["".join(f" {c}" for c in some)], add_special_tokens=False)[0].ids, np.int64)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(some):  # not so for this vocabulary: one by one
-                self.kept.update((c, self._pack(f" {c}")) for c in some)
-                continue
-            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            edges = [*(at * width).tolist(), len(packed)]
-            self.kept.update(zip(some, map(packed.__getitem__, map(slice, edges, edges[1:])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        plain = [self._chunks(t) for t in texts]
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        new: set[str] = set()
-        for _, rest in plain:
-            new.update(rest)
-        if new := new.difference(self.kept):
-            self._learn(list(new))
-        get = self.kept.__getitem__
-        return [self._pack(first) + b"".join(map(get, rest)) for first, rest in plain]
-
-    @staticmethod
-    def _chunks(text: str) -> tuple[str, list[str]]:
-        """The text's start, and the chunks after it, each without the space before it."""
-        rest = text.split(" ")
-        if not _UNEVEN.search(text):
-            return rest[0], rest[1:]
-        first, out = rest[0], []
-        for x in rest[1:]:
-            last = out[-1] if out else first
-            if not last or last[-1].isspace() or not x or x[0].isspace():
-                if out:
-                    out[-1] = f"{last} {x}"
+        return np.array(self._ids(text), self.dtype).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Fills kept: False for a chunk that white space begins or ends, which can't stand alone."""
+        ends: dict[str, str] = {}
+        alone: set[str] = set()
+        for c in chunks:
+            if c[:1] == "\n" and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() or c and not c[0].isspace() and not c[-1].isspace():
+                stem = c.rstrip(string.punctuation)
+                if len(stem) < len(c) and stem.lstrip("\n").isalpha():  # letters, then marks: the pre-tokenizer cuts between
+                    ends[c] = stem
+                    if self._known(stem) is None:
+                        alone.add(stem)
                 else:
-                    first = f"{last} {x}"
+                    alone.add(c)
+            else:
+                self.kept[c] = False
+        for line in (False, True):
+            todo = [c for c in alone if (c[0] == "\n") == line]
+            starts, before = (self.lines, "") if line else (self.opens, " ")
+            for i in range(0, len(todo), 4096):
+                some = todo[i : i + 4096]
+                ids = np.array(self._ids("".join([f"{before}{c}" for c in some])), np.int64)
+                at = np.flatnonzero(starts[ids])
+                if len(at) != len(some):  # not so for this vocabulary: one by one
+                    self.kept.update((c, self._pack(f"{before}{c}")) for c in some)
+                    continue
+                packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+                edges = [*(at * width).tolist(), len(packed)]
+                self.kept.update(zip(some, map(packed.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        for c, stem in ends.items():
+            marks = c[len(stem) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._pack(marks)
+            self.kept[c] = self.kept[stem] + self.marks[marks]
+
+    def _known(self, chunk: str) -> bytes | bool | None:
+        """From the kept ones, or from those kept before them."""
+        if chunk not in self.kept and chunk in self.older:
+            self.kept[chunk] = self.older[chunk]
+        return self.kept.get(chunk)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed ids of each text; none is null.
+
+        Distinct chunks of all texts are looked up once, and ids gathered by
+        their numbers.
+        """
+        if max(len(self.kept), len(self.marks)) > KEPT_CHUNKS:
+            self.older, self.kept, self.marks = self.kept, {}, {}
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        number, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        got = list(map(self.kept.get, chunks))
+        if None in got:
+            new = {c for c, x in zip(chunks, got, strict=True) if x is None}
+            old = new.intersection(self.older)
+            self.kept.update((c, self.older[c]) for c in old)
+            new -= old
+            if new:
+                self._learn(new)
+            got = list(map(self.kept.__getitem__, chunks))
+        width = self.dtype.itemsize
+        odd = np.fromiter((x is False for x in got), bool, len(got))
+        size = np.fromiter((len(x or b"") for x in got), np.int64, len(got)) // width
+        ids = np.frombuffer(b"".join([x or b"" for x in got]), self.dtype)
+        begin = np.cumsum(size) - size
+        n = size[number]
+        n[first] = 0  # a text's start has no space before it: encoded below
+        after = np.cumsum(n)
+        flat = ids[np.repeat(begin[number] - after + n, n) + np.arange(after[-1])].tobytes()
+        uneven = odd[number]
+        several = np.diff(np.append(first, len(number))) > 1
+        uneven[first] &= several
+        uneven = np.logical_or.reduceat(uneven, first)
+        ends = after[np.append(first[1:], len(number)) - 1] * width
+        out, at = [], 0
+        for i, end in enumerate(ends.tolist()):
+            if uneven[i]:
+                out.append(self._uneven(texts[i].as_py().split(" ")))
+            else:
+                start = chunks[number[first[i]]]
+                if start not in self.marks:
+                    self.marks[start] = self._pack(start)
+                out.append(self.marks[start] + flat[at:end])
+            at = end
+        return out
+
+    def _uneven(self, chunks: list[str]) -> bytes:
+        """Chunks of a text with uneven white space, put together again where it stands at a cut."""
+        out = chunks[:1]
+        for x in chunks[1:]:
+            if not out[-1] or out[-1][-1].isspace() or not x or x[0].isspace():
+                out[-1] = f"{out[-1]} {x}"
             else:
                 out.append(x)
-        return first, out
-
-
-#: A space next to other white space, or at an end.
-_UNEVEN = re.compile(r"\s | \s|^ | $")
+        return self._pack(out[0]) + b"".join(self._known(c) or self._pack(f" {c}") for c in out[1:])
 
 
 def _encoder(path: str, held: dict[str, Encoder] = {}) -> Encoder:  # noqa: B006  kept by the worker on purpose
@@ -159,11 +220,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}")
             rows: list[tuple[int, int, int, int]] = []
-            for data in encoder.encode(["" if x is None else x for x in b.column(1).to_pylist()]):
-                whole = frame(data + end)
-                out.write(whole)
-                rows.append((record, at, len(whole), len(data) // encoder.dtype.itemsize + 1))
-                record, at = record + 1, at + len(whole)
+            for i in range(0, b.num_rows, GROUP):
+                for data in encoder.encode(pc.fill_null(b.column(1).slice(i, GROUP), "")):
+                    whole = frame(data + end)
+                    out.write(whole)
+                    rows.append((record, at, len(whole), len(data) // encoder.dtype.itemsize + 1))
+                    record, at = record + 1, at + len(whole)
             record_no, offset, size, tokens = zip(*rows, strict=True)
             n = len(rows)
             yield pa.RecordBatch.from_arrays(

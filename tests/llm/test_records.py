@@ -9,14 +9,17 @@ from tokenizers import Tokenizer
 from plantables.llm import records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b c", "a b  c d", "don't we'll  x", "　 x y", "x  y", "Größe 12,5 % <|endoftext|> end", "tab\t tab", "é́ ñ  ", "word " * 5000, "  lead two", "end  ", "\r\n \r\n", "a\x1c b", "a\x85 b"]
+TEXTS = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b c", "a b  c d", "don't we'll  x", "　 x y", "x  y", "Größe 12,5 % <|endoftext|> end", "tab\t tab", "é́ ñ  ", "word " * 5000, "  lead two", "end  ", "\r\n \r\n", "a\x1c b", "a\x85 b", "it's, its' wait... wait? 's '' _x_ x²! Ⅷ. ok!\n ok! \n"]
 
 
-def test_chunks_encode_as_the_whole_text():
+def test_chunks_encode_as_the_whole_text(monkeypatch):
     whole = Tokenizer.from_file(PATH)
     whole.encode_special_tokens = True
+    monkeypatch.setattr(records, "KEPT_CHUNKS", 20)
     encoder = records.Encoder(PATH)
-    for _ in range(2):
+    for _ in range(4):
+        for text in TEXTS:
+            assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text[:40])
         for text, data in zip(TEXTS, encoder.encode(TEXTS), strict=True):
             assert np.frombuffer(data, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text[:40])
 
