@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantables.operators.views import SCOPE
+from plantables.sources.scratch import written
 
 
 def neighbours(edges: DataFrame, codes: list[str], kind: str, back: bool = False) -> DataFrame:
@@ -17,17 +15,6 @@ def neighbours(edges: DataFrame, codes: list[str], kind: str, back: bool = False
     return edges.filter(F.col(here).isin(codes) & (F.col("kind") == kind)).select(F.col(here).alias("code"), F.col(there).alias("other")).distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='plantables-')}" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame, seeds: DataFrame, kind: str = "pre", back: bool = False) -> DataFrame:
     """(seed, code) for all that is reached over edges of a kind, the seed only over a cycle.
 
@@ -38,11 +25,11 @@ def closure(edges: DataFrame, seeds: DataFrame, kind: str = "pre", back: bool =
     step = edges.filter(F.col("kind") == kind)
     step = step.select(F.col("requires").alias("at"), F.col("code").alias("next")) if back else step.select(F.col("code").alias("at"), F.col("requires").alias("next"))
     step = step.distinct()
-    front = _written(seeds.select(F.col("code").alias("seed"), F.col("code").alias("at")).distinct().join(step, "at").select("seed", F.col("next").alias("code")).distinct())
+    front = written(seeds.select(F.col("code").alias("seed"), F.col("code").alias("at")).distinct().join(step, "at").select("seed", F.col("next").alias("code")).distinct(), "closure")
     seen = front
     while not front.isEmpty():
         more = front.withColumnRenamed("code", "at").join(step, "at").select("seed", F.col("next").alias("code")).distinct()
-        front = _written(more.join(seen, ["seed", "code"], "left_anti"))
+        front = written(more.join(seen, ["seed", "code"], "left_anti"), "closure")
         seen = seen.unionByName(front)
     return seen
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantables.operators import evaluate, load
+from plantables.operators import convert, evaluate, load
 from plantables.plans.registry import add
 from plantables.sources import roles
 from plantables.sources.roles import oracle, table
+from plantables.sources.scratch import shared_path
 
 
 def marked_pages(s, d):
@@ -170,3 +171,13 @@ add(
         ", a as (select case year when 1 then 'value' when 2 then 'set' when 3 then 'count' else 'none' end as type, case year when 1 then true when 2 then track = 0 when 3 then true else track = 0 end as correct from plan_item group by program, edition, track, year) select type, count(*) as n, cast(count_if(correct) as bigint) as n_correct, round(avg(cast(correct as int)), 6) as rate from a group by rollup (type)"
     ),
 )
+
+
+def _metrics(s, d):
+    path = shared_path(s, "metrics")
+    made = roles.plan_item(s, d).groupBy("program", "category").agg(F.count("*").alias("n"), F.round(F.avg("credits"), 6).alias("mean"))
+    convert.write_metrics(made, path)
+    return s.read.option("header", True).schema("program string, category string, n long, mean double").csv(path)
+
+
+add("s8_write_metrics", _metrics, oracle("select program, category, count(*) as n, round(avg(credits), 6) as mean from plan_item group by all"))

@@ -26,6 +26,8 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", f.normalize_text(F.col("text"), "word").alias("word"), F.length(f.normalize_text(F.col("text"), "strict")).alias("n_strict")),
     r"select doc_id, lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) as word, cast(length(regexp_replace(lower(nfc_normalize(text)), '\s+', '', 'g')) as int) as n_strict from documents",
 )
+#: DuckDB has no NFKC and no case folding, so there is no oracle; tests/test_operators.py has cases.
+add("f2_canonical", lambda s, d: table(s, d, "documents").select("doc_id", f.canonical("text").alias("y")))
 add(
     "f3_whole_word",
     lambda s, d: table(s, d, "documents").select("doc_id", f.whole_word(F.col("text"), "License").alias("a"), f.whole_word(F.col("text"), "the").alias("b")),

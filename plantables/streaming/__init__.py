@@ -1 +1 @@
-
+"""The reference has no stream; filters, scalar functions and row rules are stateless and work on one as they are."""
