@@ -57,7 +57,7 @@ def _posts(rows: DataFrame, pivots, depth: int) -> DataFrame:
             row = np.repeat(np.arange(len(near)), near.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["pivot", "id", "vec"])
 
-    return rows.mapInArrow(post, "pivot int, id long, vec array<float>")
+    return rows.mapInArrow(post, f"pivot int, id long, vec {dict(rows.dtypes)['vec']}")
 
 
 def _dealt(posts: DataFrame, own: dict[int, int], other: dict[int, int], own_name: str, other_name: str) -> DataFrame:
@@ -80,7 +80,8 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, n_pivots
     repeat a vec_id and vector count once. Fewer candidates give fewer rows.
     """
     spark = vectors.sparkSession
-    good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vec"), queries.alias("asks")).filter(usable(F.col("vec")))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("vec"), queries.alias("asks")).filter(usable(F.col("vec")))
     sample = good.select("vec_id", "vec").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * n_pivots).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

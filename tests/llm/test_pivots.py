@@ -51,5 +51,6 @@ def test_equal_and_unusable_vectors(spark):
     assert got[0] == [*range(1, 21)]
     assert got[100] == [101, *range(19)]
     assert pivots.search(df.limit(0), asks()).count() == 0
-    one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in pivots.search(one, asks()).collect()] == [(0, 1, 1, 2.0)]
+    for kind, x in (("float", 2.0), ("double", 0.1)):
+        one = spark.createDataFrame([(0, [1.0]), (1, [x])], f"vec_id long, embedding array<{kind}>")
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in pivots.search(one, asks()).collect()] == [(0, 1, 1, x)]
