@@ -264,8 +264,8 @@ add(
     ),
 )
 
-CODES = ["00000123", "00000777", "00001001"]
-LIST = "('00000123', '00000777', '00001001')"
+CODES = ["00000013", "00000077", "00000124"]
+LIST = "('00000013', '00000077', '00000124')"
 add("g1_prerequisites", lambda s, d: graph.neighbours(_pre(s, d), CODES, "pre"), oracle(f"select distinct code, requires as other from prerequisite where code in {LIST} and kind = 'pre'"))
 add("g1_unlocked_by", lambda s, d: graph.neighbours(_pre(s, d), CODES, "pre", back=True), oracle(f"select distinct requires as code, code as other from prerequisite where requires in {LIST} and kind = 'pre'"))
 
