@@ -76,12 +76,12 @@ def learn(docs: DataFrame, size: int = PROFILE, per_lang: int = SAMPLE_PER_LANG)
 
     Rows without lang or text teach nothing. Each document of a language is
     taken with the chance that makes about per_lang of them, by a hash of
-    doc_id; n-grams are summed within each task before they are shuffled.
+    doc_id; what is broadcast for that is a row a language; n-grams are summed within each task before they are shuffled.
     """
     usable = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null")
     share = usable.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
     lot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1_000_000)) / 1_000_000
-    sample = usable.join(share, "lang").filter(lot < F.col("share")).select("lang", "text")
+    sample = usable.join(F.broadcast(share), "lang").filter(lot < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
