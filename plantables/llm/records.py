@@ -27,7 +27,7 @@ from plantables.llm.common import cut, new_path
 
 END_ID = 2
 #: Encoded chunks a worker keeps, twice: a full store becomes the older one, from which what is met again is taken.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 700_000
 #: Texts encoded together.
 GROUP = 1024
 #: Bytes of text for each range of documents, and so for each file.
@@ -238,7 +238,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     ranges = max(1, spark.sparkContext.defaultParallelism, int(total // FILE_BYTES))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    index = text.repartitionByRange(ranges, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(put, INDEX)
+    index = text.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(put, INDEX)
     return cut(index, "index").withColumn("folder", F.lit(folder))
 
 
