@@ -123,7 +123,7 @@ def file_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.
         j = np.minimum(i, len(a) - 1)
         fits = (i < len(a)) & (b[j] <= w + window)
         got, j = open_[fits], j[fits]
-        key[got] = _mix(name[j] + np.uint64(level) * _ODD2)
+        key[got] = _mix(name[j] + np.uint64(level * int(_ODD2) & (1 << 64) - 1))
         place[got] = level << 40 | j
         open_ = open_[~fits]
         if not len(open_):
@@ -216,20 +216,22 @@ def repeated(text: DataFrame, window: int = WINDOW) -> DataFrame:
     split by Spark as any large key of a join.
     """
     filed = Cut(text.select("did", "text").mapInArrow(_filed(window), FILED), "filed")
-    often = filed.df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    alike = Cut(filed.df.join(often, "key"), "alike")
+    # counts are written before they are joined: a join that shares its stage with a sum isn't split where a key is large
+    often = Cut(filed.df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
+    alike = Cut(filed.df.join(often.df, "key"), "alike")
     filed.drop()
+    often.drop()
     stretches = Cut(alike.df.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("did", "start", "windows")).alias("one")), "stretches")
     settled = alike.df.join(stretches.df.filter("n > 1").select("key", "stretch"), ["key", "stretch"]).select("did", "start", "windows")
     # where a key has several stretches and some are met once, their windows may still be repeated
-    unsure = stretches.df.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key")
-    asked = cut(stretches.df.join(unsure, "key").select("one.*").groupBy("did").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "asked")
+    unsure = Cut(stretches.df.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key"), "unsure")
+    asked = cut(stretches.df.join(unsure.df, "key").select("one.*").groupBy("did").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "asked")
     once = only_ids(text.select("did", "text"), asked.select("did"), "did").dropDuplicates(["did"])
     single = Cut(once.join(asked, "did").select("did", "text", "spans").mapInArrow(_windows(window), "h1 long, h2 long, did long, start int"), "windows")
-    again = single.df.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    found = settled.unionByName(single.df.join(again, ["h1", "h2"]).select("did", "start", F.lit(1).alias("windows")))
+    again = Cut(single.df.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "again")
+    found = settled.unionByName(single.df.join(again.df, ["h1", "h2"]).select("did", "start", F.lit(1).alias("windows")))
     out = cut(found.groupBy("did").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "repeated")
-    for x in (alike, stretches, single):
+    for x in (alike, stretches, unsure, single, again):
         x.drop()
     return out
 
