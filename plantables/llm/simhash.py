@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantables.llm.common import Cut, cut
+from plantables.llm.common import Cut, cut, only_ids
 from plantables.llm.components import components
 
 #: Generator polynomial of the binary Golay code, and the cut of a fingerprint (shift, bits).
@@ -161,12 +161,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
+    Ids that go are fewer than those that stay, so documents are told by them.
     Rows that repeat a kept id are cut to one; only those are moved for it.
     Rows without an id stay, as none of them can be named.
     """
     found = near_duplicates(docs, width)
-    kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+    ids = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(stays, F.count("*").alias("rows")).filter("not stays or rows > 1"), "copies")
+    once = only_ids(docs, ids.select("doc_id"), "doc_id", keep=False)
+    again = ids.filter("stays").select("doc_id")
+    if again.isEmpty():
+        return once
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    again = docs.join(kept.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__row"))
-    return once.unionByName(again.select("doc_id", "__row.*")).unionByName(docs.filter("doc_id is null"))
+    one = only_ids(docs, again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__row"))
+    return once.unionByName(one.select("doc_id", "__row.*"))
