@@ -151,7 +151,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     marked = cut(fingerprints(docs, width), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    label = components(links(classes.select("fp")))
+    return spread_labels(marked, classes, components(links(classes.select("fp"))))
+
+
+def spread_labels(marked: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, fp, ...), (fp, least) and components (node, label) of fp -> (doc_id, fp, component_id)."""
     joined = classes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     of = joined.select("fp", "label").join(least, "label").select("fp", "component_id")
@@ -165,7 +169,11 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     Rows that repeat a kept id are cut to one; only those are moved for it.
     Rows without an id stay, as none of them can be named.
     """
-    found = near_duplicates(docs, width)
+    return keep_least(docs, near_duplicates(docs, width))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one by components (doc_id, component_id) found already."""
     stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     ids = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(stays, F.count("*").alias("rows")).filter("not stays or rows > 1"), "copies")
     once = only_ids(docs, ids.select("doc_id"), "doc_id", keep=False)
