@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An id set up to this many rows (8 bytes each) may be broadcast; a larger one is joined by shuffle.
+#: Key columns times rows of an id set that may be broadcast, up to this number (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Scratch paths that this driver made and hasn't dropped.
+_made: dict[str, SparkSession] = {}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,12 +41,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/plantables/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/plantables/{what}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
+
+
+@contextmanager
+def dropping(keep: list[str]) -> Iterator[None]:
+    """Drops the scratch tables made inside, but for those whose paths are put into keep."""
+    before = set(_made)
+    yield
+    for path in set(_made) - before - set(keep):
+        drop_path(_made[path], path)
+
+
+@atexit.register
+def drop_made() -> None:
+    """Drops all scratch tables of this driver. A result that reads them is gone then: call it after the last use, else the driver's end does."""
+    for path, spark in list(_made.items()):
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001  the session, or its JVM, ended first
+            _made.pop(path, None)
 
 
 class Cut:
@@ -63,14 +91,24 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return Cut(df, what).df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, on: str, keep: bool = True) -> DataFrame:
-    """Rows of df whose id is (or isn't) among ids, without moving df while the ids are few.
+def only_ids(df: DataFrame, ids: DataFrame, on: str | Sequence[str], keep: bool = True) -> DataFrame:
+    """Rows of df whose id (or ids together) is (or isn't) among ids, without moving df while the ids are few.
 
     The ids are counted; past BROADCAST_IDS the same join is done by shuffle.
     """
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), on, "left_semi" if keep else "left_anti")
+    small = ids.count() * len(ids.columns) <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), on if isinstance(on, str) else list(on), "left_semi" if keep else "left_anti")

@@ -10,21 +10,28 @@ from plantables.llm.common import Cut
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> Cut:
+    """Larger neighbours of each node to the smallest of its neighbours and itself.
+
+    The smallest are summed within tasks and written before they are joined,
+    as are the edges: one node may have most of all edges, and only of a
+    written table does Spark know that it may be broadcast, or where to split.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = Cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    out = Cut(both.filter("b > a").join(least.df, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+    least.drop()
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> Cut:
+    """Smaller neighbours of each node, and itself, to the smallest of them; least and edges as above."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return (
-        down.join(least, "a")
-        .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        .filter("a > b")
-        .distinct()
-    )
+    least = Cut(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    turned = down.join(least.df, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    out = Cut(turned.filter("a > b").distinct(), "edges")
+    least.drop()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,8 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = Cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     seal = None
     for _ in range(MAX_ROUNDS):
-        after = Cut(_small_star(_large_star(now.df)), "edges")
+        large = _large_star(now.df)
         now.drop()
+        after = _small_star(large.df)
+        large.drop()
         now = after
         mark = tuple(now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seal:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantables.llm.common import BROADCAST_IDS, cut
+from plantables.llm.common import BROADCAST_IDS, cut, fresh
 
 WINDOW = 10
 #: Words of benchmark text that are broadcast at once (about 150 bytes each in a worker).
@@ -179,11 +179,12 @@ def _together(found: DataFrame, passes: int) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """The documents without any hit; all their columns. Contaminated ones go whole."""
     dirty = cut(hits(docs, benchmark, window, part_words).filter("n_hit > 0").select("doc_id", "which").distinct(), "contaminated")
-    which = docs.withColumn("__which", F.xxhash64(F.col("text").cast("string")))
-    few = dirty.count() <= BROADCAST_IDS
-    dirty = dirty.select(F.col("doc_id").alias("__id"), F.col("which").alias("__hit"))
-    on = which["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__which") == F.col("__hit"))
-    return which.join(F.broadcast(dirty) if few else dirty, on, "left_anti").select(*docs.columns)
+    own, which, of, hit = fresh(docs, "__own", "__which", "__id", "__hit")
+    named = docs.withColumns({own: F.col("doc_id").cast("long"), which: F.xxhash64(F.col("text").cast("string"))})
+    few = dirty.count() * len(dirty.columns) <= BROADCAST_IDS
+    dirty = dirty.select(F.col("doc_id").alias(of), F.col("which").alias(hit))
+    on = F.col(own).eqNullSafe(F.col(of)) & (F.col(which) == F.col(hit))
+    return named.join(F.broadcast(dirty) if few else dirty, on, "left_anti").drop(own, which)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -21,6 +21,9 @@ PROFILE = 400
 #: Profiles are learned from about so many labelled documents of a language (all, if fewer), taken by a hash of their id.
 SAMPLE_PER_LANG = 3000
 UNKNOWN = "und"
+#: Least score of a document in a known language: where a text has the profile's n-grams at all, it is above
+#: 0.4 on documents of the labelled languages; a text of another script has 0.
+LEAST_SCORE = 0.2
 #: Characters whose n-grams are counted at a time.
 SLAB = 1 << 20
 
@@ -145,13 +148,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs.filter(~held_out(F.col("doc_id")))))
 
 
-def known(docs: DataFrame) -> DataFrame:
-    """The documents in which a learned language was found; all their columns."""
+def known(docs: DataFrame, least_score: float = LEAST_SCORE, wanted: frozenset[str] | None = None) -> DataFrame:
+    """The documents in a learned language; all their columns.
+
+    A document goes if its prediction is "und" (null, or no letter), if the
+    score of the nearest language is below least_score (letters of another
+    script, or of no language), or if that language isn't among those wanted.
+    """
     profiles = learn(docs.filter(~held_out(F.col("doc_id"))))
     given = docs.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in profiles.collect()], PROFILE))
 
+    def stays(lang: str, score: float) -> bool:
+        return lang != UNKNOWN and score >= least_score and (wanted is None or lang in wanted)
+
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: given.value.predict(x)[0] != UNKNOWN)
+        return texts.map(lambda x: stays(*given.value.predict(x)))
 
     return docs.filter(found(F.col("text").cast("string")))

@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantables.llm.common import Cut, cut
+from plantables.llm.common import Cut, cut, fresh
 
 SHARDS = 16
-ROUNDS = 6
-#: What a shard may hold over its even share between rounds.
+#: Rounds at most; they end once no hub wants to move.
+ROUNDS = 12
+#: What a shard may hold of linked rows over their even share between rounds, if that is more than a shard's size.
 SLACK = 0.05
 #: Rows ranked together, about; and the least number of such groups in a shard.
 RANKED_ROWS = 20_000
@@ -36,9 +37,14 @@ def _by_shard(values: dict[int, float], shard: Column, kind: str) -> Column:
 
 
 def _parts_of_hubs(links: DataFrame, total: int, shards: int) -> DataFrame:
-    """links(node, hub, rows) -> hubs too large for a shard's half are several, by the node's hash."""
+    """links(node, hub, rows) -> hubs too large for a shard's half are several, by the node's hash.
+
+    Hub sizes are summed within tasks and written before they are joined, so
+    that Spark knows whether to broadcast them, or where to split a hot hub;
+    so are votes below.
+    """
     most = max(1, total // (2 * shards))
-    sizes = links.groupBy("hub").agg(F.sum("rows").alias("held"), F.count("*").alias("nodes")).filter("nodes > 1 or held > 1")
+    sizes = cut(links.groupBy("hub").agg(F.sum("rows").alias("held"), F.count("*").alias("nodes")).filter("nodes > 1 or held > 1"), "hubs")
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("held") / most))
     return links.join(sizes, "hub").select("node", "rows", F.when(F.col("held") <= most, F.col("hub")).otherwise(F.xxhash64("hub", part)).alias("hub"))
 
@@ -54,22 +60,27 @@ def propagate(links: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     nodes, linked or not. Only shard totals come to the driver.
     """
     linked = cut(_parts_of_hubs(links, total, shards), "linked")
-    share = total / shards
     nodes = linked.groupBy("node").agg(F.max("rows").alias("rows"), F.min("hub").alias("hub"))
     now = Cut(nodes.select("node", "rows", "hub", start(F.col("node"), shards).alias("shard")), "shards")
-    held = {s: share for s in range(shards)}
+    # only linked rows count between rounds: the others give way to them when rows are ranked
+    own = {r["shard"]: r["n"] for r in now.df.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
+    held = {s: own.get(s, 0) for s in range(shards)}
+    most = max(total, sum(held.values()) * (1 + SLACK)) / shards
     for r in range(rounds):
         votes = linked.select("node", "hub").join(now.df.select("node", "rows", "shard"), "node").groupBy("hub", "shard").agg(F.sum("rows").alias("n"))
-        named = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("wish"), F.max("n").alias("n"))
-        says = linked.select("node", "hub").join(named, "hub").groupBy("node").agg(F.max_by(F.struct("wish", "hub"), F.struct("n", "hub")).alias("top"))
+        # a shard without room is named only by hubs that stand nowhere else
+        room = _by_shard({s: float(held[s] < most) for s in held}, F.col("shard"), "double")
+        named = Cut(votes.groupBy("hub").agg(F.max_by("shard", F.struct(room, "n", F.xxhash64("hub", "shard"))).alias("wish"), F.max("n").alias("n")), "votes")
+        says = linked.select("node", "hub").join(named.df, "hub").groupBy("node").agg(F.max_by(F.struct("wish", "hub"), F.struct("n", "hub")).alias("top"))
         want = Cut(now.df.drop("hub").join(says, "node").select("node", "rows", "shard", "top.wish", "top.hub"), "wishes")
+        named.drop()
         moves = want.df.filter("wish <> shard").groupBy("wish", "shard").agg(F.sum("rows").alias("n")).collect()
         if not moves:
             want.drop()
             break
         into = {s: sum(m.n for m in moves if m.wish == s) for s in range(shards)}
         out = {s: sum(m.n for m in moves if m.shard == s) for s in range(shards)}
-        part = {s: min(1.0, max(0.0, share * (1 + SLACK) - held[s] + out[s] / 2) / into[s]) if into[s] else 0.0 for s in range(shards)}
+        part = {s: min(1.0, max(0.0, most - held[s] + out[s] / 2) / into[s]) if into[s] else 0.0 for s in range(shards)}
         goes = (F.col("wish") != F.col("shard")) & (_chance("hub", F.lit(r)) < _by_shard(part, F.col("wish"), "double"))
         after = Cut(want.df.select("node", "rows", "hub", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "shards")
         moved = want.df.filter(goes).groupBy("wish", "shard").agg(F.sum("rows").alias("n")).collect()
@@ -85,37 +96,62 @@ def propagate(links: DataFrame, total: int, shards: int = SHARDS, rounds: int =
 def _ranked(rows: DataFrame, total: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
     """Adds `rank`, gapless from 0 in each shard, linked rows first; and the rows of each shard.
 
-    Ranks are counted in small groups by hash, after the sums of the groups before.
+    Ranks are counted in small groups by hash, after the sums of the groups
+    before. There is a group for RANKED_ROWS rows, and their sums are all that
+    a task holds of a shard.
     """
     groups = max(LEAST_GROUPS, total // shards // RANKED_ROWS)
     single = F.col("hub").isNull()
     part = F.pmod(F.xxhash64(F.coalesce("hub", "node"), F.when(single, F.lit(0)).otherwise(F.lit(1))), F.lit(groups))
     part = F.when(single, part + groups).otherwise(part)
     rows = rows.withColumn("part", part)
-    sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("shard", "part").orderBy("hub", "node", "size", "text_crc32")
-    ranked = rows.join(before, ["shard", "part"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
+    # a group that holds a large hub is several, by a hash of the row
+    wide = cut(rows.groupBy("shard", "part").agg(F.ceil(F.count("*") / RANKED_ROWS).cast("int").alias("width")), "widths")
+    rows = rows.join(F.broadcast(wide), ["shard", "part"]).withColumn("sub", F.pmod(F.xxhash64("node", "row", F.lit("sub")), F.col("width")).cast("int"))
+    sizes = rows.groupBy("shard", "part", "sub").agg(F.count("*").alias("n"))
+    before = sizes.select("shard", "part", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("part", "sub")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("shard", "part", "sub").orderBy("hub", "node", "size", "text_crc32", "row")
+    ranked = rows.join(before, ["shard", "part", "sub"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
     held = {r.shard: r.n for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     return ranked, {s: held.get(s, 0) for s in range(shards)}
 
 
+def _columns(docs: DataFrame, row: Column) -> DataFrame:
+    """What sharding needs of each row: row, doc_id, size, text_crc32, link (what equal texts share) and node."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
+        "row", "doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("link"), F.coalesce("doc_id", F.xxhash64("text")).alias("node")
+    )
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, size (UTF-8 bytes + 1), text_crc32, law "rows", shard, slot, grown_shard.
 
     Shards' row counts are at most one apart; slots are gapless from 0 in each
     shard; documents of equal text are linked. A null text has no bytes
-    (size 1, checksum 0). Rows that repeat each get a slot of their own. An
-    empty table gives none. grown_shard is null under this law. Other columns
-    aren't read.
+    (size 1, checksum 0). Rows that repeat each get a slot of their own; a
+    text of any length is read once, for its size and hashes. An empty table
+    gives none. grown_shard is null under this law. Other columns aren't read,
+    whatever their names.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = cut(
-        docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
-            "doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("link"), F.coalesce("doc_id", F.xxhash64("text")).alias("node")
-        ),
-        "sizes",
-    )
+    return _assigned(cut(_columns(docs, F.monotonically_increasing_id()), "sizes"), shards, rounds).drop("row")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """The documents with all their columns, and assign()'s law, shard and slot (in place of columns of these names).
+
+    Rows are numbered in a written copy, so that each finds its own shard and
+    slot though ids and texts repeat; texts move once.
+    """
+    law = ["law", "shard", "slot"]
+    (number,) = fresh(docs, "__row")
+    held = cut(docs.drop(*law).withColumn(number, F.monotonically_increasing_id()), "rows")
+    placed = _assigned(cut(_columns(held, F.col(number)), "sizes"), shards, rounds)
+    return held.join(placed.select(F.col("row").alias(number), *law), number).drop(number)
+
+
+def _assigned(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """_columns() rows, written -> those of assign(), and row."""
     total = rows.count()
     links = rows.groupBy("node", F.col("link").alias("hub")).agg(F.count("*").alias("rows"))
     label = propagate(links, total, shards, rounds)
@@ -134,6 +170,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     number = F.col("rank") - _by_shard(quota, F.col("shard"), "long") + _by_shard(over, F.col("shard"), "long")
     to, slot = (reduce(lambda done, u, k=k: F.when((number >= u[1]) & (number < u[2]), F.lit(u[0]) if k == 0 else number - u[1] + u[3]).otherwise(done), under, F.lit(None)) for k in (0, 1))
     return ranked.select(
+        "row",
         "doc_id",
         "size",
         "text_crc32",

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantables.llm.common import Cut, cut, only_ids
+from plantables.llm.common import Cut, cut, fresh, only_ids
 from plantables.llm.components import components
 
 #: Generator polynomial of the binary Golay code, and the cut of a fingerprint (shift, bits).
@@ -52,14 +52,15 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """documents -> (doc_id, fp): one row for each row; other columns aren't read."""
+    """documents -> (doc_id, which, fp): one row for each row; which is xxhash64 of the text; other columns aren't read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).view(pa.binary()) if b.column(1).type == pa.string() else b.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py(), width) for x in texts], pa.int64())], ["doc_id", "fp"])
+            texts = b.column(2).view(pa.binary()) if b.column(2).type == pa.string() else b.column(2).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(x.as_py(), width) for x in texts], pa.int64())], ["doc_id", "which", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("which"), text.alias("text")).mapInArrow(scan, "doc_id long, which long, fp long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -140,46 +141,58 @@ def links(fps: DataFrame, full: int = FULL_BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """documents(doc_id, text, ...) -> (doc_id, fp, component_id), one row for each row.
+    """documents(doc_id, text, ...) -> (doc_id, which, fp, head, component_id), one row for each row.
 
     Fingerprints are grouped first, so a thousand copies are one fingerprint
     in the search. component_id is the smallest doc_id reachable over links of
-    2 or fewer differing bits. Null and wordless texts have fingerprint 0 and
+    2 or fewer differing bits, head the smallest (doc_id, which) of rows with
+    an id. Null and wordless texts have fingerprint 0 and
     link like others; repeated rows share a component; a null doc_id takes
     its component's smallest id, null if there is none. An empty table gives
     none. Columns besides doc_id and text are left out.
     """
     marked = cut(fingerprints(docs, width), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = cut(heads(marked), "classes")
     return spread_labels(marked, classes, components(links(classes.select("fp"))))
 
 
+def heads(marked: DataFrame) -> DataFrame:
+    """(doc_id, which, fp) -> (fp, least): the smallest (doc_id, which) of a fingerprint's rows that have an id."""
+    return marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "which"))).alias("least"))
+
+
 def spread_labels(marked: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
-    """(doc_id, fp, ...), (fp, least) and components (node, label) of fp -> (doc_id, fp, component_id)."""
+    """(doc_id, which, fp), (fp, least) and components (node, label) of fp -> (doc_id, which, fp, head, component_id)."""
     joined = classes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    least = joined.groupBy("label").agg(F.min("least").alias("head"))
+    of = joined.select("fp", "label").join(least, "label").select("fp", "head")
+    return marked.join(of, "fp").select("doc_id", "which", "fp", "head", F.col("head.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
-    Ids that go are fewer than those that stay, so documents are told by them.
-    Rows that repeat a kept id are cut to one; only those are moved for it.
-    Rows without an id stay, as none of them can be named.
+    Rows are told by id and hash of the text, so that of two unlike texts
+    under one id none is lost; of like ones the smaller hash stays. Rows that
+    go are fewer than those that stay, so documents are told by them. Rows
+    that repeat a kept id and text are cut to one; only those are moved for
+    it. Rows without an id stay, as none of them can be named. Columns are
+    those given, whatever their names.
     """
     return keep_least(docs, near_duplicates(docs, width))
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """keep_one by components (doc_id, component_id) found already."""
-    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
-    ids = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(stays, F.count("*").alias("rows")).filter("not stays or rows > 1"), "copies")
-    once = only_ids(docs, ids.select("doc_id"), "doc_id", keep=False)
-    again = ids.filter("stays").select("doc_id")
+    """keep_one by components (doc_id, which, head) found already."""
+    key = fresh(docs, "__id", "__which")
+    found = found.filter("doc_id is not null").select(F.col("doc_id").alias(key[0]), F.col("which").alias(key[1]), (F.struct("doc_id", "which") == F.col("head")).alias("stays"))
+    ids = cut(found.groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1"), "copies")
+    named = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.xxhash64(F.col("text").cast("string"))})
+    once = only_ids(named, ids.select(*key), key, keep=False).drop(*key)
+    again = ids.filter("stays").select(*key)
     if again.isEmpty():
         return once
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = only_ids(docs, again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__row"))
-    return once.unionByName(one.select("doc_id", "__row.*"))
+    (row,) = fresh(docs, "__row")
+    all_of = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = only_ids(named, again, key).groupBy(*key).agg(F.min_by(all_of, F.xxhash64(all_of)).alias(row))
+    return once.unionByName(one.select(f"{row}.*"))

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from plantables.llm import sharding
 
 
@@ -28,7 +30,31 @@ def test_counts_slots_and_groups(spark):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(by[r.doc_id]) + 1, zlib.crc32(by[r.doc_id].encode()), "rows", None)
         if by[r.doc_id].startswith("group"):
             groups[by[r.doc_id]].add(r.shard)
-    assert sum(len(x) == 1 for x in groups.values()) >= 28  # of 40; by hash, none would be whole
+    assert all(len(x) == 1 for x in groups.values())  # all fit
+
+
+def test_equal_texts_stay_together(spark):
+    """All groups of the given documents fit whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.assign(docs).collect()
+    check(got, 16)
+    groups = defaultdict(set)
+    for r in got:
+        groups[(r.text_crc32, r.size)].add(r.shard)
+    assert max(len(x) for x in groups.values()) == 1
+
+
+def test_all_columns_with_each_rows_own_shard(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED_ROWS", 7)
+    long = "w " * 300_000
+    rows = [(1, "x", "a", 5), (1, "x", "b", 5), (1, "x", "b", 5), (None, None, "c", 6), (2, "", None, 7), (3, long, "d", 8)] + [(10 + i, "hot", "e", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int").withColumn("row", F.lit(1)).withColumn("node", F.lit("n"))
+    out = sharding.sharded(docs, 4)
+    assert out.columns == ["doc_id", "text", "source", "row", "node", "law", "shard", "slot"]
+    got = out.collect()
+    check(got, 4)
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(x[:3] for x in rows)
+    assert sharding.sharded(docs.limit(0), 4).count() == 0
 
 
 def test_odd_rows(spark):

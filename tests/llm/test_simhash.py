@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from plantables.llm import simhash
 
@@ -79,3 +80,12 @@ def test_near_duplicates_and_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [3, 7, 8]
     assert kept.count() == 4
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    rows = [(1, "one text of its own here"), (1, "quite another matter than that"), (1, "one text of its own here"), (2, "One text of its own here"), (3, "quite another matter than that")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("which", F.lit("clash")).withColumn("head", F.lit(1))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text.lower()) for r in kept.collect()) == sorted(rows[:2])
