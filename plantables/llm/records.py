@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -30,8 +31,8 @@ END_ID = 2
 KEPT_CHUNKS = 700_000
 #: Texts encoded together.
 GROUP = 1024
-#: Bytes of text for each range of documents, and so for each file.
-FILE_BYTES = 64 << 20
+#: Bytes of text for each range of documents, and so for each file; and ranges at most.
+FILE_BYTES, MOST_RANGES = 32 << 20, 1 << 16
 
 INDEX = "file_no int, file string, record long, offset long, n_bytes long, doc_id long, n_tokens long"
 
@@ -66,13 +67,15 @@ class Encoder:
     a non-space. Chunks not met before go to the library together, as one
     text; each starts with a space (or a line's end), and only there does an
     id stand whose bytes begin with one. A chunk's space isn't part of its key.
+    A text that holds the string of an added token goes to the library whole,
+    as that string may be one id, whatever stands around it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -123,6 +126,13 @@ class Encoder:
                 self.marks[marks] = self._pack(marks)
             self.kept[c] = self.kept[stem] + self.marks[marks]
 
+    def _holds_added(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            # white space in a token could stand between two chunks
+            found |= any(map(str.isspace, token)) or pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return found
+
     def _known(self, chunk: str) -> bytes | bool | None:
         """From the kept ones, or from those kept before them."""
         if chunk not in self.kept and chunk in self.older:
@@ -140,6 +150,10 @@ class Encoder:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not len(texts):
             return []
+        whole = self._holds_added(texts)
+        if whole.any():
+            rest = iter(self.encode(texts.filter(pa.array(~whole))))
+            return [self._pack(t.as_py()) if w else next(rest) for t, w in zip(texts, whole, strict=True)]
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
@@ -203,7 +217,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     is empty (the end id alone). Rows are ordered by doc_id, nulls first, then
     text; rows that repeat are written as often. An empty table writes no
     file. A task that is run again writes files of new names, and only those
-    of the run that counted are in the index.
+    of the run that counted are in the index. A text of any length is one
+    record. Other columns aren't read.
+
+    Each range of ids holds about FILE_BYTES of text, by sums over many short
+    ranges, and becomes a file; rows of one id stay together.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
@@ -211,7 +229,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, no, out, at, record = _encoder(tokenizer), TaskContext.get().partitionId(), None, 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
-        name = f"ids-{no:06d}-{uuid.uuid4().hex}.rec"
+        name = f"ids-{no:06d}-{uuid.uuid4().hex}.rec"  # one partition, one range, one file
         store, base = fs.FileSystem.from_uri(folder)
         for b in batches:
             if not b.num_rows:
@@ -235,13 +253,42 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         if out is not None:
             out.close()
 
-    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    ranges = max(1, spark.sparkContext.defaultParallelism, int(total // FILE_BYTES))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    index = text.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(put, INDEX)
+    edges = _edges(text)
+    index = text.repartitionById(len(edges) + 1, _number(edges)(F.col("doc_id"))).sortWithinPartitions("doc_id", "text").mapInArrow(put, INDEX)
     return cut(index, "index").withColumn("folder", F.lit(folder))
 
 
+def _number(edges: np.ndarray):
+    """doc_id -> how many edges are below it; 0 for null."""
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(edges, ids.fillna(0).astype(np.int64))).astype(np.int32))
+
+    return number
+
+
+def _edges(text: DataFrame) -> np.ndarray:
+    """Ids at which ranges end, so that each has about FILE_BYTES, or its share of a smaller table.
+
+    Sums go by up to MOST_RANGES short ranges of about as many rows each.
+    """
+    rows = text.count()
+    if not rows:
+        return np.zeros(0, np.int64)
+    short = min(MOST_RANGES, max(256, rows // 64))
+    found = text.agg(F.percentile_approx("doc_id", [k / short for k in range(1, short)], 4 * short)).first()[0] or []
+    fine = np.unique(np.array(found, np.int64))
+    held = text.groupBy(_number(fine)("doc_id").alias("k")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()
+    sums = np.zeros(len(fine) + 1)
+    for r in held:
+        sums[r.k] = r.n
+    ranges = max(text.sparkSession.sparkContext.defaultParallelism, int(sums.sum() // FILE_BYTES))
+    at = np.minimum((np.cumsum(sums) - sums / 2) * ranges / max(1, sums.sum()), ranges - 1).astype(np.int64)
+    return fine[np.flatnonzero(np.diff(at))]
+
+
 def read(index: DataFrame, itemsize: int) -> DataFrame:
     """Records that an index lists -> (file_no, record, doc_id, n_tokens, ids_crc32), read from the files and checked.
 
