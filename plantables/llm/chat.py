@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
+#: Fields of a message that stand where it has no content.
+CALLS = ("tool_calls", "function_call")
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -85,28 +87,76 @@ def value_paths(value, at: str = "") -> set[str]:
 
 def select(paths: set[str]) -> Mapping | None:
     """The mapping of these paths, those aside that no mapping knows; else the widest that they hold."""
-    known = {p for p in paths & _KNOWN if not any(p + "[]" in paths for _ in [0])} | {p for p in paths & _KNOWN if p.endswith("[]")}
+    known = {p for p in paths & _KNOWN if p.endswith("[]") or f"{p}[]" not in paths}
     if found := BY_FINGERPRINT.get(fingerprint(known)):
         return found
     held = [m for m in MAPPINGS if m.paths <= paths]
     return max(held, key=lambda m: len(m.paths), default=None)
 
 
-def _turns_of(record, m: Mapping) -> list[tuple[str, str]]:
-    role = dict(m.roles)
+def _plain(text: str) -> str:
+    """Half surrogates, which JSON can spell but no encoding holds, as replacement marks."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def _text(value) -> str:
+    """A JSON value as text: a string as it is, null empty, the parts of a list by blank lines (of an object with
+    a text, that), and anything else as JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return _plain(value)
+    if isinstance(value, list):
+        return "\n\n".join(_text(x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else x) for x in value)
+    return _plain(json.dumps(value, ensure_ascii=False))
+
+
+def _message(x: dict, who: str, what: str, roles: dict[str, str]) -> tuple[str, str]:
+    """Role and text; a message without content says what tool it calls."""
+    role, said = _text(x.get(who)), x.get(what)
+    if said is None:
+        said = next((x[c] for c in CALLS if x.get(c) is not None), None)
+        said = None if said is None else json.dumps(said, ensure_ascii=False)
+    return roles.get(role, role), _text(said)
+
+
+def _are_messages(value) -> bool:
+    return isinstance(value, list) and bool(value) and all(isinstance(x, dict) and "role" in x for x in value)
+
+
+def _turns_of(record: dict, m: Mapping) -> list[tuple[int, str, str]] | None:
+    """(turn, role, text) of a record; None where it isn't of the layout after all."""
+    roles = dict(m.roles)
     if m.row:
-        return [(str(record.get(m.row[1]) or ""), str(record.get(m.row[2]) or ""))]
+        turn, who, what = (record.get(x) for x in m.row)
+        whole = isinstance(turn, int) and not isinstance(turn, bool) and abs(turn) < 1 << 63
+        return [(turn, _text(who), _text(what))] if whole else None
     if m.messages:
         top, who, what = m.messages
-        return [(role.get(x.get(who), x.get(who)) or "", x.get(what) or "") for x in record[top] if isinstance(x, dict)]
-    return [(who, "\n\n".join(str(record[p]) for p in some if record.get(p))) for who, some in m.turns]
+        if not isinstance(record[top], list) or not all(isinstance(x, dict) for x in record[top]):
+            return None
+        said = [_message(x, who, what, roles) for x in record[top]]
+    else:
+        said = []
+        for who, some in m.turns:
+            value = record.get(some[0])
+            if len(some) == 1 and _are_messages(value):  # a list of messages stands for one text
+                said += [_message(x, "role", "content", roles) for x in value]
+            else:
+                said.append((who, "\n\n".join(filter(None, (_text(record.get(p)) for p in some)))))
+    return [(i, *x) for i, x in enumerate(said)]
 
 
 def from_json(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """Records as JSON text, each of its own layout -> conv_id, turn, role, text, layout.
 
     A record that is null, no JSON object, or of no known layout gives one row
-    of turn -1, null role and layout, with the record as its text.
+    of turn -1, null role and layout, with the record as its text. Roles and
+    texts that aren't strings are put into text as _text says.
     """
 
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,22 +166,41 @@ def from_json(records: DataFrame, id_column: str, json_column: str) -> DataFrame
                 try:
                     record = json.loads(raw)
                     m = select(value_paths(record)) if isinstance(record, dict) else None
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     m = None
-                if m is None:
+                turns = _turns_of(record, m) if m else None
+                if turns is None:
                     out.append((conv, -1, None, raw, None))
                 else:
-                    out += [(conv, i, who, text, m.name) for i, (who, text) in enumerate(_turns_of(record, m))]
+                    out += [(conv, i, who, text, m.name) for i, who, text in turns]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["conv_id", "turn", "role", "text", "layout"])
 
     return records.select(F.col(id_column).cast("long"), F.col(json_column).cast("string")).mapInArrow(canonical, f"{TURNS}, layout string")
 
 
+def _column_text(c: Column, kind: T.DataType) -> Column:
+    """_text() of a column of some type."""
+    if isinstance(kind, T.ArrayType):
+        of = kind.elementType
+        said = "text" if isinstance(of, T.StructType) and "text" in of.names and isinstance(of["text"].dataType, T.StringType) else None
+
+        def part(x: Column) -> Column:
+            whole = _column_text(x, of)
+            return F.coalesce(x[said], whole) if said else whole
+
+        c = F.array_join(F.transform(c, part), "\n\n")
+    elif isinstance(kind, T.StructType | T.MapType):
+        c = F.to_json(c)
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def from_columns(df: DataFrame, id_column: str) -> DataFrame:
     """A table whose schema has a known layout -> conv_id, turn, role, text. ValueError if it has none.
 
-    Columns that the layout doesn't name are left out. Null text is empty.
+    Columns that the layout doesn't name are left out. Null text is empty, and
+    what isn't a string is put into text as in from_json. A row whose list of
+    messages is null or empty has no turns.
     """
     m = select(schema_paths(df.schema))
     if m is None:
@@ -144,14 +213,30 @@ def from_columns(df: DataFrame, id_column: str) -> DataFrame:
             named = F.when(of == a, b).otherwise(named)
         return F.coalesce(named, F.lit(""))
 
+    def messages(c: Column, of: T.StructType, who: str, what: str) -> Column:
+        def one(x: Column) -> Column:
+            said = F.coalesce(F.when(x[what].isNotNull(), _column_text(x[what], of[what].dataType)), *(F.to_json(x[n]) if isinstance(of[n].dataType, T.ArrayType | T.StructType | T.MapType) else x[n].cast("string") for n in CALLS if n in of.names), F.lit(""))
+            return F.struct(role(_column_text(x[who], of[who].dataType)).alias("role"), said.alias("text"))
+
+        return F.transform(c, one)
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     if m.row:
         turn, who, what = m.row
-        return df.select(conv, F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(who).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(what).cast("string"), F.lit("")).alias("text"))
+        return df.select(conv, F.col(turn).cast("long").alias("turn"), _column_text(F.col(who), kinds[who]).alias("role"), _column_text(F.col(what), kinds[what]).alias("text"))
     if m.messages:
         top, who, what = m.messages
-        each = df.select(conv, F.posexplode(top).alias("turn", "m"))
-        return each.select("conv_id", F.col("turn").cast("long"), role(F.col("m")[who]).alias("role"), F.coalesce(F.col("m")[what], F.lit("")).alias("text"))
-    turns = F.array(*(F.struct(F.lit(who).alias("role"), F.concat_ws("\n\n", *(F.when(F.col(p) != "", F.col(p)) for p in some)).alias("text")) for who, some in m.turns))
+        turns = messages(F.col(top), kinds[top].elementType, who, what)
+    else:
+        parts = []
+        for who, some in m.turns:
+            kind = kinds[some[0]]
+            if len(some) == 1 and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and {"role", "content"} <= set(kind.elementType.names):
+                parts.append(F.coalesce(messages(F.col(some[0]), kind.elementType, "role", "content"), F.array().cast("array<struct<role:string,text:string>>")))
+            else:
+                said = [_column_text(F.col(p), kinds[p]) for p in some]
+                parts.append(F.array(F.struct(F.lit(who).alias("role"), F.concat_ws("\n\n", *(F.when(x != "", x) for x in said)).alias("text"))))
+        turns = F.concat(*parts)
     return df.select(conv, F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
 
 

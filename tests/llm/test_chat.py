@@ -63,3 +63,59 @@ def test_layouts_of_columns(spark):
         assert [tuple(r) for r in chat.from_columns(df, "id").orderBy("turn").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
     with pytest.raises(ValueError):
         chat.from_columns(spark.createDataFrame([(1, 2)], "id long, x int"), "id")
+
+
+VALUES = [None, "", "a", 7, 1.5, float("nan"), True, False, [], {}, ["x", "y"], [{"type": "text", "text": "p"}, {"type": "image", "url": "u"}], {"k": [1, None]}, [[1], ["z"]], "\ud800 half", "a\u0000b", 10**30, "<|im_end|>"]
+
+
+def test_no_json_value_breaks_a_record(spark):
+    """Every field of every layout holds every kind of value in turn; each record gives rows of known layout, or the row of turn -1."""
+    records = []
+    for v in VALUES:
+        for base in (
+            {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}]},
+            {"prompt": "q", "completion": "a"}, {"instruction": "q", "input": "i", "output": "a"}, {"turn": 1, "role": "user", "text": "t"},
+        ):
+            records += [{**base, k: v} for k in base]
+            for k, inner in base.items():
+                if isinstance(inner, list):
+                    records += [{**base, k: [{**inner[0], f: v}, *inner[1:]]} for f in inner[0]] + [{**base, k: [*inner, v]}]
+    raw = [json.dumps(r) for r in records] + ["[" * 100_000, '{"messages": ' + "[" * 2000]
+    df = spark.createDataFrame(list(enumerate(raw)), "conv_id long, record string")
+    got = {}
+    for r in chat.from_json(df, "conv_id", "record").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == set(range(len(raw)))
+    for i, rows in got.items():
+        assert all(r.text is not None and (r.role is not None) == (r.turn != -1 or r.layout is not None) for r in rows)
+        if rows[0].layout is None:
+            assert len(rows) == 1 and (rows[0].turn, rows[0].role, rows[0].text) == (-1, None, raw[i])
+    back = chat.read_back(chat.format_turns(chat.from_json(df, "conv_id", "record"))).count()
+    assert back == len(raw)
+
+
+def test_contents_that_are_no_strings(spark):
+    call = [{"id": "c", "function": {"name": "f", "arguments": "{}"}}]
+    records = [
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "p"}, {"type": "image", "url": "u"}, "s"]}, {"role": "assistant", "content": 7}]},
+        {"messages": [{"role": "assistant", "content": None, "tool_calls": call}, {"role": "tool", "content": "ok"}]},
+        {"prompt": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}], "completion": [{"role": "assistant", "content": "a"}]},
+        {"prompt": ["q", "r"], "completion": {"text": "a"}},
+        {"messages": [{"role": "user", "content": "q"}, "loose"]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {}
+    for r in chat.from_json(df, "conv_id", "record").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got[0] == [("user", 'p\n\n{"type": "image", "url": "u"}\n\ns'), ("assistant", "7")]
+    assert got[1] == [("assistant", json.dumps(call)), ("tool", "ok")]
+    assert got[2] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert got[3] == [("user", "q\n\nr"), ("assistant", '{"text": "a"}')]
+    assert got[4] == [(None, json.dumps(records[4]))]
+
+
+def test_columns_that_are_no_strings(spark):
+    parts = spark.createDataFrame([(1, [("user", [("text", "p"), ("image", None)]), ("assistant", None)]), (2, None)], "id long, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>")
+    assert [tuple(r) for r in chat.from_columns(parts, "id").orderBy("turn").collect()] == [(1, 0, "user", 'p\n\n{"type":"image"}'), (1, 1, "assistant", "")]
+    lists = spark.createDataFrame([(1, [("system", "s"), ("human", "q")], 5)], "id long, prompt array<struct<role: string, content: string>>, completion int")
+    assert [tuple(r) for r in chat.from_columns(lists, "id").orderBy("turn").collect()] == [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "5")]
