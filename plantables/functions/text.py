@@ -66,12 +66,18 @@ def course_codes(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(CODE), F.lit(1)), F.array().cast("array<string>"))
 
 
+def _code_or_null(c: Column) -> Column:
+    """Eight digits, or a wildcard (digits and x, 6 to 12 of them) made 8 long from the digits before its first x; white space aside."""
+    bare = F.translate(F.lower(F.regexp_replace(c, r"(?U)\s+", "")), THAI_DIGITS, "0123456789")
+    wild = F.when(F.length(bare) == 8, bare).otherwise(F.rpad(F.substring(F.regexp_extract(bare, "^[0-9]*", 0), 1, 8), 8, "x"))
+    return F.when(bare.rlike("^[0-9]{8}$"), bare).when(bare.rlike("^x{6,12}$"), F.lit("x" * 8)).when(bare.rlike("^(?=.*x)[0-9x]{6,12}$"), wild)
+
+
 def split_code_alternatives(c: Column) -> Column:
-    """codes parted by "or", line ends, commas, slashes or spaces; wildcards made up to 8 characters with x."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(c), r"\bor\b", " "), r"[\s,/]+"), lambda x: x != "")
-    return F.filter(
-        F.transform(parts, lambda x: F.when(x.rlike("^[0-9]{8}$"), x).when(x.rlike("^[0-9]+x+$"), F.substring(F.rpad(x, 8, "x"), 1, 8))), lambda x: x.isNotNull()
-    )
+    """codes parted by "or" (English or Thai), line ends, commas or slashes; a part that is no code itself, by its spaces. Others are left out."""
+    parts = F.split(F.coalesce(c, F.lit("")), r"(?i)\bor\b|หรือ|[\n,/]")
+    each = F.transform(parts, lambda p: F.when(_code_or_null(p).isNotNull(), F.array(_code_or_null(p))).otherwise(F.filter(F.transform(F.split(p, r"(?U)\s+"), _code_or_null), lambda x: x.isNotNull())))
+    return F.flatten(each)
 
 
 def placeholder_code(c: Column) -> Column:
@@ -216,7 +222,7 @@ def clean_name_primary(c: Column, noise: list[str]) -> Column:
     return F.coalesce(F.nullif(out, F.lit("")), c)
 
 
-def split_by_script(c: Column, n: int) -> Column:
+def split_by_script(c: Column, n: int | Column) -> Column:
     """the lines of a cell in n pieces, a new one at each line after the first that begins in the primary script; null if they aren't n."""
     lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
     joined = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit("\n"), x)))

@@ -39,9 +39,8 @@ def credit_mismatch(plan: DataFrame, course: DataFrame) -> DataFrame:
 
 
 def prerequisite_order(plan: DataFrame, edges: DataFrame) -> DataFrame:
-    """A required course first placed no earlier than the course, in one scope."""
-    at = F.col("year") * 10 + F.col("semester")
-    placed = plan.groupBy(*SCOPE, "code").agg(F.min(at).alias("at"))
+    """Pairs of placements in one scope where the required course isn't earlier than the course; each pair of terms once."""
+    placed = plan.select(*SCOPE, "code", (F.col("year") * 10 + F.col("semester")).alias("at")).distinct()
     pre = edges.filter("kind = 'pre' and code <> requires").select("code", "requires").distinct()
     needs = placed.withColumnsRenamed({"code": "requires", "at": "requires_at"})
     return placed.join(pre, "code").join(needs, [*SCOPE, "requires"]).filter("requires_at >= at").select(*SCOPE, "code", "requires", "at", "requires_at")

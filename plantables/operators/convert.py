@@ -14,6 +14,10 @@ from plantables.operators.evaluate import align_multipass, field_stats
 from plantables.operators.pages import assign_section
 
 
+#: Characters of a name's piece by which names are joined.
+GRAM = 3
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How alike two texts are: twice the matched characters by all characters."""
@@ -90,15 +94,27 @@ def catalog_fallback(listed: DataFrame, known: DataFrame, planned: DataFrame) ->
     return listed.join(planned.select("doc_id").distinct(), "doc_id", "left_anti").join(known.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
 
 
-def code_by_name(rows: DataFrame, named: DataFrame, alike: float = 0.9, lead: int = 3) -> DataFrame:
+def code_by_name(rows: DataFrame, named: DataFrame, alike: float = 0.9) -> DataFrame:
     """Rows with a wildcard code get the code of the most similar name of their document, if alike enough; ties by code.
 
-    Names are compared within blocks of equal first characters.
+    A ratio of r leaves at most (1 - r) of both texts' characters unmatched, u
+    of them. Cut into u + 1 pieces, a name has one piece that stands whole in
+    the other: pieces' first characters are joined with all places of the
+    other name, which loses no pair. Length and edit distance, which u also
+    bounds, then leave few pairs whose ratio is computed.
     """
-    asked = rows.filter(F.col("code").startswith("PLACEHOLDER_")).select("doc_id", "name").distinct().withColumn("__lead", F.substring("name", 1, lead))
-    real = named.filter(F.col("code").rlike("^[0-9]{8}$")).select("doc_id", F.col("name").alias("__name"), F.col("code").alias("__code")).distinct().withColumn("__lead", F.substring("__name", 1, lead))
-    near = asked.join(real, ["doc_id", "__lead"]).filter(F.abs(F.length("name") - F.length("__name")) <= F.ceil(F.length("name") * (1 - alike) * 2))
-    scored = near.withColumn("__r", ratio("name", "__name")).filter(F.col("__r") >= alike)
+    # the other name is at most (2 - r) / r times as long, and u is (1 - r) of both lengths
+    spare = F.floor(F.length("name") * (2 * (1 - alike) / alike)).cast("int")
+    asked = rows.filter(F.col("code").startswith("PLACEHOLDER_") & (F.col("name") != "")).select("doc_id", "name").distinct().withColumn("__u", spare)
+    size = F.greatest(F.lit(1), F.floor(F.length("name") / (F.col("__u") + 1)).cast("int"))
+    cuts = F.transform(F.sequence(F.lit(0), F.col("__u")), lambda k: F.substr("name", (k * size + 1).cast("int"), F.least(size, F.lit(GRAM))))
+    keyed = asked.withColumn("__key", F.explode(F.array_distinct(F.filter(cuts, lambda x: x != ""))))
+    real = named.filter(F.col("code").rlike("^[0-9]{8}$") & (F.col("name") != "")).select("doc_id", F.col("name").alias("__name"), F.col("code").alias("__code")).distinct()
+    at = F.sequence(F.lit(1), F.length("__name"))
+    spread = real.withColumn("__key", F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("__name", i, n)))))))
+    lengths = F.length("name") + F.length("__name")
+    near = keyed.join(spread, ["doc_id", "__key"]).filter(F.abs(F.length("name") - F.length("__name")) <= lengths * (1 - alike)).select("doc_id", "name", "__name", "__code").distinct()
+    scored = near.filter(F.levenshtein("name", "__name") <= lengths * (1 - alike)).withColumn("__r", ratio("name", "__name")).filter(F.col("__r") >= alike)
     best = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy(F.desc("__r"), "__code"))
     top = scored.withColumn("__n", best).filter("__n = 1").select("doc_id", "name", "__code")
     joined = rows.join(top, ["doc_id", "name"], "left")

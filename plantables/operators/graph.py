@@ -35,8 +35,8 @@ def closure(edges: DataFrame, seeds: DataFrame, kind: str = "pre", back: bool =
 
 
 def earlier_year(plan: DataFrame, edges: DataFrame) -> DataFrame:
-    """Courses of a scope that require one of an earlier year."""
-    years = plan.groupBy(*SCOPE, "code").agg(F.min("year").alias("year"))
+    """Courses of a scope that require one of an earlier year, for each pair of years in which they stand."""
+    years = plan.select(*SCOPE, "code", "year").distinct()
     needs = years.withColumnsRenamed({"code": "requires", "year": "requires_year"})
     return years.join(edges.select("code", "requires").distinct(), "code").join(needs, [*SCOPE, "requires"]).filter("requires_year < year").select(*SCOPE, "code", "year", "requires", "requires_year")
 

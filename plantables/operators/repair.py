@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from plantables.functions.text import CODE, is_subsequence
 
 
+def _bare(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"\s+", ""))
+
+
 def _filled(c: str) -> Column:
     return F.when(F.col(c).cast("string") != "", F.col(c))
 
@@ -38,17 +42,24 @@ def suffix_wildcards(rows: DataFrame, by: list[str], fingerprint: list[str]) ->
 
 
 def recover_codes(rows: DataFrame, known: DataFrame, least: int = 10) -> DataFrame:
-    """A broken code becomes that of the one known name it equals without spaces, if its digits stand in that code in order.
+    """A missing code, or one of digits but not eight, becomes that of the one known name that the row's name equals
+    or ends with, white space aside, if the digits read stand in that code in order. Wildcards and letters are left.
 
-    known(name, code). Names shorter than `least` aren't used.
+    known(name, code). Names shorter than `least` aren't used. recovered tells
+    the changed rows, note what was done, or that several codes fit. Names are
+    spread to their endings, so that this is a join on equal text.
     """
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    names = known.select(bare(F.col("name")).alias("__bare"), F.col("code").alias("__code")).filter(F.length("__bare") >= least).groupBy("__bare").agg(F.count_distinct("__code").alias("__n"), F.min("__code").alias("__code")).filter("__n = 1").drop("__n")
-    joined = rows.withColumn("__bare", bare(F.col("name"))).join(names, "__bare", "left")
-    broken = ~F.coalesce(F.col("code").rlike("^[0-9]{8}$"), F.lit(False))
-    digits = F.regexp_replace(F.coalesce("code", F.lit("")), "[^0-9]", "")
-    fits = F.col("__code").isNotNull() & ((digits == "") | is_subsequence(digits, F.col("__code")))
-    return joined.withColumn("recovered", broken & fits).withColumn("code", F.when(F.col("recovered"), F.col("__code")).otherwise(F.col("code"))).drop("__bare", "__code")
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    read = bare(F.col("code"))
+    asked = rows.filter(read.rlike("^[0-9]*$") & (F.length(read) != 8)).select(read.alias("__read"), bare(F.col("name")).alias("__bare")).filter(F.length("__bare") >= least).distinct()
+    ends = asked.withColumn("__end", F.explode(F.transform(F.sequence(F.lit(least), F.length("__bare")), lambda n: F.right(F.col("__bare"), n))))
+    names = known.filter(F.col("code").rlike("^[0-9]{8}$")).select(bare(F.col("name")).alias("__end"), F.col("code").alias("__code")).filter(F.length("__end") >= least).distinct()
+    fits = (F.col("__read") == "") | is_subsequence(F.col("__read"), F.col("__code"))
+    found = ends.join(names, "__end").filter(fits).groupBy("__read", "__bare").agg(F.count_distinct("__code").alias("__n"), F.min("__code").alias("__code"))
+    joined = rows.withColumns({"__read": read, "__bare": bare(F.col("name"))}).join(found, ["__read", "__bare"], "left")
+    one = F.coalesce(F.col("__n") == 1, F.lit(False))
+    note = F.when(one, F.concat(F.lit("code by name, was "), F.coalesce("code", F.lit("")))).when(F.col("__n") > 1, "name of several codes")
+    return joined.withColumns({"recovered": one, "note": note, "code": F.when(one, F.col("__code")).otherwise(F.col("code"))}).drop("__bare", "__read", "__code", "__n")
 
 
 def backfill(rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -67,9 +78,17 @@ def fill_from_real(rows: DataFrame, by: list[str], fields: list[str]) -> DataFra
 
 
 def vote_names(readings: DataFrame) -> DataFrame:
-    """(code, name, source) -> the most frequent name without spaces and case; the description's on a tie; then by name."""
-    own = readings.withColumn("key", F.lower(F.regexp_replace("name", r"\s+", "")))
-    counted = own.groupBy("code", "key").agg(F.count("*").alias("n"), F.max((F.col("source") == "description").cast("int")).alias("described"), F.min("name").alias("name"))
+    """(code, name, source) -> the most frequent name without spaces and case; the description's on a tie; then by name.
+
+    Empty readings don't count, nor those of a name that descriptions give to
+    other codes only: they come from a row beside.
+    """
+    own = readings.withColumn("key", _bare(F.col("name"))).filter("key <> ''")
+    described = own.filter("source = 'description'").select("key", F.col("code").alias("__of")).distinct()
+    theirs = described.groupBy("key").agg(F.lit(True).alias("__taken"))
+    mine = described.select("key", F.col("__of").alias("code"), F.lit(True).alias("__mine"))
+    heard = own.join(theirs, "key", "left").join(mine, ["key", "code"], "left").filter("__taken is null or __mine")
+    counted = heard.groupBy("code", "key").agg(F.count("*").alias("n"), F.max((F.col("source") == "description").cast("int")).alias("described"), F.min("name").alias("name"))
     best = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), F.desc("described"), "name"))
     return counted.withColumn("__r", best).filter("__r = 1").select("code", "name", "n")
 
@@ -84,12 +103,30 @@ def impute_from_neighbours(rows: DataFrame, prefix: int = 6, least: int = 3) ->
 
 
 def impute_from_series(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Missing credits of a numbered name become what all its siblings of one stem agree on."""
-    stem = F.regexp_replace(F.regexp_replace("name", r"\s+", ""), "[0-9]+$", "")
-    own = rows.withColumn("__stem", stem)
-    w = Window.partitionBy(*by, "__stem")
-    agreed = F.when(F.min("credits").over(w) == F.max("credits").over(w), F.min("credits").over(w))
-    return own.withColumn("imputed", F.col("credits").isNull() & agreed.isNotNull()).withColumn("credits", F.coalesce("credits", agreed)).drop("__stem")
+    """Missing credits of a name, by the series of its stem (the name without the number at its end).
+
+    Where all credits known of the series grow with the number by one unit
+    ("..1" is 1(0-2-1), "..2" is 2(0-4-2)), a numbered row gets its own
+    multiple; else what all of them agree on, but for a numbered row of a
+    series of unlike units. Credits are texts; a name without a stem isn't in a series.
+    """
+    bare = F.regexp_replace(F.coalesce("name", F.lit("")), r"(?U)\s+", "")
+    own = rows.withColumns({"__stem": F.regexp_replace(bare, "[0-9]+$", ""), "__no": F.regexp_extract(bare, "([0-9]{1,4})$", 1).try_cast("int")})
+    part = lambda i: F.regexp_extract("credits", r"^([0-9]+)\(([0-9]+)-([0-9]+)-([0-9]+)\)$", i).try_cast("int")
+    hours = [part(i) for i in (2, 3, 4)]
+    whole = (F.col("__no") > 0) & (part(1) == F.col("__no")) & (hours[0] % F.col("__no") == 0) & (hours[1] % F.col("__no") == 0) & (hours[2] % F.col("__no") == 0)
+    unit = F.when(F.coalesce(whole, F.lit(False)), F.struct(*((h / F.col("__no")).cast("int").alias(n) for h, n in zip(hours, "abc", strict=True))))
+    known = own.filter("credits <> '' and __stem <> ''").withColumn("__unit", unit)
+    series = known.groupBy(*by, "__stem").agg(
+        F.when(F.min("credits") == F.max("credits"), F.min("credits")).alias("__same"), (F.count("__unit") == F.count("*")).alias("__grows"), F.when(F.min("__unit") == F.max("__unit"), F.min("__unit")).alias("__unit")
+    )
+    joined = own.join(series, [*by, "__stem"], "left")
+    times = [(F.col(f"__unit.{n}") * F.col("__no")).cast("string") for n in "abc"]
+    grown = F.concat(F.col("__no").cast("string"), F.lit("("), times[0], F.lit("-"), times[1], F.lit("-"), times[2], F.lit(")"))
+    numbered = F.col("__no").isNotNull() & F.col("__grows")
+    value = F.when(numbered, F.when(F.col("__no") > 0, grown)).otherwise(F.col("__same"))
+    lacks = F.coalesce("credits", F.lit("")) == ""
+    return joined.withColumn("imputed", lacks & value.isNotNull()).withColumn("credits", F.when(lacks, F.coalesce(value, "credits")).otherwise(F.col("credits"))).drop("__stem", "__no", "__same", "__grows", "__unit")
 
 
 def null_inferred(rows: DataFrame, keep: DataFrame, key: list[str]) -> DataFrame:
@@ -109,10 +146,10 @@ def corroborated(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame
 
 
 def dissolve_mixed_groups(rows: DataFrame, by: list[str]) -> DataFrame:
-    """An alternative group with more than one category is none."""
-    w = Window.partitionBy(*by, "alt_group")
-    mixed = F.min("category").over(w) != F.max("category").over(w)
-    return rows.withColumn("alt_group", F.when(~F.coalesce(mixed, F.lit(False)), F.col("alt_group")))
+    """An alternative group with more than one category is none. Rows without a group aren't shuffled for it."""
+    mixed = rows.filter("alt_group is not null").groupBy(*by, "alt_group").agg((F.min("category") != F.max("category")).alias("__mixed")).filter("__mixed")
+    joined = rows.join(mixed, [*by, "alt_group"], "left")
+    return joined.withColumn("alt_group", F.when(F.col("__mixed").isNull(), F.col("alt_group"))).select(*rows.columns)
 
 
 def last_term_only(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -122,6 +159,35 @@ def last_term_only(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("__last", last).filter(at == F.col("__last")).drop("__last")
 
 
+def post_clean(rows: DataFrame, by: list[str], listed: DataFrame) -> DataFrame:
+    """Plan rows (by, ordinal, code, name, credits, alt_group, year, semester) with the rule that drops each, null for those that stay.
+
+    In order: a placeholder whose name is a bare code; a numbered placeholder
+    beside the one without the number, of its name and credits, in one term;
+    a real code outside groups in several terms, but for one row of its last;
+    listed(code) ones. The second looks at rows that the first leaves.
+    """
+    term = [*by, "year", "semester"]
+    held = F.col("code").startswith("PLACEHOLDER")
+    bare = held & F.col("name").rlike("^[0-9xX]{4,}$")
+    twins = rows.filter(held & ~bare).select(*term, F.col("code").alias("__stem"), F.col("name").alias("__name"), F.col("credits").alias("__credits")).distinct()
+    own = rows.withColumn("__stem", F.when(held & F.col("alt_group").isNull() & F.col("code").rlike("_[0-9]+$"), F.regexp_replace("code", "_[0-9]+$", "")))
+    met = own.filter("__stem is not null").join(twins, [*term, "__stem"]).filter(F.col("name").eqNullSafe(F.col("__name")) & F.col("credits").eqNullSafe(F.col("__credits"))).select(*by, "ordinal").distinct().withColumn("__twin", F.lit(True))
+    at = F.col("year") * 10 + F.col("semester")
+    real = rows.filter(~held & F.col("alt_group").isNull())
+    several = real.groupBy(*by, "code").agg(F.max(at).alias("__last"), F.min(at).alias("__first"), F.max_by("ordinal", F.struct(at, -F.col("ordinal"))).alias("__kept")).filter("__first < __last").select(*by, "code", "__kept")
+    marked = rows.join(met, [*by, "ordinal"], "left").join(several, [*by, "code"], "left").join(F.broadcast(listed.select("code").distinct().withColumn("__listed", F.lit(True))), "code", "left")
+    earlier = ~held & F.col("alt_group").isNull() & (F.col("__kept") != F.col("ordinal"))
+    rule = F.when(bare, "bare code").when(F.col("__twin"), "numbered copy").when(earlier, "earlier term").when(F.col("__listed"), "listed")
+    return marked.withColumn("rule", rule).select(*rows.columns, "rule")
+
+
+def used_placeholders(course: DataFrame, plan: DataFrame) -> DataFrame:
+    """Courses but for placeholders that the plan doesn't use."""
+    held = F.col("code").startswith("PLACEHOLDER")
+    return course.filter(~held).unionByName(course.filter(held).join(plan.select("code"), "code", "left_semi").select(*course.columns))
+
+
 def drop_junk(rows: DataFrame, junk: str) -> DataFrame:
     """Rows whose name is a total, or only a code with credits."""
     return rows.filter(~F.col("name").rlike(junk) & ~F.col("name").rlike(r"^[0-9]{8}(\s+[0-9]+\([^)]*\))?$"))
@@ -190,10 +256,6 @@ def category_by_prefix(courses: DataFrame, rows: DataFrame, prefix: int = 5) ->
     return joined.withColumn("category", F.coalesce("category", "__most")).drop("__most", "prefix")
 
 
-def _bare(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"\s+", ""))
-
-
 def vote_printed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows(doc_id, code, name): the spelling that the document prints most, twice or more and alone, replaces a code's others.
 

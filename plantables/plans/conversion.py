@@ -57,16 +57,16 @@ add(
 )
 add(
     "t10_drop_repeated",
-    lambda s, d: convert.drop_repeated(roles.plan_item(s, d).selectExpr("program", "id as pos", "category as code", "credits % 2 as credits", "id % 3 > 0 as inherited", "case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name"), ["program"]).select("pos"),
+    lambda s, d: convert.drop_repeated(roles.plan_item(s, d).selectExpr("cast(floor(id / 1000) as bigint) as k", "id as pos", "category as code", "credits % 2 as credits", "id % 3 > 0 as inherited", "case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name"), ["k"]).select("pos"),
     oracle(
-        ", p as (select program, id, category, credits % 2 as c, id % 3 > 0 as i, case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name from plan_item) select id as pos from (select *, lag(category) over w as pk, lag(c) over w as pc, lag(name) over w as pn from p window w as (partition by program order by id)) where not coalesce(i and category = pk and c = pc and name = pn, false)"
+        ", p as (select cast(floor(id / 1000) as bigint) as k, id, category, credits % 2 as c, id % 3 > 0 as i, case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name from plan_item) select id as pos from (select *, lag(category) over w as pk, lag(c) over w as pc, lag(name) over w as pn from p window w as (partition by k order by id)) where not coalesce(i and category = pk and c = pc and name = pn, false)"
     ),
 )
 add(
     "t11_number_series",
-    lambda s, d: convert.number_series(roles.plan_item(s, d).selectExpr("program", "category", "id as ordinal", "cast(case when id % 3 = 0 then id % 11 end as int) as number"), ["program", "category"]).select("ordinal", "number"),
+    lambda s, d: convert.number_series(roles.plan_item(s, d).selectExpr("cast(floor(id / 1000) as bigint) as k", "category", "id as ordinal", "cast(case when id % 3 = 0 then id % 11 end as int) as number"), ["k", "category"]).select("ordinal", "number"),
     oracle(
-        ", p as (select program, category, id, case when id % 3 = 0 then id % 11 end as n from plan_item) select id as ordinal, cast(coalesce(n, coalesce(max(n) over (partition by program, category), 0) + row_number() over (partition by program, category, n is not null order by id)) as int) as number from p"
+        ", p as (select cast(floor(id / 1000) as bigint) as k, category, id, case when id % 3 = 0 then id % 11 end as n from plan_item) select id as ordinal, cast(coalesce(n, coalesce(max(n) over (partition by k, category), 0) + row_number() over (partition by k, category, n is not null order by id)) as int) as number from p"
     ),
 )
 add(
@@ -77,10 +77,10 @@ add(
 add(
     "t14_code_by_name",
     lambda s, d: convert.code_by_name(
-        table(s, d, "part").filter("p_partkey % 9 = 0").selectExpr("p_partkey % 5 as doc_id", "p_partkey as id", "case when p_partkey % 2 = 0 then 'PLACEHOLDER_90000XXX' else 'own' end as code", "case when p_partkey % 4 = 2 then '#' else '' end || p_name || ' ' || p_brand || ' ' || p_partkey as name"),
-        table(s, d, "part").selectExpr("p_partkey % 5 as doc_id", "lpad('' || p_partkey, 8, '0') as code", "p_name || ' ' || p_brand || ' ' || p_partkey as name"),
+        table(s, d, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc_id", "p_partkey as id", "case when p_partkey % 2 = 0 then 'PLACEHOLDER_90000XXX' else 'own' end as code", "case p_partkey % 8 when 2 then '#' when 4 then 'xy' when 6 then 'nothing like it ' else '' end || p_name || ' ' || p_brand || ' ' || p_partkey as name"),
+        table(s, d, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc_id", "lpad('' || p_partkey, 8, '0') as code", "p_name || ' ' || p_brand || ' ' || p_partkey as name"),
     ).select("id", "code"),
-    "select p_partkey as id, case when p_partkey % 2 = 1 then 'own' when p_partkey % 4 = 2 then 'PLACEHOLDER_90000XXX' else lpad('' || p_partkey, 8, '0') end as code from part where p_partkey % 9 = 0",
+    "select p_partkey as id, case when p_partkey % 2 = 1 then 'own' when p_partkey % 8 = 6 then 'PLACEHOLDER_90000XXX' else lpad('' || p_partkey, 8, '0') end as code from part",
 )
 add(
     "d1_description_blocks",

@@ -40,8 +40,8 @@ select doc_id, section, start, coalesce((select min(page_no) from lines l where
 )
 add(
     "p5_assign_section",
-    lambda s, d: pages.assign_section(lines(s, d).filter("page_no <= 12").select("doc_id", "page_no"), lines(s, d).groupBy("doc_id").agg(F.max("page_no").alias("n")).filter("n > 3").select("doc_id", F.explode(F.expr("array(struct('a' as section, 2 as start, 4 as `end`), struct('b' as section, 4 as start, 6 as `end`))")).alias("s")).select("doc_id", "s.*")),
-    f"""with {LINES}, p as (select doc_id, page_no from lines where page_no <= 12 and doc_id in (select doc_id from lines group by doc_id having max(page_no) > 3)), s as (select * from (values ('a', 2, 4), ('b', 4, 6)) v(section, f, l))
+    lambda s, d: pages.assign_section(lines(s, d).select("doc_id", "page_no"), lines(s, d).groupBy("doc_id").agg(F.max("page_no").alias("n")).filter("n > 3").select("doc_id", F.explode(F.expr("array(struct('a' as section, 2 as start, 4 as `end`), struct('b' as section, 4 as start, 6 as `end`))")).alias("s")).select("doc_id", "s.*")),
+    f"""with {LINES}, p as (select doc_id, page_no from lines where doc_id in (select doc_id from lines group by doc_id having max(page_no) > 3)), s as (select * from (values ('a', 2, 4), ('b', 4, 6)) v(section, f, l))
 select doc_id, page_no, section from p, s where page_no between f and l or page_no not between 2 and 6""",
 )
 add(
@@ -91,10 +91,20 @@ add(
     lambda s, d: pages.table_rows(pages.explode_tables(html_pages(s, d))).filter("row_no > 0").select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.element_at("cells", -2).alias("code"), F.element_at("cells", -1).alias("credits"), F.size("cells").alias("width")),
     roles.oracle(f"select k as doc_id, n as row_no, code, '' || credits as credits, case when n = 1 then 3 else 2 end as width from ({ITEMS})"),
 )
+def rough_pages(s, d):
+    """html_pages with a span one row too long and then a row of three, spans quoted otherwise, entities, a figure, line ends, and a broken header."""
+    text = F.regexp_replace("text", r'<tr><td rowspan="([0-9]+)">', "<tr><td rowspan = '1$1'>")
+    text = F.replace(text, F.lit("<tr><th>Key</th><th>Code</th><th>Credits</th></tr>"), F.lit('<tr><th rowspan="2">Key<th>Code<td>Credits</td></th></th></tr>'))
+    text = F.replace(F.replace(text, F.lit("<br/></td>"), F.lit("<br/>&amp;&nbsp; x<figure>seen</figure></td>")), F.lit("</table>"), F.lit("<tr><td>X</td><td>Y</td><td COLSPAN=1>Z</td></tr></table>"))
+    return html_pages(s, d).withColumn("text", text)
+
+
 add(
     "t3_table_grid",
-    lambda s, d: pages.grid_rows(pages.explode_tables(html_pages(s, d))).filter("row_no > 0").select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("cells")[0].alias("key"), F.col("cells")[1].alias("code"), F.col("cells")[2].alias("credits"), F.col("inherited")[0].alias("inherited")),
-    roles.oracle(f"select k as doc_id, n as row_no, '' || k as key, code, '' || credits as credits, n > 1 as inherited from ({ITEMS})"),
+    lambda s, d: pages.grid_rows(pages.explode_tables(rough_pages(s, d))).select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("cells")[0].alias("key"), F.col("cells")[1].alias("code"), F.col("cells")[2].alias("credits"), F.col("inherited")[0].alias("inherited"), F.size("cells").alias("width")),
+    roles.oracle(
+        f"""select k as doc_id, n as row_no, '' || k as key, code || chr(10) || '& x' as code, '' || credits as credits, n > 1 as inherited, 3 as width from ({ITEMS}) union all select distinct k, 0, 'Key', 'Code', 'Credits', false, 3 from ({ITEMS}) union all select k, count(*) + 1, 'X', 'Y', 'Z', false, 3 from ({ITEMS}) group by k"""
+    ),
 )
 add(
     "t5_carry_headings",
@@ -106,15 +116,50 @@ add(
     lambda s, d: pages.table_rows(pages.explode_tables(html_pages(s, d))).filter("row_no = 0").select("doc_id", pages.locate_column(F.col("cells"), "code", 0).alias("code"), pages.locate_column(F.col("cells"), "credit", 2).alias("credits"), pages.locate_column(F.col("cells"), "name", 1).alias("name")),
     roles.oracle(f"select distinct k as doc_id, 1 as code, 2 as credits, 1 as name from ({ITEMS})"),
 )
+C1, C2, W = "lpad('' || o_orderkey % 10000000, 8, '0')", "lpad('' || (o_orderkey % 10000000 + 1), 8, '0')", "lpad('' || o_orderkey % 1000, 4, '9')"
+#: Tables of alternatives and of plain rows, one an order: a pair in a cell over two rows, a code cell that ends with "or", a row that
+#: begins with it, codes of one cell without it, one name for a pair, wildcards in one cell, credits torn over rows, and names without codes.
+SHAPES = [
+    f"'<tr><td rowspan=2>' || {C1} || '<br>or ' || {C2} || '</td><td>One</td><td>3(3-0-6)</td></tr><tr><td>Two</td><td>2 (2-0-4)</td></tr>'",
+    f"'<tr><td>' || {C1} || ' OR</td><td>One</td><td>3(3-0-6)</td></tr><tr><td>' || {C2} || '</td><td>Two</td><td></td></tr>'",
+    f"'<tr><td>' || {C1} || '</td><td>One</td><td>3(3-0-6)</td></tr><tr><td>or ' || {C2} || '</td><td>Two</td><td>1(0-3-0)</td></tr>'",
+    f"'<tr><td rowspan=\"2\">' || {C1} || '<br>' || {C2} || '</td><td>One</td><td>3(3-0-6)</td></tr><tr><td>Two</td><td></td></tr>'",
+    f"'<tr><td>' || {C1} || ' / ' || {C2} || ' or</td><td>Both</td><td>3(3-0-6)</td></tr>'",
+    f"'<tr><td rowspan=2>' || {W} || 'xxxx<br>' || {W} || 'xxxx</td><td>Choice 1</td><td>3(3-0-6)</td></tr><tr><td>Choice 2</td><td></td></tr>'",
+    f"'<tr><td rowspan=3>' || {C1} || '</td><td>One</td><td>3(3-0-6)</td></tr><tr><td>or</td><td></td></tr><tr><td></td><td>3(2-2-5)</td></tr>'",
+    f"'<tr><td></td><td></td><td>4(4-0-8)</td></tr><tr><td rowspan=2>' || {C1} || '</td><td>One</td><td></td></tr><tr><td>Lost</td><td></td></tr>'",
+]
+SHAPE = "case o_orderkey % 8 " + " ".join(f"when {i} then {x}" for i, x in enumerate(SHAPES)) + " end"
+
+
+def _grouped(s, d):
+    html = table(s, d, "orders").selectExpr("cast(floor(o_orderkey / 64) as bigint) as doc_id", "o_orderkey as page_no", f"'<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>' || {SHAPE} || '<tr><td>Total</td><td></td><td>9</td></tr></table>' as text")
+    return pages.group_rowspan_rows(pages.grid_rows(pages.explode_tables(html)))
+
+
+#: By shape the entries that it must give: group, entry, code, name, credits, and whether they are a choice.
+ENTRIES = [
+    (0, 1, 0, C1, "One", "3(3-0-6)", True), (0, 1, 1, C2, "Two", "2(2-0-4)", True), (1, 1, 0, C1, "One", "3(3-0-6)", True), (1, 1, 1, C2, "Two", "3(3-0-6)", True),
+    (2, 1, 0, C1, "One", "3(3-0-6)", True), (2, 2, 0, C2, "Two", "1(0-3-0)", True), (3, 1, 0, C1, "One", "3(3-0-6)", False), (3, 1, 1, C2, "Two", "3(3-0-6)", False),
+    (4, 1, 0, C1, "Both", "3(3-0-6)", True), (4, 1, 1, C2, "Both", "3(3-0-6)", True), (5, 1, 0, f"{W} || 'xxxx'", "Choice 1", "3(3-0-6)", False), (5, 1, 1, f"{W} || 'xxxx'", "Choice 2", "3(3-0-6)", False),
+    (6, 1, 0, C1, "One", "3(3-0-6) or 3(2-2-5)", False), (7, 1, 0, C1, "One", "4(4-0-8)", False), (7, 1, 1, "null", "Lost", "4(4-0-8)", False),
+]
+WANTED = " union all ".join(f"select o_orderkey as page_no, {g} as grp, {e} as entry, {c} as code, '{n}' as name, '{x}' as credits, {str(a).lower()} as choice from orders where o_orderkey % 8 = {i}" for i, g, e, c, n, x, a in ENTRIES)
 add(
     "t7_rowspan_groups",
-    lambda s, d: pages.group_rowspan_rows(pages.grid_rows(pages.explode_tables(html_pages(s, d)))).groupBy("doc_id", "grp").agg(F.count("*").alias("n")),
-    roles.oracle(f"select k as doc_id, 1 as grp, 1 as n from ({ITEMS}) group by k union all select k, 2, count(*) from ({ITEMS}) group by k").replace("1 as grp, 1 as n", "1::bigint as grp, 1::bigint as n"),
+    lambda s, d: pages.group_entries(_grouped(s, d)).select("page_no", F.col("grp").cast("int").alias("grp"), "entry", "code", "name", "credits"),
+    f"select page_no, grp, entry, code, name, credits from ({WANTED})",
 )
 add(
     "t8_alt_groups",
-    lambda s, d: pages.assign_alt_groups(roles.plan_item(s, d).select(F.col("program").alias("doc_id"), "id", "year", "semester", "alt_group").withColumnRenamed("alt_group", "joined"), "joined").select("id", "alt_group"),
-    roles.oracle("select id, case when alt_group is not null then year || '-' || semester || '-' || dense_rank() over (partition by program, year, semester order by alt_group nulls first) end as alt_group from plan_item"),
+    lambda s, d: pages.assign_alt_groups(pages.group_entries(_grouped(s, d)), table(s, d, "orders").selectExpr("cast(floor(o_orderkey / 64) as bigint) as doc_id", "o_orderkey as page_no", "0 as table_no", "cast(o_orderkey % 3 + 1 as int) as year", "1 as semester")).select("page_no", F.col("grp").cast("int").alias("grp"), "entry", "alt_group"),
+    f"""with w as ({WANTED}), n as (select page_no, row_number() over (partition by page_no // 64, page_no % 3 order by page_no) as n from (select distinct page_no from w where choice))
+select page_no, grp, entry, case when choice then 'alt_y' || (page_no % 3 + 1) || 's1_' || n end as alt_group from w left join n using (page_no)""",
+)
+add(
+    "t6_skipped_tables",
+    lambda s, d: pages.skipped_tables(pages.grid_rows(pages.explode_tables(table(s, d, "orders").selectExpr("o_orderkey as doc_id", "1 as page_no", f"'<table>' || case when o_orderkey % 5 > 0 then '<tr><th>Code</th><th>Name</th></tr>' else '' end || '<tr><td>' || case when o_orderkey % 7 = 0 then 'none' else {C1} end || '</td><td>n</td></tr></table>' as text"))).withColumns({"year": F.when(F.col("doc_id") % 3 > 0, 1), "semester": F.lit(1)})).select("doc_id", "reason", "codes"),
+    f"select o_orderkey as doc_id, case when o_orderkey % 5 > 0 then 'no term' else 'no header and no term' end as reason, [{C1}] as codes from orders where o_orderkey % 3 = 0 and o_orderkey % 7 > 0",
 )
 add(
     "t9_term_totals",
@@ -126,10 +171,10 @@ add(
 add(
     "t13_line_course_rows",
     lambda s, d: pages.line_course_rows(
-        roles.plan_item(s, d).selectExpr("program as doc_id", "id as line_no", "case when id % 5 = 0 then category || ' group:' else code || '  name ' || year || ' ' || credits || '(1-' || semester || '-x)' end as line")
+        roles.plan_item(s, d).selectExpr("cast(floor(id / 1000) as bigint) as doc_id", "id as line_no", "case when id % 5 = 0 then category || ' group:' else code || '  name ' || year || ' ' || credits || '(1-' || semester || '-x)' end as line")
     ),
     roles.oracle(
-        """, l as (select program as doc_id, id as line_no, category, code, year, semester, credits, last_value(case when id % 5 = 0 then category || ' group' end ignore nulls) over (partition by program order by id rows unbounded preceding) as c from plan_item)
+        """, l as (select cast(floor(id / 1000) as bigint) as doc_id, id as line_no, category, code, year, semester, credits, last_value(case when id % 5 = 0 then category || ' group' end ignore nulls) over (partition by cast(floor(id / 1000) as bigint) order by id rows unbounded preceding) as c from plan_item)
 select doc_id, line_no, c as category, code, 'name ' || year as name, credits || '(1-' || semester || '-x)' as credits from l where line_no % 5 <> 0 and regexp_full_match(code, '[0-9]{8}')"""
     ),
 )

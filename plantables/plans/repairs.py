@@ -35,16 +35,18 @@ add(
         ", f as (select *, min(id) over (partition by program, edition, track, code, year, category) as m from plan_item) select id, case when starts_with(code, 'PLACEHOLDER_') then code || '-' || dense_rank() over (partition by program, edition, track, code order by m) else code end as code from f"
     ),
 )
+#: What was read of a code: nothing, its last four digits, one digit too few, letters, a wildcard, digits of another code, or the code.
+READ_CODE = "case p_partkey % 8 when 0 then '' when 1 then right(c, 4) when 2 then left(c, 3) || substring(c, 5) when 3 then '9x' when 4 then 'PLACEHOLDER_0603XXXX' when 5 then '1' || right(c, 6) when 6 then null else c end"
 add(
     "r4_recover_codes",
     lambda s, d: repair.recover_codes(
-        roles.course(s, d).filter("code like '0%'").selectExpr("case when cast(code as int) % 4 = 0 then substring(code, 5) when cast(code as int) % 4 = 1 then '9x' else code end as code", "name_en || code as name", "code as was"),
-        roles.course(s, d).selectExpr("name_en || ' ' || code as name", "code"),
-    ).select("was", "code", "recovered"),
-    oracle("select code as was, case when cast(code as int) % 4 = 1 then '9x' else code end as code, cast(code as int) % 4 = 0 as recovered from course where code like '0%'").replace(
-        "case when cast(code as int) % 4 = 1 then '9x' else code end as code, cast(code as int) % 4 = 0 as recovered",
-        "case when cast(code as int) % 4 = 1 and not contains(code, '9') then '9x' else code end as code, cast(code as int) % 4 = 0 or (cast(code as int) % 4 = 1 and contains(code, '9')) as recovered",
-    ),
+        table(s, d, "part").selectExpr("*", "lpad('' || p_partkey, 8, '0') as c").selectExpr("p_partkey", f"{READ_CODE} as code", "case when p_partkey % 3 = 0 then 'new ' else '' end || p_name || ' ' || p_partkey as name"),
+        table(s, d, "part").filter("p_partkey % 5 > 0").selectExpr("p_name || p_partkey as name", "lpad('' || p_partkey, 8, '0') as code"),
+    ).select("p_partkey", "code", "recovered"),
+    f"""with p as (select p_partkey, lpad('' || p_partkey, 8, '0') as c, replace(case when p_partkey % 3 = 0 then 'new' else '' end || p_name || p_partkey, ' ', '') as b from part), q as (select *, {READ_CODE} as code from p),
+k as (select c as kc, b as kb from (select c, replace(p_name || p_partkey, ' ', '') as b from part join p using (p_partkey) where p_partkey % 5 > 0) where length(b) >= 10),
+m as (select p_partkey, min(kc) as one, count(distinct kc) as n from q join k on ends_with(b, kb) where coalesce(code, '') = '' or (regexp_full_match(code, '[0-9]+') and length(code) <> 8 and regexp_matches(kc, array_to_string(string_split(code, ''), '.*'))) group by p_partkey)
+select p_partkey, case when n = 1 then one else code end as code, coalesce(n = 1, false) as recovered from q left join m using (p_partkey)""",
 )
 add(
     "r5_backfill",
@@ -59,11 +61,18 @@ add(
 select id, case when c is null and o then v else c end as c from p left join r using (program, code) left join n using (program, alt_group)"""
     ),
 )
-READ = "select lpad('' || l_partkey % 500, 8, '0') as code, case when l_suppkey % 3 = 0 then 'A b' when l_suppkey % 3 = 1 then 'aB' else 'c' end as name, case when l_linenumber = 1 then 'description' else 'table' end as source from lineitem"
+#: Names read for a code: its own in two spellings, or its neighbour's, by description or table.
+READ = [
+    "lpad('' || l_partkey % 500, 8, '0') as code",
+    "case when l_linenumber = 1 or l_suppkey % 3 = 0 then 'N ' || l_partkey % 500 when l_suppkey % 3 = 1 then 'n' || (l_partkey % 500 + 1) else 'other ' || l_partkey % 2 end as name",
+    "case when l_linenumber = 1 then 'description' else 'table' end as source",
+]
 add(
     "r7_vote_names",
-    lambda s, d: repair.vote_names(table(s, d, "lineitem").selectExpr("lpad('' || l_partkey % 500, 8, '0') as code", "case when l_suppkey % 3 = 0 then 'A b' when l_suppkey % 3 = 1 then 'aB' else 'c' end as name", "case when l_linenumber = 1 then 'description' else 'table' end as source")),
-    f"with k as (select code, lower(replace(name, ' ', '')) as key, count(*) as n, max(cast(source = 'description' as int)) as d, min(name) as name from ({READ}) group by all) select code, name, n from (select *, row_number() over (partition by code order by n desc, d desc, name) as r from k) where r = 1",
+    lambda s, d: repair.vote_names(table(s, d, "lineitem").selectExpr(*READ)),
+    f"""with r as (select {', '.join(READ)} from lineitem), k as (select *, lower(replace(name, ' ', '')) as key from r), d as (select distinct code, key from k where source = 'description'),
+o as (select * from k where key not in (select key from d) or (code, key) in (select (code, key) from d)),
+c as (select code, key, count(*) as n, max(cast(source = 'description' as int)) as d, min(name) as name from o group by all) select code, name, n from (select *, row_number() over (partition by code order by n desc, d desc, name) as r from c) where r = 1""",
 )
 add(
     "r12_impute_neighbours",
@@ -74,11 +83,15 @@ n as (select *, list_filter([lag(credits, 1) over w, lag(credits, 2) over w, lea
 m as (select *, case when len(l) >= 3 and len(list_distinct(l)) = 1 then l[1] end as v from n) select code, coalesce(credits, v) as credits, credits is null and v is not null as imputed from m"""
     ),
 )
+#: Series of an order, by category: equal credits, credits that grow with the number, and both mixed.
+SERIES = "case category when 'A' then '3(3-0-6)' when 'N' then year || '(0-' || 2 * year || '-' || year || ')' else case when id % 2 = 0 then '3(3-0-6)' else year || '(0-' || 2 * year || '-' || year || ')' end end"
 add(
     "r13_impute_series",
-    lambda s, d: repair.impute_from_series(plan(s, d, f"{SPARSE} as c", "category || ' ' || year as name").selectExpr("program", "alt_group", "id", "name", "c as credits").filter("alt_group is not null"), ["program", "alt_group"]).select("id", "credits", "imputed"),
+    lambda s, d: repair.impute_from_series(plan(s, d, f"case when id % 3 > 0 then {SERIES} end as c", "category || ' ' || year as name").selectExpr("cast(floor(id / 1000) as bigint) as k", "id", "name", "c as credits"), ["k"]).select("id", "credits", "imputed"),
     oracle(
-        f", p as (select program, alt_group, id, category as stem, {SPARSE} as c from plan_item where alt_group is not null), q as (select *, case when min(c) over w = max(c) over w then min(c) over w end as v from p window w as (partition by program, alt_group, stem)) select id, coalesce(c, v) as credits, c is null and v is not null as imputed from q"
+        f""", p as (select cast(floor(id / 1000) as bigint) as k, category, id, year, case when id % 3 > 0 then {SERIES} end as c from plan_item), q as (select *, c = year || '(0-' || 2 * year || '-' || year || ')' as grows from p),
+g as (select k, category, count(c) as n, min(c) as lo, max(c) as hi, bool_and(grows) filter (c is not null) as all_grow from q group by all)
+select id, case when c is not null or n = 0 then c when all_grow then year || '(0-' || 2 * year || '-' || year || ')' when lo = hi then lo end as credits, c is null and n > 0 and (all_grow or lo = hi) as imputed from q join g using (k, category)"""
     ),
 )
 add(
@@ -87,17 +100,17 @@ add(
     oracle("select id, case when id % 5 = 0 and code not in (select code from course where credits > 6) then null else credits end as credits from plan_item"),
 )
 BY = ["program", "edition", "track", "year", "semester", "category"]
+def _printed_totals(s, d):
+    """What a term prints: its credits, one more in year 3; two totals in year 2."""
+    group = F.coalesce("alt_group", F.concat(F.lit("x"), F.col("id")))
+    made = plan(s, d).groupBy(*BY, group.alias("g")).agg(F.max("credits").alias("c")).groupBy(*BY).agg((F.sum("c") + F.when(F.col("year") == 3, 1).otherwise(0)).alias("total"))
+    return made.unionByName(plan(s, d).filter("year = 2").select(*BY).distinct().withColumn("total", F.lit(1).cast("long")))
+
+
 add(
     "r17_corroborated",
-    lambda s, d: repair.corroborated(
-        plan(s, d, "id % 5 = 0 as inferred").filter("code < '00000300'").select(*BY, "id", "alt_group", "credits", "inferred"),
-        plan(s, d).filter("code < '00000300'").groupBy(*BY).agg(F.sum("credits").alias("total")).unionByName(plan(s, d).filter("code < '00000300' and year = 2").select(*BY).distinct().withColumn("total", F.lit(1).cast("long"))),
-        BY,
-    ),
-    oracle(
-        f""", p as (select * from plan_item where code < '00000300'), t as (select {', '.join(BY)}, sum(credits) as total from p where year <> 2 group by all), m as (select {', '.join(BY)}, sum(c) as made from (select {', '.join(BY)}, coalesce(alt_group, 'x' || id) as g, max(credits) as c from p group by all) group by {', '.join(BY)})
-select {', '.join(BY)}, id from p join t using ({', '.join(BY)}) join m using ({', '.join(BY)}) where id % 5 = 0 and made = total"""
-    ),
+    lambda s, d: repair.corroborated(plan(s, d, "id % 5 = 0 as inferred").select(*BY, "id", "alt_group", "credits", "inferred"), _printed_totals(s, d), BY),
+    oracle(f"select {', '.join(BY)}, id from plan_item where id % 5 = 0 and year not in (2, 3)"),
 )
 add(
     "r24_dissolve_mixed_groups",
@@ -105,9 +118,18 @@ add(
     oracle("select id, case when min(category) over w = max(category) over w then alt_group end as alt_group from plan_item window w as (partition by program, year, semester, alt_group)"),
 )
 add(
-    "r25_last_term_only",
-    lambda s, d: repair.last_term_only(plan(s, d), ["program", "edition", "track"]).select("id", "code", "year", "semester"),
-    oracle("select id, code, year, semester from (select *, max(year * 10 + semester) over (partition by program, edition, track, code) as m from plan_item) where year * 10 + semester = m"),
+    "r25_post_clean",
+    lambda s, d: repair.post_clean(
+        plan(s, d).selectExpr("cast(floor(id / 4000) as bigint) as k", "id as ordinal", "case when id % 6 = 0 then 'PLACEHOLDER_0603XXXX_' || id % 3 when id % 6 = 1 then 'PLACEHOLDER_0603XXXX' else right(code, 7) end as code", "case when id % 5 = 0 then '0603xxxx' when id % 6 < 2 then 'Elective' else category end as name", "'3' as credits", "alt_group", "year", "semester"),
+        ["k"], s.createDataFrame([("0000013",), ("0000077",)], "code string"),
+    ).select("ordinal", "rule"),
+    oracle(
+        """, p as (select cast(floor(id / 4000) as bigint) as k, id, case when id % 6 = 0 then 'PLACEHOLDER_0603XXXX_' || id % 3 when id % 6 = 1 then 'PLACEHOLDER_0603XXXX' else right(code, 7) end as code, case when id % 5 = 0 then '0603xxxx' when id % 6 < 2 then 'Elective' else category end as name, alt_group, year, semester from plan_item),
+a as (select *, starts_with(code, 'PLACEHOLDER') as h from p), b as (select *, h and name = '0603xxxx' as bare from a),
+c as (select *, not bare and h and alt_group is null and regexp_matches(code, '_[0-9]+$') and exists (select 1 from b o where not o.bare and o.k = b.k and o.year = b.year and o.semester = b.semester and o.code = regexp_replace(b.code, '_[0-9]+$', '') and o.name = b.name) as twin from b),
+e as (select *, not h and alt_group is null as real from c), f as (select *, max(year * 10 + semester) over (partition by k, code, real) as last, min(year * 10 + semester) over (partition by k, code, real) as first, row_number() over (partition by k, code, real order by year * 10 + semester desc, id) as r from e)
+select id as ordinal, case when bare then 'bare code' when twin then 'numbered copy' when real and first <> last and r > 1 then 'earlier term' when code in ('0000013', '0000077') then 'listed' end as rule from f"""
+    ),
 )
 add(
     "r26_drop_junk",
@@ -146,13 +168,13 @@ add(
 )
 add(
     "d5_terms_by_prefix",
-    lambda s, d: repair.terms_by_prefix(roles.course(s, d), table(s, d, "lineitem").selectExpr("substring(lpad('' || l_partkey, 8, '0'), 1, cast(5 + l_orderkey % 3 as int)) || 'XXX' as code", "(l_orderkey % 4 + 1) || '/' || (l_linenumber % 3 + 1) as term").filter("cast(substring(code, 4, 3) as string) < '015'")),
+    lambda s, d: repair.terms_by_prefix(roles.course(s, d), table(s, d, "lineitem").selectExpr("substring(lpad('' || l_partkey, 8, '0'), 1, cast(5 + l_orderkey % 3 as int)) || 'XXX' as code", "(l_orderkey % 4 + 1) || '/' || (l_linenumber % 3 + 1) as term")),
     oracle(
-        """, s as (select distinct substring(lpad('' || l_partkey, 8, '0'), 1, cast(5 + l_orderkey % 3 as int)) as prefix, (l_orderkey % 4 + 1) || '/' || (l_linenumber % 3 + 1) as term from lineitem where substring(substring(lpad('' || l_partkey, 8, '0'), 1, cast(5 + l_orderkey % 3 as int)) || 'XXX', 4, 3) < '015')
+        """, s as (select distinct substring(lpad('' || l_partkey, 8, '0'), 1, cast(5 + l_orderkey % 3 as int)) as prefix, (l_orderkey % 4 + 1) || '/' || (l_linenumber % 3 + 1) as term from lineitem)
 select code, string_agg(distinct term, ', ' order by term) as terms from course join s on starts_with(code, prefix) group by code"""
     ),
 )
-add("d6_variant_only_codes", lambda s, d: repair.only_in(roles.plan_item(s, d).filter("year = 1 and category = 'R'"), "track", 0, 1), oracle("select code from plan_item where track = 0 and year = 1 and category = 'R' except select code from plan_item where track = 1 and year = 1 and category = 'R'"))
+add("d6_variant_only_codes", lambda s, d: repair.only_in(roles.plan_item(s, d).withColumn("code", F.concat_ws("-", "code", "program", "year")), "track", 0, 1), oracle("select code || '-' || program || '-' || year as code from plan_item where track = 0 except select code || '-' || program || '-' || year from plan_item where track = 1"))
 add(
     "d7_category_by_prefix",
     lambda s, d: repair.category_by_prefix(roles.course(s, d).selectExpr("code", "case when credits > 9 then 'own' end as category"), roles.plan_item(s, d), 7).select("code", "category"),
@@ -173,12 +195,12 @@ select name, case when n = 1 then code end as code, case when n is null then 'no
 add(
     "n3_citations",
     lambda s, d: cite.citations(
-        plan(s, d).filter("id % 2 = 0").selectExpr("id", "code", "year", "cast(case when id % 6 = 0 then 3 else semester end as int) as semester", "cast(case when id % 10 = 0 then cast(right(code, 5) as int) % 300 + 1 else pages[0] end as int) as page").filter("code like '0%'"),
+        plan(s, d).selectExpr("id", "code", "year", "cast(case when id % 6 = 0 then 3 else semester end as int) as semester", "cast(case when id % 10 = 0 then try_cast(right(code, 5) as int) % 300 + 1 else pages[0] end as int) as page"),
         roles.plan_item(s, d).withColumn("page", F.col("pages")[0]),
         roles.course(s, d).withColumn("page", F.col("pages")[0]),
     ),
     oracle(
-        """, e as (select id, code, year, case when id % 6 = 0 then 3 else semester end as semester, case when id % 10 = 0 then cast(right(code, 5) as int) % 300 + 1 else pages[1] end as page from plan_item where id % 2 = 0 and code like '0%')
+        """, e as (select id, code, year, case when id % 6 = 0 then 3 else semester end as semester, case when id % 10 = 0 then try_cast(right(code, 5) as int) % 300 + 1 else pages[1] end as page from plan_item)
 select id, case when exists (select 1 from plan_item p where p.code = e.code and p.year = e.year and p.semester = e.semester and p.pages[1] is not distinct from e.page) then 'plan_item' when exists (select 1 from course c where c.code = e.code and c.pages[1] = e.page) then 'course' else 'unknown' end as owner from e"""
     ),
 )
@@ -247,11 +269,11 @@ add(
 add(
     "r10_recover_missing",
     lambda s, d: repair.recover_missing(
-        table(s, d, "documents").selectExpr("source as doc_id", "doc_id as term", "text"),
-        s.createDataFrame([("a", "MIT License"), ("b", "the MIT License"), ("c", "General Public License"), ("d", "short"), ("e", "Apache License")], "code string, name string").crossJoin(table(s, d, "documents").select(F.col("source").alias("doc_id")).distinct()),
-        table(s, d, "documents").filter("doc_id % 2 = 0").selectExpr("source as doc_id", "doc_id as term", "'e' as code"),
+        table(s, d, "documents").selectExpr("doc_id", "doc_id as term", "text"),
+        s.createDataFrame([("a", "MIT License"), ("b", "the MIT License"), ("c", "General Public License"), ("d", "short"), ("e", "Apache License")], "code string, name string").crossJoin(table(s, d, "documents").select("doc_id")),
+        table(s, d, "documents").filter("doc_id % 2 = 0").selectExpr("doc_id", "doc_id as term", "'e' as code"),
     ),
-    """with n as (select * from (values ('a', 'MIT License'), ('b', 'the MIT License'), ('c', 'General Public License'), ('e', 'Apache License')) v(code, name)), m as (select source as doc_id, doc_id as term, code, name from documents, n where contains(text, name))
+    """with n as (select * from (values ('a', 'MIT License'), ('b', 'the MIT License'), ('c', 'General Public License'), ('e', 'Apache License')) v(code, name)), m as (select doc_id, doc_id as term, code, name from documents, n where contains(text, name))
 select * from m where not (code = 'e' and term % 2 = 0) and not (code = 'a' and term in (select term from m where code = 'b'))""",
 )
 add(

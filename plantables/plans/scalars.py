@@ -39,10 +39,15 @@ add(
     r"select doc_id, cast(contains(regexp_replace(lower(text), '\s+', '', 'g'), 'mitlicense') as int) as a from documents",
 )
 scalar("f5_course_codes", CODES, f.course_codes, "regexp_extract_all(x, '[0-9]{8}')")
-scalar(
-    "f6_split_code_alternatives", CODES, f.split_code_alternatives,
-    "case when x = 'none' then []::varchar[] when contains(x, ' or ') then [split_part(x, ' or ', 1), split_part(x, ' or ', 2)] else [rpad(x, 8, 'x')] end",
-)
+EIGHT = "lpad('' || p_partkey % 10000000, 8, '0')"
+#: Pairs of codes, short and long wildcards, x only, x inside, a space inside, Thai digits, codes parted by a space, and none.
+LISTED = f"case p_partkey % 9 when 0 then {EIGHT} || ' or ' || {EIGHT} when 1 then lpad('' || p_partkey, 5, '9') || 'xX' when 2 then 'xXXXXXXXXX' when 3 then '06x36xxx' when 4 then '0603 ' || right({EIGHT}, 4) when 5 then {EIGHT} || '/๐๖๐๓๖๑๑๕' when 6 then {EIGHT} || ' 0603xxxxxx' when 7 then {EIGHT} || '1, none' else 'หรือ ' || {EIGHT} end"
+add(
+    "f6_split_code_alternatives",
+    lambda s, d: table(s, d, "part").selectExpr("p_partkey", f"{LISTED} as x").select("p_partkey", f.split_code_alternatives(F.col("x")).alias("y")),
+    f"""with c as (select p_partkey, {EIGHT} as c, rpad(lpad('' || p_partkey, 5, '9'), 8, 'x') as w from part)
+select p_partkey, case p_partkey % 9 when 0 then [c, c] when 1 then [w] when 2 then ['xxxxxxxx'] when 3 then ['06x36xxx'] when 4 then ['0603' || right(c, 4)] when 5 then [c, '06036115'] when 6 then [c, '0603xxxx'] when 7 then []::varchar[] else [c] end as y from c""",
+)
 scalar("f7_placeholder_code", CODES, f.placeholder_code, "case when regexp_full_match(upper(x), '[0-9]+X+') then 'PLACEHOLDER_' || upper(x) end")
 scalar("f8_is_real_code", "case when p_size % 5 = 0 then p_name else lpad('' || p_partkey, case when p_size % 3 = 0 then 7 else 8 end, '0') end", f.is_real_code, "regexp_full_match(x, '[0-9]{8}')")
 TRIPLE = r"\s*([0-9]{1,2})\s*\(\s*([0-9]{1,2}|[xX])\s*-\s*([0-9]{1,2}|[xX])\s*-\s*([0-9]{1,2}|[xX])\s*\)\s*"

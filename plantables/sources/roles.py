@@ -85,7 +85,7 @@ def prerequisite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cyclic_prerequisite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of consecutive lines of one order: a graph with cycles."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2 and l_orderkey % 16 = 0")
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
     a = lines.filter("l_linenumber = 1").selectExpr("l_orderkey", "l_partkey as x")
     b = lines.filter("l_linenumber = 2").selectExpr("l_orderkey", "l_partkey as y")
     return a.join(b, "l_orderkey").selectExpr("lpad('' || x, 8, '0') as code", "lpad('' || y, 8, '0') as requires", "'pre' as kind")
@@ -93,7 +93,7 @@ def cyclic_prerequisite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elective_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each scope and code, with its terms as sorted text."""
-    lines = _role(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 3"), SLOT)
+    lines = _role(table(spark, sf_dir, "lineitem"), SLOT)
     return lines.groupBy(*SCOPE, "code").agg(
         F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("allowed_terms"), F.min("category").alias("category"), F.max("credits").alias("credits")
     )
@@ -107,8 +107,8 @@ def _sql(columns: list[tuple[str, str]]) -> str:
 CTES = f"""course as (select * exclude (page), [page] as pages from (select {_sql(COURSE)} from part where p_partkey % 97 <> 0)),
 plan_item as (select * exclude (page), case when page is not null then [page] end as pages from (select {_sql(PLAN_ITEM)} from lineitem)),
 prerequisite as (select {_sql(PREREQUISITE)} from part where p_partkey >= 1),
-cyclic_prerequisite as (select lpad('' || a.l_partkey, 8, '0') as code, lpad('' || b.l_partkey, 8, '0') as requires, 'pre' as kind from lineitem a join lineitem b using (l_orderkey) where a.l_linenumber = 1 and b.l_linenumber = 2 and l_orderkey % 16 = 0),
-elective_slot as (select program, edition, track, code, array_to_string(list_sort(list_distinct(list(term))), ', ') as allowed_terms, min(category) as category, max(credits) as credits from (select {_sql(SLOT)} from lineitem where l_orderkey % 10 = 3) group by all)"""
+cyclic_prerequisite as (select lpad('' || a.l_partkey, 8, '0') as code, lpad('' || b.l_partkey, 8, '0') as requires, 'pre' as kind from lineitem a join lineitem b using (l_orderkey) where a.l_linenumber = 1 and b.l_linenumber = 2),
+elective_slot as (select program, edition, track, code, array_to_string(list_sort(list_distinct(list(term))), ', ') as allowed_terms, min(category) as category, max(credits) as credits from (select {_sql(SLOT)} from lineitem) group by all)"""
 
 
 def oracle(body: str) -> str:
