@@ -125,7 +125,7 @@ def credits_match(a: Column, b: Column) -> Column:
     """equal without spaces; or equal leading numbers where not both have hours."""
     x, y = F.regexp_replace(F.coalesce(a, F.lit("")), r"\s+", ""), F.regexp_replace(F.coalesce(b, F.lit("")), r"\s+", "")
     lead = lambda v: F.regexp_extract(v, "^([0-9]+)", 1)
-    return (x == y) | (~(x.contains("(") & y.contains("(")) & (lead(x) != "") & (lead(x) == lead(y)))
+    return (x == y) | ((x != "") & (y != "") & ~(x.contains("(") & y.contains("(")) & (lead(x) != "") & (lead(x) == lead(y)))
 
 
 def split_bilingual_name(c: Column) -> Column:

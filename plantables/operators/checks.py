@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantables.functions.text import course_codes
 from plantables.operators.views import SCOPE, TERM, semester_credits
 
 REAL = "^[0-9]{8}$"
@@ -14,11 +15,15 @@ REAL = "^[0-9]{8}$"
 BLOCK_WORDS = "(?i)intern|coop|practicum"
 
 
-def total_credits(plan: DataFrame, program: DataFrame) -> DataFrame:
-    """Computed against declared totals by scope; a scope without a plan and a declared 0 passes."""
+def total_credits(plan: DataFrame, program: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """Computed against declared totals by scope, with slots whose `counted` holds; a scope without a plan and a declared 0 passes."""
     made = semester_credits(plan).groupBy(*SCOPE).agg(F.sum("credits").alias("computed"))
-    joined = program.join(made, SCOPE, "left").withColumn("computed", F.coalesce("computed", F.lit(0).cast("long")))
-    return joined.select(*SCOPE, "total_credits", "computed", (F.col("total_credits") == F.col("computed")).alias("ok"))
+    if slots is not None:
+        made = made.unionByName(slots.filter("counted").groupBy(*SCOPE).agg(F.sum("credits").cast("long").alias("computed"))).groupBy(*SCOPE).agg(F.sum("computed").alias("computed"))
+    joined = program.join(made, SCOPE, "left").join(plan.select(*SCOPE, F.lit(True).alias("__planned")).distinct(), SCOPE, "left")
+    catalog = F.col("__planned").isNull() & (F.col("total_credits") == 0)
+    joined = joined.withColumn("computed", F.coalesce("computed", F.lit(0).cast("long")))
+    return joined.select(*SCOPE, "total_credits", "computed", ((F.col("total_credits") == F.col("computed")) | catalog).alias("ok"))
 
 
 def orphans(plan: DataFrame, course: DataFrame) -> DataFrame:
@@ -51,24 +56,53 @@ def duplicates_in_term(plan: DataFrame) -> DataFrame:
     return plan.filter("alt_group is null").groupBy(*TERM, "code").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def term_load(plan: DataFrame, least: int = 9, most: int = 22) -> DataFrame:
-    """Terms 1 and 2 whose credits are out of bounds, but for block terms (a course of 6 credits or more, or a block word)."""
-    block = plan.filter((F.col("credits") >= 6) | F.coalesce(F.col("category").rlike(BLOCK_WORDS), F.lit(False))).select(*TERM).distinct()
+def term_load(plan: DataFrame, least: int = 9, most: int = 22, words: list[str] | None = None) -> DataFrame:
+    """Terms 1 and 2 whose credits are out of bounds, but for block terms: a course of 6 credits or more, or a block word
+    in one of the columns `words` (category, and note, type and names where the rows have them)."""
+    asked = words if words is not None else [c for c in ("category", "type", "note", "name_th", "name_en") if c in plan.columns]
+    said = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).rlike(BLOCK_WORDS), F.lit(False)) for c in asked), F.lit(False))
+    block = plan.filter((F.col("credits") >= 6) | said).select(*TERM).distinct()
     load = semester_credits(plan).filter("semester <> 3").join(block, TERM, "left_anti")
     return load.filter(~F.col("credits").between(least, most)).select(*TERM, "credits")
 
 
-def row_rules(course: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rules that rows break, a row for each: code form, credit range, Latin in the first name, prerequisites that don't exist."""
-    missing = edges.join(course.select(F.col("code").alias("requires")), "requires", "left_anti").select("code").distinct().withColumn("missing", F.lit(True))
+#: Forms that codes and credits of extracted rows have.
+ROW_CODE, ROW_CREDITS = r"^([0-9xX]{8}|PLACEHOLDER_[0-9]+X+)$", r"^[0-9]{1,2}\([0-9xX]{1,2}-[0-9xX]{1,2}-[0-9xX]{1,2}\)$"
+
+
+def row_rules(rows: DataFrame, by: list[str], categories: list[str], types: list[str]) -> DataFrame:
+    """Extracted rows (by, ordinal, code, credits, category, type, year, semester, flexible, name_th, name_en, prerequisite)
+    -> ordinal and rule for each rule that a row breaks.
+
+    code: each alternative is eight digits or x; credits: the form, unless it
+    holds an "or"; category, type: one of those given; flexible: a row without
+    year and semester needs its terms, where the document has years at all;
+    fixed: a row with a year has none; name: Latin capitals in the first name;
+    credits in name: in the second; prerequisite: a code that no row has.
+    Empty values break nothing.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    codes = F.filter(F.transform(F.split(text("code"), r"(?i)\bor\b|หรือ|/"), lambda x: F.trim(x)), lambda x: x != "")
+    own = rows.withColumns({"__codes": codes, "__flexible": text("flexible") != ""})
+    dated = rows.filter("coalesce(year, 0) <> 0").select(*by).distinct().withColumn("__dated", F.lit(True))
+    held = own.select(*by, F.explode("__codes").alias("__pre")).distinct()
+    asked = own.select(*by, "ordinal", F.explode(course_codes(F.col("prerequisite"))).alias("__pre"))
+    lost = asked.join(held, [*by, "__pre"], "left_anti").select(*by, "ordinal").distinct().withColumn("__lost", F.lit(True))
+    joined = own.join(dated, by, "left").join(lost, [*by, "ordinal"], "left")
+    timeless = (F.coalesce("year", F.lit(0)) == 0) & (F.coalesce("semester", F.lit(0)) == 0)
+    credits = F.regexp_replace(text("credits"), r"\s+", "")
     broken = [
-        F.when(~F.col("code").rlike(REAL) & ~F.col("code").startswith("PLACEHOLDER_"), "code"),
-        F.when(F.col("credits").isNull(), "credits"),
-        F.when(F.col("name_th").rlike("[A-Z]"), "name"),
-        F.when(F.col("missing"), "prerequisite"),
+        F.when(~F.forall("__codes", lambda x: x.rlike(ROW_CODE)) | (F.size("__codes") == 0), "code"),
+        F.when((credits != "") & ~credits.rlike(ROW_CREDITS) & ~text("credits").rlike(r"(?i)\bor\b|หรือ"), "credits"),
+        F.when((text("category") != "") & ~text("category").isin(categories), "category"),
+        F.when((text("type") != "") & ~text("type").isin(types), "type"),
+        F.when(timeless & ~F.col("__flexible") & F.col("__dated"), "flexible"),
+        F.when((F.coalesce("year", F.lit(0)) != 0) & F.col("__flexible"), "fixed"),
+        F.when(text("name_th").rlike("[A-Z]"), "name"),
+        F.when(text("name_en").rlike(r"[0-9]{1,2}\s*\([0-9xX]+-[0-9xX]+-[0-9xX]+\)"), "credits in name"),
+        F.when(F.col("__lost"), "prerequisite"),
     ]
-    joined = course.join(missing, "code", "left")
-    return joined.select("code", F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+    return joined.select("ordinal", F.explode(F.array_compact(F.array(*broken))).alias("rule"))
 
 
 def term_bounds(plan: DataFrame, least: int = 9, most: int = 25) -> DataFrame:

@@ -131,12 +131,16 @@ def description_blocks(lines: DataFrame, heading: str, follow: str, within: int
 
 
 def evaluate_extraction(truth: DataFrame, pred: DataFrame, passes: list[list[str]], fields: list[str]) -> DataFrame:
-    """field_stats() of truth rows with a name against what the passes align with them; a missed row counts as deleted."""
+    """field_stats() of truth rows with a name against what the passes align with them, words of names too.
+
+    A missed row counts as deleted in all fields but prerequisite and flexible.
+    """
     real = truth.filter("name is not null and name <> ''")
     pairs = align_multipass(real, pred, passes).filter("t_id is not null")
     t = real.select(F.col("ordinal").alias("t_id"), *(F.col(x).alias(f"truth_{x}") for x in fields))
     p = pred.select(F.col("ordinal").alias("p_id"), *(F.col(x).alias(f"pred_{x}") for x in fields))
-    return field_stats(pairs.join(t, "t_id").join(p, "p_id", "left"), fields)
+    joined = pairs.join(t, "t_id").join(p, "p_id", "left").withColumn("__missed", F.col("p_id").isNull())
+    return field_stats(joined, fields, words=[f for f in fields if f.startswith("name")], key="t_id", missed="__missed", exempt=["prerequisite", "flexible"])
 
 
 def write_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:

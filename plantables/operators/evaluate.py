@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantables.functions.text import credits_match, normalize_credits_text, normalize_prerequisite, normalize_text
+
 COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("distance", "sub", "del", "ins")])
 
 
@@ -60,19 +62,52 @@ def error_rate(distance: Column, ref_length: Column, hyp_length: Column) -> Colu
     return F.when(ref_length > 0, distance / ref_length).otherwise(F.when(hyp_length > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def field_stats(pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """A3: truth_f and pred_f columns -> by field: items, exact, missing, hallucinated, errors, length and their rate."""
-    each = pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"truth_{f}").cast("string"), F.lit("")).alias("ref"), F.coalesce(F.col(f"pred_{f}").cast("string"), F.lit("")).alias("hyp")) for f in fields))).alias("x")).select("x.*")
-    d = F.levenshtein("ref", "hyp")
-    sums = each.groupBy("field").agg(
-        F.count("*").alias("items"),
-        F.count_if(F.col("ref") == F.col("hyp")).alias("exact"),
-        F.count_if((F.col("ref") != "") & (F.col("hyp") == "")).alias("missing"),
-        F.count_if((F.col("ref") == "") & (F.col("hyp") != "")).alias("hallucinated"),
-        F.sum(d).alias("errors"),
-        F.sum(F.length("ref")).alias("ref_length"),
+def _rate(errors: str, length: str) -> Column:
+    return F.round(F.when(F.col(length) > 0, F.col(errors) / F.col(length)).otherwise(F.lit(0.0)), 6)
+
+
+def field_stats(pairs: DataFrame, fields: list[str], words: list[str] | None = None, key: str | None = None, samples: int = 5, missed: str | None = None, exempt: list[str] | None = None) -> DataFrame:
+    """A3: truth_f and pred_f columns -> by field: items, exact, missing, hallucinated, errors (sub, del, ins), length, cer,
+    word errors and wer for the fields in `words`, and the first few unlike pairs by key.
+
+    Texts are compared by F1's strict form, words by its word form. Each
+    distinct unlike pair is aligned once. Rows where `missed` holds don't
+    count for the exempt fields.
+    """
+    text = lambda side, name: F.coalesce(F.col(f"{side}_{name}").cast("string"), F.lit(""))
+    at = F.col(key).cast("string") if key else F.lit("")
+    gone = F.coalesce(F.col(missed), F.lit(False)) if missed else F.lit(False)
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), text("truth", f).alias("r"), text("pred", f).alias("h"), F.lit(f in (words or [])).alias("worded"), (gone & F.lit(f in (exempt or []))).alias("exempt")) for f in fields))
+    each = pairs.select(at.alias("key"), F.explode(parts).alias("x")).select("key", "x.*").filter(~F.col("exempt"))
+    each = each.groupBy("field", "worded", "r", "h").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    each = each.withColumns({"ref": normalize_text(F.col("r"), "strict"), "hyp": normalize_text(F.col("h"), "strict"), "wr": normalize_text(F.col("r"), "word"), "wh": normalize_text(F.col("h"), "word")})
+    unlike = F.col("ref") != F.col("hyp")
+    aligned = each.withColumns({"e": F.when(unlike, edit_counts("ref", "hyp")), "w": F.when(F.col("worded") & (F.col("wr") != F.col("wh")), word_edit_counts("wr", "wh"))})
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)) * F.col("n"))
+    n_words = F.when(F.col("worded") & (F.col("wr") != ""), F.size(F.split("wr", " ")))
+    sums = aligned.groupBy("field").agg(
+        F.sum("n").alias("items"),
+        total((~unlike).cast("int")).alias("exact"),
+        total(((F.col("ref") != "") & (F.col("hyp") == "")).cast("int")).alias("missing"),
+        total(((F.col("ref") == "") & (F.col("hyp") != "")).cast("int")).alias("hallucinated"),
+        total(F.col("e.distance")).alias("errors"),
+        *(total(F.col("e")[x]).alias(x) for x in ("sub", "del", "ins")),
+        total(F.length("ref")).alias("ref_length"),
+        total(F.col("w.distance")).alias("word_errors"),
+        total(n_words).alias("ref_words"),
     )
-    return sums.withColumn("cer", F.round(F.when(F.col("ref_length") > 0, F.col("errors") / F.col("ref_length")).otherwise(F.lit(0.0)), 6))
+    first = Window.partitionBy("field").orderBy("key", "r", "h")
+    few = aligned.filter(unlike).withColumn("i", F.row_number().over(first)).filter(F.col("i") <= samples)
+    shown = few.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("i", "key", "r", "h"))).alias("s")).select("field", F.transform("s", lambda x: F.struct(x["key"].alias("key"), x["r"].alias("truth"), x["h"].alias("pred"))).alias("samples"))
+    return sums.withColumns({"cer": _rate("errors", "ref_length"), "wer": _rate("word_errors", "ref_words")}).join(shown, "field", "left")
+
+
+def overall(stats: DataFrame) -> DataFrame:
+    """A3: micro rates over all fields' sums, and macro rates, the mean over fields that have items."""
+    sums = stats.filter("items > 0").agg(
+        *(F.sum(c).alias(c) for c in ("items", "exact", "errors", "ref_length", "word_errors", "ref_words")), F.round(F.avg("cer"), 6).alias("macro_cer"), F.round(F.avg("wer"), 6).alias("macro_wer"), F.round(F.avg(F.col("exact") / F.col("items")), 6).alias("macro_exact")
+    )
+    return sums.withColumns({"micro_cer": _rate("errors", "ref_length"), "micro_wer": _rate("word_errors", "ref_words"), "micro_exact": _rate("exact", "items")})
 
 
 def _numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -126,15 +161,40 @@ def align_multipass(truth: DataFrame, pred: DataFrame, passes: list[list[str]])
     return found.unionByName(rest_t.select(n.alias("pass"), F.col("ordinal").alias("t_id"), no.alias("p_id"))).unionByName(rest_p.select(n.alias("pass"), no.alias("t_id"), F.col("ordinal").alias("p_id")))
 
 
-def evaluate_fields(truth: DataFrame, pred: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """By field over the union of keys: equal is a hit, different both a false one and a miss, one side a miss or a false one, none nothing."""
-    both = truth.select(*key, *(F.col(f).cast("string").alias(f"t_{f}") for f in fields)).join(pred.select(*key, *(F.col(f).cast("string").alias(f"p_{f}") for f in fields)), key, "full")
-    each = both.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"t_{f}"), F.lit("")).alias("t"), F.coalesce(F.col(f"p_{f}"), F.lit("")).alias("p")) for f in fields))).alias("x")).select("x.*")
-    differ = F.col("t") != F.col("p")
-    sums = each.groupBy("field").agg(F.count_if(~differ & (F.col("t") != "")).alias("tp"), F.count_if(differ & (F.col("p") != "")).alias("fp"), F.count_if(differ & (F.col("t") != "")).alias("fn"))
+def field_value(name: str, c: Column) -> Column:
+    """A value as it is compared: credits by F11 or without spaces, prerequisites as a set of codes, a year or semester 0 as none."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    if name == "credits":
+        return F.coalesce(F.nullif(normalize_credits_text(text), F.lit("")), F.regexp_replace(text, r"\s+", ""))
+    if name == "prerequisite":
+        return normalize_prerequisite(text)
+    if name in ("year", "semester"):
+        number = F.regexp_extract(text, "-?[0-9]+", 0)
+        return F.when(number == "0", "").otherwise(number)
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def evaluate_fields(truth: DataFrame, pred: DataFrame, key: list[str], fields: list[str], examples: int = 10) -> DataFrame:
+    """By field over the union of keys, and "all": alike is a hit, unlike both a false one and a miss, one side a miss or a
+    false one, none nothing. Credits are alike by F13. Also the first few unlike keys.
+
+    "code" may be among the fields: then it is whether the key itself is on both sides.
+    """
+    own = [f for f in fields if f != "code"]
+    t = truth.select(*key, *(field_value(f, F.col(f)).alias(f"t_{f}") for f in own), F.lit("1").alias("t_code"))
+    p = pred.select(*key, *(field_value(f, F.col(f)).alias(f"p_{f}") for f in own), F.lit("1").alias("p_code"))
+    both = t.join(p, key, "full").withColumn("__at", F.concat_ws("|", *key))
+    value = lambda side, f: F.coalesce(F.col(f"{side}_{f}"), F.lit(""))
+    same = lambda f: (value("t", f) != "") & (value("p", f) != "") & (credits_match(value("t", f), value("p", f)) if f == "credits" else value("t", f) == value("p", f))
+    each = both.select("__at", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value("t", f).alias("t"), value("p", f).alias("p"), same(f).alias("same")) for f in fields))).alias("x")).select("__at", "x.*")
+    unlike = ~F.col("same") & ((F.col("t") != "") | (F.col("p") != ""))
+    sums = each.groupBy("field").agg(F.count_if("same").alias("tp"), F.count_if(unlike & (F.col("p") != "")).alias("fp"), F.count_if(unlike & (F.col("t") != "")).alias("fn"))
+    sums = sums.unionByName(sums.agg(F.lit("all").alias("field"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
     band = F.when(F.col("f1") > 0.91, "high").when(F.col("f1") >= 0.80, "fair").otherwise("low")
-    return sums.withColumn("f1", F.round(f1, 6)).withColumn("band", band)
+    few = each.filter(unlike).withColumn("i", F.row_number().over(Window.partitionBy("field").orderBy("__at", "t", "p"))).filter(F.col("i") <= examples)
+    shown = few.groupBy("field").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "__at", F.concat_ws(" / ", "t", "p")))).alias("examples"))
+    return sums.withColumn("f1", F.round(f1, 6)).withColumn("band", band).join(shown, "field", "left")
 
 
 def score_answers(expected: DataFrame, got: DataFrame) -> DataFrame:
@@ -154,5 +214,10 @@ def score_answers(expected: DataFrame, got: DataFrame) -> DataFrame:
 
 
 def score_summary(answers: DataFrame, by: list[str]) -> DataFrame:
-    """Answers, correct ones and their part, by level and over all."""
-    return answers.rollup(*by).agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("rate"))
+    """answers(by, executed, n_rows, n_pages, correct) -> by level and over all: how many, executed, correct and answerable
+    ones, their parts, and the part of the answerable ones that cite pages."""
+    sums = answers.rollup(*by).agg(
+        F.count("*").alias("n"), F.count_if("executed").alias("n_executed"), F.count_if("correct").alias("n_correct"), F.count_if(F.col("n_rows") > 0).alias("n_answerable"), F.count_if((F.col("n_rows") > 0) & (F.col("n_pages") > 0)).alias("n_cited")
+    )
+    rate = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    return sums.withColumns({"executed_rate": rate("n_executed", "n"), "rate": rate("n_correct", "n"), "cited_rate": rate("n_cited", "n_answerable")})

@@ -90,15 +90,15 @@ add(
 add(
     "a6_evaluate_extraction",
     lambda s, d: convert.evaluate_extraction(
-        roles.plan_item(s, d).filter("id % 4 < 3").selectExpr("*", "id as ordinal", "case when id % 7 > 0 then category end as name"), roles.plan_item(s, d).filter("id % 4 > 0").selectExpr("* except (type)", "id as ordinal", "category as name", "case when id % 5 = 0 then type || 'x' else type end as type"), [["program", "code", "year"], ["program", "code"]], ["name", "type"]
-    ),
+        roles.plan_item(s, d).filter("id % 4 < 3").selectExpr("* except (type)", "id as ordinal", "case when id % 7 > 0 then category end as name", "upper(type) || ' ' as type", "code as prerequisite"), roles.plan_item(s, d).filter("id % 4 > 0").selectExpr("* except (type)", "id as ordinal", "category as name", "case when id % 5 = 0 then type || 'x' else type end as type", "cast(null as string) as prerequisite"), [["program", "code", "year"], ["program", "code"]], ["name", "type", "prerequisite"]
+    ).drop("sub", "del", "ins", "samples"),
     oracle(
         """, t as (select *, row_number() over (partition by program, code, year order by id) as n from plan_item where id % 4 < 3 and id % 7 > 0), p as (select *, row_number() over (partition by program, code, year order by id) as n, min(id) over (partition by program, code, year) as lead from plan_item where id % 4 > 0),
 a as (select t.id as t_id, p.id as p_id from t join p using (program, code, year, n)),
 u as (select program, code, id, row_number() over (partition by program, code order by id) as n from t where id not in (select t_id from a)), v as (select program, code, id, row_number() over (partition by program, code order by lead, id) as n from p where id not in (select p_id from a)),
-m as (select t_id, p_id from a union all select u.id, v.id from u left join v using (program, code, n)), b as (select x.category as tn, x.type as tt, coalesce(y.category, '') as pn, coalesce(case when y.id % 5 = 0 then y.type || 'x' else y.type end, '') as pt from m join plan_item x on x.id = t_id left join plan_item y on y.id = p_id),
-e as (select 'name' as field, tn as r, pn as h from b union all select 'type', tt, pt from b)
-select field, count(*) as items, cast(count_if(r = h) as bigint) as exact, cast(count_if(r <> '' and h = '') as bigint) as missing, cast(count_if(r = '' and h <> '') as bigint) as hallucinated, cast(sum(levenshtein(r, h)) as bigint) as errors, cast(sum(length(r)) as bigint) as ref_length, round(cast(sum(levenshtein(r, h)) as double) / cast(sum(length(r)) as double), 6) as cer from e group by field"""
+m as (select t_id, p_id from a union all select u.id, v.id from u left join v using (program, code, n)), b as (select y.id as hit, lower(x.code) as pre, lower(x.category) as tn, lower(x.type) as tt, coalesce(lower(y.category), '') as pn, coalesce(lower(case when y.id % 5 = 0 then y.type || 'x' else y.type end), '') as pt from m join plan_item x on x.id = t_id left join plan_item y on y.id = p_id),
+e as (select 'name' as field, tn as r, pn as h from b union all select 'type', tt, pt from b union all select 'prerequisite', pre, '' from b where hit is not null)
+select field, count(*) as items, cast(count_if(r = h) as bigint) as exact, cast(count_if(r <> '' and h = '') as bigint) as missing, cast(count_if(r = '' and h <> '') as bigint) as hallucinated, cast(sum(levenshtein(r, h)) as bigint) as errors, cast(sum(length(r)) as bigint) as ref_length, round(cast(sum(levenshtein(r, h)) as double) / cast(sum(length(r)) as double), 6) as cer, cast(case when field = 'name' then count_if(r <> h) else 0 end as bigint) as word_errors, cast(case when field = 'name' then count(*) else 0 end as bigint) as ref_words, case when field = 'name' then round(count_if(r <> h) / count(*), 6) else 0.0 end as wer from e group by field"""
     ),
 )
 add(

@@ -180,8 +180,15 @@ add(
 
 add(
     "c1_total_credits",
-    lambda s, d: checks.total_credits(_plan(s, d), views.semester_credits(_plan(s, d)).groupBy(*SCOPE).agg((F.sum("credits") + F.col("edition")).alias("total_credits"))),
-    oracle(f"{V3}, c as (select {S}, cast(sum(credits) as bigint) as computed from v3 group by all) select {S}, computed + edition as total_credits, computed, edition = 0 as ok from c"),
+    lambda s, d: checks.total_credits(
+        _plan(s, d),
+        views.semester_credits(_plan(s, d)).groupBy(*SCOPE).agg((F.sum("credits") + F.col("edition")).alias("total_credits")).unionByName(s.createDataFrame([("P9", 0, 0, 0), ("P9", 0, 1, 3)], "program string, edition int, track int, total_credits long")),
+        roles.elective_slot(s, d).withColumn("counted", F.expr("track = 1 and code = '00000013'")),
+    ),
+    oracle(
+        f"""{V3}, c as (select {S}, cast(sum(credits) as bigint) as planned from v3 group by all), x as (select {S}, cast(sum(credits) as bigint) as counted from elective_slot where track = 1 and code = '00000013' group by all)
+select {S}, planned + edition as total_credits, planned + coalesce(counted, 0) as computed, edition = coalesce(counted, 0) as ok from c left join x using ({S}) union all select 'P9', 0, 0, 0, 0, true union all select 'P9', 0, 1, 3, 0, false"""
+    ),
 )
 add("c2_orphans", lambda s, d: checks.orphans(_plan(s, d), _course(s, d)), oracle(f"select distinct {S}, code from plan_item where code not in (select code from course)"))
 add(
@@ -198,14 +205,26 @@ add(
 add("c6_duplicates", lambda s, d: checks.duplicates_in_term(_plan(s, d)), oracle(f"select {T}, code, count(*) as n from plan_item where alt_group is null group by all having count(*) > 1"))
 add(
     "c7_term_load",
-    lambda s, d: checks.term_load(_plan(s, d).filter("credits < 6 or (year = 2 and edition = 1)"), 9, 300),
-    oracle(f", p as (select * from plan_item where credits < 6 or (year = 2 and edition = 1)), v as (select {T}, cast(sum(credits) as bigint) as credits from (select {T}, coalesce(alt_group, 'x' || id) as g, min(credits) as credits from p group by all) group by {T}) select * from v where semester <> 3 and not credits between 9 and 300 and ({T}) not in (select ({T}) from p where credits >= 6)"),
-)
+    lambda s, d: checks.term_load(_plan(s, d).filter("credits < 6 or (year = 2 and edition = 1)").withColumns({"note": F.expr("case when program = 'P1' and year = 1 then 'Internship' end"), "name_en": F.expr("case when program = 'P2' then 'Coop ' || code end")}), 9, 300),
+    oracle(f", p as (select * from plan_item where credits < 6 or (year = 2 and edition = 1)), v as (select {T}, cast(sum(credits) as bigint) as credits from (select {T}, coalesce(alt_group, 'x' || id) as g, min(credits) as credits from p group by all) group by {T}) select * from v where semester <> 3 and not credits between 9 and 300 and ({T}) not in (select ({T}) from p where credits >= 6 or (program = 'P1' and year = 1) or program = 'P2')"),
+)
+ROW_RULES = {
+    "code": "case id % 9 when 0 then right(code, 7) when 1 then code || ' or 0603xxxx' when 2 then '' else right('0000' || code, 8) end",
+    "credits": "case id % 7 when 0 then 'abc' when 1 then '3(3-0-6) or 4' when 2 then null else '3 (3-0-6)' end",
+    "flexible": "case when id % 11 = 0 then '3/1' end",
+    "name_th": "case when id % 13 = 0 then 'Latin' else 'name' end",
+    "name_en": "case when id % 17 = 0 then 'x 3(3-0-6)' end",
+    "prerequisite": "case when id % 19 = 0 then '00000001' when id % 19 = 1 then right('0000' || code, 8) end",
+    "k": "cast(floor(id / 2000) as bigint)",
+    "y": "cast(case when id % 5 = 0 then 0 when id % 2000 < 1000 then 0 else year end as int)",
+}
+RULE_ROWS = "select id, " + ", ".join(f"{e} as {n}" for n, e in ROW_RULES.items()) + ", category, type from plan_item where code like '0%'"
 add(
     "c8_row_rules",
-    lambda s, d: checks.row_rules(_course(s, d), _pre(s, d)),
+    lambda s, d: checks.row_rules(_plan(s, d).filter("code like '0%'").selectExpr("id as ordinal", *(f"{e} as {n}" for n, e in ROW_RULES.items()), "category", "type").selectExpr("* except (y)", "y as year", "y as semester"), ["k"], ["A", "N"], ["O"]),
     oracle(
-        f"select code, 'code' as rule from course where not {REAL} and not starts_with(code, 'PLACEHOLDER_') union all select code, 'credits' from course where credits is null union all select code, 'name' from course where regexp_matches(name_th, '[A-Z]') union all select code, 'prerequisite' from course where code in (select code from prerequisite where requires not in (select code from course))"
+        f""", r as ({RULE_ROWS}), h as (select distinct k, unnest(string_split(code, ' or ')) as c from r), d as (select distinct k from r where y > 0), q as (select *, k in (select k from d) as dated from r)
+select id as ordinal, unnest(list_filter([case when id % 9 in (0, 2) then 'code' end, case when id % 7 = 0 then 'credits' end, case when category = 'R' then 'category' end, case when type = 'F' then 'type' end, case when y = 0 and flexible is null and dated then 'flexible' end, case when y > 0 and flexible is not null then 'fixed' end, case when id % 13 = 0 then 'name' end, case when id % 17 = 0 then 'credits in name' end, case when prerequisite is not null and (k, prerequisite) not in (select (k, c) from h) then 'prerequisite' end], lambda x: x is not null)) as rule from q"""
     ),
 )
 add(

@@ -97,11 +97,22 @@ add(
     lambda s, d: pairs(s, d).select("p_partkey", F.round(evaluate.error_rate(F.levenshtein("a", "b"), F.length("a"), F.length("b")), 6).alias("cer")),
     f"select p_partkey, round(case when length(a) > 0 then levenshtein(a, b) / length(a) when length(b) > 0 then 1.0 else 0.0 end, 6) as cer from ({NAMES})",
 )
+#: Names in other cases and with spaces, or cut or missing; brands missing in the truth.
+READ_NAME = "case when p_partkey % 7 = 0 then substring(p_name, 2) when p_partkey % 3 = 0 then upper(p_name) || '  ' when p_partkey % 5 > 0 then p_name end"
+
+
+def _stats(s, d):
+    return evaluate.field_stats(table(s, d, "part").selectExpr("p_partkey", "p_name as truth_name", f"{READ_NAME} as pred_name", "case when p_size % 3 > 0 then p_brand end as truth_brand", "p_brand as pred_brand"), ["name", "brand"], key="p_partkey")
+
+
+STATS = f"""e as (select 'name' as field, replace(lower(p_name), ' ', '') as r, coalesce(replace(lower({READ_NAME}), ' ', ''), '') as h from part union all select 'brand', coalesce(case when p_size % 3 > 0 then lower(p_brand) end, ''), lower(p_brand) from part),
+f as (select field, count(*) as items, cast(count_if(r = h) as bigint) as exact, cast(count_if(r <> '' and h = '') as bigint) as missing, cast(count_if(r = '' and h <> '') as bigint) as hallucinated, cast(sum(levenshtein(r, h)) as bigint) as errors, cast(sum(length(r)) as bigint) as ref_length from e group by field),
+g as (select *, round(cast(errors as double) / ref_length, 6) as cer from f)"""
+add("a3_field_stats", lambda s, d: _stats(s, d).select("field", "items", "exact", "missing", "hallucinated", "errors", "ref_length", "cer"), f"with {STATS} select * from g")
 add(
-    "a3_field_stats",
-    lambda s, d: evaluate.field_stats(table(s, d, "part").selectExpr("p_name as truth_name", "case when p_partkey % 7 = 0 then substring(p_name, 2) when p_partkey % 5 > 0 then p_name end as pred_name", "case when p_size % 3 > 0 then p_brand end as truth_brand", "p_brand as pred_brand"), ["name", "brand"]),
-    """with e as (select 'name' as field, p_name as r, coalesce(case when p_partkey % 7 = 0 then substring(p_name, 2) when p_partkey % 5 > 0 then p_name end, '') as h from part union all select 'brand', coalesce(case when p_size % 3 > 0 then p_brand end, ''), p_brand from part)
-select field, count(*) as items, cast(count_if(r = h) as bigint) as exact, cast(count_if(r <> '' and h = '') as bigint) as missing, cast(count_if(r = '' and h <> '') as bigint) as hallucinated, cast(sum(levenshtein(r, h)) as bigint) as errors, cast(sum(length(r)) as bigint) as ref_length, round(cast(sum(levenshtein(r, h)) as double) / cast(sum(length(r)) as double), 6) as cer from e group by field""",
+    "a3_overall",
+    lambda s, d: evaluate.overall(_stats(s, d)).select("items", "exact", "errors", "ref_length", "macro_cer", "macro_exact", "micro_cer", "micro_exact"),
+    f"with {STATS} select cast(sum(items) as bigint) as items, cast(sum(exact) as bigint) as exact, cast(sum(errors) as bigint) as errors, cast(sum(ref_length) as bigint) as ref_length, round(avg(cer), 6) as macro_cer, round(avg(exact / items), 6) as macro_exact, round(sum(errors) / sum(ref_length), 6) as micro_cer, round(sum(exact) / sum(items), 6) as micro_exact from g",
 )
 
 
@@ -135,17 +146,17 @@ select 0 as pass, t_id, p_id from a union all select case when u.id is null or v
 add(
     "a7_evaluate_fields",
     lambda s, d: evaluate.evaluate_fields(
-        load.merge_first(truth(s, d), ["program", "code"], ["id"]), load.merge_first(prediction(s, d).withColumn("credits", F.expr("case when id % 5 > 0 then credits end")), ["program", "code"], ["id"]), ["program", "code"], ["credits", "category", "year"]
-    ),
+        load.merge_first(truth(s, d), ["program", "code"], ["id"]).withColumns({"semester": F.expr("case when id % 3 = 0 then 0 else semester end"), "credits": F.expr("credits || '(1-2-3)'")}),
+        load.merge_first(prediction(s, d), ["program", "code"], ["id"]).withColumns({"credits": F.expr("case when id % 5 = 0 then null when id % 7 = 0 then credits || '(9-9-9)' else '' || credits end"), "semester": F.expr("case when id % 3 > 0 then semester end")}),
+        ["program", "code"], ["code", "credits", "category", "semester"],
+    ).drop("examples"),
     oracle(
-        """, t as (select * from (select *, row_number() over (partition by program, code order by id) as r from plan_item where id % 4 < 3) where r = 1), p as (select * replace (case when id % 5 > 0 then credits end as credits) from (select *, row_number() over (partition by program, code order by id) as r from plan_item where id % 4 > 0) where r = 1),
-e as (select unnest(['credits', 'category', 'year']) as field, unnest([coalesce('' || t.credits, ''), coalesce(t.category, ''), coalesce('' || t.year, '')]) as t, unnest([coalesce('' || p.credits, ''), coalesce(p.category, ''), coalesce('' || p.year, '')]) as p from t full join p using (program, code)),
-f as (select field, cast(count_if(t = p and t <> '') as bigint) as tp, cast(count_if(t <> p and p <> '') as bigint) as fp, cast(count_if(t <> p and t <> '') as bigint) as fn from e group by field), g as (select *, 2 * tp / (2 * tp + fp + fn) as x from f)
+        """, t as (select * from (select *, row_number() over (partition by program, code order by id) as r from plan_item where id % 4 < 3) where r = 1), p as (select * from (select *, row_number() over (partition by program, code order by id) as r from plan_item where id % 4 > 0) where r = 1),
+e as (select unnest(['code', 'category', 'semester', 'credits']) as field, unnest([case when t.id is null then '' else '1' end, coalesce(t.category, ''), case when t.id is null or t.id % 3 = 0 then '' else '' || t.semester end, case when t.id is null then '' else '' || t.credits end]) as t, unnest([case when p.id is null then '' else '1' end, coalesce(p.category, ''), case when p.id is null or p.id % 3 = 0 then '' else '' || p.semester end, case when p.id is null or p.id % 5 = 0 then '' when p.id % 7 = 0 then p.credits || '(9-9-9)' else '' || p.credits end]) as p from t full join p using (program, code)),
+f as (select field, cast(count_if(t = p and t <> '') as bigint) as tp, cast(count_if(t <> p and p <> '') as bigint) as fp, cast(count_if(t <> p and t <> '') as bigint) as fn from e group by field), u as (select * from f union all select 'all', cast(sum(tp) as bigint), cast(sum(fp) as bigint), cast(sum(fn) as bigint) from f), g as (select *, 2 * tp / (2 * tp + fp + fn) as x from u)
 select field, tp, fp, fn, round(x, 6) as f1, case when x > 0.91 then 'high' when x >= 0.8 then 'fair' else 'low' end as band from g"""
     ),
 )
-
-
 def _answers(s, d):
     p = roles.plan_item(s, d)
     expected = p.groupBy("program", "edition", "track", "year").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count("*").alias("n")).selectExpr(
@@ -166,10 +177,10 @@ add(
 )
 add(
     "a9_score_summary",
-    lambda s, d: evaluate.score_summary(_answers(s, d), ["type"]),
-    oracle(
-        ", a as (select case year when 1 then 'value' when 2 then 'set' when 3 then 'count' else 'none' end as type, case year when 1 then true when 2 then track = 0 when 3 then true else track = 0 end as correct from plan_item group by program, edition, track, year) select type, count(*) as n, cast(count_if(correct) as bigint) as n_correct, round(avg(cast(correct as int)), 6) as rate from a group by rollup (type)"
-    ),
+    lambda s, d: evaluate.score_summary(table(s, d, "orders").selectExpr("o_orderstatus as level", "o_orderkey % 11 > 0 as executed", "o_orderkey % 5 as n_rows", "o_orderkey % 3 as n_pages", "o_orderkey % 2 = 0 as correct"), ["level"]),
+    """with a as (select o_orderstatus as level, o_orderkey as k from orders)
+select level, count(*) as n, cast(count_if(k % 11 > 0) as bigint) as n_executed, cast(count_if(k % 2 = 0) as bigint) as n_correct, cast(count_if(k % 5 > 0) as bigint) as n_answerable, cast(count_if(k % 5 > 0 and k % 3 > 0) as bigint) as n_cited,
+round(count_if(k % 11 > 0) / count(*), 6) as executed_rate, round(count_if(k % 2 = 0) / count(*), 6) as rate, round(count_if(k % 5 > 0 and k % 3 > 0) / count_if(k % 5 > 0), 6) as cited_rate from a group by rollup (level)""",
 )
 
 

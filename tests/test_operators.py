@@ -96,9 +96,9 @@ def test_repairs_leave_doubtful_rows(spark):
     same = df.withColumn("credits", F.when(F.col("credits").isNotNull(), 3))
     assert {r.code: r.credits for r in repair.impute_from_neighbours(same).collect()}["00000003"] == 3
     known = spark.createDataFrame([("long enough name", "12345678"), ("short", "1"), ("twice the name", "1"), ("twice the name", "2")], "name string, code string")
-    asked = spark.createDataFrame([("Xlong", "long  enough name"), ("1357", "long enough name"), ("91", "long enough name"), (None, "short"), (None, "twice the name")], "code string, name string")
+    asked = spark.createDataFrame([(" 1 3 ", "the long  enough name"), ("0603XXXX", "long enough name"), ("1357", "long enough name"), ("91", "long enough name"), (None, "short"), (None, "twice the name")], "code string, name string")
     assert sorted((r.name, r.code or "", r.recovered) for r in repair.recover_codes(asked, known).collect()) == [
-        ("long  enough name", "12345678", True), ("long enough name", "12345678", True), ("long enough name", "91", False), ("short", "", False), ("twice the name", "", False),
+        ("long enough name", "0603XXXX", False), ("long enough name", "12345678", True), ("long enough name", "91", False), ("short", "", False), ("the long  enough name", "12345678", True), ("twice the name", "", False),
     ]
 
 
