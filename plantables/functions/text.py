@@ -129,10 +129,15 @@ def credits_match(a: Column, b: Column) -> Column:
 
 
 def split_bilingual_name(c: Column) -> Column:
-    """the last stretch that is Latin to the end becomes the second name."""
+    """the last stretch that is Latin to the end becomes the second name; brackets left open or shut at their ends go."""
     second = F.regexp_extract(c, r"([A-Za-z][A-Za-z0-9 &,.'()#-]*)$", 1)
     first = F.trim(F.substr(c, F.lit(1), F.length(c) - F.length(second)))
-    return F.struct(first.alias("first"), F.trim(second).alias("second"))
+
+    def trimmed(x: Column) -> Column:
+        opened, shut = F.length(F.regexp_replace(x, r"[^(]", "")), F.length(F.regexp_replace(x, r"[^)]", ""))
+        return F.trim(F.when(opened > shut, F.regexp_replace(x, r"\s*\(\s*$", "")).when(shut > opened, F.regexp_replace(x, r"^\s*\)|\)\s*$", "")).otherwise(x))
+
+    return F.struct(trimmed(first).alias("first"), trimmed(F.trim(second)).alias("second"))
 
 
 def join_wrapped_parts(parts: Column) -> Column:
@@ -147,6 +152,27 @@ def stem_and_number(c: Column) -> Column:
     return F.struct(F.regexp_replace(bare, "[0-9]+$", "").alias("stem"), F.regexp_extract(bare, "([0-9]+)$", 1).try_cast("int").alias("number"))
 
 
+def slot_number(c: Column) -> Column:
+    """the number, 1 to 20, that a slot's name ends with before an "or"; else null."""
+    head = F.trim(F.get(F.split(c, r"(?i)\bor\b|หรือ"), F.lit(0)))
+    number = F.regexp_extract(head, "([0-9]{1,9})$", 1).try_cast("int")
+    return F.when(number.between(1, 20), number)
+
+
+def normalize_category(c: Column, aliases: dict[str, str]) -> Column:
+    """a category by its other names, without spaces and case; others stay as they are."""
+    bare = F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    known = [x for k, v in aliases.items() for x in (F.lit("".join(k.lower().split())), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*known), bare), F.trim(c)) if known else F.trim(c)
+
+
+def pages_of_row(*columns: Column) -> Column:
+    """the pages of the first of some columns that has any, each read as positive_pages, else by its numbers."""
+    none = F.array().cast("array<int>")
+    each = [F.when(F.size(positive_pages(c)) > 0, positive_pages(c)).otherwise(F.coalesce(loose_pages(c), none)) for c in columns]
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in each), none)
+
+
 def normalize_prerequisite(c: Column) -> Column:
     """the distinct codes, sorted; '' for a word that says none."""
     codes = F.array_join(F.array_sort(F.array_distinct(course_codes(c))), " ")

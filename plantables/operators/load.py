@@ -56,6 +56,17 @@ def upsert(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 
+def merge_sources(rows: DataFrame, key: list[str], order: list[str], source: str) -> DataFrame:
+    """S3: merge_first() with `sources`, those of all rows of the key in their own order."""
+    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    return merge_first(rows, key, order).join(listed, key)
+
+
+def replace_programs(old: DataFrame, new: DataFrame, program: list[str], key: list[str], ordinal: str) -> DataFrame:
+    """Plan or slot rows after a load: a program that is loaded again has only its new rows, the last of each key."""
+    return old.join(new.select(*program).distinct(), program, "left_anti").unionByName(upsert(new, key, ordinal))
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """What is added, and the new rows whose key is there already."""
     held = old.select(*key).distinct()

@@ -82,11 +82,22 @@ def code_tally(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def list_catalog(plan: DataFrame) -> DataFrame:
-    """Q18: programs with their editions, and the tracks of each."""
+def list_catalog(plan: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """Q18: programs with their editions, and the tracks of each; the default is the active(program, edition) one, else the first."""
     tracks = plan.groupBy("program", "edition").agg(F.array_join(F.array_sort(F.collect_set(F.col("track").cast("string"))), ",").alias("tracks"))
     editions = F.transform(F.array_sort(F.collect_list(F.struct("edition", "tracks"))), lambda x: F.concat(x["edition"].cast("string"), F.lit(":"), x["tracks"]))
-    return tracks.groupBy("program").agg(F.array_join(editions, ";").alias("editions"), F.min("edition").alias("default_edition"))
+    listed = tracks.groupBy("program").agg(F.array_join(editions, ";").alias("editions"), F.min("edition").alias("__first"))
+    chosen = listed.withColumn("default_edition", F.col("__first")) if active is None else listed.join(active.groupBy("program").agg(F.min("edition").alias("__active")), "program", "left").withColumn("default_edition", F.coalesce("__active", "__first"))
+    return chosen.select("program", "editions", "default_edition")
+
+
+def compare_counts(plan: DataFrame, over: str, first, second, by: list[str]) -> DataFrame:
+    """By program: real codes on both sides and on one only, and for each side its rows, placeholders and codes that are neither."""
+    sides = compare(plan, over, first, second, by).groupBy(*by).agg(*(F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("common", "first_only", "second_only")))
+    tally = code_tally(plan.filter(F.col(over).isin(first, second)), [*by, over])
+    each = [tally.filter(F.col(over) == v).select(*by, *(F.col(f"n_{c}").alias(f"{s}_{c}") for c in ("rows", "placeholder", "invalid"))) for s, v in (("first", first), ("second", second))]
+    joined = sides.join(each[0], by, "full").join(each[1], by, "full")
+    return joined.na.fill(0, [c for c in joined.columns if c not in by])
 
 
 def compare(plan: DataFrame, over: str, first, second, by: list[str], where: Column | None = None) -> DataFrame:

@@ -157,12 +157,21 @@ add(
 )
 add(
     "q18_list_catalog",
-    lambda s, d: query.list_catalog(_plan(s, d)),
-    oracle(", t as (select program, edition, string_agg(distinct cast(track as varchar), ',' order by cast(track as varchar)) as tracks from plan_item group by all) select program, string_agg(edition || ':' || tracks, ';' order by edition) as editions, min(edition) as default_edition from t group by program"),
+    lambda s, d: query.list_catalog(_plan(s, d), s.createDataFrame([("P1", 1), ("P2", 0)], "program string, edition int")),
+    oracle(", t as (select program, edition, string_agg(distinct cast(track as varchar), ',' order by cast(track as varchar)) as tracks from plan_item group by all) select program, string_agg(edition || ':' || tracks, ';' order by edition) as editions, case when program = 'P1' then 1 else min(edition) end as default_edition from t group by program"),
 )
 SIDES = ", s as (select {by}, code, bool_or({over} = {a}) as a, bool_or({over} = {b}) as b from plan_item where regexp_full_match(code, '[0-9]{{8}}') and {over} in ({a}, {b}) group by all) select {by}, code, case when a and b then 'common' when a then 'first_only' else 'second_only' end as side from s"
 add("e1_compare_editions", lambda s, d: query.compare(_plan(s, d), "edition", 0, 1, ["program", "track"]), oracle(SIDES.format(by="program, track", over="edition", a=0, b=1)))
 add("e2_compare_tracks", lambda s, d: query.compare(_plan(s, d), "track", 0, 1, ["program", "edition"]), oracle(SIDES.format(by="program, edition", over="track", a=0, b=1)))
+add(
+    "e2_compare_counts",
+    lambda s, d: query.compare_counts(_plan(s, d).withColumn("code", F.expr("case when id % 50 = 0 then right(code, 6) else code end")), "track", 0, 1, ["program", "edition"]),
+    oracle(
+        """, p as (select program, edition, track, case when id % 50 = 0 then right(code, 6) else code end as code from plan_item), q as (select *, regexp_full_match(code, '[0-9]{8}') as real, starts_with(code, 'PLACEHOLDER_') as held from p),
+s as (select program, edition, code, bool_or(track = 0) as a, bool_or(track = 1) as b from q where real group by all), n as (select program, edition, cast(count_if(a and b) as bigint) as n_common, cast(count_if(a and not b) as bigint) as n_first_only, cast(count_if(b and not a) as bigint) as n_second_only from s group by all)
+select program, edition, n_common, n_first_only, n_second_only, cast(count_if(track = 0) as bigint) as first_rows, cast(count_if(track = 0 and held) as bigint) as first_placeholder, cast(count_if(track = 0 and not held and not real) as bigint) as first_invalid, cast(count_if(track = 1) as bigint) as second_rows, cast(count_if(track = 1 and held) as bigint) as second_placeholder, cast(count_if(track = 1 and not held and not real) as bigint) as second_invalid from q join n using (program, edition) group by all"""
+    ),
+)
 add(
     "e3_union",
     lambda s, d: _plan(s, d).select("code").union(roles.elective_slot(s, d).select("code")).union(_pre(s, d).select(F.col("requires").alias("code"))).distinct(),

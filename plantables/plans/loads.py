@@ -47,6 +47,16 @@ add(
     ).select("path", "sha256"),
     "select 'docs/' || doc_id as path, sha256(text) as sha256 from documents where doc_id % 10 <> 0",
 )
+add(
+    "s3_merge_sources",
+    lambda s, d: load.merge_sources(roles.plan_item(s, d).selectExpr("program", "code", "track", "id", "type as source"), ["program", "code"], ["track", "id"], "source"),
+    oracle("select program, code, arg_min(track, track * 1000000000000 + id) as track, arg_min(id, track * 1000000000000 + id) as id, arg_min(type, track * 1000000000000 + id) as source, list_sort(list_distinct(list(type))) as sources from plan_item group by program, code"),
+)
+add(
+    "s5_replace_programs",
+    lambda s, d: load.replace_programs(roles.plan_item(s, d).select("program", "track", "code", "credits", "id"), roles.plan_item(s, d).filter("program in ('P1', 'P3') and track = 0 and id % 2 = 0").select("program", "track", "code", "credits", "id"), ["program", "track"], ["program", "track", "code"], "id"),
+    oracle("select program, track, code, credits, id from plan_item where not (program in ('P1', 'P3') and track = 0) union all select program, track, code, credits, id from (select *, row_number() over (partition by program, code order by id desc) as r from plan_item where program in ('P1', 'P3') and track = 0 and id % 2 = 0) where r = 1"),
+)
 add(
     "s5_upsert",
     lambda s, d: load.upsert(roles.plan_item(s, d).select("program", "code", "credits", "id"), ["program", "code"], "id"),

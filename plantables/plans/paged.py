@@ -38,6 +38,18 @@ select doc_id, section, start, coalesce((select min(page_no) from lines l where
         "greatest(start, nxt - 1)", "case when nxt is not null then greatest(start, nxt - 1) end"
     ).replace(" as end from n", ' as "end" from n'),
 )
+add(
+    "p4_sections_inferred",
+    lambda s, d: pages.sections(lines(s, d), {"coop": "^The and", "nocoop": "^Was ", "text": "^In "}, "ly\\.$", ["coop", "nocoop"], ("plan", "^Of "), ("nocoop", "coop", "^And ")).select("doc_id", "section", "start"),
+    f"""with {LINES}, f as (select doc_id, min(case when regexp_matches(text, '^The and') then page_no end) as c, min(case when regexp_matches(text, '^Was ') then page_no end) as n, min(case when regexp_matches(text, '^In ') then page_no end) as t, min(case when regexp_matches(text, '^Of ') then page_no end) as g, min(case when regexp_matches(text, '^And ') then page_no end) as l from lines group by doc_id),
+h as (select doc_id, c, coalesce(n, case when l < c then l end) as n, t, g from f)
+select * from (select doc_id, 'coop' as section, c as start from h union all select doc_id, 'nocoop', n from h union all select doc_id, 'text', t from h union all select doc_id, 'plan', case when c is null and n is null then g end from h) where start is not null""",
+)
+add(
+    "p5_shared_codes",
+    lambda s, d: pages.assign_section(lines(s, d).select("doc_id", "page_no", F.concat(F.lit("c"), F.col("page_no") % 7).alias("code")), table(s, d, "documents").select("doc_id", F.explode(F.expr("array(struct('a' as section, 1 as start, 4 as `end`), struct('b' as section, 5 as start, 1000000 as `end`))")).alias("s")).select("doc_id", "s.*"), s.createDataFrame([("c3",)], "code string")).select("doc_id", "page_no", "section"),
+    f"with {LINES} select doc_id, page_no, case when page_no <= 4 then 'a' else 'b' end as section from lines where page_no % 7 <> 3 union all select doc_id, page_no, unnest(['a', 'b']) from lines where page_no % 7 = 3",
+)
 add(
     "p5_assign_section",
     lambda s, d: pages.assign_section(lines(s, d).select("doc_id", "page_no"), lines(s, d).groupBy("doc_id").agg(F.max("page_no").alias("n")).filter("n > 3").select("doc_id", F.explode(F.expr("array(struct('a' as section, 2 as start, 4 as `end`), struct('b' as section, 4 as start, 6 as `end`))")).alias("s")).select("doc_id", "s.*")),
@@ -75,6 +87,12 @@ add(
     """select o_orderkey, '{"o_orderkey":' || o_orderkey || ',"s":{"o_orderstatus":"' || o_orderstatus || '"}}' as y from orders""",
 )
 
+add(
+    "p10_first_sql",
+    lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "'<think>select x</think>Sure:\\n```sql\\n' || case o_orderkey % 3 when 0 then 'SELECT a\\nfrom t' when 1 then 'with q as (select 1) select * from q' else 'no query' end || ';\\n``` done' as x").select("o_orderkey", pages.first_sql("x").alias("y")),
+    "select o_orderkey, case o_orderkey % 3 when 0 then 'SELECT a' || chr(10) || 'from t' when 1 then 'with q as (select 1) select * from q' end as y from orders",
+)
+
 
 def html_pages(s, d):
     """One table an order: the order's key spans its rows; then part and quantity, by line."""

@@ -114,3 +114,18 @@ add(
     lambda s, d: part(s, d, "case when p_size % 3 = 0 then '3 or 4' else '2' end as a", "case when p_size % 4 > 0 then '' || (p_size % 5) end as b", "case when p_size % 7 > 0 then '9' end as c").select("p_partkey", f.pick_credits(F.col("a"), F.col("b"), F.col("c")).alias("y")),
     "select p_partkey, case when b is not null and contains(a, ' or ') and contains(a, b) then a else coalesce(b, c, a) end as y from (select p_partkey, case when p_size % 3 = 0 then '3 or 4' else '2' end as a, case when p_size % 4 > 0 then '' || (p_size % 5) end as b, case when p_size % 7 > 0 then '9' end as c from part)",
 )
+add(
+    "f17_slot_number",
+    lambda s, d: part(s, d, "case p_partkey % 4 when 0 then 'Elective ' || p_size || ' or group 1-4' when 1 then 'Elective' || p_size % 10 when 2 then 'Choice ' || p_partkey || '00' else 'none' end as x").select("p_partkey", f.slot_number(F.col("x")).alias("y")),
+    "select p_partkey, cast(case p_partkey % 4 when 0 then case when p_size between 1 and 20 then p_size end when 1 then nullif(p_size % 10, 0) end as int) as y from part",
+)
+add(
+    "f19_normalize_category",
+    lambda s, d: part(s, d, "case p_partkey % 3 when 0 then ' Free  Elective' when 1 then 'GENERALEDUCATION' else ' core ' end as x").select("p_partkey", f.normalize_category(F.col("x"), {"free elective": "free", "general education": "general"}).alias("y")),
+    "select p_partkey, case p_partkey % 3 when 0 then 'free' when 1 then 'general' else 'core' end as y from part",
+)
+add(
+    "f20_pages_of_row",
+    lambda s, d: part(s, d, "case p_partkey % 3 when 0 then '[' || p_size || ', 0]' when 1 then 'p. ' || p_size else '[]' end as x", "'' || p_partkey as z").select("p_partkey", f.pages_of_row(F.col("x"), F.col("z")).alias("y")),
+    "select p_partkey, case when p_partkey % 3 < 2 and p_size > 0 then [p_size::int] else [p_partkey::int] end as y from part",
+)
