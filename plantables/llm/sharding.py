@@ -105,9 +105,10 @@ def _ranked(rows: DataFrame, total: int, shards: int) -> tuple[DataFrame, dict[i
     part = F.pmod(F.xxhash64(F.coalesce("hub", "node"), F.when(single, F.lit(0)).otherwise(F.lit(1))), F.lit(groups))
     part = F.when(single, part + groups).otherwise(part)
     rows = rows.withColumn("part", part)
-    # a group that holds a large hub is several, by a hash of the row
-    wide = cut(rows.groupBy("shard", "part").agg(F.ceil(F.count("*") / RANKED_ROWS).cast("int").alias("width")), "widths")
-    rows = rows.join(F.broadcast(wide), ["shard", "part"]).withColumn("sub", F.pmod(F.xxhash64("node", "row", F.lit("sub")), F.col("width")).cast("int"))
+    # a group that holds a large hub is several, by a hash of the node
+    size = max(1, min(RANKED_ROWS, total // (shards * groups)))
+    wide = cut(rows.groupBy("shard", "part").agg(F.ceil(F.count("*") / size).cast("int").alias("width")), "widths")
+    rows = rows.join(wide, ["shard", "part"]).withColumn("sub", F.pmod(F.xxhash64("node", F.lit("sub")), F.col("width")).cast("int"))
     sizes = rows.groupBy("shard", "part", "sub").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "part", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("part", "sub")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("shard", "part", "sub").orderBy("hub", "node", "size", "text_crc32", "row")
