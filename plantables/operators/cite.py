@@ -11,12 +11,28 @@ from pyspark.sql import functions as F
 
 
 def resolve_names(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(name) against (alias, code): codes of an alias equal without spaces and case; status unique, ambiguous or none."""
-    bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    by = lexicon.groupBy(bare(F.col("alias")).alias("__k")).agg(F.count_distinct("code").alias("n"), F.min("code").alias("code"))
-    joined = asked.select("name").distinct().withColumn("__k", bare(F.col("name"))).join(by, "__k", "left")
-    status = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "unique").otherwise("ambiguous")
-    return joined.select("name", F.when(F.col("n") == 1, F.col("code")).alias("code"), status.alias("status"))
+    """(name) against (alias, code) -> name, codes (sorted), code where there is one, and status unique, ambiguous or none.
+
+    Codes of the aliases equal without spaces and case; only where there is
+    none, those of all aliases that hold the name. For these a name is joined
+    by the one of its three-letter pieces that the fewest aliases have.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
+    stored = lexicon.select(bare(F.col("alias")).alias("__k"), "code").filter("__k <> ''").distinct()
+    names = asked.select("name").distinct().withColumn("__k", bare(F.col("name")))
+    same = names.join(stored, "__k").select("name", "code")
+    rest = names.join(same, "name", "left_anti").filter("__k <> ''")
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))
+    short = F.length("__k") < 3
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.length("__k")), lambda i: F.array(F.substr("__k", i, F.lit(1)), F.substr("__k", i, F.lit(2)))))
+    spread = stored.select("code", "__k").withColumn("__piece", F.explode(F.array_distinct(F.concat(pieces(F.col("__k")), ends))))
+    often = spread.groupBy("__piece").agg(F.count("*").alias("__n"))
+    rare = rest.withColumn("__piece", F.explode(F.when(short, F.array("__k")).otherwise(pieces(F.col("__k"))))).join(often, "__piece").groupBy("name", "__k").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
+    within = rare.join(spread.withColumnRenamed("__k", "__in"), "__piece").filter(F.contains("__in", "__k")).select("name", "code")
+    found = same.unionByName(within).groupBy("name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    joined = asked.select("name").distinct().join(found, "name", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    n = F.size("codes")
+    return joined.select("name", "codes", F.when(n == 1, F.get("codes", F.lit(0))).alias("code"), F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("status"))
 
 
 def citations(evidence: DataFrame, plan: DataFrame, course: DataFrame) -> DataFrame:
@@ -67,6 +83,23 @@ def evaluate_requirements(leaves: DataFrame, nodes: DataFrame, depth: int) -> Da
     return done.unionByName(now.join(nodes, "node").filter("parent is null").select("student", "node", "value"))
 
 
+def requirement_leaves(students: DataFrame, leaves: DataFrame, completed: DataFrame, approved: DataFrame) -> DataFrame:
+    """(student, node, value) for leaves(node, code, min_grade, equivalent) of each student.
+
+    completed(student, code, grade): a course not completed is false; with a
+    least grade it is unknown while the grade is. approved(student, code): a
+    leaf of an approved equivalent is true with it, else unknown. A leaf
+    without a course is unknown.
+    """
+    each = students.select("student").crossJoin(F.broadcast(leaves))
+    done = completed.groupBy("student", "code").agg(F.max("grade").alias("__grade"), F.lit(True).alias("__done"))
+    given = approved.select("student", F.col("code").alias("equivalent"), F.lit(True).alias("__approved")).distinct()
+    joined = each.join(done, ["student", "code"], "left").join(given, ["student", "equivalent"], "left")
+    course = F.when(F.col("__done").isNull(), False).when(F.col("min_grade").isNull(), True).otherwise(F.col("__grade") >= F.col("min_grade"))
+    value = F.when(F.col("equivalent").isNotNull(), F.col("__approved")).when(F.col("code").isNotNull(), course)
+    return joined.select("student", "node", value.alias("value"))
+
+
 def requirement_minimums(required: DataFrame, earned: DataFrame, by: list[str]) -> DataFrame:
     """(category, least) against earned credits: met, short, or unknown without a record."""
     joined = required.join(earned, by, "left")
@@ -74,46 +107,82 @@ def requirement_minimums(required: DataFrame, earned: DataFrame, by: list[str])
     return joined.select(*by, "least", "credits", status.alias("status"))
 
 
-MENTIONS = "id long, start int, end int, alias string, code string, n_codes int"
+MENTIONS = "id long, start int, end int, alias string, code string, codes array<string>"
+#: Aliases that are broadcast at a time; a larger lexicon goes over the texts in several passes.
+LEXICON_PART = 200_000
 
 
-def match_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def match_mentions(texts: DataFrame, lexicon: DataFrame, part: int = LEXICON_PART) -> DataFrame:
     """(id, text) against (alias, code) -> spans that don't overlap: the longest first, then the earliest.
 
     Case and the amount of white space don't count; where an alias begins or
     ends with an ASCII letter, digit or underscore, none may stand beside it.
-    code is null where an alias has several. Spans are places in the text
-    with single spaces. The lexicon is one catalog's names and is broadcast.
+    code is null where an alias has several; codes lists them. Spans are
+    places in the text with single spaces. Ids tell texts apart. The aliases
+    are counted: up to `part` of them are broadcast at a time, and what several
+    passes find is put together by text.
     """
     spark = texts.sparkSession
     key = F.lower(F.trim(F.regexp_replace("alias", r"(?U)\s+", " ")))
-    known = lexicon.groupBy(key.alias("alias")).agg(F.count_distinct("code").alias("n"), F.min("code").alias("code")).filter("alias <> ''")
-    given = spark.sparkContext.broadcast([(r.alias, r.code if r.n == 1 else None, r.n) for r in known.toLocalIterator()])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = ahocorasick.Automaton()
-        for entry in given.value:
-            search.add_word(entry[0], entry)
-        if given.value:
-            search.make_automaton()
-        for b in batches:
-            out: list[tuple] = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out += [(i, *x) for x in mentions(" ".join((text or "").split()).lower(), search if given.value else None)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)], [x.split()[0] for x in MENTIONS.split(", ")])
-
-    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, MENTIONS)
+    known = lexicon.groupBy(key.alias("alias")).agg(F.array_sort(F.collect_set("code")).alias("codes")).filter("alias <> ''")
+    passes = max(1, -(-known.count() // part))
+    named = texts.select(F.col("id").cast("long"), F.col("text").cast("string"))
+
+    def scan(given, whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = ahocorasick.Automaton()
+            for alias, codes in given.value:
+                search.add_word(alias, (alias, codes))
+            if given.value:
+                search.make_automaton()
+            for b in batches:
+                out: list[tuple] = []
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    hits = mentions(" ".join((text or "").split()).lower(), search if given.value else None)
+                    out += [(i, *x) for x in (longest(hits) if whole else hits)]
+                yield _spans(out)
+
+        return run
+
+    found = None
+    for k in range(passes):
+        rows = known.filter(F.pmod(F.xxhash64("alias"), F.lit(passes)) == k)
+        given = spark.sparkContext.broadcast([(r.alias, r.codes) for r in rows.toLocalIterator()])
+        hits = named.mapInArrow(scan(given, passes == 1), MENTIONS)
+        found = hits if found is None else found.unionByName(hits)
+    if passes == 1:
+        return found
+
+    def together(hits: pa.Table) -> pa.Table:
+        i = hits["id"][0].as_py()
+        rows = [tuple(x.values()) for x in hits.drop_columns(["id"]).to_pylist()]
+        return pa.Table.from_batches([_spans([(i, *x) for x in longest([(s, e, a, c) for s, e, a, _, c in rows])])])
+
+    return found.groupBy("id").applyInArrow(together, MENTIONS)
+
+
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (id, start, end, alias, codes) as MENTIONS."""
+    whole = [(i, s, e, a, c[0] if len(c) == 1 else None, c) for i, s, e, a, c in rows]
+    columns = list(zip(*whole, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in MENTIONS.split(", ")])
 
 
 def mentions(text: str, search) -> list[tuple]:
+    """All hits (start, end, alias, codes) with free edges."""
     word = lambda c: c.isascii() and (c.isalnum() or c == "_")
     hits = []
-    for last, (alias, code, n) in search.iter(text) if search else ():
+    for last, (alias, codes) in search.iter(text) if search else ():
         start, end = last - len(alias) + 1, last + 1
         if not (word(alias[0]) and start and word(text[start - 1]) or word(alias[-1]) and end < len(text) and word(text[end])):
-            hits.append((start, end, alias, code, n))
-    taken, out = bytearray(len(text)), []
+            hits.append((start, end, alias, codes))
+    return hits
+
+
+def longest(hits: list[tuple]) -> list[tuple]:
+    """Of overlapping hits the longest, then the earliest; in order."""
+    taken, out = bytearray(max((h[1] for h in hits), default=0)), []
     for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
         if not any(taken[hit[0] : hit[1]]):
             taken[hit[0] : hit[1]] = b"\1" * (hit[1] - hit[0])

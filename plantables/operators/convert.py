@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from plantables.functions import text as f
 from plantables.operators.evaluate import align_multipass, field_stats
-from plantables.operators.pages import assign_section
+from plantables.operators import repair
+from plantables.operators.pages import assign_alt_groups, assign_section, explode_tables, grid_rows, group_entries, group_rowspan_rows
+from plantables.sources.scratch import written
 
 
 #: Characters of a name's piece by which names are joined.
@@ -37,7 +39,7 @@ def convert_rows(rows: DataFrame, scope: list[str]) -> dict[str, DataFrame]:
     one = each.withColumn("__code", F.explode("__codes")).withColumns(
         {
             "code": F.coalesce(f.placeholder_code(F.col("__code")), F.col("__code")),
-            "alt_group": F.when(F.col("__n") > 1, F.concat(F.lit("alt-"), F.col("ordinal").cast("string"))),
+            "alt_group": F.coalesce(F.col("alt_group") if "alt_group" in rows.columns else F.lit(None), F.when(F.col("__n") > 1, F.concat(F.lit("alt-"), F.col("ordinal").cast("string")))),
             "known_credits": F.col("__c.credits"),
             "planned": F.coalesce(F.col("year").between(1, 8) & F.col("semester").between(1, 3), F.lit(False)),
         }
@@ -231,3 +233,36 @@ def split_by_variant(rows: DataFrame, spans: DataFrame, steps) -> tuple[DataFram
         rows = step(rows)
     routed = assign_section(rows, spans)
     return routed, routed.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_codes"))
+
+
+def convert_documents(pages: DataFrame, heading: str = r"(?i)year\s*([0-9])\s*semester\s*([0-9])", description: str = r"^[0-9]{8}\s", follow: str = r"(?i)^prerequisite\s*:") -> dict[str, DataFrame]:
+    """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), and `rows`, the repaired rows.
+
+    In the order of the reference: tables with the heading in force (T1, T3,
+    T5), rows and alternatives (T7, T8), description blocks (D1, D2); then
+    codes by name (R4), mixed groups (R24), names by vote (R7), credits from
+    descriptions and series (R13), prerequisites; last the tables (R3). A page
+    without a term heading takes that of the pages before it. A document is
+    the scope; text on pages in no table is only read for descriptions. What
+    tables and descriptions hold is written once, as the repairs read it often.
+    """
+    tables = explode_tables(pages)
+    order = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.when(F.col("text").rlike(heading), F.struct(F.regexp_extract("text", heading, 1).cast("int").alias("year"), F.regexp_extract("text", heading, 2).cast("int").alias("semester")))
+    terms = pages.select("doc_id", "page_no", F.last(own, ignorenulls=True).over(order).alias("t")).select("doc_id", "page_no", "t.year", "t.semester")
+    entries = written(assign_alt_groups(group_entries(group_rowspan_rows(grid_rows(tables))), tables.select("doc_id", "page_no", "table_no").join(terms, ["doc_id", "page_no"])), "entries")
+    lines = pages.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"(?is)<table.*?</table>", ""), "\n")).alias("at", "line"), "page_no").select("doc_id", (F.col("page_no") * 1_000_000 + F.col("at")).alias("line_no"), F.trim("line").alias("line"))
+    described = written(parse_blocks(description_blocks(lines, description, follow)), "described")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "table_no", "grp", "entry"))
+    rows = entries.withColumn("ordinal", place.cast("long")).withColumn("category", F.lit(None).cast("string"))
+    per_doc = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
+    known = described.select(per_doc(F.col("name")).alias("name"), "code")
+    rows = repair.recover_codes(rows.withColumns({"__name": F.col("name"), "name": per_doc(F.col("name"))}), known).withColumn("name", F.col("__name")).drop("__name", "note")
+    rows = repair.dissolve_mixed_groups(rows, ["doc_id", "year", "semester"])
+    read = rows.select(per_doc(F.col("code")).alias("code"), "name", F.lit("table").alias("source")).filter("code is not null").unionByName(described.select(per_doc(F.col("code")).alias("code"), "name", F.lit("description").alias("source")))
+    voted = repair.vote_names(read).select("code", F.col("name").alias("__name"))
+    rows = rows.withColumn("__key", per_doc(F.col("code"))).join(voted.withColumnRenamed("code", "__key"), "__key", "left").withColumn("name", F.coalesce("__name", "name")).drop("__key", "__name")
+    given = described.select("doc_id", "code", F.col("credits").alias("__credits"), "prerequisite")
+    rows = rows.join(given, ["doc_id", "code"], "left").withColumn("credits", F.coalesce(F.nullif("credits", F.lit("")), F.nullif("__credits", F.lit("")))).drop("__credits")
+    rows = repair.impute_from_series(rows, ["doc_id"])
+    return {"rows": rows, **convert_rows(rows, ["doc_id"])}

@@ -197,6 +197,31 @@ add(
 select doc_id, section, count(*) as n_rows, count(distinct code) as n_codes from k, s where p between a and b or p not between 20 and 90 group by all"""
     ),
 )
+#: An order as a document of two pages: a plan table under a heading, with a pair, a row without credits and a series
+#: whose credits aren't all printed; then descriptions with names, credits and prerequisites.
+K1, K2, K3 = ("lpad('' || (o_orderkey % 10000000 + " + n + "), 8, '1')" for n in ("0", "1", "2"))
+PLAN_PAGE = f"""'Year ' || (o_orderkey % 4 + 1) || ' Semester ' || (o_orderkey % 2 + 1) || '\n<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>'
+|| '<tr><td rowspan=2>' || {K1} || '<br>or ' || {K2} || '</td><td>First course of many</td><td>3(3-0-6)</td></tr><tr><td>Second course of many</td><td></td></tr>'
+|| '<tr><td>' || {K3} || '</td><td>Third course of many</td><td></td></tr>'
+|| '<tr><td>0603xxxx</td><td>Skill 1</td><td>1(0-2-1)</td></tr><tr><td>0604xxxx</td><td>Skill 3</td><td></td></tr></table>'"""
+TEXT_PAGE = f"""{K1} || ' First course of many 3(3-0-6)\nPrerequisite: none\nwords\n' || {K3} || ' Third course of many 2(2-0-4)\nPrerequisite: ' || {K1} || '\nmore'"""
+
+
+def _books(s, d):
+    return table(s, d, "orders").selectExpr("o_orderkey as doc_id", f"explode(array(struct(1 as page_no, {PLAN_PAGE} as text), struct(2 as page_no, {TEXT_PAGE} as text))) as p").select("doc_id", "p.*")
+
+
+add(
+    "r28_convert_plan",
+    lambda s, d: convert.convert_documents(_books(s, d))["plan"].select("doc_id", "code", "year", "semester", "credits", "alt_group"),
+    f"""select o_orderkey as doc_id, unnest([{K1}, {K2}, {K3}, 'PLACEHOLDER_0603XXXX', 'PLACEHOLDER_0604XXXX']) as code, cast(o_orderkey % 4 + 1 as int) as year, cast(o_orderkey % 2 + 1 as int) as semester, unnest([3, 3, 2, 1, 3]) as credits,
+unnest(['alt_y' || (o_orderkey % 4 + 1) || 's' || (o_orderkey % 2 + 1) || '_1', 'alt_y' || (o_orderkey % 4 + 1) || 's' || (o_orderkey % 2 + 1) || '_1', null, null, null]) as alt_group from orders""",
+)
+add(
+    "r28_convert_prerequisites",
+    lambda s, d: convert.convert_documents(_books(s, d))["prerequisite"],
+    f"select distinct {K3} as code, {K1} as requires, 'pre' as kind from orders",
+)
 add(
     "c0_program_present",
     lambda s, d: checks.program_present(roles.plan_item(s, d), roles.plan_item(s, d).filter("not (program = 'P3' and track = 1)").select(*SCOPE).distinct()),

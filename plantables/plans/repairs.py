@@ -186,10 +186,11 @@ select code, coalesce(case when credits > 9 then 'own' end, b.category) as categ
 
 add(
     "n2_resolve_names",
-    lambda s, d: cite.resolve_names(table(s, d, "part").selectExpr("case p_partkey % 3 when 0 then upper(p_name) when 1 then replace(p_name || ' ' || p_brand, ' ', '  ') else p_brand || 'z' end as name"), roles.course(s, d).selectExpr("name_th as alias", "code").union(roles.course(s, d).selectExpr("name_en as alias", "code"))),
+    lambda s, d: cite.resolve_names(table(s, d, "part").selectExpr("case p_partkey % 4 when 0 then upper(p_name) when 1 then replace(p_name || ' ' || p_brand, ' ', '  ') when 2 then p_brand || 'z' else substring(p_name || p_brand, 3, 12) end as name"), roles.course(s, d).selectExpr("name_th as alias", "code").union(roles.course(s, d).selectExpr("name_en as alias", "code"))),
     oracle(
-        """, l as (select lower(replace(a, ' ', '')) as k, count(distinct code) as n, min(code) as code from (select name_th as a, code from course union all select name_en, code from course) group by k), q as (select distinct case p_partkey % 3 when 0 then upper(p_name) when 1 then replace(p_name || ' ' || p_brand, ' ', '  ') else p_brand || 'z' end as name from part)
-select name, case when n = 1 then code end as code, case when n is null then 'none' when n = 1 then 'unique' else 'ambiguous' end as status from q left join l on k = lower(replace(name, ' ', ''))"""
+        """, l as (select distinct lower(replace(a, ' ', '')) as k, code from (select name_th as a, code from course union all select name_en, code from course)), q as (select distinct case p_partkey % 4 when 0 then upper(p_name) when 1 then replace(p_name || ' ' || p_brand, ' ', '  ') when 2 then p_brand || 'z' else substring(p_name || p_brand, 3, 12) end as name from part), b as (select name, lower(replace(name, ' ', '')) as k from q),
+u as (select k, list_sort(list_distinct(list(code))) as c from l group by k), k2 as (select distinct b.k from b where k not in (select k from u)), w as (select k2.k, list_sort(list_distinct(flatten(list(u.c)))) as c from k2 join u on contains(u.k, k2.k) group by k2.k)
+select name, coalesce(u.c, w.c, []::varchar[]) as codes, case when len(coalesce(u.c, w.c)) = 1 then coalesce(u.c, w.c)[1] end as code, case when coalesce(u.c, w.c) is null then 'none' when len(coalesce(u.c, w.c)) = 1 then 'unique' else 'ambiguous' end as status from b left join u using (k) left join w on w.k = b.k"""
     ),
 )
 add(
@@ -237,6 +238,16 @@ add(
     _requirements,
     f"with v as (select c_custkey as student, {', '.join(V.format(n=n) + f' as v{n}' for n in range(1, 6))} from customer) select student, 'top' as node, (v1 and v2) or (v3 or v4) as value from v union all select student, 'leaf5', v5 from v",
 )
+add(
+    "n7_requirement_leaves",
+    lambda s, d: cite.requirement_leaves(
+        table(s, d, "customer").selectExpr("c_custkey as student"),
+        s.createDataFrame([("a", "C1", None, None), ("b", "C2", 2.5, None), ("c", None, None, "C3"), ("d", None, None, None)], "node string, code string, min_grade double, equivalent string"),
+        table(s, d, "customer").selectExpr("c_custkey as student", "'C' || (c_custkey % 3) as code", "case when c_custkey % 5 > 0 then c_custkey % 5 * 1.0D end as grade"),
+        table(s, d, "customer").filter("c_custkey % 7 = 0").selectExpr("c_custkey as student", "'C3' as code"),
+    ),
+    "select c_custkey as student, unnest(['a', 'b', 'c', 'd']) as node, unnest([c_custkey % 3 = 1, case when c_custkey % 3 <> 2 then false when c_custkey % 5 > 0 then c_custkey % 5 >= 2.5 end, case when c_custkey % 7 = 0 then true end, null]) as value from customer",
+)
 add(
     "n8_requirement_minimums",
     lambda s, d: cite.requirement_minimums(

@@ -112,3 +112,83 @@ def test_partition_count_does_not_matter(spark):
     df = spark.range(500).selectExpr("cast(id % 7 as string) as code", "id as ordinal", "cast(id % 13 as int) as v")
     one, many = (rows(repair.dedupe_fill(df.repartition(n), ["code"], ["v"]), "code", "ordinal", "v") for n in (1, 8))
     assert one == many
+
+
+def traced(ref, hyp):
+    """Counts by a whole table and a way back: match, then substitution, then deletion, then insertion."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            d[i][j] = d[i - 1][j - 1] if ref[i - 1] == hyp[j - 1] else 1 + min(d[i - 1][j - 1], d[i - 1][j], d[i][j - 1])
+    i, j, s, x, y = len(ref), len(hyp), 0, 0, 0
+    while i or j:
+        if i and j and ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
+            i, j, s = i - 1, j - 1, s + 1
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i, x = i - 1, x + 1
+        else:
+            j, y = j - 1, y + 1
+    return d[len(ref)][len(hyp)], s, x, y
+
+
+def test_edit_counts_take_ties_in_order():
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(2))
+        assert evaluate.edits(a, b) == traced(a, b), (a, b)
+
+
+def test_field_stats_count_edits_words_and_samples(spark):
+    rng = random.Random(3)
+    names = [" ".join("".join(rng.choices("abAB ", k=4)) for _ in range(rng.randint(0, 3))) for _ in range(80)]
+    pairs = list(zip(range(40), names[::2], names[1::2], strict=True))
+    df = spark.createDataFrame([*pairs, (40, None, "x"), (41, "same  Name", "SAME name")], "id int, truth_name string, pred_name string")
+    got = evaluate.field_stats(df, ["name"], words=["name"], key="id").first()
+    strict, word = (lambda t: "".join((t or "").lower().split())), (lambda t: (t or "").lower().split())
+    want, wrong, n_words = [0] * 4, 0, 0
+    for r in df.collect():
+        want = [a + b for a, b in zip(want, traced(strict(r.truth_name), strict(r.pred_name)), strict=True)]
+        wrong += traced(word(r.truth_name), word(r.pred_name))[0]
+        n_words += len(word(r.truth_name))
+    assert [got.errors, got["sub"], got["del"], got["ins"]] == want and (got.word_errors, got.ref_words) == (wrong, n_words)
+    assert got.wer == round(wrong / n_words, 6) and len(got.samples) == 5 and got["items"] == 42
+    missed = df.withColumn("gone", F.col("id") < 10)
+    assert evaluate.field_stats(missed, ["name"], missed="gone", exempt=["name"]).first()["items"] == 32
+
+
+def test_broken_table_headers_and_long_spans():
+    assert [r["cells"] for r in pages.grid("<tr><th rowspan=2>Code<td>Name</td><td>Credits</td></th></tr><tr><td>1</td><td>a&nbsp;b</td><td>3</td></tr>")] == [["Code", "Name", "Credits"], ["1", "a b", "3"]]
+    assert [r["cells"] for r in pages.grid('<tr><th colspan="2" rowspan="2"><td>Code</td><td>Name</td></th></tr>')] == [["Code", "Name"]]
+    spans = "<tr><td rowspan='3'>a</td><td>b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>X</td><td>Y</td><td>Z</td></tr>"
+    assert pages.grid(spans)[2] == {"cells": ["X", "Y", "Z"], "inherited": [False] * 3}
+
+
+def test_mentions_in_several_passes(spark):
+    texts = spark.createDataFrame([(1, "the big MIT License and licenses, MIT license"), (2, None), (3, "no hit")], "id long, text string")
+    lexicon = spark.createDataFrame([("MIT License", "a"), ("license", "b"), ("License", "c"), ("big MIT", "d"), ("the", "e")], "alias string, code string")
+    one, many = (rows(cite.match_mentions(texts, lexicon, part=n), "id", "start", "end", "alias", "code", "codes") for n in (100, 1))
+    assert one == many and [(r[3], r[4]) for r in one] == [("the", "e"), ("mit license", "a"), ("mit license", "a")]
+
+
+def test_alike_names_are_found_wherever_they_differ(spark):
+    from difflib import SequenceMatcher
+
+    from plantables.operators import convert
+
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcde ", k=rng.randint(1, 40))).strip() or "z" for _ in range(60)]
+    asked = []
+    for name in base:
+        letters = list(name)
+        for _ in range(rng.randint(0, 4)):
+            letters[rng.randrange(len(letters))] = rng.choice("abcdexyz")
+        asked.append("".join(letters))
+    named = spark.createDataFrame([(0, f"{i:08d}", n) for i, n in enumerate(base)], "doc_id int, code string, name string")
+    df = spark.createDataFrame([(0, i, "PLACEHOLDER_X", n) for i, n in enumerate(asked)], "doc_id int, id int, code string, name string")
+    got = {r.id: r.code for r in convert.code_by_name(df, named).collect()}
+    for i, name in enumerate(asked):
+        scores = [(SequenceMatcher(None, name, n, autojunk=False).ratio(), -k) for k, n in enumerate(base)]
+        best = max(scores)
+        assert got[i] == (f"{-best[1]:08d}" if best[0] >= 0.9 else "PLACEHOLDER_X"), (name, got[i])
