@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plantables.llm import langid
@@ -47,3 +48,38 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(odd).collect() if r.doc_id] == [("und", 0.0)] * 3
     assert langid.identify(odd.limit(0)).count() == 0
     assert langid.known(docs.limit(5)).columns == docs.columns
+
+
+def plain_ranked(text, size):
+    counts = Counter()
+    for g, n in plain_ngrams(text).items():
+        counts[code(g)] += n
+    return sorted(counts, key=lambda g: (-counts[g], g))[:size]
+
+
+def test_distances_match_brute_force():
+    texts = {"a": "the thing and the other " * 3, "b": "der und die das schön über", "c": "x y z"}
+    size = 30
+    rows = [(lang, g, r) for lang, t in texts.items() for r, g in enumerate(plain_ranked(t, size))]
+    profiles = langid.Profiles(rows, size)
+    for text in (*texts.values(), "the und thing", "Привет", "a", "the " * 3000 + "über", "ÄÖ the"):
+        own = plain_ranked(text, size)
+        assert langid.ranked(text, size).tolist() == own
+        away = {}
+        for lang in texts:
+            place = {g: r for one, g, r in rows if one == lang}
+            away[lang] = sum(abs(i - place[g]) if g in place else size for i, g in enumerate(own))
+        best = min(sorted(away), key=away.get)
+        assert profiles.predict(text) == (best, pytest.approx(1 - away[best] / (size * len(own))))
+
+
+def test_unknown_languages_go(spark):
+    learned = [(i, "the thing and the other of it", "en") for i in range(30)] + [(100 + i, "der und die das nicht ist", "de") for i in range(30)]
+    asked = [(1001, "Привет мир снова", None), (1002, "12 34", None), (1003, None, None), (1004, "the other thing", None), (1005, "", "en"), (1006, "die und der " * 50_000, "de")]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("which", "score", "lang_pred", "gram", "share")})
+    kept = langid.known(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in learned} | {1004, 1006}
+    assert {r.doc_id for r in langid.known(docs, wanted=frozenset({"de"})).collect()} == {100 + i for i in range(30)} | {1006}
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert found[1002] == found[1003] == found[1005] == ("und", 0.0) and found[1006][0] == "de" and found[1001][1] == 0.0
