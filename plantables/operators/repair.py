@@ -232,6 +232,17 @@ def apply_prerequisites(rows: DataFrame, found: DataFrame, key: list[str]) -> Da
     return joined.withColumn("prerequisite", F.coalesce("__p", "prerequisite")).withColumn("pages", pages).drop("__p", "__pages")
 
 
+def terms_by_group(courses: DataFrame, slots: DataFrame) -> DataFrame:
+    """(doc_id, code, grp) of courses outside the plan: terms of the document's slots (doc_id, grp, term) whose group is
+    theirs, or holds theirs or is held by it, white space aside. A document has few groups."""
+    bare = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    asked = courses.select("doc_id", bare(F.col("grp")).alias("__g")).filter("__g <> ''").distinct()
+    given = slots.select("doc_id", bare(F.col("grp")).alias("__s"), "term").filter("__s <> ''").distinct()
+    met = asked.join(given, "doc_id").filter(F.contains("__g", "__s") | F.contains("__s", "__g"))
+    terms = met.groupBy("doc_id", "__g").agg(F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"))
+    return courses.withColumn("__g", bare(F.col("grp"))).join(terms, ["doc_id", "__g"]).select("doc_id", "code", "terms")
+
+
 def terms_by_prefix(courses: DataFrame, slots: DataFrame, least: int = 5) -> DataFrame:
     """Terms of all slots whose code prefix (digits before the wildcard, `least` or more) a course code starts with.
 
@@ -278,15 +289,19 @@ def vote_printed(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def resolve_orphans(rows: DataFrame, index: DataFrame, known: DataFrame, keywords: dict[str, str]) -> DataFrame:
-    """Rows without a code get it from the index of unique names, else from known rows, else from a keyword; tier tells which, null for none."""
+    """Rows without a code get it from the index of unique names, else from known rows, else from a keyword, else from the
+    known wildcard row (the least code) of the same series stem; tier tells which, null for none."""
 
     def unique(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(_bare(F.col("name")).alias("__k")).agg(F.when(F.count_distinct("code") == 1, F.min("code")).alias(name))
 
     word = F.coalesce(*(F.when(F.lower("name").contains(k), v) for k, v in keywords.items())) if keywords else F.lit(None).cast("string")
-    joined = rows.withColumn("__k", _bare(F.col("name"))).join(unique(index, "__one"), "__k", "left").join(unique(known, "__two"), "__k", "left").withColumn("__three", word)
-    tier = F.when(F.col("__one").isNotNull(), "index").when(F.col("__two").isNotNull(), "known").when(F.col("__three").isNotNull(), "keyword")
-    return joined.withColumn("tier", tier).withColumn("code", F.coalesce("__one", "__two", "__three")).drop("__k", "__one", "__two", "__three")
+    stem = lambda c: F.regexp_replace(_bare(c), "[0-9]+$", "")
+    series = known.filter(F.lower("code").contains("x")).groupBy(stem(F.col("name")).alias("__stem")).agg(F.min("code").alias("__four")).filter("__stem <> ''")
+    joined = rows.withColumns({"__k": _bare(F.col("name")), "__stem": stem(F.col("name"))}).join(unique(index, "__one"), "__k", "left").join(unique(known, "__two"), "__k", "left").join(series, "__stem", "left").withColumn("__three", word)
+    found = ["__one", "__two", "__three", "__four"]
+    tier = F.coalesce(*(F.when(F.col(c).isNotNull(), t) for c, t in zip(found, ("index", "known", "keyword", "series"), strict=True)))
+    return joined.withColumn("tier", tier).withColumn("code", F.coalesce(*found)).drop("__k", "__stem", *found)
 
 
 def recover_missing(terms: DataFrame, names: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame:
@@ -303,15 +318,19 @@ def recover_missing(terms: DataFrame, names: DataFrame, rows: DataFrame, least:
 
 
 def series_gaps(rows: DataFrame, deficits: DataFrame, by: list[str]) -> DataFrame:
-    """Numbers missing from a series (stem, number, credits), put in the only term whose deficit is the series' credits.
+    """Numbers missing from a series (stem, number, credits, term), put in a term whose deficit is the credits of its sibling.
 
-    rows and deficits (term, deficit) have `by`. A series of unlike credits is left alone.
+    The sibling is the row of the next number there is. Its own term is taken
+    if it lacks just that, else the only term that does. rows and
+    deficits(term, deficit) have `by`.
     """
-    series = rows.groupBy(*by, "stem").agg(F.max("number").alias("last"), F.collect_set("number").alias("held"), F.min("credits").alias("credits"), F.max("credits").alias("__most")).filter("credits = __most")
-    gaps = series.select(*by, "stem", "credits", F.explode(F.array_except(F.sequence(F.lit(1), F.col("last")), "held")).alias("number"))
-    joined = gaps.join(deficits, by).filter("deficit = credits")
-    w = Window.partitionBy(*by, "stem", "number")
-    return joined.withColumn("__n", F.count("*").over(w)).filter("__n = 1").select(*by, "stem", "number", "credits", "term")
+    series = rows.groupBy(*by, "stem").agg(F.max("number").alias("last"), F.collect_set("number").alias("held"))
+    gaps = series.select(*by, "stem", F.explode(F.array_except(F.sequence(F.lit(1), F.col("last")), "held")).alias("number"))
+    later = rows.select(*by, "stem", F.col("number").alias("__no"), "credits", F.col("term").alias("__own"))
+    sibling = gaps.join(later, [*by, "stem"]).filter("__no > number").groupBy(*by, "stem", "number").agg(F.min(F.struct("__no", "credits", "__own")).alias("s"))
+    joined = sibling.select(*by, "stem", "number", "s.credits", "s.__own").join(deficits, by).filter("deficit = credits")
+    found = joined.groupBy(*by, "stem", "number", "credits").agg(F.max(F.when(F.col("term") == F.col("__own"), F.col("term"))).alias("__own"), F.count("*").alias("__n"), F.min("term").alias("__only"))
+    return found.withColumn("term", F.coalesce("__own", F.when(F.col("__n") == 1, F.col("__only")))).filter("term is not null").select(*by, "stem", "number", "credits", "term")
 
 
 def trim_to_printed(rows: DataFrame, printed: DataFrame) -> DataFrame:
@@ -322,6 +341,34 @@ def trim_to_printed(rows: DataFrame, printed: DataFrame) -> DataFrame:
     return rows.join(best, ["code", "name"], "left").withColumn("name", F.coalesce("__best", "name")).drop("__best").select(*rows.columns)
 
 
+def trim_glued(rows: DataFrame, printed: DataFrame, least: int = 8) -> DataFrame:
+    """A name that goes on for `least` characters or more, white space aside, beyond the only printed name of its code is cut to it."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    single = printed.filter("name <> ''").groupBy("code").agg(F.when(F.count_distinct(bare(F.col("name"))) == 1, F.min("name")).alias("__p")).filter("__p is not null")
+    joined = rows.join(single, "code", "left")
+    glued = F.startswith(bare(F.col("name")), bare(F.col("__p"))) & (F.length(bare(F.col("name"))) - F.length(bare(F.col("__p"))) >= least)
+    return joined.withColumn("name", F.when(glued, F.col("__p")).otherwise(F.col("name"))).select(*rows.columns)
+
+
+def restore_spacing(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """A name without white space becomes the one spaced form that is printed of it; where several are, it stays."""
+    bare = F.regexp_replace("name", r"(?U)\s+", "")
+    spaced = printed.filter(F.col("name").rlike(r"(?U)\s")).groupBy(bare.alias("__k")).agg(F.when(F.count_distinct("name") == 1, F.min("name")).alias("__p"))
+    joined = rows.join(spaced, F.col("name") == F.col("__k"), "left")
+    return joined.withColumn("name", F.coalesce("__p", "name")).select(*rows.columns)
+
+
+def drop_recovered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Recovered rows of a code that a term (by) has anyway go; a group that such a row was in takes the kept row in, if that is in none."""
+    first = F.min_by(F.struct("ordinal"), "ordinal")
+    kept = rows.filter(~F.col("recovered")).groupBy(*by, "code").agg(first.alias("__kept"), F.lit(True).alias("__there"))
+    gone = rows.filter("recovered").join(kept.select(*by, "code", "__kept"), [*by, "code"]).filter("alt_group is not null").groupBy(*by, "code").agg(F.min("alt_group").alias("__group"))
+    joined = rows.join(kept, [*by, "code"], "left").join(gone, [*by, "code"], "left")
+    heir = ~F.col("recovered") & F.col("alt_group").isNull() & (F.col("__kept.ordinal") == F.col("ordinal"))
+    left = joined.filter(~(F.col("recovered") & F.coalesce("__there", F.lit(False))))
+    return left.withColumn("alt_group", F.when(heir, F.col("__group")).otherwise(F.col("alt_group"))).select(*rows.columns)
+
+
 def group_numbered_slots(rows: DataFrame, by: list[str]) -> DataFrame:
     """Slots of one number and two or more labels in a term are alternatives of each other."""
     label = F.regexp_replace(F.regexp_replace("name", r"\s+", ""), "[0-9]+$", "")

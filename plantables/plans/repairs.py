@@ -270,12 +270,12 @@ select doc_id, coalesce(case k when 'ofthe' then 'OF  the' when 'theof' then 'th
 add(
     "r9_resolve_orphans",
     lambda s, d: repair.resolve_orphans(
-        table(s, d, "part").selectExpr("p_partkey as id", "case p_partkey % 4 when 0 then p_name || p_partkey when 1 then upper(p_brand) || ' ' || p_partkey when 2 then 'Free choice' else 'nothing' end as name"),
-        table(s, d, "part").filter("p_partkey % 8 < 6").selectExpr("p_name || ' ' || p_partkey as name", "'I' || p_partkey as code"),
-        table(s, d, "part").selectExpr("p_brand || p_partkey as name", "'K' || p_partkey % 2 as code"),
+        table(s, d, "part").selectExpr("p_partkey as id", "case p_partkey % 5 when 0 then p_name || p_partkey when 1 then upper(p_brand) || ' ' || p_partkey when 2 then 'Free choice' when 3 then 'Group choice ' || p_partkey else 'nothing' end as name"),
+        table(s, d, "part").filter("p_partkey % 5 < 3").selectExpr("p_name || ' ' || p_partkey as name", "'I' || p_partkey as code"),
+        table(s, d, "part").selectExpr("p_brand || p_partkey as name", "'K' || p_partkey % 2 as code").unionByName(table(s, d, "part").selectExpr("'Group  choice' || (p_partkey % 3 + 1) || '0000000' as name", "'0603xxx' || p_partkey % 2 as code")),
         {"free": "XXXXXXXX"},
     ).select("id", "code", "tier"),
-    "select p_partkey as id, case p_partkey % 4 when 0 then 'I' || p_partkey when 1 then 'K1' when 2 then 'XXXXXXXX' end as code, case p_partkey % 4 when 0 then 'index' when 1 then 'known' when 2 then 'keyword' end as tier from part",
+    "select p_partkey as id, case p_partkey % 5 when 0 then 'I' || p_partkey when 1 then 'K' || p_partkey % 2 when 2 then 'XXXXXXXX' when 3 then '0603xxx0' end as code, case p_partkey % 5 when 0 then 'index' when 1 then 'known' when 2 then 'keyword' when 3 then 'series' end as tier from part",
 )
 add(
     "r10_recover_missing",
@@ -290,11 +290,39 @@ select * from m where not (code = 'e' and term % 2 = 0) and not (code = 'a' and
 add(
     "r11_series_gaps",
     lambda s, d: repair.series_gaps(
-        table(s, d, "part").filter("p_partkey % 5 <> 2 or p_partkey % 3 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "'s' as stem", "cast(p_partkey % 10 + 1 as int) as number", "3 as credits"),
-        table(s, d, "part").filter("p_partkey % 5 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "p_partkey as term", "cast(case when p_partkey % 7 = 0 then 3 else 1 end as int) as deficit"),
+        table(s, d, "part").filter("p_partkey % 5 <> 2 or p_partkey % 3 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "'s' as stem", "cast(p_partkey % 10 + 1 as int) as number", "3 as credits", "p_partkey - p_partkey % 5 as term"),
+        table(s, d, "part").filter("p_partkey % 5 = 0").selectExpr("cast(floor(p_partkey / 10) as bigint) as k", "p_partkey as term", "cast(case when p_partkey % 7 < 3 then 3 else 1 end as int) as deficit"),
         ["k"],
     ),
-    """with g as (select cast(floor(p_partkey / 10) as bigint) as k, cast(p_partkey % 10 + 1 as int) as number from part where p_partkey % 5 = 2 and p_partkey % 3 <> 0), t as (select cast(floor(p_partkey / 10) as bigint) as k, min(p_partkey) as term from part where p_partkey % 5 = 0 and p_partkey % 7 = 0 group by all having count(*) = 1) select k, 's' as stem, number, 3 as credits, term from g join t using (k)""",
+    """with g as (select p_partkey as p, cast(floor(p_partkey / 10) as bigint) as k, cast(p_partkey % 10 + 1 as int) as number from part where p_partkey % 5 = 2 and p_partkey % 3 <> 0), s as (select g.*, (select min(q.p_partkey) from part q where cast(floor(q.p_partkey / 10) as bigint) = g.k and q.p_partkey > g.p and (q.p_partkey % 5 <> 2 or q.p_partkey % 3 = 0)) as sib from g),
+t as (select cast(floor(p_partkey / 10) as bigint) as k, p_partkey as term from part where p_partkey % 5 = 0 and p_partkey % 7 < 3), n as (select k, count(*) as n, min(term) as sole from t group by k)
+select k, 's' as stem, number, 3 as credits, coalesce(t.term, case when n = 1 then sole end) as term from s join n using (k) left join t on t.k = s.k and t.term = sib - sib % 5 where sib is not null and coalesce(t.term, case when n = 1 then sole end) is not null""".replace("select k, 's'", "select s.k, 's'"),
+)
+add(
+    "r18_trim_glued",
+    lambda s, d: repair.trim_glued(table(s, d, "part").selectExpr("p_partkey as code", "replace(p_name, ' ', '') || case p_partkey % 3 when 0 then ' and more of it' when 1 then ' short' else '' end as name"), table(s, d, "part").selectExpr("p_partkey as code", "p_name as name").union(table(s, d, "part").filter("p_partkey % 4 = 0").selectExpr("p_partkey as code", "p_name || ' other' as name"))),
+    "select p_partkey as code, case when p_partkey % 3 = 0 and p_partkey % 4 > 0 then p_name else replace(p_name, ' ', '') || case p_partkey % 3 when 0 then ' and more of it' when 1 then ' short' else '' end end as name from part",
+)
+add(
+    "r18_restore_spacing",
+    lambda s, d: repair.restore_spacing(table(s, d, "part").selectExpr("p_partkey as code", "replace(p_name || p_partkey, ' ', '') as name"), table(s, d, "part").selectExpr("p_name || ' ' || p_partkey as name").union(table(s, d, "part").filter("p_partkey % 4 = 0").selectExpr("replace(p_name, ' ', '  ') || ' ' || p_partkey as name"))),
+    "select p_partkey as code, case when p_partkey % 4 = 0 then replace(p_name || p_partkey, ' ', '') else p_name || ' ' || p_partkey end as name from part",
+)
+add(
+    "r23_drop_recovered",
+    lambda s, d: repair.drop_recovered(plan(s, d, "id % 3 = 0 as recovered").selectExpr("cast(floor(id / 4000) as bigint) as k", "ordinal", "category || type as code", "alt_group", "recovered"), ["k"]).select("ordinal", "alt_group"),
+    oracle(
+        """, r as (select cast(floor(id / 4000) as bigint) as k, id, category || type as code, alt_group, id % 3 = 0 as rec from plan_item), h as (select k, code, min(id) as heir from r where not rec group by all), g as (select r.k, r.code, min(alt_group) as grp from r join h using (k, code) where rec and alt_group is not null group by all)
+select id as ordinal, case when not rec and alt_group is null and id = heir then grp else alt_group end as alt_group from r left join h using (k, code) left join g using (k, code) where not (rec and heir is not null)"""
+    ),
+)
+add(
+    "d5_terms_by_group",
+    lambda s, d: repair.terms_by_group(plan(s, d).selectExpr("cast(floor(id / 1000) as bigint) as doc_id", "id as code", "case when id % 2 = 0 then 'Group ' || category else category end as grp"), plan(s, d).filter("id % 3 = 0").selectExpr("cast(floor(id / 1000) as bigint) as doc_id", "'group' || category as grp", "year || '/' || semester as term")),
+    oracle(
+        """, c as (select cast(floor(id / 1000) as bigint) as doc_id, id as code, category as c from plan_item), s as (select distinct cast(floor(id / 1000) as bigint) as doc_id, category as c, year || '/' || semester as term from plan_item where id % 3 = 0)
+select c.doc_id, code, string_agg(distinct term, ', ' order by term) as terms from c join s on c.doc_id = s.doc_id and (c.c = s.c or (code % 2 = 1 and contains('group' || lower(s.c), lower(c.c)))) group by all"""
+    ),
 )
 add(
     "r18_trim_to_printed",
