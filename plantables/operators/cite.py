@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantables.functions.text import positive_pages
+
 
 def resolve_names(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(name) against (alias, code) -> name, codes (sorted), code where there is one, and status unique, ambiguous or none.
@@ -36,13 +38,19 @@ def resolve_names(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def citations(evidence: DataFrame, plan: DataFrame, course: DataFrame) -> DataFrame:
-    """evidence(id, code, year, semester, page): its owner is plan_item if code, page, year and semester match null-safely, else course by code and page, else unknown."""
-    e, p = evidence.alias("e"), plan.select("code", "year", "semester", "page").distinct().alias("p")
-    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("code", "year", "semester", "page")]
-    hit = e.join(p, same[0] & same[1] & same[2] & same[3], "left_semi").select("id").withColumn("__plan", F.lit(True))
-    own = course.select("code", "page").distinct().withColumn("__course", F.lit(True))
-    joined = evidence.join(hit, "id", "left").join(own, ["code", "page"], "left")
-    return joined.select("id", F.when(F.col("__plan"), "plan_item").when(F.col("__course"), "course").otherwise("unknown").alias("owner"))
+    """evidence(id, code, year, semester, pages as JSON text) -> id, owner, pages; rows without a readable page are left out.
+
+    The owner is plan_item where a row has the code, the same pages, and year
+    and semester, null or not; else course by code and pages; else unknown.
+    plan and course hold pages as arrays.
+    """
+    cited = evidence.withColumn("__pages", positive_pages(F.col("pages"))).filter(F.size("__pages") > 0)
+    own = lambda df, *more: df.select("code", *more, F.array_sort(F.array_distinct("pages")).alias("__pages")).filter(F.size("__pages") > 0).distinct()
+    e, p = cited.alias("e"), own(plan, "year", "semester").alias("p")
+    same = (F.col("e.code") == F.col("p.code")) & (F.col("e.__pages") == F.col("p.__pages"))
+    hit = e.join(p, same & F.col("e.year").eqNullSafe(F.col("p.year")) & F.col("e.semester").eqNullSafe(F.col("p.semester")), "left_semi").select("id").withColumn("__plan", F.lit(True))
+    joined = cited.join(hit, "id", "left").join(own(course).withColumn("__course", F.lit(True)), ["code", "__pages"], "left")
+    return joined.select("id", F.when(F.col("__plan"), "plan_item").when(F.col("__course"), "course").otherwise("unknown").alias("owner"), F.col("__pages").alias("pages"))
 
 
 def pages_of(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -52,11 +60,31 @@ def pages_of(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return each.groupBy(*by).agg(F.array_sort(F.collect_list("page")).alias("pages"))
 
 
-def enrich_citations(cites: DataFrame, documents: DataFrame, page_map: DataFrame) -> DataFrame:
-    """(doc, page) with the printed label, whether it is within the document, and a stable id of what it says."""
-    joined = cites.join(page_map, ["doc", "page"], "left").join(documents.select("doc", "n_pages"), "doc", "left")
-    inside = F.coalesce(F.col("page").between(1, F.col("n_pages")), F.lit(False))
-    return joined.select("doc", "page", F.coalesce("label", F.col("page").cast("string")).alias("label"), inside.alias("verified"), F.sha2(F.concat_ws("|", "doc", "page"), 256).alias("id"))
+def enrich_citations(cites: DataFrame, documents: DataFrame, page_map: DataFrame, identity: list[str]) -> DataFrame:
+    """cites(doc, pages and identity columns) -> a row for each stored page: citation id, basis, pdf_page, label, verified, and all_verified.
+
+    documents(doc, n_pages, basis): pdf, printed or unknown. page_map(doc,
+    page, pdf_page, label, marked, content_verified): marked pages stand as
+    such in the text. A document of unknown basis is one by PDF pages where
+    all of a citation's pages are marked, and so is each marked page by
+    itself. A page outside the document has no pdf_page. A page is verified
+    where its content was and it has a pdf_page; a citation where all its
+    pages are. The id is a hash of what the citation says.
+    """
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc", *identity)]
+    own = cites.withColumn("id", F.concat(F.lit("ref-"), F.substring(F.sha2(F.concat_ws("|", *said, F.array_join("pages", ",")), 256), 1, 16)))
+    each = own.select("doc", "id", F.explode(F.array_distinct("pages")).alias("page")).filter("page > 0").distinct()
+    joined = each.join(page_map, ["doc", "page"], "left").join(documents.select("doc", "n_pages", F.coalesce("basis", F.lit("unknown")).alias("__basis")), "doc", "left")
+    whole = Window.partitionBy("doc", "id")
+    marked, stated = F.coalesce("marked", F.lit(False)), F.coalesce("__basis", F.lit("unknown"))
+    by_page = F.when((stated == "unknown") & marked, "pdf").otherwise(stated)
+    told = joined.withColumns({"basis": F.when((stated == "unknown") & F.min(marked).over(whole), "pdf").otherwise(stated), "__by": by_page})
+    pdf = F.coalesce("pdf_page", F.when(F.col("__by") == "pdf", F.col("page")))
+    told = told.withColumn("pdf_page", F.when((pdf >= 1) & (F.col("n_pages").isNull() | (pdf <= F.col("n_pages"))), pdf))
+    verified = F.col("pdf_page").isNotNull() & F.col("n_pages").isNotNull() & F.coalesce("content_verified", F.lit(False))
+    label = F.coalesce("label", F.when(F.col("__by") == "printed", F.col("page").cast("string")))
+    told = told.withColumns({"label": label, "verified": verified})
+    return told.select("doc", "id", "basis", "page", "pdf_page", "label", "verified", F.min("verified").over(whole).alias("all_verified"))
 
 
 def confirm_claims(claims: DataFrame) -> DataFrame:
@@ -101,10 +129,23 @@ def requirement_leaves(students: DataFrame, leaves: DataFrame, completed: DataFr
 
 
 def requirement_minimums(required: DataFrame, earned: DataFrame, by: list[str]) -> DataFrame:
-    """(category, least) against earned credits: met, short, or unknown without a record."""
+    """(by, least, pages) against earned credits: met, short, or unknown without a record; pages are those of the requirement."""
     joined = required.join(earned, by, "left")
     status = F.when(F.col("credits").isNull(), "unknown").when(F.col("credits") >= F.col("least"), "met").otherwise("short")
-    return joined.select(*by, "least", "credits", status.alias("status"))
+    return joined.select(*by, "least", "pages", "credits", status.alias("status"))
+
+
+def eligibility(asked: DataFrame, course: DataFrame, required: DataFrame, by: list[str], category: str = "free_elective") -> DataFrame:
+    """Whether asked courses (by, code) may count for a category: what is known of them, and its least credits with their pages.
+
+    course(code, credits, source, ..): the row of the last source by name is
+    taken. The status stays unknown, as no table says that a course counts;
+    found tells a course without a record.
+    """
+    last = course.groupBy("code").agg(F.max_by(F.struct("source", "credits"), "source").alias("__c"))
+    least = required.filter(F.col("category") == category).select(*by, F.col("least").alias("minimum"), "pages")
+    joined = asked.join(last, "code", "left").join(least, by, "left")
+    return joined.select(*by, "code", F.col("__c").isNotNull().alias("found"), "__c.source", "__c.credits", "minimum", "pages", F.lit("unknown").alias("status"))
 
 
 MENTIONS = "id long, start int, end int, alias string, code string, codes array<string>"

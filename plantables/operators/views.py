@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantables.functions.text import category_class, format_credits
+
 SCOPE = ["program", "edition", "track"]
 TERM = [*SCOPE, "year", "semester"]
 
@@ -73,32 +73,73 @@ def prerequisite_stats(course: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("code", F.coalesce("n_requires", F.lit(0)).alias("n_requires"), F.coalesce("n_unlocks", F.lit(0)).alias("n_unlocks"))
 
 
-def qa_plan(plan: DataFrame, course: DataFrame) -> DataFrame:
-    """Flat distinct plan rows of real courses; credits are the plan's, else the course's."""
-    c = course.select("code", "name_th", "name_en", F.col("credits").alias("course_credits"))
-    joined = real_courses(plan).join(c, "code", "left")
-    return joined.select(*TERM, "code", "name_th", "name_en", F.coalesce("credits", "course_credits").alias("credits"), "category", "type").distinct()
-
-
-def flatten_prediction(course: DataFrame, plan: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a scope and code with its first term and prerequisite codes; a course in no plan has no scope and term 0."""
-    first = plan.groupBy(*SCOPE, "code").agg(F.min(F.struct("year", "semester", "id", "category")).alias("p"))
-    needs = edges.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("requires")), " ").alias("prerequisite"))
-    both = first.join(course.select("code", "name_th", "credits"), "code", "full").join(needs, "code", "left")
-    zero = F.lit(0)
-    return both.select(*SCOPE, "code", F.coalesce("p.year", zero).alias("year"), F.coalesce("p.semester", zero).alias("semester"), "p.category", "name_th", "credits", F.coalesce("prerequisite", F.lit("")).alias("prerequisite"))
-
-
-def lexicon(course: DataFrame, suffix: str = " [A-Za-z]+#[0-9]+$", shortest: int = 6) -> DataFrame:
-    """Names and their codes; a short alias, with the suffix cut off, where that leaves enough."""
-    alias = F.regexp_replace("name_en", suffix, "")
-    names = reduce(
-        DataFrame.unionByName,
-        (
-            course.select(F.col("name_th").alias("alias"), "code"),
-            course.select(F.col("name_en").alias("alias"), "code"),
-            course.select(alias.alias("alias"), "code").filter(F.length("alias") >= shortest),
-        ),
-    )
-    return names.filter("alias is not null").distinct().groupBy("alias").agg(F.count("*").alias("n_codes"), F.min("code").alias("first_code"))
+#: Words that a short name does without, before and after.
+NAME_PREFIX = r"^(?:หลักการ|พื้นฐาน|เบื้องต้นเกี่ยวกับ|ความรู้เบื้องต้นเกี่ยวกับ)\s*"
+NAME_SUFFIX = r"\s*(?:เบื้องต้น|ขั้นพื้นฐาน)$"
+
+HOURS = ["lecture_h", "lab_h", "self_h"]
 
+
+def qa_course(course: DataFrame) -> DataFrame:
+    """Flat rows of real courses with their pages; null is unknown."""
+    return real_courses(course).select("code", "name_th", "name_en", "credits", *HOURS, F.col("pages").alias("course_pages"))
+
+
+def qa_plan(plan: DataFrame, course: DataFrame) -> DataFrame:
+    """Flat distinct plan rows of real courses, with the pages of both owners; credits are the plan's, else the course's."""
+    c = course.select("code", "name_th", "name_en", F.col("credits").alias("course_credits"), *HOURS, F.col("pages").alias("course_pages"))
+    joined = real_courses(plan).withColumnRenamed("pages", "plan_pages").join(c, "code", "left")
+    credits = F.coalesce("credits", "course_credits").alias("credits")
+    return joined.select(*TERM, "code", "name_th", "name_en", credits, *HOURS, "category", "type", "alt_group", "course_pages", "plan_pages").distinct()
+
+
+def qa_program(program: DataFrame) -> DataFrame:
+    """What is recorded of a program, and nothing on who may graduate."""
+    return program.select("program_id", "name_th", "name_en", "degree", "total_credits", "years")
+
+
+def flatten_prediction(course: DataFrame, plan: DataFrame, edges: DataFrame, slots: DataFrame) -> DataFrame:
+    """Plan, slots and courses folded back to one row a scope and code; a course in neither has no scope.
+
+    Term, category and type are the first in the plan that aren't empty, else
+    the slot's; the term is 0 where there is none. Slots give their terms and
+    a name to codes without a course. Credits are text with the hours, where
+    all are known; prerequisites are the codes that edges require.
+    """
+    at = F.struct("year", "semester", "id")
+    first_of = lambda c: F.min_by(c, F.when(F.col(c) != "", at)).alias(c)
+    planned = plan.groupBy(*SCOPE, "code").agg(F.min(at).alias("p"), first_of("category"), first_of("type"))
+    slot = slots.groupBy(*SCOPE, "code").agg(*(F.min(F.when(F.col(c) != "", F.col(c))).alias(n) for c, n in (("category", "__category"), ("type", "__type"), ("name_th", "__name"), ("allowed_terms", "allowed_terms"))))
+    needs = edges.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("requires")), ", ").alias("prerequisite"))
+    credits = format_credits(F.col("credits"), *map(F.col, HOURS)).alias("credits")
+    both = planned.join(slot, [*SCOPE, "code"], "full").join(course.select("code", "name_th", credits), "code", "full").join(needs, "code", "left")
+    filled = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), d).alias(c)
+    return both.select(
+        *SCOPE, "code", *(F.coalesce(f"p.{c}", F.lit(0)).alias(c) for c in ("year", "semester")), F.coalesce("category", "__category").alias("category"), F.coalesce("type", "__type").alias("type"),
+        filled("name_th", F.col("__name")), "credits", "allowed_terms", F.coalesce("prerequisite", F.lit("")).alias("prerequisite"),
+    )
+
+
+def lexicon(course: DataFrame, prefix: str = NAME_PREFIX, suffix: str = NAME_SUFFIX, shortest: int = 6, least: int = 3) -> DataFrame:
+    """Names of `least` characters and more, with their codes; and short aliases, of which a word was cut at either end, twice at most.
+
+    An alias that is another course's name has the codes of both.
+    """
+    cut = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, prefix, ""), suffix, ""))
+    shorter = lambda c: F.when(F.length(cut(c)) >= shortest, cut(c))
+    names = course.select("code", F.explode(F.array(F.trim("name_th"), F.trim("name_en"))).alias("name")).filter(F.length("name") >= least)
+    once = names.withColumn("once", shorter(F.col("name")))
+    forms = once.select("code", F.explode(F.array("name", "once", shorter(F.col("once")))).alias("alias")).filter("alias is not null").distinct()
+    return forms.groupBy("alias").agg(F.count("*").alias("n_codes"), F.min("code").alias("first_code"), F.array_sort(F.collect_list("code")).alias("codes"))
+
+
+#: How types are written.
+TYPES = {"required": ["บังคับ"], "elective": ["เลือก"]}
+
+
+def vocabulary(plan: DataFrame, types: dict[str, list[str]] | None = None) -> DataFrame:
+    """(field, kind, value): the ways in which each class of categories and each kind of types is written."""
+    kind = F.coalesce(*(F.when(F.trim("type").isin(ways), F.lit(k)) for k, ways in (types or TYPES).items()))
+    category = plan.select(F.lit("category").alias("field"), category_class(F.col("category")).alias("kind"), F.col("category").alias("value"))
+    kinds = plan.select(F.lit("type").alias("field"), kind.alias("kind"), F.col("type").alias("value"))
+    return category.unionByName(kinds).filter("kind is not null").distinct()

@@ -58,25 +58,49 @@ add(
     lambda s, d: views.prerequisite_stats(_course(s, d), _pre(s, d)),
     oracle("select code, (select count(distinct requires) from prerequisite e where e.code = c.code and kind = 'pre') as n_requires, (select count(distinct e.code) from prerequisite e where e.requires = c.code and kind = 'pre') as n_unlocks from course c"),
 )
+add("v10_qa_course", lambda s, d: views.qa_course(_course(s, d)), oracle(f"select code, name_th, name_en, credits, lecture_h, lab_h, self_h, pages as course_pages from course where {REAL}"))
 add(
     "v10_qa_plan",
     lambda s, d: views.qa_plan(_plan(s, d), _course(s, d)),
-    oracle(f"select distinct {T}, code, name_th, name_en, coalesce(p.credits, c.credits) as credits, category, type from plan_item p left join course c using (code) where {REAL}"),
+    oracle(
+        f"select distinct {T}, code, name_th, name_en, coalesce(p.credits, c.credits) as credits, lecture_h, lab_h, self_h, category, type, alt_group, c.pages as course_pages, p.pages as plan_pages from plan_item p left join course c using (code) where {REAL}"
+    ),
+)
+add(
+    "v10_qa_program",
+    lambda s, d: views.qa_program(roles.table(s, d, "supplier").selectExpr("s_suppkey as program_id", "s_name as name_th", "s_name as name_en", "'D' || s_nationkey as degree", "s_nationkey * 10 as total_credits", "s_nationkey % 8 + 1 as years", "s_acctbal")),
+    "select s_suppkey as program_id, s_name as name_th, s_name as name_en, 'D' || s_nationkey as degree, s_nationkey * 10 as total_credits, s_nationkey % 8 + 1 as years from supplier",
 )
+SLOT_CODE = "case when code like '%4' then 'S' || right(code, 7) else code end as code"
+SLOT_MORE = "case when credits > 3 then 'slot' else '' end as type", "'slot ' || category as name_th"
 add(
     "v11_flatten_prediction",
-    lambda s, d: views.flatten_prediction(_course(s, d), _plan(s, d), _pre(s, d)),
+    lambda s, d: views.flatten_prediction(_course(s, d), _plan(s, d).selectExpr("* except (category)", "case when id % 3 > 0 then category else '' end as category"), _pre(s, d), roles.elective_slot(s, d).selectExpr("* except (code)", SLOT_CODE, *SLOT_MORE)),
     oracle(
-        f""", f as (select {S}, code, year, semester, category from (select *, row_number() over (partition by {S}, code order by year, semester, id) as r from plan_item) where r = 1),
-n as (select code, array_to_string(list_sort(list_distinct(list(requires))), ' ') as prerequisite from prerequisite group by code)
-select {S}, code, coalesce(year, 0) as year, coalesce(semester, 0) as semester, category, name_th, credits, coalesce(prerequisite, '') as prerequisite from f full join (select code, name_th, credits from course) c using (code) left join n using (code)"""
+        f""", p as (select *, case when id % 3 > 0 then category end as cat from plan_item),
+f as (select {S}, code, min({{'y': year, 's': semester, 'i': id}}) as k, arg_min(cat, {{'y': year, 's': semester, 'i': id}}) filter (cat is not null) as cat, arg_min(type, {{'y': year, 's': semester, 'i': id}}) filter (type <> '') as typ from p group by all),
+l as (select {S}, {SLOT_CODE}, category as lc, case when credits > 3 then 'slot' end as lt, 'slot ' || category as ln, allowed_terms from elective_slot),
+n as (select code, array_to_string(list_sort(list_distinct(list(requires))), ', ') as prerequisite from prerequisite group by code),
+c as (select code, name_th, coalesce(credits || '(' || lecture_h || '-' || lab_h || '-' || self_h || ')', '' || credits) as credits from course)
+select {S}, code, coalesce(k.y, 0) as year, coalesce(k.s, 0) as semester, coalesce(cat, lc) as category, coalesce(typ, lt) as type, coalesce(name_th, ln) as name_th, credits, allowed_terms, coalesce(prerequisite, '') as prerequisite
+from f full join l using ({S}, code) full join c using (code) left join n using (code)"""
     ),
 )
+CUT = "trim(regexp_replace(regexp_replace({}, '^(?:small|large|red)\\s*', ''), '\\s*(?:bolt|Brand#1|Brand#2)$', ''))"
 add(
     "v12_lexicon",
-    lambda s, d: views.lexicon(_course(s, d)),
+    lambda s, d: views.lexicon(_course(s, d), r"^(?:small|large|red)\s*", r"\s*(?:bolt|Brand#1|Brand#2)$"),
+    oracle(
+        f""", n as (select code, trim(unnest([name_th, name_en])) as name from course), a as (select *, {CUT.format('name')} as x from n where length(name) >= 3), b as (select *, case when length(x) >= 6 then x end as once from a),
+e as (select *, {CUT.format('once')} as y from b), f as (select code, name as alias from e union select code, once from e union select code, y from e where length(y) >= 6)
+select alias, count(*) as n_codes, min(code) as first_code, list_sort(list(code)) as codes from f where alias is not null group by alias"""
+    ),
+)
+add(
+    "v12_vocabulary",
+    lambda s, d: views.vocabulary(_plan(s, d).selectExpr("case category when 'R' then 'free ' || year when 'A' then 'General ' || semester when 'N' then category end as category", "type || case when semester = 1 then ' ' else '' end as type"), {"required": ["F"], "elective": ["O"]}),
     oracle(
-        ", a as (select name_th as alias, code from course union select name_en, code from course union select regexp_replace(name_en, ' [A-Za-z]+#[0-9]+$', ''), code from course where length(regexp_replace(name_en, ' [A-Za-z]+#[0-9]+$', '')) >= 6) select alias, count(*) as n_codes, min(code) as first_code from a where alias is not null group by alias"
+        "select distinct 'category' as field, case category when 'R' then 'free_elective' when 'A' then 'general_education' else 'specialized' end as kind, case category when 'R' then 'free ' || year when 'A' then 'General ' || semester else category end as value from plan_item union all select distinct 'type', case type when 'F' then 'required' else 'elective' end, type || case when semester = 1 then ' ' else '' end from plan_item"
     ),
 )
 

@@ -56,10 +56,12 @@ add(
     f"""with {LINES}, p as (select doc_id, page_no from lines where doc_id in (select doc_id from lines group by doc_id having max(page_no) > 3)), s as (select * from (values ('a', 2, 4), ('b', 4, 6)) v(section, f, l))
 select doc_id, page_no, section from p, s where page_no between f and l or page_no not between 2 and 6""",
 )
+#: Lines that hold tables, codes, wildcards, and digits that are none.
+MADE = "text || case page_no % 6 when 0 then ' <table border=1>' when 1 then ' 0123' || (10000 + page_no % 10000) when 2 then ' 0602xxx.' when 3 then ' 1234567890' when 4 then ' xxxxxxxx' else '' end"
 add(
     "p6_description_pages",
-    lambda s, d: lines(s, d).filter(F.lower("text").contains("license") & ~F.contains(F.col("text"), F.lit("<table"))).select("doc_id", "page_no"),
-    f"with {LINES} select doc_id, page_no from lines where contains(lower(text), 'license') and not contains(text, '<table')",
+    lambda s, d: lines(s, d).selectExpr("doc_id", "page_no", f"{MADE} as text").select("doc_id", "page_no", pages.is_description_page(F.col("text"), ["license", "License", "the"]).alias("described"), pages.has_content(F.col("text")).alias("content")),
+    f"with {LINES}, m as (select doc_id, page_no, {MADE} as text from lines) select doc_id, page_no, regexp_matches(text, '[lL]icense|the') and not contains(text, '<table') as described, contains(text, '<table') or regexp_matches(text, '(^|[^0-9xX])([0-9]{{8}}|[0-9]{{2,7}}[xX]{{1,6}}|[xX]{{8}})($|[^0-9xX])') as content from m",
 )
 add(
     "p7_page_lines",

@@ -193,16 +193,18 @@ u as (select k, list_sort(list_distinct(list(code))) as c from l group by k), k2
 select name, coalesce(u.c, w.c, []::varchar[]) as codes, case when len(coalesce(u.c, w.c)) = 1 then coalesce(u.c, w.c)[1] end as code, case when coalesce(u.c, w.c) is null then 'none' when len(coalesce(u.c, w.c)) = 1 then 'unique' else 'ambiguous' end as status from b left join u using (k) left join w on w.k = b.k"""
     ),
 )
+CITED = "case when id % 10 = 0 then '[' || (id * 3 % 200 + 1) || ', 0]' when id % 10 = 1 then 'page 7' else '[' || pages[{}] || ']' end"
 add(
     "n3_citations",
     lambda s, d: cite.citations(
-        plan(s, d).selectExpr("id", "code", "year", "cast(case when id % 6 = 0 then 3 else semester end as int) as semester", "cast(case when id % 10 = 0 then try_cast(right(code, 5) as int) % 300 + 1 else pages[0] end as int) as page"),
-        roles.plan_item(s, d).withColumn("page", F.col("pages")[0]),
-        roles.course(s, d).withColumn("page", F.col("pages")[0]),
+        plan(s, d).selectExpr("id", "code", "case when id % 7 > 0 then year end as year", "cast(case when id % 6 = 0 then 3 else semester end as int) as semester", f"{CITED.format(0)} as pages"),
+        roles.plan_item(s, d).selectExpr("code", "case when id % 7 > 0 then year end as year", "semester", "pages"),
+        roles.course(s, d),
     ),
     oracle(
-        """, e as (select id, code, year, case when id % 6 = 0 then 3 else semester end as semester, case when id % 10 = 0 then try_cast(right(code, 5) as int) % 300 + 1 else pages[1] end as page from plan_item)
-select id, case when exists (select 1 from plan_item p where p.code = e.code and p.year = e.year and p.semester = e.semester and p.pages[1] is not distinct from e.page) then 'plan_item' when exists (select 1 from course c where c.code = e.code and c.pages[1] = e.page) then 'course' else 'unknown' end as owner from e"""
+        f""", e as (select id, code, case when id % 7 > 0 then year end as year, case when id % 6 = 0 then 3 else semester end as semester, case when id % 10 = 0 then cast(id * 3 % 200 + 1 as int) when id % 10 <> 1 then pages[1] end as page from plan_item),
+p as (select distinct code, case when id % 7 > 0 then year end as year, semester, pages[1] as page, true as h from plan_item where pages is not null), c as (select distinct code, pages[1] as page, true as k from course)
+select id, case when h then 'plan_item' when k then 'course' else 'unknown' end as owner, [e.page] as pages from e left join p on p.code = e.code and p.page = e.page and p.year is not distinct from e.year and p.semester is not distinct from e.semester left join c on c.code = e.code and c.page = e.page where e.page is not null"""
     ),
 )
 add(
@@ -210,12 +212,25 @@ add(
     lambda s, d: cite.pages_of(roles.plan_item(s, d).join(roles.course(s, d).select("code", F.col("pages").alias("course_pages")), "code", "left"), ["program", "year", "category"], ["pages", "course_pages"]),
     oracle("select program, year, category, list_sort(list_distinct(flatten([coalesce(flatten(list(p.pages) filter (p.pages is not null)), []::int[]), coalesce(flatten(list(c.pages) filter (c.pages is not null)), []::int[])]))) as pages from plan_item p left join (select code, pages from course) c using (code) group by all"),
 )
+def _page_map(s, d):
+    own = plan(s, d).selectExpr("program as doc", "pages[0] as page").filter("page is not null").distinct().selectExpr("doc", "case when page % 5 = 0 then page + 1000 else page end as page")
+    return own.selectExpr("doc", "page", "case when page % 7 = 0 then page + 40 end as pdf_page", "case when page % 3 = 0 then 'p.' || page end as label", "page % 2 = 0 as marked", "page % 4 > 0 as content_verified")
+
+
 add(
     "n5_enrich_citations",
     lambda s, d: cite.enrich_citations(
-        plan(s, d).selectExpr("program as doc", "pages[0] as page").filter("page is not null").distinct(), s.createDataFrame([(f"P{i}", 100 + 20 * i) for i in range(5)], "doc string, n_pages int"), plan(s, d).selectExpr("program as doc", "pages[0] as page").filter("page % 3 = 0").distinct().selectExpr("*", "'p.' || page as label")
+        plan(s, d).filter("pages is not null").selectExpr("program as doc", "year", "semester", "array(pages[0], pages[0] + 1 - semester % 2) as pages").distinct(),
+        s.createDataFrame([(f"P{i}", 100 + 20 * i, b) for i, b in enumerate(("pdf", "printed", None, "unknown", "unknown"))], "doc string, n_pages int, basis string"), _page_map(s, d), ["year", "semester"],
+    ),
+    oracle(
+        """, c as (select distinct program as doc, year, semester, [pages[1], pages[1] + 1 - semester % 2] as pages from plan_item where pages is not null), i as (select doc, 'ref-' || substring(sha256(doc || '|' || year || '|' || semester || '|' || pages[1] || ',' || pages[2]), 1, 16) as id, pages from c),
+e as (select distinct doc, id, unnest(pages) as page from i), m as (select distinct program as doc, pages[1] + case when pages[1] % 5 = 0 then 1000 else 0 end as page from plan_item where pages is not null),
+j as (select e.*, m.page is not null as known, case doc when 'P0' then 'pdf' when 'P1' then 'printed' else 'unknown' end as b, 100 + 20 * cast(substring(doc, 2) as int) as n from e left join m using (doc, page)),
+k as (select *, known and page % 2 = 0 as marked, min(cast(known and page % 2 = 0 as int)) over (partition by doc, id) as every from j), t as (select *, case when b = 'unknown' and every = 1 then 'pdf' else b end as basis, case when b = 'unknown' and marked then 'pdf' else b end as y from k),
+p as (select *, case when known and page % 7 = 0 then page + 40 when y = 'pdf' then page end as x from t), q as (select *, case when x <= n then x end as pdf_page from p), v as (select *, pdf_page is not null and known and page % 4 > 0 as verified from q)
+select doc, id, basis, page, pdf_page, case when known and page % 3 = 0 then 'p.' || page when y = 'printed' then '' || page end as label, verified, bool_and(verified) over (partition by doc, id) as all_verified from v"""
     ),
-    oracle("select program as doc, page, case when page % 3 = 0 then 'p.' || page else '' || page end as label, page between 1 and 100 + 20 * cast(substring(program, 2) as int) as verified, sha256(program || '|' || page) as id from (select distinct program, pages[1] as page from plan_item where pages is not null)"),
 )
 add(
     "n6_confirm_claims",
@@ -251,10 +266,21 @@ add(
 add(
     "n8_requirement_minimums",
     lambda s, d: cite.requirement_minimums(
-        plan(s, d).select("program", "category").distinct().withColumn("least", F.lit(6000)), plan(s, d).filter("not (program = 'P2' and category = 'R')").groupBy("program", "category").agg(F.sum("credits").alias("credits")), ["program", "category"]
+        plan(s, d).select("program", "category").distinct().withColumns({"least": F.lit(6000), "pages": F.array(F.lit(7), F.lit(9))}), plan(s, d).filter("not (program = 'P2' and category = 'R')").groupBy("program", "category").agg(F.sum("credits").alias("credits")), ["program", "category"]
+    ),
+    oracle(
+        """, e as (select program, category, cast(sum(credits) as bigint) as credits from plan_item where not (program = 'P2' and category = 'R') group by all) select program, category, 6000 as least, [7, 9] as pages, credits, case when credits is null then 'unknown' when credits >= 6000 then 'met' else 'short' end as status from (select distinct program, category from plan_item) left join e using (program, category)"""
+    ),
+)
+
+add(
+    "n8_eligibility",
+    lambda s, d: cite.eligibility(
+        plan(s, d).select("program", "code").distinct(), roles.course(s, d).selectExpr("code", "credits", "explode(case when credits > 2 then array('A', 'B') else array('A') end) as source"),
+        plan(s, d).select("program", "category").distinct().selectExpr("program", "case category when 'R' then 'free_elective' else category end as category", "cast(substring(program, 2) as int) * 3 as least", "array(4, cast(substring(program, 2) as int)) as pages"), ["program"],
     ),
     oracle(
-        """, e as (select program, category, cast(sum(credits) as bigint) as credits from plan_item where not (program = 'P2' and category = 'R') group by all) select program, category, 6000 as least, credits, case when credits is null then 'unknown' when credits >= 6000 then 'met' else 'short' end as status from (select distinct program, category from plan_item) left join e using (program, category)"""
+        "select program, p.code, c.code is not null as found, case when credits > 2 then 'B' when c.code is not null then 'A' end as source, credits, cast(substring(program, 2) as int) * 3 as minimum, [4, cast(substring(program, 2) as int)] as pages, 'unknown' as status from (select distinct program, code from plan_item) p left join course c using (code)"
     ),
 )
 
