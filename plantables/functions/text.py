@@ -234,18 +234,34 @@ def pick_credits(table: Column, described: Column, derived: Column) -> Column:
 PRIMARY = r"[\x{0E00}-\x{0E7F}]"
 
 
+#: Fixed value: what text recognition leaves before a second name: marks, or a torn number.
+SECOND_JUNK = r"^(?:[\s#*\-•>]+|[0-9]{1,2}\s+(?=[A-Z]))+"
+
+
+def _without(c: Column, noise: list[str]) -> Column:
+    """Without noise phrases and credit fragments."""
+    for phrase in noise:
+        c = F.replace(c, F.lit(phrase), F.lit(" "))
+    return F.regexp_replace(c, r"[0-9]{1,2}\s*\([0-9xX\s-]*\)", " ")
+
+
+def _closed(c: Column) -> Column:
+    """Without lone brackets, white space single."""
+    out = F.regexp_replace(F.regexp_replace(c, r"\(([^()]*)$", "$1"), r"^([^()]*)\)", "$1")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def clean_name_primary(c: Column, noise: list[str]) -> Column:
     """without noise phrases, credit fragments, long Latin words but for one short last one, spaces within the primary script, and lone brackets; never empty."""
-    out = c
-    for phrase in noise:
-        out = F.replace(out, F.lit(phrase), F.lit(" "))
-    out = F.regexp_replace(out, r"[0-9]{1,2}\s*\([0-9xX\s-]*\)", " ")
-    out = F.regexp_replace(out, r"[A-Za-z]{4,}", " ")
+    out = F.regexp_replace(_without(c, noise), r"[A-Za-z]{4,}", " ")
     out = F.regexp_replace(out, rf"(?<={PRIMARY})\s+(?={PRIMARY})", "")
-    out = F.regexp_replace(out, r"\(([^()]*)$", "$1")
-    out = F.regexp_replace(out, r"^([^()]*)\)", "$1")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.coalesce(F.nullif(out, F.lit("")), c)
+    return F.coalesce(F.nullif(_closed(out), F.lit("")), c)
+
+
+def clean_name_secondary(c: Column, noise: list[str]) -> Column:
+    """F15, second name: without marks and torn numbers before it, noise phrases, credit fragments and lone brackets; never empty."""
+    out = F.regexp_replace(_closed(_without(c, noise)), SECOND_JUNK, "")
+    return F.coalesce(F.nullif(F.trim(out), F.lit("")), c)
 
 
 def split_by_script(c: Column, n: int | Column) -> Column:

@@ -73,14 +73,33 @@ def normalize_grid_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", line).withColumn("kind", kind).withColumns({"code": got(1), "name": got(2), "credits": got(3)}).drop("line")
 
 
-def drop_repeated(rows: DataFrame, by: list[str], alike: float = 0.97) -> DataFrame:
-    """Rows that inherit the code of the row before with its credits, the same digits in the name and a name alike, go."""
+#: Credits with nothing else, and an "or" at the end.
+ONLY_CREDITS, ENDS_OR = r"^\s*[0-9]{1,2}\s*\([0-9xX]+\s*-\s*[0-9xX]+\s*-\s*[0-9xX]+\)\s*$", r"(?i)(\bor|หรือ)\s*$"
+
+
+def drop_repeated(rows: DataFrame, by: list[str], alike: float = 0.97, label: str = r"(?i)^(elective|วิชาเลือก)") -> DataFrame:
+    """Rows (by, pos, code, name, credits, inherited, inherited_name) without those that repeat the row before.
+
+    A row goes if it inherits its code, which is that of the row before, has
+    the same credits, not empty, the same digits in the name and a name alike;
+    or if it inherits its name, has no credits and the code and name of the
+    row before. Of the rows left, one that inherits the code and has credits
+    only, under an elective (`label`) whose credits end with an "or", is added
+    to that one's credits.
+    """
     w = Window.partitionBy(*by).orderBy("pos")
-    own = rows.withColumns({f"__{c}": F.lag(c).over(w) for c in ("code", "credits", "name")})
+    before = lambda df: df.withColumns({f"__{c}": F.lag(c).over(w) for c in ("code", "credits", "name")})
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    maybe = F.col("inherited") & (F.col("code") == F.col("__code")) & F.col("credits").eqNullSafe(F.col("__credits")) & (digits("name") == digits("__name"))
-    same = own.withColumn("__r", F.when(F.coalesce(maybe, F.lit(False)), ratio("name", "__name")))
-    return same.filter(F.coalesce(F.col("__r") < alike, F.lit(True))).select(*rows.columns)
+    paid = F.trim(F.coalesce("credits", F.lit(""))) != ""
+    same = F.col("code") == F.col("__code")
+    maybe = F.col("inherited") & same & paid & (F.trim("credits") == F.trim("__credits")) & (digits("name") == digits("__name"))
+    again = F.col("inherited_name") & ~paid & same & (F.col("name") == F.col("__name"))
+    told = before(rows).withColumns({"__r": F.when(F.coalesce(maybe, F.lit(False)), ratio("name", "__name")), "__again": F.coalesce(again, F.lit(False))})
+    kept = before(told.filter(~F.col("__again") & F.coalesce(F.col("__r") < alike, F.lit(True))).select(*rows.columns))
+    more = F.coalesce(F.col("inherited") & same & F.col("credits").rlike(ONLY_CREDITS) & F.col("__credits").rlike(ENDS_OR) & F.col("name").rlike(label) & F.col("__name").rlike(label), F.lit(False))
+    marked = kept.withColumn("__more", more)
+    added = F.when(F.lead("__more").over(w), F.concat_ws(" ", F.rtrim("credits"), F.trim(F.lead("credits").over(w)))).otherwise(F.col("credits"))
+    return marked.withColumn("credits", added).filter(~F.col("__more")).select(*rows.columns)
 
 
 def number_series(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -91,6 +110,26 @@ def number_series(rows: DataFrame, by: list[str]) -> DataFrame:
     return own.withColumn("number", F.when(F.col("__has"), F.col("number")).otherwise(top + nth)).drop("__has")
 
 
+def realign_codes(rows: DataFrame, by: list[str], wildcard: str) -> DataFrame:
+    """In a table (by) whose electives hold real codes, the codes slipped: rows (by, pos, code, name, elective).
+
+    The distinct real codes from the first such row on go, in order, to the
+    named rows after it that aren't electives, if they are as many; electives
+    with a real code get the wildcard either way.
+    """
+    w = Window.partitionBy(*by)
+    real = F.coalesce(F.col("code").rlike("^[0-9]{8}$"), F.lit(False))
+    own = rows.withColumns({"__real": real, "__bad": F.col("elective") & real}).withColumn("__from", F.min(F.when(F.col("__bad"), F.col("pos"))).over(w))
+    own = own.withColumn("__slot", F.coalesce(~F.col("elective") & (F.col("pos") > F.col("__from")) & (F.trim("name") != ""), F.lit(False)))
+    own = own.withColumn("__nth", F.when(F.col("__slot"), F.sum(F.col("__slot").cast("int")).over(w.orderBy("pos"))))
+    codes = own.filter("__real and pos >= __from").groupBy(*by, "code").agg(F.min("pos").alias("__pos"))
+    codes = codes.select(*by, F.col("code").alias("__code"), F.row_number().over(w.orderBy("__pos")).alias("__nth"), F.count("*").over(w).alias("__n"))
+    counted = own.withColumn("__slots", F.sum(F.col("__slot").cast("int")).over(w))
+    joined = counted.join(codes, [*by, "__nth"], "left")
+    code = F.when(F.col("__bad"), F.lit(wildcard)).when(F.col("__n") == F.col("__slots"), F.col("__code")).otherwise(F.col("code"))
+    return joined.withColumn("code", code).select(*rows.columns)
+
+
 def catalog_fallback(listed: DataFrame, known: DataFrame, planned: DataFrame) -> DataFrame:
     """Rows of list tables whose code isn't known, for documents that have no plan table."""
     return listed.join(planned.select("doc_id").distinct(), "doc_id", "left_anti").join(known.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
@@ -123,13 +162,38 @@ def code_by_name(rows: DataFrame, named: DataFrame, alike: float = 0.9) -> DataF
     return joined.withColumn("code", F.when(F.col("code").startswith("PLACEHOLDER_"), F.coalesce("__code", "code")).otherwise(F.col("code"))).select(*rows.columns)
 
 
-def description_blocks(lines: DataFrame, heading: str, follow: str, within: int = 4) -> DataFrame:
-    """Block numbers for the lines of a document. A heading opens one only if a line that follows within a few matches `follow`."""
+def description_blocks(
+    lines: DataFrame, heading: str, follow: str, within: int = 4, bare: str | None = None, listed: tuple[str, str] | None = None, category: str | None = None, group: str | None = None, most: int = 8
+) -> DataFrame:
+    """Lines of a document (doc_id, line_no, line) with opens, block, kind, category and group.
+
+    A heading opens a block; one of a code only (`bare`; without it each
+    heading) does so only if a line that follows within a few matches
+    `follow`, and the line before is no part of a list. Lines after the first
+    label of `listed` and before the next line of its second, `most` lines
+    on at the latest, go on with the list of codes: kind listed. Lines of
+    category and group headings are carried to the lines below; a category
+    ends the group. kind is head, category, group, listed or text.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    follows = F.col("line").rlike(follow).cast("int")
-    soon = F.max(follows).over(w.rowsBetween(1, within)) == 1
-    opens = F.col("line").rlike(heading) & F.coalesce(soon, F.lit(False))
-    return lines.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    says = lambda pattern: F.coalesce(F.col("line").rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+    opened, closed = (says(x) for x in listed or (None, None))
+    own = lines.withColumns({"__at": F.row_number().over(w), "__opened": opened, "__closed": closed})
+    event = F.when(F.col("__opened") | F.col("__closed"), F.struct("__at", F.col("__opened").alias("o")))
+    last, end = F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min(F.when(F.col("__closed"), F.col("__at"))).over(w.rowsBetween(1, most))
+    own = own.withColumn("__listed", F.coalesce(last["o"] & ~F.col("__closed") & (end - last["__at"] <= most), F.lit(False)))
+    soon = F.coalesce(F.max(says(follow).cast("int")).over(w.rowsBetween(1, within)) == 1, F.lit(False))
+    in_list = F.coalesce(F.lag(F.col("__listed") | F.col("__opened")).over(w), F.lit(False))
+    alone = (says(bare) if bare else F.lit(True)) & ~(soon & ~in_list)
+    own = own.withColumn("opens", says(heading) & ~F.col("__listed") & ~alone)
+    titled = says(category) & (F.length("line") < 70) & ~F.col("__opened")
+    kind = F.when(F.col("opens"), "head").when(titled, "category").when(says(group) & (F.length("line") < 90), "group").when(F.col("__listed"), "listed").otherwise("text")
+    own = own.withColumn("kind", kind)
+    carried = lambda k: F.last(F.when(F.col("kind") == k, F.struct("__at", "line")), ignorenulls=True).over(so_far)
+    own = own.withColumns({"__c": carried("category"), "__g": carried("group"), "block": F.sum(F.col("opens").cast("int")).over(so_far)})
+    told = own.withColumns({"category": F.col("__c.line"), "group": F.when(F.col("__c").isNull() | (F.col("__g.__at") > F.col("__c.__at")), F.col("__g.line"))})
+    return told.select(*lines.columns, "opens", "block", "kind", "category", "group")
 
 
 def evaluate_extraction(truth: DataFrame, pred: DataFrame, passes: list[list[str]], fields: list[str]) -> DataFrame:
@@ -152,26 +216,57 @@ def write_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most: int = 2000) -> DataFrame:
-    """(doc_id, block, line_no, line) -> a row for each block: code, name, credits, prerequisite, description.
-
-    The head is the block's first line; credits the first triple in the block;
-    the prerequisite the codes of its first such line; the description the
-    other lines joined and cut. Of a code's blocks the first value that isn't
-    empty counts.
+    """(doc_id, block, line_no, line) -> a row for each code: name, name_en, credits, prerequisite, description, n_blocks.
+
+    The head is the block's first line, its name split where it turns to
+    Latin. Credits are the first triple in the block, else a third of the
+    first hours that stand without credits; a number before those hours that
+    equals it is credits and no part of the name, unless the document has
+    other numbers of that name. The prerequisite is the codes of the first
+    label line, and of listed lines; the description the other lines joined
+    and cut. Of a code's blocks the first value that isn't empty counts. With
+    page_no, kind, category or group of description_blocks(): also pages of
+    all its blocks, and headings are no text.
     """
+    has = lambda c: c in lines.columns
     w = Window.partitionBy("doc_id", "block")
     own = lines.filter("block > 0").withColumn("__first", F.col("line_no") == F.min("line_no").over(w)).withColumn("__pre", F.col("line").rlike(label))
+    listed = (F.col("kind") == "listed") if has("kind") else F.lit(False)
+    if has("kind"):
+        own = own.filter("kind not in ('category', 'group')")
+    hours = r"\(\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\)"
     triple = F.regexp_extract("line", r"([0-9]{1,2}\([0-9xX]+-[0-9xX]+-[0-9xX]+\))", 1)
-    body = F.when(~F.col("__first") & ~F.col("__pre"), F.struct("line_no", "line"))
+    part = [F.regexp_extract("line", rf"(?:^|[^0-9]){hours}", i).try_cast("int") for i in (1, 2, 3)]
+    third = F.format_string("%d(%d-%d-%d)", f.credits_from_hours(*part), *part)
+    derived = F.when(f.credits_from_hours(*part).isNotNull(), third)
+    body = F.when(~F.col("__first") & ~F.col("__pre") & ~listed, F.struct("line_no", "line"))
+    head = F.regexp_replace(F.regexp_replace("line", "^[0-9]{8}", ""), rf"[0-9]{{1,2}}\([0-9xX-]+\)|{hours}", "")
+    late = F.when(F.col("__pre"), f.normalize_prerequisite(F.col("line")))
+    more = F.when(listed, F.struct("line_no", "line"))
     blocks = own.groupBy("doc_id", "block").agg(
         F.min(F.when(F.col("__first"), F.regexp_extract("line", "^([0-9]{8})", 1))).alias("code"),
-        F.min(F.when(F.col("__first"), F.trim(F.regexp_replace(F.regexp_replace("line", "^[0-9]{8}", ""), r"[0-9]{1,2}\([0-9xX-]+\)", "")))).alias("name"),
-        F.min_by(triple, F.when(triple != "", F.col("line_no"))).alias("credits"),
-        F.min_by(f.normalize_prerequisite(F.col("line")), F.when(F.col("__pre"), F.col("line_no"))).alias("prerequisite"),
+        F.min(F.when(F.col("__first"), F.trim(head))).alias("__head"),
+        F.coalesce(F.min_by(triple, F.when(triple != "", F.col("line_no"))), F.min_by(derived, F.when(derived.isNotNull(), F.col("line_no")))).alias("credits"),
+        F.min_by(derived, F.when(derived.isNotNull() & F.col("__first"), F.col("line_no"))).alias("__derived"),
+        F.min_by(late, F.when(F.col("__pre"), F.col("line_no"))).alias("__said"),
+        f.normalize_prerequisite(F.array_join(F.transform(F.array_sort(F.collect_list(more)), lambda x: x["line"]), " ")).alias("__listed"),
         F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), " "), 1, most).alias("description"),
+        *([F.collect_set("page_no").alias("pages")] if has("page_no") else []),
+        *(F.min_by(c, "line_no").alias(c) for c in ("category", "group") if has(c)),
     )
+    codes = F.filter(F.split(F.concat_ws(" ", F.col("__said"), F.col("__listed")), " "), lambda x: x != "")
+    blocks = blocks.filter("code <> ''").withColumn("prerequisite", F.array_join(F.array_sort(F.array_distinct(codes)), " ")).withColumn("__stem", f.stem_and_number(F.col("__head")))
+    series = blocks.filter("__stem.number is not null").groupBy("doc_id", F.col("__stem.stem").alias("__s")).agg(F.count_distinct("code").alias("__n"))
+    joined = blocks.withColumn("__s", F.col("__stem.stem")).join(series, ["doc_id", "__s"], "left")
+    paid = (F.col("__n") < 2) & (F.col("__stem.number").cast("string") == F.regexp_extract("__derived", "^([0-9]+)", 1))
+    name = F.when(F.coalesce(paid, F.lit(False)), F.trim(F.regexp_replace("__head", "[0-9]+$", ""))).otherwise(F.col("__head"))
+    halves = joined.withColumn("name", name).withColumn("__two", f.split_bilingual_name(F.col("name")))
+    both = (F.col("__two.first") != "") & (F.col("__two.second") != "")
+    told = halves.withColumns({"name": F.when(both, F.col("__two.first")).otherwise(F.col("name")), "name_en": F.when(both, F.col("__two.second"))})
     filled = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("block"))).alias(c)
-    return blocks.filter("code <> ''").groupBy("doc_id", "code").agg(*map(filled, ("name", "credits", "prerequisite", "description")), F.count("*").alias("n_blocks"))
+    pages = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages")] if has("page_no") else []
+    kept = ("name", "name_en", "credits", "prerequisite", "description", *(c for c in ("category", "group") if has(c)))
+    return told.groupBy("doc_id", "code").agg(*map(filled, kept), F.count("*").alias("n_blocks"), *pages)
 
 
 def repair_credits(rows: DataFrame, printed: DataFrame) -> DataFrame:
@@ -193,6 +288,36 @@ def fill_second_name(rows: DataFrame, printed: DataFrame) -> DataFrame:
     return joined.withColumn("name_en", F.when(empty, F.coalesce("__en", "name_en")).otherwise(F.col("name_en"))).select(*rows.columns)
 
 
+def strip_credit_digit(rows: DataFrame, docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """Rows (doc_id, ordinal, code, name_en, credits) whose second name ends with its own credits as a word, without it.
+
+    Only if the text (doc_id, text) prints the name with the row's hours right
+    after it, and the whole name nowhere as a line or cell by itself. Where
+    tables (doc_id, code, name_en) print just one name of the code that is
+    the cut one with a number, that is taken. note tells the name before. A
+    name is found by its last two words and the hours, then compared whole.
+    """
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"[\s*]+", " "))
+    hours = r"\(\s*[0-9]+\s*-\s*[0-9]+\s*-\s*[0-9]+\s*\)"
+    two = lambda c: F.array_join(F.slice(F.split(c, " "), -2, 2), " ")
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    words = F.split("__name", " ")
+    own = rows.select("doc_id", "ordinal", "code", tidy(F.col("name_en")).alias("__name"), F.regexp_extract(bare(F.col("credits")), r"^([0-9]+)\(", 1).alias("__c"), F.regexp_extract(bare(F.col("credits")), r"^[0-9]+(\(.*\))$", 1).alias("__h"))
+    asked = own.filter((F.col("__c") != "") & (F.size(words) >= 2) & (F.element_at(words, -1) == F.col("__c"))).withColumn("__two", two(F.col("__name")))
+    flat = F.regexp_replace("text", "<[^>]+>", " ")
+    said = docs.select("doc_id", F.explode(F.arrays_zip(F.split(flat, hours).alias("before"), F.regexp_extract_all(flat, F.lit(hours), F.lit(0)).alias("hours"))).alias("x")).filter("x.hours is not null")
+    said = said.select("doc_id", F.trim(F.regexp_replace("x.before", r"\s+", " ")).alias("__before"), bare(F.col("x.hours")).alias("__h")).withColumn("__two", two(F.col("__before")))
+    left = F.substr("__before", F.lit(1), F.length("__before") - F.length("__name"))
+    together = asked.join(said, ["doc_id", "__two", "__h"]).filter(F.endswith("__before", F.col("__name")) & ~left.rlike(r"[\w-]$")).select("doc_id", "ordinal", "code", "__name").distinct()
+    lines = docs.select("doc_id", F.explode(F.split(F.regexp_replace("text", "<[^>]+>", "\n"), "\n")).alias("l")).select("doc_id", tidy(F.col("l")).alias("__name")).distinct()
+    cut = together.join(lines, ["doc_id", "__name"], "left_anti").withColumn("__cut", F.regexp_replace("__name", " [0-9]+$", ""))
+    named = printed.select("doc_id", "code", tidy(F.col("name_en")).alias("__full")).filter(F.col("__full").rlike(" [0-9]+$")).withColumn("__cut", F.regexp_replace("__full", " [0-9]+$", ""))
+    series = named.groupBy("doc_id", "code", "__cut").agg(F.when(F.count_distinct("__full") == 1, F.min("__full")).alias("__full"))
+    found = cut.join(series, ["doc_id", "code", "__cut"], "left").select("doc_id", "ordinal", F.coalesce("__full", "__cut").alias("__new"))
+    joined = rows.join(found, ["doc_id", "ordinal"], "left").withColumn("note", F.when(F.col("__new").isNotNull(), F.concat(F.lit("credits at the end of "), "name_en")))
+    return joined.withColumn("name_en", F.coalesce("__new", "name_en")).drop("__new")
+
+
 def recover_alternatives(options: DataFrame, rows: DataFrame) -> DataFrame:
     """Options (doc_id, page, grp, code, name) of a table group that the rows lack, with term and group of the sibling on the nearest page; ties to the earlier row."""
     missing = options.join(rows.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
@@ -235,7 +360,7 @@ def split_by_variant(rows: DataFrame, spans: DataFrame, steps) -> tuple[DataFram
     return routed, routed.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_codes"))
 
 
-def convert_documents(pages: DataFrame, heading: str = r"(?i)year\s*([0-9])\s*semester\s*([0-9])", description: str = r"^[0-9]{8}\s", follow: str = r"(?i)^prerequisite\s*:") -> dict[str, DataFrame]:
+def convert_documents(pages: DataFrame, heading: str = r"(?i)year\s*([0-9])\s*semester\s*([0-9])", description: str = r"^[0-9]{8}\b", follow: str = r"(?i)^prerequisite\s*:") -> dict[str, DataFrame]:
     """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), and `rows`, the repaired rows.
 
     In the order of the reference: tables with the heading in force (T1, T3,
@@ -252,7 +377,7 @@ def convert_documents(pages: DataFrame, heading: str = r"(?i)year\s*([0-9])\s*se
     terms = pages.select("doc_id", "page_no", F.last(own, ignorenulls=True).over(order).alias("t")).select("doc_id", "page_no", "t.year", "t.semester")
     entries = written(assign_alt_groups(group_entries(group_rowspan_rows(grid_rows(tables))), tables.select("doc_id", "page_no", "table_no").join(terms, ["doc_id", "page_no"])), "entries")
     lines = pages.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"(?is)<table.*?</table>", ""), "\n")).alias("at", "line"), "page_no").select("doc_id", (F.col("page_no") * 1_000_000 + F.col("at")).alias("line_no"), F.trim("line").alias("line"))
-    described = written(parse_blocks(description_blocks(lines, description, follow)), "described")
+    described = written(parse_blocks(description_blocks(lines, description, follow, bare=r"^[0-9]{8}\s*$")), "described")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "table_no", "grp", "entry"))
     rows = entries.withColumn("ordinal", place.cast("long")).withColumn("category", F.lit(None).cast("string"))
     per_doc = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)

@@ -6,10 +6,12 @@ documents apart; `ordinal` is the order of rows in the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantables.functions.text import CODE, is_subsequence
+from plantables.functions.text import CODE, is_subsequence, slot_number
 
 
 def _bare(c: Column) -> Column:
@@ -35,10 +37,23 @@ def dedupe_fill(rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame
 
 
 def suffix_wildcards(rows: DataFrame, by: list[str], fingerprint: list[str]) -> DataFrame:
-    """R2: wildcard codes of a scope that stand for different things get -1, -2.. in the order they first come."""
-    first = F.min("ordinal").over(Window.partitionBy(*by, "code", *fingerprint))
-    rank = F.dense_rank().over(Window.partitionBy(*by, "code").orderBy("__first"))
-    return rows.withColumn("__first", first).withColumn("code", F.when(F.col("code").startswith("PLACEHOLDER_"), F.concat_ws("-", "code", rank)).otherwise(F.col("code"))).drop("__first")
+    """R2: wildcard codes of a scope that stand for different things (fingerprints) are told apart as code, code_2, code_3..
+
+    A thing whose name has a slot number (1 to 20) takes that; of several with
+    one number the first in order. The others take the numbers left, in the
+    order in which they first come. A code that ends with such a number stays.
+    """
+    wild = F.col("code").startswith("PLACEHOLDER_") & ~F.col("code").rlike("_[0-9]+$")
+    things = rows.filter(wild).groupBy(*by, "code", *fingerprint).agg(F.min("ordinal").alias("__first"), F.min_by(slot_number(F.col("name")), "ordinal").alias("__asked"))
+    mine = F.row_number().over(Window.partitionBy(*by, "code", "__asked").orderBy("__first")) == 1
+    things = things.withColumn("__no", F.when(F.col("__asked").isNotNull() & mine, F.col("__asked")))
+    whole = Window.partitionBy(*by, "code")
+    nth = F.row_number().over(Window.partitionBy(*by, "code", F.col("__no").isNull()).orderBy("__first"))
+    free = F.aggregate(F.array_sort(F.collect_set("__no").over(whole)), nth, lambda n, taken: F.when(taken <= n, n + 1).otherwise(n))
+    numbered = things.withColumn("__no", F.coalesce("__no", free)).drop("__first", "__asked")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*by, "code", *fingerprint)]
+    joined = rows.alias("r").join(numbered.alias("n"), reduce(lambda x, y: x & y, same), "left").select("r.*", "n.__no")
+    return joined.withColumn("code", F.when(F.col("__no") > 1, F.concat_ws("_", "code", "__no")).otherwise(F.col("code"))).drop("__no")
 
 
 def recover_codes(rows: DataFrame, known: DataFrame, least: int = 10) -> DataFrame:
@@ -267,6 +282,29 @@ def category_by_prefix(courses: DataFrame, rows: DataFrame, prefix: int = 5) ->
     return joined.withColumn("category", F.coalesce("category", "__most")).drop("__most", "prefix")
 
 
+#: Fixed value: words of names and groups that one chooses from.
+CHOICE_WORDS = r"(?i)elective|เลือก"
+
+
+def category_for_code(rows: DataFrame, known: DataFrame, keywords: dict[str, str], prefixes: dict[str, str], prefix: int = 5) -> DataFrame:
+    """Category and type of rows (code, name, group, alt_group, year, semester, category).
+
+    The category is the row's own, else the majority of its prefix in `known`
+    (category_by_prefix), else that of the first keyword in its name, else of
+    the first prefix it begins with. The type is required for a real code in
+    an alternative group of a term; elective for a wildcard, or where the
+    group, or the name of a row without a group, says so; required else.
+    """
+    found = category_by_prefix(rows, known, prefix)
+    said = [F.when(F.contains("name", F.lit(word)), value) for word, value in keywords.items()]
+    begins = [F.when(F.startswith("code", F.lit(start)), value) for start, value in prefixes.items()]
+    wild = ~F.coalesce(F.col("code").rlike("^[0-9]{8}$"), F.lit(False))
+    pair = F.col("alt_group").isNotNull() & F.col("year").isNotNull() & F.col("semester").isNotNull() & ~wild
+    chosen = F.coalesce(F.coalesce("group", "name").rlike(CHOICE_WORDS), F.lit(False))
+    kind = F.when(pair, "required").when(wild | chosen, "elective").otherwise("required")
+    return found.withColumns({"category": F.coalesce("category", *said, *begins), "type": kind})
+
+
 def vote_printed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows(doc_id, code, name): the spelling that the document prints most, twice or more and alone, replaces a code's others.
 

@@ -55,12 +55,23 @@ add(
         ", p as (select *, id % 4 < 2 and regexp_full_match(code, '[0-9]{8}') as c from plan_item) select id, case when c then 'course' when id % 4 = 2 then 'total' when id % 4 = 3 then 'credits' else 'other' end as kind, case when c then code end as code, case when c then case when id % 4 = 0 then 'name ' || year else 'a b' end end as name, case when c then credits || case when id % 4 = 0 then '(1-0-x)' else '(2-2-5)' end end as credits from p"
     ),
 )
+#: Rows of a table in runs: three of one code, an elective whose credits go on, a row again without credits.
+REPEATS = [
+    "o_orderkey as k", "o_orderkey * 1000 + n as pos", "case when n <= 3 then 'A' when n <= 6 then '0602xxx' else 'C' end as code",
+    "case when n <= 3 then 'a long course name ' || cast(floor((n + o_orderkey % 2) / 2) as int) when n <= 6 then 'Elective ' || case when o_orderkey % 3 = 0 then n else 1 end else 'other' end as name",
+    "case when n <= 3 then '3(3-0-6)' when n = 4 then '3(3-0-6) or ' when n = 5 then '3(2-2-5)' when n = 7 then '1(0-2-1)' end as credits", "n not in (1, 4, 7) as inherited", "n in (6, 8) as inherited_name",
+]
 add(
     "t10_drop_repeated",
-    lambda s, d: convert.drop_repeated(roles.plan_item(s, d).selectExpr("cast(floor(id / 1000) as bigint) as k", "id as pos", "category as code", "credits % 2 as credits", "id % 3 > 0 as inherited", "case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name"), ["k"]).select("pos"),
-    oracle(
-        ", p as (select cast(floor(id / 1000) as bigint) as k, id, category, credits % 2 as c, id % 3 > 0 as i, case when credits > 3 then 'a long course name ' || year else 'other ' || year end as name from plan_item) select id as pos from (select *, lag(category) over w as pk, lag(c) over w as pc, lag(name) over w as pn from p window w as (partition by k order by id)) where not coalesce(i and category = pk and c = pc and name = pn, false)"
-    ),
+    lambda s, d: convert.drop_repeated(table(s, d, "orders").selectExpr("o_orderkey", "explode(sequence(1, 8)) as n").selectExpr(*REPEATS), ["k"]).select("pos", "credits"),
+    "select k * 1000 + n as pos, case n when 4 then '3(3-0-6) or 3(2-2-5)' when 6 then null when 7 then '1(0-2-1)' else '3(3-0-6)' end as credits from (select o_orderkey as k, unnest(range(1, 9)) as n from orders) where case n when 1 then true when 2 then k % 2 = 0 when 3 then k % 2 = 1 when 4 then true when 6 then k % 3 = 0 when 7 then true else false end",
+)
+SLIPPED = "case when n = 4 and o_orderkey % 2 = 0 then '0602xxxx' else lpad('' || (o_orderkey * 10 + n) % 100000000, 8, '1') end as code"
+add(
+    "t11_realign_codes",
+    lambda s, d: convert.realign_codes(table(s, d, "orders").selectExpr("o_orderkey", "explode(sequence(1, 4)) as n").selectExpr("o_orderkey as k", "n as pos", SLIPPED, "'name ' || n as name", "n = 2 and o_orderkey % 3 > 0 as elective"), ["k"], "06026xxx").select("k", "pos", "code"),
+    f"""with p as (select o_orderkey, unnest(range(1, 5)) as n from orders), r as (select o_orderkey as k, n, {SLIPPED}, lpad('' || (o_orderkey * 10 + n - 1) % 100000000, 8, '1') as prev, o_orderkey % 3 > 0 as slipped from p)
+select k, cast(n as int) as pos, case when n = 2 and slipped then '06026xxx' when n > 2 and slipped and k % 2 = 0 then prev else code end as code from r""",
 )
 add(
     "t11_number_series",
@@ -87,6 +98,32 @@ add(
     lambda s, d: convert.description_blocks(lines(s, d).select("doc_id", F.col("page_no").alias("line_no"), F.col("text").alias("line")), "^(The|Of|In) ", "ly\\.?$").select("doc_id", "line_no", "opens", "block"),
     f"with {LINES}, f as (select *, max(cast(regexp_matches(text, 'ly\\.?$') as int)) over (partition by doc_id order by page_no rows between 1 following and 4 following) as m from lines), o as (select doc_id, page_no as line_no, regexp_matches(text, '^(The|Of|In) ') and coalesce(m, 0) = 1 as opens from f) select *, cast(sum(cast(opens as int)) over (partition by doc_id order by line_no rows unbounded preceding) as bigint) as block from o",
 )
+#: An order as description lines: headings, a course with a list of codes over lines, one of a bare code, and a bare code that opens none.
+BOOK = [
+    "'Category ' || o_orderpriority", "'Group ' || o_orderstatus", "'00000001 First (3-0-6)'", "'Pre of'", "'00000002'", "'00000003 listed'", "'Prerequisite: none'", "'text one'", "'Category two'",
+    "'00000004'", "'a second name'", "case when o_orderkey % 2 = 0 then 'Prerequisite: 00000001' else 'nothing' end", "'00000005 Third 3 (3-0-6)'", "'last words'",
+]
+
+
+def _book(s, d):
+    at = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.expr, BOOK))).alias("line_no", "line"))
+    return convert.description_blocks(at, r"^[0-9]{8}\b", "^Prerequisite", bare=r"^[0-9]{8}\s*$", listed=("^Pre of", "^Prerequisite"), category="^Category", group="^Group")
+
+
+add(
+    "d1_listed_and_headings",
+    lambda s, d: _book(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", "block", "category", "group"),
+    f"""with l as (select o_orderkey as k, o_orderpriority as p, o_orderstatus as s, unnest(range(0, {len(BOOK)})) as n from orders)
+select k as doc_id, n as line_no, case when n in (0, 8) then 'category' when n = 1 then 'group' when n in (2, 12) or n = 9 and k % 2 = 0 then 'head' when n in (4, 5) then 'listed' else 'text' end as kind,
+cast((n >= 2) :: int + (n >= 9 and k % 2 = 0) :: int + (n >= 12) :: int as bigint) as block, case when n >= 8 then 'Category two' else 'Category ' || p end as category, case when n between 1 and 7 then 'Group ' || s end as "group" from l""",
+)
+add(
+    "d2_parse_listed",
+    lambda s, d: convert.parse_blocks(_book(s, d).withColumn("page_no", F.floor(F.col("line_no") / 5).cast("int"))).select("doc_id", "code", "name", "credits", "prerequisite", "description", "pages", "category", "group"),
+    """select o_orderkey as doc_id, unnest(['00000001', '00000005']) as code, unnest(['First', 'Third']) as name, unnest(['3(3-0-6)', '3(3-0-6)']) as credits, unnest(['00000002 00000003', null]) as prerequisite, unnest([case when o_orderkey % 2 = 0 then 'Pre of text one' else 'Pre of text one 00000004 a second name nothing' end, 'last words']) as description,
+unnest([case when o_orderkey % 2 = 0 then [0, 1] else [0, 1, 2] end, [2]]) as pages, unnest(['Category ' || o_orderpriority, 'Category two']) as category, unnest(['Group ' || o_orderstatus, null]) as "group" from orders
+union all select o_orderkey, '00000004', null, null, '00000001', 'a second name', [1, 2], 'Category two', null from orders where o_orderkey % 2 = 0""",
+)
 add(
     "a6_evaluate_extraction",
     lambda s, d: convert.evaluate_extraction(
@@ -106,6 +143,11 @@ add(
     lambda s, d: table(s, d, "part").selectExpr("p_partkey", "case when p_partkey % 5 = 0 then 'University' else 'ก ข' || '  หมวด ' || p_size || '(3-0-6) Alpha ' || 'AI' || case when p_partkey % 2 = 0 then ' (x' else '' end end as x").select("p_partkey", f.clean_name_primary(F.col("x"), ["หมวด"]).alias("y")),
     "select p_partkey, case when p_partkey % 5 = 0 then 'University' else 'กข AI' || case when p_partkey % 2 = 0 then ' x' else '' end end as y from part",
 )
+add(
+    "f15_clean_second_name",
+    lambda s, d: table(s, d, "part").selectExpr("p_partkey", "case p_partkey % 3 when 0 then '# 5 ' || upper(p_name) || ' (AB' when 1 then '3(3-0-6)' else upper(p_name) || '  1 (3-0-6) NOTE)' end as x").select("p_partkey", f.clean_name_secondary(F.col("x"), ["NOTE"]).alias("y")),
+    "select p_partkey, case p_partkey % 3 when 0 then upper(p_name) || ' AB' when 1 then '3(3-0-6)' else upper(p_name) end as y from part",
+)
 add(
     "f24_split_by_script",
     lambda s, d: table(s, d, "part").selectExpr("p_partkey", "'กข ' || p_size || '\\n' || p_name || case when p_partkey % 3 > 0 then '\\nคง\\n' || p_brand else '' end as x").select("p_partkey", f.split_by_script(F.col("x"), 2).alias("y")),
@@ -124,7 +166,7 @@ def _blocks(s, d):
 
 add(
     "d2_parse_blocks",
-    lambda s, d: convert.parse_blocks(_blocks(s, d)),
+    lambda s, d: convert.parse_blocks(_blocks(s, d)).drop("name_en"),
     oracle(
         """, i as (select cast(floor(id / 1000) as bigint) % 50 as doc_id, id, code, credits, year from plan_item where code like '0%') select doc_id, code, 'Name ' || arg_min(year, id) as name, arg_min(credits, id) || '(1-2-3)' as credits, max(case when id % 3 <> 0 then '00000001 00000002' end) as prerequisite, 'text ' || arg_min(year, id) || ' more' as description, count(*) as n_blocks from i group by doc_id, code"""
     ),
@@ -148,6 +190,16 @@ add(
         ", a as (select program, code, case when count(distinct category) = 1 then min(category) end as e from plan_item group by all) select id, case when id % 2 = 0 then category when regexp_full_match(code, '[0-9]{8}') then e end as name_en from plan_item join a using (program, code)"
     ),
 )
+SKILL = "'SKILL ' || o_custkey || ' 3'"
+add(
+    "r19_strip_credit_digit",
+    lambda s, d: convert.strip_credit_digit(
+        table(s, d, "orders").selectExpr("o_orderkey as doc_id", "1 as ordinal", "'c' || o_custkey as code", f"{SKILL} as name_en", "'3(3-0-6)' as credits"),
+        table(s, d, "orders").selectExpr("o_orderkey as doc_id", f"'some words, ' || case o_orderkey % 5 when 2 then 'X' when 3 then '(' else '' end || {SKILL} || case when o_orderkey % 5 = 4 then ' (2-2-5)' else ' <b>( 3-0 -6)' end || case when o_orderkey % 5 = 1 then '<td> ' || {SKILL} || '</td>' else '' end as text"),
+        table(s, d, "orders").selectExpr("o_orderkey as doc_id", "'c' || o_custkey as code", "case when o_orderkey % 5 = 3 then 'SKILL ' || o_custkey || ' 1' else 'SKILL' end as name_en"),
+    ).select("doc_id", "name_en"),
+    f"select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'SKILL ' || o_custkey when 3 then 'SKILL ' || o_custkey || ' 1' else {SKILL} end as name_en from orders",
+)
 add(
     "r20_recover_alternatives",
     lambda s, d: convert.recover_alternatives(

@@ -28,11 +28,19 @@ add(
     lambda s, d: repair.dedupe_fill(plan(s, d, f"{SPARSE} as c", "case when id % 2 = 0 then '' else category end as k"), ["program", "code"], ["c", "k"]),
     oracle(f"select program, code, min(id) as ordinal, arg_min({SPARSE}, id) filter ({SPARSE} is not null) as c, arg_min(category, id) filter (id % 2 <> 0) as k from plan_item group by program, code"),
 )
+#: Names of plan rows: numbered within 1 to 20 and beyond, or not.
+NAMED = "case when id % 3 = 0 then 'Elective ' || id % 23 else 'Elective' end"
 add(
     "r2_suffix_wildcards",
-    lambda s, d: repair.suffix_wildcards(plan(s, d), ["program", "edition", "track"], ["year", "category"]).select("id", "code"),
+    lambda s, d: repair.suffix_wildcards(plan(s, d, f"{NAMED} as name"), ["program", "edition", "track"], ["year", "category", "name"]).select("id", "code"),
     oracle(
-        ", f as (select *, min(id) over (partition by program, edition, track, code, year, category) as m from plan_item) select id, case when starts_with(code, 'PLACEHOLDER_') then code || '-' || dense_rank() over (partition by program, edition, track, code order by m) else code end as code from f"
+        f""", p as (select *, {NAMED} as name from plan_item), t as (select program, edition, track, code, year, category, name, min(id) as f, max(case when id % 3 = 0 and id % 23 between 1 and 20 then id % 23 end) as a from p where starts_with(code, 'PLACEHOLDER_') group by all),
+m as (select *, case when a is not null and row_number() over (partition by program, edition, track, code, a order by f) = 1 then a end as n from t),
+l as (select program, edition, track, code, list(n) filter (n is not null) as taken from m group by all),
+u as (select *, row_number() over (partition by program, edition, track, code order by f) as k from m where n is null),
+g as (select program, edition, track, code, v, row_number() over (partition by program, edition, track, code order by v) as k from (select program, edition, track, code, taken, unnest(range(1, 2000)) as v from l) where taken is null or not list_contains(taken, v)),
+z as (select program, edition, track, code, year, category, name, n from m where n is not null union all select program, edition, track, code, year, category, name, v from u join g using (program, edition, track, code, k))
+select p.id, case when n > 1 then code || '_' || n else code end as code from p left join z using (program, edition, track, code, year, category, name)"""
     ),
 )
 #: What was read of a code: nothing, its last four digits, one digit too few, letters, a wildcard, digits of another code, or the code.
@@ -184,6 +192,20 @@ select code, coalesce(case when credits > 9 then 'own' end, b.category) as categ
     ),
 )
 
+add(
+    "d7_category_for_code",
+    lambda s, d: repair.category_for_code(
+        plan(s, d).selectExpr("id", "code", "'course ' || case id % 4 when 0 then 'Elective' when 1 then 'free' else '' end as name", "case when id % 5 = 0 then 'elective group' when id % 5 = 1 then 'core' end as group", "alt_group", "case when id % 3 > 0 then year end as year", "semester", "case when id % 6 = 0 then 'own' end as category"),
+        roles.course(s, d).selectExpr("code", "case when credits > 9 then 'c' || credits end as category"), {"free": "Free", "Elec": "Chosen"}, {"0000000": "Zero", "0000": "Low", "PLACE": "Wild"}, 7,
+    ).select("id", "category", "type"),
+    oracle(
+        """, n as (select substring(code, 1, 7) as prefix, 'c' || credits as category, count(*) as n from course where regexp_full_match(code, '[0-9]{8}') and credits > 9 group by all), b as (select * from (select *, row_number() over (partition by prefix order by n desc, category) as r from n) where r = 1),
+p as (select *, regexp_full_match(code, '[0-9]{8}') as real from plan_item)
+select id, coalesce(case when id % 6 = 0 then 'own' end, b.category, case id % 4 when 0 then 'Chosen' when 1 then 'Free' end, case when code like '0000000%' then 'Zero' when code like '0000%' then 'Low' when code like 'PLACE%' then 'Wild' end) as category,
+case when alt_group is not null and id % 3 > 0 and real then 'required' when not real or id % 5 = 0 or (id % 5 > 1 and id % 4 = 0) then 'elective' else 'required' end as type from p left join b on b.prefix = substring(p.code, 1, 7)"""
+    ),
+)
+
 add(
     "n2_resolve_names",
     lambda s, d: cite.resolve_names(table(s, d, "part").selectExpr("case p_partkey % 4 when 0 then upper(p_name) when 1 then replace(p_name || ' ' || p_brand, ' ', '  ') when 2 then p_brand || 'z' else substring(p_name || p_brand, 3, 12) end as name"), roles.course(s, d).selectExpr("name_th as alias", "code").union(roles.course(s, d).selectExpr("name_en as alias", "code"))),
