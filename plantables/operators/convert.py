@@ -236,9 +236,11 @@ def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most:
         own = own.filter("kind not in ('category', 'group')")
     hours = r"\(\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\)"
     triple = F.regexp_extract("line", r"([0-9]{1,2}\([0-9xX]+-[0-9xX]+-[0-9xX]+\))", 1)
-    part = [F.regexp_extract("line", rf"(?:^|[^0-9]){hours}", i).try_cast("int") for i in (1, 2, 3)]
-    third = F.format_string("%d(%d-%d-%d)", f.credits_from_hours(*part), *part)
-    derived = F.when(f.credits_from_hours(*part).isNotNull(), third)
+    part = lambda i: F.regexp_extract("line", rf"(?:^|[^0-9]){hours}", i).try_cast("int")
+    own = own.withColumn("__h", F.when(F.contains("line", F.lit("(")), F.struct(*(part(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c")))))).withColumn("__triple", F.when(F.contains("line", F.lit("(")), triple))
+    part = [F.col(f"__h.{n}") for n in "abc"]
+    own = own.withColumn("__d", F.when(f.credits_from_hours(*part).isNotNull(), F.format_string("%d(%d-%d-%d)", f.credits_from_hours(*part), *part)))
+    triple, derived = F.col("__triple"), F.col("__d")
     body = F.when(~F.col("__first") & ~F.col("__pre") & ~listed, F.struct("line_no", "line"))
     head = F.regexp_replace(F.regexp_replace("line", "^[0-9]{8}", ""), rf"[0-9]{{1,2}}\([0-9xX-]+\)|{hours}", "")
     late = F.when(F.col("__pre"), f.normalize_prerequisite(F.col("line")))
@@ -256,9 +258,10 @@ def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most:
     )
     codes = F.filter(F.split(F.concat_ws(" ", F.col("__said"), F.col("__listed")), " "), lambda x: x != "")
     blocks = blocks.filter("code <> ''").withColumn("prerequisite", F.array_join(F.array_sort(F.array_distinct(codes)), " ")).withColumn("__stem", f.stem_and_number(F.col("__head")))
-    series = blocks.filter("__stem.number is not null").groupBy("doc_id", F.col("__stem.stem").alias("__s")).agg(F.count_distinct("code").alias("__n"))
-    joined = blocks.withColumn("__s", F.col("__stem.stem")).join(series, ["doc_id", "__s"], "left")
-    paid = (F.col("__n") < 2) & (F.col("__stem.number").cast("string") == F.regexp_extract("__derived", "^([0-9]+)", 1))
+    alike = Window.partitionBy("doc_id", "__stem.stem")
+    numbered = F.when(F.col("__stem.number").isNotNull(), F.col("code"))
+    joined = blocks.withColumn("__alone", F.min(numbered).over(alike) == F.max(numbered).over(alike))
+    paid = F.col("__alone") & (F.col("__stem.number").cast("string") == F.regexp_extract("__derived", "^([0-9]+)", 1))
     name = F.when(F.coalesce(paid, F.lit(False)), F.trim(F.regexp_replace("__head", "[0-9]+$", ""))).otherwise(F.col("__head"))
     halves = joined.withColumn("name", name).withColumn("__two", f.split_bilingual_name(F.col("name")))
     both = (F.col("__two.first") != "") & (F.col("__two.second") != "")
