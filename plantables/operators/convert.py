@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -283,6 +283,52 @@ def repair_credits(rows: DataFrame, printed: DataFrame) -> DataFrame:
     return joined.select(*(c for c in rows.columns if c != "credits"), value.alias("credits"), rule.alias("rule"))
 
 
+def _triples(c) -> Column:
+    """Credits with hours, in order, without white space."""
+    return F.regexp_extract_all(F.regexp_replace(c, r"\s+", ""), F.lit(r"[0-9]{1,2}\([0-9xX]+-[0-9xX]+-[0-9xX]+\)"), F.lit(0))
+
+
+def credits_from_header(rows: DataFrame, cells: DataFrame, printed: DataFrame) -> DataFrame:
+    """R15, header cells: empty credits of rows (doc_id, code, credits) from tables whose credits slipped into the first row.
+
+    cells(doc_id, page_no, table_no, row_no, cells). If a cell of row 0 holds
+    two credits or more and just as many later rows begin with a code and have
+    none, they are paired in order. A code that is printed with credits
+    elsewhere (printed: doc_id, code) is left. rule is header where it applied.
+    """
+    table = ["doc_id", "page_no", "table_no"]
+    head = cells.filter("row_no = 0").select(*table, F.posexplode("cells").alias("at", "c")).select(*table, "at", _triples("c").alias("v")).filter(F.size("v") >= 2).groupBy(*table).agg(F.max_by("v", "at").alias("v"))
+    first = F.regexp_replace(F.coalesce(F.get("cells", F.lit(0)), F.lit("")), r"\s+", "")
+    empty = ~F.exists("cells", lambda c: F.size(_triples(F.coalesce(c, F.lit("")))) > 0)
+    w = Window.partitionBy(*table)
+    bare = cells.filter("row_no > 0").filter(first.rlike("^[0-9]{8}$") & empty).select(*table, "row_no", first.alias("code")).withColumns({"__nth": F.row_number().over(w.orderBy("row_no")), "__n": F.count("*").over(w)})
+    paired = bare.join(head, table).filter(F.size("v") == F.col("__n")).withColumn("__v", F.get("v", F.col("__nth") - 1))
+    one = paired.groupBy("doc_id", "code").agg(F.min_by("__v", F.struct("page_no", "table_no", "row_no")).alias("__v")).join(printed.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
+    joined = rows.join(one, ["doc_id", "code"], "left")
+    takes = (F.trim(F.coalesce("credits", F.lit(""))) == "") & F.col("__v").isNotNull()
+    return joined.withColumns({"rule": F.when(takes, "header"), "credits": F.when(takes, F.col("__v")).otherwise(F.col("credits"))}).drop("__v")
+
+
+def credits_by_name(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """R15, several values: rows (doc_id, name, credits) with more than one credits or an "or" take the one printed beside their name.
+
+    printed(doc_id, name, credits). All single values of the name, white space
+    aside, must agree; a name that is printed with an "or" between all its
+    credits is a choice and left. rule is name where it applied.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    says_or = F.coalesce(F.col("credits").rlike(r"(?i)\bor\b|หรือ"), F.lit(False))
+    own = printed.select("doc_id", bare(F.col("name")).alias("__key"), _triples("credits").alias("__v"), says_or.alias("__or"), F.split("credits", r"[0-9]{1,2}\s*\([0-9xX\s-]+\)").alias("__gaps")).filter("__key <> ''")
+    between = F.slice("__gaps", F.lit(2), F.size("__gaps") - 2)
+    choice = (F.size("__v") >= 2) & F.forall(between, lambda g: g.rlike(r"(?i)\bor\b|หรือ"))
+    single = F.when((F.size("__v") == 1) & ~F.col("__or"), F.get("__v", F.lit(0)))
+    told = own.groupBy("doc_id", "__key").agg(F.max(F.coalesce(F.when(F.size("__v") >= 2, choice), F.lit(False))).alias("__choice"), F.min(single).alias("__one"), F.max(single).alias("__last")).filter("not __choice and __one = __last")
+    joined = rows.withColumn("__key", bare(F.col("name"))).join(told.select("doc_id", "__key", "__one"), ["doc_id", "__key"], "left")
+    takes = F.col("__one").isNotNull() & ((F.size(F.array_distinct(_triples("credits"))) >= 2) | says_or)
+    takes = F.coalesce(takes, F.lit(False))
+    return joined.withColumns({"rule": F.when(takes, "name"), "credits": F.when(takes, F.col("__one")).otherwise(F.col("credits"))}).drop("__key", "__one")
+
+
 def fill_second_name(rows: DataFrame, printed: DataFrame) -> DataFrame:
     """An empty second name of a real code becomes the printed one, if all printings of the code agree."""
     agreed = printed.filter("name_en <> ''").groupBy("doc_id", "code").agg(F.when(F.count_distinct("name_en") == 1, F.min("name_en")).alias("__en"))

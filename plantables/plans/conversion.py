@@ -183,6 +183,30 @@ j as (select r.*, case when program <> 'P4' then f end as f, case when program <
 select id, case when rule = 'blank' then f when rule is not null then u else x end as credits, rule from k"""
     ),
 )
+def _orders(s, d, *columns: str):
+    return table(s, d, "orders").selectExpr("o_orderkey as doc_id", *columns)
+
+
+HEADED = "explode(array(struct(0 as row_no, array('Code', '3 (3-0-6) 1(0-2-1)') as cells), struct(1 as row_no, array('0000 0001', 'a') as cells), struct(2 as row_no, array('00000002', 'b') as cells), struct(3 as row_no, case when o_orderkey % 3 = 0 then array('00000003', 'c') else array('00000003', 'c', '2(2-0-4)') end as cells))) as x"
+add(
+    "r15_credits_from_header",
+    lambda s, d: convert.credits_from_header(
+        _orders(s, d, "explode(array(struct('00000001' as code, cast(null as string) as credits), struct('00000002' as code, case when o_orderkey % 2 = 0 then '' else '9(9-0-18)' end as credits), struct('00000003' as code, null as credits))) as r").select("doc_id", "r.*"),
+        _orders(s, d, "1 as page_no", "1 as table_no", HEADED).select("doc_id", "page_no", "table_no", "x.*"), _orders(s, d, "case when o_orderkey % 5 = 0 then '00000001' else 'zz' end as code"),
+    ),
+    """with o as (select o_orderkey as k from orders), r as (select k, unnest([1, 2, 3]) as n from o)
+select k as doc_id, '0000000' || n as code, case when n = 1 and k % 3 > 0 and k % 5 > 0 then '3(3-0-6)' when n = 2 and k % 2 = 0 and k % 3 > 0 then '1(0-2-1)' when n = 2 and k % 2 = 0 then '' when n = 2 then '9(9-0-18)' end as credits,
+case when k % 3 > 0 and (n = 1 and k % 5 > 0 or n = 2 and k % 2 = 0) then 'header' end as rule from r""",
+)
+SEVERAL = "case o_orderkey % 4 when 0 then '3(3-0-6) 3(2-2-5)' when 1 then '3 (3-0-6) or 1(0-2-1)' when 2 then '3(3-0-6)' end"
+add(
+    "r15_credits_by_name",
+    lambda s, d: convert.credits_by_name(
+        _orders(s, d, "o_orderpriority as name", f"{SEVERAL} as credits"),
+        _orders(s, d, "replace(o_orderpriority, '-', ' - ') as name", "explode(case o_orderkey % 3 when 0 then array('2(2-0-4)', '2 (2-0-4)', '') when 1 then array('2(2-0-4)', '3(3-0-6)') else array('2(2-0-4)', '3(3-0-6) or 3(2-2-5)') end) as credits"),
+    ),
+    f"select o_orderkey as doc_id, o_orderpriority as name, case when o_orderkey % 4 < 2 and o_orderkey % 3 = 0 then '2(2-0-4)' else {SEVERAL} end as credits, case when o_orderkey % 4 < 2 and o_orderkey % 3 = 0 then 'name' end as rule from orders",
+)
 add(
     "r19_fill_second_name",
     lambda s, d: convert.fill_second_name(roles.plan_item(s, d).selectExpr("program as doc_id", "code", "id", "case when id % 2 = 0 then category end as name_en"), roles.plan_item(s, d).selectExpr("program as doc_id", "code", "category as name_en")).select("id", "name_en"),
