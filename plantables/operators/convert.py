@@ -368,12 +368,12 @@ def strip_credit_digit(rows: DataFrame, docs: DataFrame, printed: DataFrame) ->
 
 
 def recover_alternatives(options: DataFrame, rows: DataFrame) -> DataFrame:
-    """Options (doc_id, page, grp, code, name) of a table group that the rows lack, with term and group of the sibling on the nearest page; ties to the earlier row."""
+    """Options (doc_id, page, grp, code, name) of a table group that the rows lack, with term and group of the sibling on the nearest page; ties to the earlier row, then by name."""
     missing = options.join(rows.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
     other = options.select("doc_id", "page", "grp", F.col("code").alias("sibling"))
     near = rows.select("doc_id", F.col("code").alias("sibling"), F.col("page").alias("__page"), "ordinal", "year", "semester", "alt_group")
     joined = missing.join(other, ["doc_id", "page", "grp"]).join(near, ["doc_id", "sibling"])
-    best = F.row_number().over(Window.partitionBy("doc_id", "page", "grp", "code").orderBy(F.abs(F.col("__page") - F.col("page")), "ordinal"))
+    best = F.row_number().over(Window.partitionBy("doc_id", "page", "grp", "code").orderBy(F.abs(F.col("__page") - F.col("page")), "ordinal", "name"))
     return joined.withColumn("__n", best).filter("__n = 1").select("doc_id", "page", "code", "name", "year", "semester", "alt_group")
 
 

@@ -232,7 +232,7 @@ add(
     ),
     oracle(
         """, o as (select distinct alt_group as doc_id, year as page, semester as grp, code, category as name from plan_item where alt_group is not null), r as (select * from plan_item where alt_group is not null and id % 3 > 0),
-m as (select o.*, row_number() over (partition by o.doc_id, o.page, o.grp, o.code order by r.id) as n, r.year, r.semester, r.alt_group from o join o b using (doc_id, page, grp) join r on r.alt_group = o.doc_id and r.code = b.code where (o.doc_id, o.code) not in (select (alt_group, code) from r))
+m as (select o.*, row_number() over (partition by o.doc_id, o.page, o.grp, o.code order by r.id, o.name) as n, r.year, r.semester, r.alt_group from o join o b using (doc_id, page, grp) join r on r.alt_group = o.doc_id and r.code = b.code where (o.doc_id, o.code) not in (select (alt_group, code) from r))
 select doc_id, page, code, name, year, semester, alt_group from m where n = 1"""
     ),
 )
