@@ -42,3 +42,20 @@ s as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(
 select doc_id, cast(len(l) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join s using (doc_id)
 """
+
+_ASSIGN = """
+p{i} as materialized (select id, c, d from (select id, c, d, row_number() over (partition by id order by d, c) as r from (select v.id, m.c, sum((v.x - m.x) * (v.x - m.x)) as d from v join m{i} m using (i) group by v.id, m.c)) where r = 1)"""
+_MOVE = """
+s{i} as (select c, i, cast(sum(x) as bigint) as s, count(*) as n from v join p{i} using (id) group by c, i),
+m{j} as materialized (select m.c, m.i, case when n is null then m.x else cast((s - ((s % n) + n) % n) // n as bigint) end as x from m{i} m left join s{i} s on s.c = m.c and s.i = m.i)"""
+
+OP13 = f"""
+with k as (select vec_id as id, embedding as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+v as materialized (select id, i, cast(floor(64 * cast(e[i] as double)) as bigint) as x from (select id, e, unnest(range(1, 65)) as i from k)),
+f as (select id, cast(row_number() over (order by sha256('1:' || id)) - 1 as integer) as c from k qualify c < 16),
+m0 as materialized (select c, i, x from v join f using (id)),
+{",".join(_ASSIGN.format(i=i) + "," + _MOVE.format(i=i, j=i + 1) for i in range(3))},
+{_ASSIGN.format(i=3)},
+h as (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as h from m3 group by c)
+select id as vec_id, c as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, h as centroid_sha256 from p3 join h using (c)
+"""
