@@ -59,3 +59,31 @@ m0 as materialized (select c, i, x from v join f using (id)),
 h as (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as h from m3 group by c)
 select id as vec_id, c as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, h as centroid_sha256 from p3 join h using (c)
 """
+
+OP11 = """
+with recursive t as (select cast(conv_id as bigint) as conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ids as (select conv_id, cast(conv_id as varchar) as s, count(*) as n from t group by conv_id),
+bits as (
+  select conv_id, s, 0 as b, cast(4294967295 as bigint) as r from ids
+  union all
+  select conv_id, s, b + 1, xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end) from (select conv_id, s, b, case when b % 8 = 0 then xor(r, cast(ascii(substr(s, b // 8 + 1, 1)) as bigint)) else r end as x from bits where b < 8 * length(s))
+),
+h as materialized (select conv_id, cast(xor(r, 4294967295) % 6 as bigint) as h from bits where b = 8 * length(s)),
+k as (select ids.conv_id, h.h, least(h.h, coalesce(o.n, 0)) as k from ids join h using (conv_id) left join ids o on o.conv_id = ids.conv_id - ids.conv_id % 100),
+u as (
+  select k.conv_id, t.i as d, t.role, t.text from k join t on t.conv_id = k.conv_id - k.conv_id % 100 and t.i <= k.k
+  union all select k.conv_id, t.i - k.h + k.k, t.role, t.text from k join t on t.conv_id = k.conv_id and t.i > k.h
+),
+m as materialized (
+  select conv_id, d, length(text) as chars, md5(string_agg(md5(role) || md5(text), '' order by d) over (partition by conv_id order by d rows unbounded preceding)) as node from u
+  union all select conv_id, 0, 0, 'root' from ids
+),
+w as (select *, coalesce(lag(node) over (partition by conv_id order by d), '') as parent, max(d) over (partition by conv_id) as last from m),
+g as materialized (select node, d, min(conv_id) as conv_id, count(*) as n, any_value(parent) as parent, any_value(chars) as chars, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = last), '')) as ends from w group by node, d),
+c as (select parent, count(*) as n from g where d > 0 group by parent),
+v as (select g.*, coalesce(c.n, 0) as n_children, (g.n - 1) * chars as saved from g left join c on c.parent = g.node),
+below as (select distinct a.node as top, b.node from m a join m b on a.conv_id = b.conv_id and b.d >= a.d),
+s as (select top, count(*) filter (n_children = 0) as leaves, sum(saved) as saved from below join v using (node) group by top)
+select v.conv_id, cast(v.d as bigint) as depth, p.conv_id as parent_conv_id, v.n as n_convs, cast(v.n_children as bigint) as n_children, cast(leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, v.ends as ends_sha256
+from v join s on s.top = v.node left join g p on p.node = v.parent and v.d > 0
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantables.llm import chat, clusters, decontaminate, langid, licenses, mixing, oracles, packing, pivots, records, sharding, simhash, substrings
+from plantables.llm import chat, clusters, decontaminate, langid, licenses, mixing, oracles, packing, pivots, records, sharding, simhash, substrings, trie
 from plantables.llm.common import cut, table
 
 
@@ -63,6 +63,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -72,5 +76,5 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_substrings": op5_substrings, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate, "op12_packing": op12_packing, "op13_clusters": op13_clusters}
-ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.OP2, "op5_substrings": oracles.OP5, "op10_decontaminate": oracles.OP10, "op13_clusters": oracles.OP13}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_substrings": op5_substrings, "op6_shards": op6_shards, "op7_records": op7_records, "op8_language": op8_language, "op9_pivots": op9_pivots, "op10_decontaminate": op10_decontaminate, "op11_trie": op11_trie, "op12_packing": op12_packing, "op13_clusters": op13_clusters}
+ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.OP2, "op5_substrings": oracles.OP5, "op10_decontaminate": oracles.OP10, "op11_trie": oracles.OP11, "op13_clusters": oracles.OP13}
