@@ -34,7 +34,7 @@ NAME, BEFORE = ("k1", "k2", "k3"), ("b1", "b2", "b3")
 #: Children of a node are linked within so many groups, and the groups with each other, so that no group holds all children of one node.
 GROUPS = 512
 #: Arcs that one task ranks (32 bytes each), and positions in a range of prefix sums.
-FEW, RANGE = 1 << 16, 1 << 16
+FEW, RANGE = 1 << 18, 1 << 16
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
