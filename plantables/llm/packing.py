@@ -12,7 +12,6 @@ are numbered over the whole table, and a piece's number names its bin.
 
 from __future__ import annotations
 
-import string
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
@@ -31,15 +30,13 @@ from plantables.llm.common import cut
 CAPACITY, END_ID = 4096, 1
 #: Chunks of text between spaces that a worker keeps encoded, twice (the older ones are taken from until as many new ones are met); texts encoded together.
 KEPT_CHUNKS, GROUP = 500_000, 512
-_MARKS = set(string.punctuation)
 
 
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and never joins across it: each distinct chunk between spaces is encoded once while it is kept.
 
     White space other than spaces and line ends stays inside chunks and is
-    the library's matter, as are added tokens, digits and all other than
-    plain letters with marks after them.
+    the library's matter, as is all but words of letters.
     """
 
     def __init__(self, path: str):
@@ -58,12 +55,12 @@ class WordEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _words(self, words: list[str]) -> None:
-        """Keeps words of letters a to z, encoded as one text: each ends with an id that ends a word, the only one in it."""
+        """Keeps words of letters, encoded as one text: each ends with an id that ends a word, mostly the only one in it."""
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(some):  # not so for this vocabulary
+            if len(last) != len(some):  # some word isn't one piece
                 self._others(some)
                 continue
             packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
@@ -78,48 +75,41 @@ class WordEncoder:
         got = list(map(self.kept.get, chunks))
         new = [c for c, x in zip(chunks, got, strict=True) if x is None]
         if new:
-            parts: dict[str, tuple[str, str]] = {}
-            words, others = set(), set()
-            for c in new:
-                if (x := self.older.get(c)) is not None:
-                    self.kept[c] = x
-                    continue
-                stem = c.rstrip(string.punctuation)
-                if stem and stem.isascii() and stem.isalpha():
-                    word, marks = stem.lower(), c[len(stem) :]
-                    if word != c:
-                        parts[c] = word, marks
-                    words.add(word)
-                    if marks:
-                        others.add(marks)
-                else:
-                    others.add(c)
-            self._words([w for w in words if w not in self.kept])
-            if some := [c for c in others if c not in self.kept]:
-                self._others(some)
-            for c, (word, marks) in parts.items():
-                self.kept[c] = self.kept[word] + (self.kept[marks] if marks else b"")
+            self.kept.update((c, self.older[c]) for c in new if c in self.older)
+            new = [c for c in new if c not in self.kept]
+            self._words([c for c in new if c.isalpha()])
+            if others := [c for c in new if not c.isalpha()]:
+                self._others(others)
             got = list(map(self.kept.__getitem__, chunks))
         return got
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; null is empty."""
+        """Ids of each text; null is empty.
+
+        A to Z are lowered before texts are cut, but for texts where they
+        stand before a combining mark (the library joins both first) or where
+        an added token may be. Marks that end a chunk after a letter are
+        chunks of their own, but for those that an added token has.
+        """
         if not len(texts):
             return []
         if len(self.kept) > KEPT_CHUNKS:
             self.older, self.kept = self.kept, {}
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        texts = pc.if_else(pc.match_substring_regex(texts, r"[A-Z]\pM|<\|"), texts, pc.ascii_lower(texts))
+        split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([!-/:;=?@\[-`{}~]+)( |$)", r"\1 \2\3"), " ")
         coded = split.flatten().dictionary_encode()
         number, got = coded.indices.to_numpy(), self._find(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(map(got.__getitem__, number.tolist())), self.dtype)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        ids = np.frombuffer(b"".join(got), self.dtype)
-        n = size[number]
-        after = np.cumsum(n)
-        begin = np.cumsum(size) - size
-        flat = ids[np.repeat(begin[number] - after + n, n) + np.arange(after[-1])] if len(after) else ids
-        # a text has one chunk at least, so its offsets differ
-        ends = after[split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1]
-        return np.split(flat, ends[:-1])
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()  # a text has one chunk at least
+        return np.split(flat, np.cumsum(np.add.reduceat(size[number], first))[:-1])
+
+
+def encoder_of(path: str, held: dict[str, WordEncoder] = {}) -> WordEncoder:  # noqa: B006  kept by the worker on purpose
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -132,9 +122,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, met = None, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder = encoder_of(path)
         for whole in batches:
-            encoder = encoder or WordEncoder(path)
             for at in range(0, whole.num_rows, GROUP):
                 b = whole.slice(at, GROUP)
                 row, number, start, length, crc, held = [], [], [], [], [], []
