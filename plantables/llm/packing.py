@@ -97,7 +97,7 @@ class WordEncoder:
             self.older, self.kept = self.kept, {}
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         texts = pc.if_else(pc.match_substring_regex(texts, r"[A-Z]\pM|<\|"), texts, pc.ascii_lower(texts))
-        split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([!-/:;=?@\[-`{}~]+)( |$)", r"\1 \2\3"), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(texts, r"([a-zß-öø-ÿ])([!-/:;=?@\[-`{}~]+)( |$)", r"\1 \2\3"), " ")
         coded = split.flatten().dictionary_encode()
         number, got = coded.indices.to_numpy(), self._find(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(map(got.__getitem__, number.tolist())), self.dtype)
