@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantables.functions.text import positive_pages
+from plantables.sources.scratch import written
 
 
 def resolve_names(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -92,23 +93,64 @@ def confirm_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"confirmed": F.array_sort(F.array_intersect("claimed", "evidence")), "invented": F.array_sort(F.array_except("claimed", "evidence"))}).drop("claimed", "evidence")
 
 
-def evaluate_requirements(leaves: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Three-valued trees. leaves(student, node, value boolean or null), nodes(node, parent, op all_of or any_of of the parent).
+def requirement_levels(nodes: DataFrame) -> DataFrame:
+    """nodes(node, parent, ..) -> (node, level), 0 without children, else one more than the highest child's.
 
-    A level at a time from the leaves: all_of is false with any false child,
-    else unknown with any unknown, else true; any_of the other way round.
-    -> (student, node, value) for the nodes at the top, whose parent is null.
+    A node gets its level in the round after its last child got one; rounds
+    end when no node gets any, so trees may have any shape and depth, and a
+    node several parents. Nodes on a cycle, and those above one, get none.
     """
-    now, done = leaves, None
-    for _ in range(depth):
-        up = now.join(nodes, "node")
-        tops = up.filter("parent is null").select("student", "node", "value")
-        done = tops if done is None else done.unionByName(tops)
-        no, yes, unknown = (F.count_if(c) > 0 for c in (F.col("value") == F.lit(False), F.col("value"), F.col("value").isNull()))
-        every = F.when(no, False).when(unknown, None).otherwise(True)
-        some = F.when(yes, True).when(unknown, None).otherwise(False)
-        now = up.filter("parent is not null").groupBy("student", F.col("parent").alias("node"), "op").agg(every.alias("e"), some.alias("s")).select("student", "node", F.when(F.col("op") == "all_of", F.col("e")).otherwise(F.col("s")).alias("value"))
-    return done.unionByName(now.join(nodes, "node").filter("parent is null").select("student", "node", "value"))
+    edges = nodes.filter("parent is not null").select("node", "parent").distinct()
+    waiting = written(edges.groupBy("parent").agg(F.count("*").alias("waits")), "waiting")
+    fresh = written(nodes.select("node").union(edges.select("parent")).distinct().join(waiting.select(F.col("parent").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "level")
+    done, level = fresh, 0
+    while not fresh.isEmpty():
+        level += 1
+        told = edges.join(fresh, "node").groupBy("parent").agg(F.count("*").alias("told"))
+        waiting = written(waiting.join(told, "parent", "left").select("parent", (F.col("waits") - F.coalesce("told", F.lit(0))).alias("waits")), "waiting")
+        fresh = waiting.filter("waits = 0").select(F.col("parent").alias("node"), F.lit(level).alias("level"))
+        waiting = waiting.filter("waits > 0")
+        done = done.unionByName(fresh)
+    return done
+
+
+def requirement_cycles(nodes: DataFrame) -> DataFrame:
+    """The nodes that can't be evaluated, as they are on a cycle or above one."""
+    every = nodes.select("node").union(nodes.filter("parent is not null").select("parent")).distinct()
+    return every.join(requirement_levels(nodes), "node", "left_anti")
+
+
+def evaluate_requirements(leaves: DataFrame, nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Three-valued trees of any shape. leaves(student, node, value boolean or null), nodes(node, parent, op all_of or any_of of the parent).
+
+    all_of is false with any false child, else unknown with any unknown, else
+    true; any_of the other way round. A node is folded once, when all its
+    children are: levels first, as they don't depend on the student, then a
+    join and a sum for each level. A child without a row is unknown, and so is
+    a node without children that no leaf gives. A value given for a node that
+    has children counts for nothing.
+    -> (student, node, value): nodes without a parent, for each student with a
+    leaf below; or just what is asked (student, node). There, what stands on a
+    cycle or above one (requirement_cycles()) is unknown.
+    """
+    edges = nodes.filter("parent is not null").select("node", "parent", "op").distinct()
+    shape = written(edges.groupBy("parent").agg(F.count("*").alias("n"), F.max("op").alias("op")).withColumnRenamed("parent", "node").join(requirement_levels(nodes), "node"), "shape")
+    up = written(edges.select("node", "parent").join(shape.select(F.col("node").alias("parent"), F.col("level").alias("__at"), "n", "op"), "parent"), "edges")
+    now = leaves.join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("student", "node", "value")
+    tops = nodes.filter("parent is null").select("node").distinct()
+    found, now = [now.join(tops, "node", "left_semi")], written(now.join(up, "node", "left_semi"), "values")
+    for level in range(1, (shape.agg(F.max("level")).first()[0] or 0) + 1):
+        told = now.join(up.filter(F.col("__at") == level), "node").groupBy("student", F.col("parent").alias("node")).agg(F.count_if("value").alias("yes"), F.count_if(~F.col("value")).alias("no"), F.max("n").alias("n"), F.max("op").alias("op"))
+        every = F.when(F.col("no") > 0, False).when(F.col("yes") == F.col("n"), True)
+        some = F.when(F.col("yes") > 0, True).when(F.col("no") == F.col("n"), False)
+        fresh = written(told.select("student", "node", F.when(F.col("op") == "all_of", every).otherwise(some).alias("value")), "folded")
+        found.append(fresh.join(tops, "node", "left_semi"))
+        # what has a parent of a higher level waits for its turn
+        now = written(now.unionByName(fresh).join(up.filter(F.col("__at") > level), "node", "left_semi"), "values")
+    values = found[0].select("student", "node", "value")
+    for more in found[1:]:
+        values = values.unionByName(more.select("student", "node", "value"))
+    return values if asked is None else asked.select("student", "node").join(values, ["student", "node"], "left")
 
 
 def requirement_leaves(students: DataFrame, leaves: DataFrame, completed: DataFrame, approved: DataFrame) -> DataFrame:

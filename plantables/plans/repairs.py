@@ -261,19 +261,37 @@ add(
 )
 
 
+#: Parts in blocks of 20 as random trees: a node hangs below one of the block before it, so depths are mixed. Leaves of every eighth number are given by nobody.
+BLOCK = "cast(floor(p_partkey / 20) as bigint)"
+_BELOW = "p_partkey % 20 > 0"
+_PARENT = f"{BLOCK} * 20 + cast(floor(((p_partkey * 7919 + 13) % 101) * (p_partkey % 20) / 101.0) as bigint)"
+_OP = "case when ({p} * 31 + 7) % 5 < 2 then 'all_of' else 'any_of' end"
+_VALUE = "case when (k + node * 3) % 4 = 0 then null else (k * 5 + node) % 3 > 0 end"
+
+
 def _requirements(s, d):
-    students = table(s, d, "customer").selectExpr("c_custkey as student", "c_nationkey as k")
-    value = "case when (k + n) % 4 = 0 then null else (k * n) % 3 = 0 end"
-    leaves = students.select("student", "k", F.explode(F.expr("array(1, 2, 3, 4, 5)")).alias("n")).selectExpr("student", "'leaf' || n as node", f"{value} as value")
-    nodes = s.createDataFrame([("leaf1", "a", "all_of"), ("leaf2", "a", "all_of"), ("leaf3", "b", "any_of"), ("leaf4", "b", "any_of"), ("a", "top", "any_of"), ("b", "top", "any_of"), ("leaf5", None, None), ("top", None, None)], "node string, parent string, op string")
-    return cite.evaluate_requirements(leaves, nodes, 3)
+    nodes = table(s, d, "part").selectExpr("p_partkey as node", f"case when {_BELOW} then {_PARENT} end as parent").withColumn("op", F.when(F.col("parent").isNotNull(), F.expr(_OP.format(p="parent"))))
+    asked = table(s, d, "customer").selectExpr("c_custkey as student", "c_nationkey as k", "c_custkey % 100 * 20 as top")
+    leaves = asked.join(nodes.selectExpr("node", "cast(floor(node / 20) as bigint) * 20 as top"), "top").filter("node % 8 > 0").selectExpr("student", "node", f"{_VALUE} as value")
+    return cite.evaluate_requirements(leaves, nodes, asked.select("student", F.col("top").alias("node")))
 
 
-V = "case when (c_nationkey + {n}) % 4 = 0 then null else (c_nationkey * {n}) % 3 = 0 end"
 add(
     "n7_requirements",
     _requirements,
-    f"with v as (select c_custkey as student, {', '.join(V.format(n=n) + f' as v{n}' for n in range(1, 6))} from customer) select student, 'top' as node, (v1 and v2) or (v3 or v4) as value from v union all select student, 'leaf5', v5 from v",
+    # of false, unknown and true as -1, 0 and 1, all_of is the least and any_of the largest; nodes are folded from the last number to the first
+    f"""with recursive n as (select p_partkey as node, {BLOCK} as b, p_partkey % 20 as i, case when {_BELOW} then {_PARENT} end as parent from part where p_partkey < 2000),
+c as (select parent as node, list(node % 20) as l from n where parent is not null group by parent),
+t as (select n.b, list(coalesce(l, []) order by i) as below from n left join c using (node) group by n.b),
+f as (
+  select c_custkey as student, c_nationkey as k, t.b, below, 20 as i, []::integer[] as v from customer join t on t.b = c_custkey % 100
+  union all
+  select student, k, b, below, i - 1, list_prepend(cast(case
+    when len(below[i]) = 0 then case when node % 8 = 0 then 0 else coalesce(case when {_VALUE} then 1 else case when not ({_VALUE}) then -1 end end, 0) end
+    when {_OP.format(p="node")} = 'all_of' then list_min(list_transform(below[i], lambda x: v[x - i + 1])) else list_max(list_transform(below[i], lambda x: v[x - i + 1])) end as integer), v)
+  from (select *, b * 20 + i - 1 as node from f) where i > 0
+)
+select student, b * 20 as node, case v[1] when 1 then true when -1 then false end as value from f where i = 0""",
 )
 add(
     "n7_requirement_leaves",

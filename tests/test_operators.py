@@ -105,7 +105,7 @@ def test_repairs_leave_doubtful_rows(spark):
 def test_requirements_are_three_valued(spark):
     nodes = spark.createDataFrame([("a", "t", "all_of"), ("b", "t", "all_of"), ("t", None, None)], "node string, parent string, op string")
     leaves = spark.createDataFrame([(1, "a", True), (1, "b", None), (2, "a", False), (2, "b", None), (3, "a", True), (3, "b", True)], "student long, node string, value boolean")
-    assert rows(cite.evaluate_requirements(leaves, nodes, 2), "student", "value") == [(1, None), (2, False), (3, True)]
+    assert rows(cite.evaluate_requirements(leaves, nodes), "student", "value") == [(1, None), (2, False), (3, True)]
 
 
 def test_partition_count_does_not_matter(spark):

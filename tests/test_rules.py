@@ -1,5 +1,7 @@
 """Rules of names, codes, tables and citations on rows made for them: nulls, ties, empty tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plantables.functions import text as f
@@ -67,3 +69,44 @@ def test_citations_without_readable_pages_are_left_out(spark):
     plan = spark.createDataFrame([("a", None, 1, [1, 2]), (None, None, 1, [1, 2])], "code string, year int, semester int, pages array<int>")
     course = spark.createDataFrame([("a", [2, 1]), ("b", None)], "code string, pages array<int>")
     assert rows_of(cite.citations(evidence, plan, course), "id") == [(1, "plan_item", [1, 2]), (3, "course", [1, 2]), (4, "unknown", [1, 2])]
+
+
+def kleene(nodes, leaves, node, seen=()):
+    """A node's value: True, False, or None for unknown."""
+    if node in seen:
+        return None
+    ops = [(child, op) for child, parent, op in nodes if parent == node]
+    if not ops:
+        return leaves.get(node)
+    values = [kleene(nodes, leaves, child, (*seen, node)) for child, _ in ops]
+    if ops[0][1] == "all_of":
+        return False if False in values else True if all(values) else None
+    return True if True in values else False if all(v is False for v in values) else None
+
+
+def test_requirement_trees_of_any_shape(spark):
+    r = random.Random(4)
+    nodes, leaves = [("r0", None, None)], []
+    for tree in range(12):
+        own, op = [f"t{tree}"], {}
+        nodes.append((own[0], None, None))
+        for i in range(r.choice([1, 3, 8, 14])):
+            parent = own[-1] if tree % 3 == 0 else r.choice(own)  # every third one is a chain
+            op.setdefault(parent, r.choice(["all_of", "any_of"]))
+            own.append(f"t{tree}n{i}")
+            nodes.append((own[-1], parent, op[parent]))
+        for student in range(6):
+            leaves += [(student, n, r.choice([True, True, False, False, None])) for n in own if n not in op and r.random() < 0.8]
+    # mixed depth, a leaf's value that children overrule, a node of two parents, a leaf that is a tree, a cycle, and what stands above one
+    nodes += [("m", None, None), ("m1", "m", "all_of"), ("m2", "m", "all_of"), ("m3", "m2", "any_of"), ("m3", "m", "all_of"), ("lone", None, None), ("c1", "c2", "all_of"), ("c2", "c1", "all_of"), ("above", None, None), ("c1", "above", "any_of"), ("m1", "above", "any_of")]
+    leaves += [(7, "m1", True), (7, "m2", True), (7, "m3", False), (8, "m1", True), (8, "m3", True), (8, "lone", None), (9, "lone", False)]
+    tops = [n for n, parent, _ in nodes if parent is None]
+    asked = [(s, t) for s in range(10) for t in tops]
+    shape, given = spark.createDataFrame(nodes, "node string, parent string, op string"), spark.createDataFrame(leaves, "student long, node string, value boolean")
+    wanted = sorted((s, t, kleene(nodes, {n: v for x, n, v in leaves if x == s}, t) if t != "above" else None) for s, t in asked)
+    got = cite.evaluate_requirements(given, shape, spark.createDataFrame(asked, "student long, node string"))
+    assert rows_of(got, "student", "node") == wanted
+    held = rows_of(cite.evaluate_requirements(given, shape), "student", "node")
+    assert len({x[:2] for x in held}) == len(held) and set(held) <= set(wanted) and {(7, "m", False), (8, "m", True), (9, "lone", False)} <= set(held)
+    assert rows_of(cite.requirement_cycles(shape), "node") == [("above",), ("c1",), ("c2",)]
+    assert cite.evaluate_requirements(given.limit(0), shape.limit(0)).count() == 0
