@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from plantables.functions import text as f
 from plantables.operators.evaluate import align_multipass, field_stats
 from plantables.operators import repair
-from plantables.operators.pages import assign_alt_groups, assign_section, explode_tables, grid_rows, group_entries, group_rowspan_rows
+from plantables.operators.pages import HEAD_WORD, TOTAL_WORD, assign_alt_groups, assign_section, explode_tables, grid_rows, group_entries, group_rowspan_rows, skipped_tables, table_terms
 from plantables.sources.scratch import written
 
 
@@ -32,7 +32,8 @@ def convert_rows(rows: DataFrame, scope: list[str]) -> dict[str, DataFrame]:
     Several codes of a row are alternatives of one group. A wildcard is a
     placeholder. A row with a term goes to the plan, another to the slots.
     Credits that can't be read are unknown for the course, 0 for the plan.
-    -> plan, slot, course, prerequisite, counts.
+    -> plan, slot, course, prerequisite, counts, and rejected: the rows whose
+    code says none, which are in no other table.
     """
     codes = f.split_code_alternatives(F.col("code"))
     each = rows.withColumns({"__codes": codes, "__c": f.parse_credits(F.col("credits"))}).withColumn("__n", F.size("__codes"))
@@ -51,7 +52,8 @@ def convert_rows(rows: DataFrame, scope: list[str]) -> dict[str, DataFrame]:
     counts = one.groupBy(*scope).agg(
         F.count_if("planned").alias("n_plan"), F.count_if(~F.col("planned")).alias("n_slot"), F.count_if(F.col("code").startswith("PLACEHOLDER_")).alias("n_placeholder"), F.count_if(F.col("__c.error")).alias("n_unreadable")
     )
-    return {"plan": plan, "slot": slot, "course": course, "prerequisite": edges, "counts": counts}
+    rejected = each.filter(F.coalesce(F.col("__n"), F.lit(-1)) <= 0).select(*scope, "ordinal", "code", "name", F.when(F.trim(F.coalesce("code", F.lit(""))) == "", "no code").otherwise("code not read").alias("reason"))
+    return {"plan": plan, "slot": slot, "course": course, "prerequisite": edges, "counts": counts, "rejected": rejected}
 
 
 def printed_credits(cells: DataFrame) -> DataFrame:
@@ -64,13 +66,71 @@ def printed_credits(cells: DataFrame) -> DataFrame:
     )
 
 
+#: A code that opens a line, a line of a total alone, and credits that end a line.
+LEAD_CODE, TOTAL_LINE, CREDIT_TAIL = r"^\s*([0-9xX]{8})(?:\s+(.*))?$", r"(?i)^(?:total|รวม)\s*([0-9]+)\s*$", r"([0-9]+\s*\(\s*[0-9xX]+\s*-\s*[0-9xX]+\s*-\s*[0-9xX]+\s*\))\s*$"
+
+
 def normalize_grid_rows(rows: DataFrame) -> DataFrame:
-    """T4: rows of one or two cells split back to code, name and credits; kind is course, total, credits or other."""
-    line = F.trim(F.regexp_replace(F.array_join("cells", " "), r"\s+", " "))
-    pattern = r"^([0-9]{8}|[0-9]+[xX]+)\s+(.*?)\s+([0-9]{1,2}\([0-9xX-]+\))$"
-    got = lambda i: F.when(F.col("kind") == "course", F.regexp_extract("line", pattern, i))
-    kind = F.when(F.col("line").rlike(pattern), "course").when(F.col("line").rlike(r"(?i)^total\b"), "total").when(F.col("line").rlike(r"^[0-9]{1,2}(\([0-9xX-]+\))?$"), "credits").otherwise("other")
-    return rows.withColumn("line", line).withColumn("kind", kind).withColumns({"code": got(1), "name": got(2), "credits": got(3)}).drop("line")
+    """T4: grid rows (doc_id, page_no, table_no, row_no, cells, inherited, origin) -> the same, with item and kind, where rows of one or two cells are code, name and credits.
+
+    The lines of a merged cell are items: a code opens one, the lines after it
+    belong to it, a line of a total stands alone; lines before any code are
+    dropped. Of two cells the first gives the code (and what stands behind
+    it), the second the lines. Credits at the end of an item's last line are
+    its credits. A cell of credits alone is a row without code and name. Rows
+    of three cells or more, header rows, totals and rows under a span pass as
+    they are. A code that follows credits in one line begins a line. kind is
+    row, credits, course or total; row_no counts the rows that come out.
+    """
+    key = ["doc_id", "page_no", "table_no"]
+    given = F.transform(F.filter(F.arrays_zip("cells", "origin"), lambda x: x["origin"].isNotNull()), lambda x: x["cells"])
+    own = rows.withColumn("__own", given).withColumn("__first", F.coalesce(F.get("__own", F.lit(0)), F.lit("")))
+    head = F.exists("__own", lambda c: c.rlike(HEAD_WORD)) | F.col("__first").rlike(TOTAL_WORD)
+    whole = (F.size("__own") >= 3) | (F.size("__own") == 0) | head | F.exists("inherited", lambda x: x)
+    alone = (F.size("__own") == 1) & F.col("__first").rlike(ONLY_CREDITS)
+    told = own.withColumn("kind", F.when(whole, "row").when(alone, "credits").otherwise("lines"))
+    empty = lambda value, n: F.array(*(F.lit(value) for _ in range(n)))
+    passed = told.filter("kind = 'row'").withColumn("item", F.lit(0))
+    credits = told.filter("kind = 'credits'").withColumns({"item": F.lit(0), "cells": F.array(F.lit(""), F.lit(""), F.col("__first"))})
+    lines = lambda c: F.split(F.regexp_replace(c, r"(\([0-9xX]+\s*-\s*[0-9xX]+\s*-\s*[0-9xX]+\s*\))[ \t]+(?=[0-9xX]{8}\s)", "$1\n"), "\n")
+    two = F.size("__own") == 2
+    # of two cells, the whole first one opens the only course; its second cell's lines follow, with codes in it no codes
+    second = F.when(two, lines(F.get("__own", F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    first = lines(F.col("__first"))
+    opener = F.regexp_extract(F.get(first, F.lit(0)), LEAD_CODE, 1)
+    split = (opener != "") & ((F.size(first) > 1) | (F.regexp_extract(F.get(first, F.lit(0)), LEAD_CODE, 2) != ""))
+    pieces = F.when(
+        two,
+        F.concat(
+            F.when(split, F.concat(F.array(F.struct(F.lit("course").alias("opens"), opener.alias("code"), F.regexp_extract(F.get(first, F.lit(0)), LEAD_CODE, 2).alias("line"))), F.transform(F.slice(first, F.lit(2), F.size(first)), lambda x: F.struct(F.lit("").alias("opens"), F.lit("").alias("code"), x.alias("line")))))
+            .otherwise(F.array(F.struct(F.lit("course").alias("opens"), F.col("__first").alias("code"), F.lit("").alias("line")))),
+            F.transform(second, lambda x: F.when(x.rlike(TOTAL_LINE), F.struct(F.lit("total").alias("opens"), F.lit("").alias("code"), F.regexp_extract(x, TOTAL_LINE, 1).alias("line"))).otherwise(F.struct(F.lit("").alias("opens"), F.lit("").alias("code"), x.alias("line")))),
+        ),
+    ).otherwise(
+        F.transform(
+            first,
+            lambda x: F.when(x.rlike(TOTAL_LINE), F.struct(F.lit("total").alias("opens"), F.lit("").alias("code"), F.regexp_extract(x, TOTAL_LINE, 1).alias("line")))
+            .when(x.rlike(LEAD_CODE), F.struct(F.lit("course").alias("opens"), F.regexp_extract(x, LEAD_CODE, 1).alias("code"), F.regexp_extract(x, LEAD_CODE, 2).alias("line")))
+            .otherwise(F.struct(F.lit("").alias("opens"), F.lit("").alias("code"), x.alias("line"))),
+        )
+    )
+    place = Window.partitionBy(*key, "row_no").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = told.filter("kind = 'lines'").withColumn("__two", two).select(*key, "row_no", "__two", F.posexplode(pieces).alias("__at", "x"))
+    # in one cell, lines after a total belong to nothing; of two cells, they go on with the only course
+    opens = F.col("x.opens") != ""
+    course = (F.col("x.opens") == "course") | ~F.col("__two") & opens
+    each = each.withColumn("item", F.when(F.col("__two") & (F.col("x.opens") == "total"), F.col("__at") + 1).otherwise(F.sum(course.cast("int")).over(place)).cast("int")).filter("item > 0")
+    items = each.groupBy(*key, "row_no", "item").agg(F.max("x.opens").alias("kind"), F.max("x.code").alias("code"), F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col("x.opens").alias("opens"), F.trim("x.line").alias("line")))), lambda x: F.struct(x["opens"].alias("opens"), x["line"].alias("line"))).alias("l"))
+    said = F.filter(F.transform("l", lambda x: x["line"]), lambda x: x != "")
+    last = F.coalesce(F.get(said, F.size(said) - 1), F.lit(""))
+    tail = F.regexp_extract(last, CREDIT_TAIL, 1)
+    name = F.when(F.size(said) > 0, F.filter(F.concat(F.slice(said, F.lit(1), F.greatest(F.size(said) - 1, F.lit(0))), F.array(F.trim(F.regexp_replace(last, CREDIT_TAIL, "")))), lambda x: x != "")).otherwise(said)
+    total = F.element_at("l", 1)["line"]
+    cells = F.when(F.col("kind") == "total", F.array(F.lit("Total"), F.lit("Total"), total)).otherwise(F.array("code", F.array_join(name, "\n"), tail))
+    made = items.select(*key, "row_no", "item", "kind", cells.alias("cells"))
+    flat = lambda df: df.select(*key, "row_no", "item", "kind", "cells", F.transform("cells", lambda _: F.lit(False)).alias("inherited"), F.transform("cells", lambda _: F.col("row_no").cast("int")).alias("origin"))
+    every = passed.select(*key, "row_no", "item", "kind", "cells", "inherited", "origin").unionByName(flat(credits)).unionByName(flat(made))
+    return every.withColumn("row_no", (F.row_number().over(Window.partitionBy(*key).orderBy("row_no", "item")) - 1).cast("int"))
 
 
 #: Credits with nothing else, and an "or" at the end.
@@ -135,30 +195,35 @@ def catalog_fallback(listed: DataFrame, known: DataFrame, planned: DataFrame) ->
     return listed.join(planned.select("doc_id").distinct(), "doc_id", "left_anti").join(known.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
 
 
-def code_by_name(rows: DataFrame, named: DataFrame, alike: float = 0.9) -> DataFrame:
+def code_by_name(rows: DataFrame, named: DataFrame, alike: tuple[int, int] = (9, 10), label: str | None = None) -> DataFrame:
     """Rows with a wildcard code get the code of the most similar name of their document, if alike enough; ties by code.
 
-    A ratio of r leaves at most (1 - r) of both texts' characters unmatched, u
+    alike is a fraction of whole numbers, and so are all bounds. With a label
+    (a pattern) only rows whose name has it take part, on both sides, and
+    names are compared without it and without white space. A ratio of r leaves at most (1 - r) of both texts' characters unmatched, u
     of them. Cut into u + 1 pieces, a name has one piece that stands whole in
     the other: pieces' first characters are joined with all places of the
     other name, which loses no pair. Length and edit distance, which u also
     bounds, then leave few pairs whose ratio is computed.
     """
+    num, den = alike
+    has = (lambda c: F.col(c).rlike(label)) if label else (lambda c: F.lit(True))
+    key = (lambda c: F.regexp_replace(F.regexp_replace(c, label, ""), r"(?U)\s+", "")) if label else F.col
     # the other name is at most (2 - r) / r times as long, and u is (1 - r) of both lengths
-    spare = F.floor(F.length("name") * (2 * (1 - alike) / alike)).cast("int")
-    asked = rows.filter(F.col("code").startswith("PLACEHOLDER_") & (F.col("name") != "")).select("doc_id", "name").distinct().withColumn("__u", spare)
-    size = F.greatest(F.lit(1), F.floor(F.length("name") / (F.col("__u") + 1)).cast("int"))
-    cuts = F.transform(F.sequence(F.lit(0), F.col("__u")), lambda k: F.substr("name", (k * size + 1).cast("int"), F.least(size, F.lit(GRAM))))
+    spare = F.floor(F.length("__text") * (2 * (den - num)) / num).cast("int")
+    asked = rows.filter(F.col("code").startswith("PLACEHOLDER_") & has("name")).select("doc_id", key("name").alias("__text")).filter("__text <> ''").distinct().withColumn("__u", spare)
+    size = F.greatest(F.lit(1), F.floor(F.length("__text") / (F.col("__u") + 1)).cast("int"))
+    cuts = F.transform(F.sequence(F.lit(0), F.col("__u")), lambda k: F.substr("__text", (k * size + 1).cast("int"), F.least(size, F.lit(GRAM))))
     keyed = asked.withColumn("__key", F.explode(F.array_distinct(F.filter(cuts, lambda x: x != ""))))
-    real = named.filter(F.col("code").rlike("^[0-9]{8}$") & (F.col("name") != "")).select("doc_id", F.col("name").alias("__name"), F.col("code").alias("__code")).distinct()
+    real = named.filter(F.col("code").rlike("^[0-9]{8}$") & has("name")).select("doc_id", key("name").alias("__name"), F.col("code").alias("__code")).filter("__name <> ''").distinct()
     at = F.sequence(F.lit(1), F.length("__name"))
     spread = real.withColumn("__key", F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("__name", i, n)))))))
-    lengths = F.length("name") + F.length("__name")
-    near = keyed.join(spread, ["doc_id", "__key"]).filter(F.abs(F.length("name") - F.length("__name")) <= lengths * (1 - alike)).select("doc_id", "name", "__name", "__code").distinct()
-    scored = near.filter(F.levenshtein("name", "__name") <= lengths * (1 - alike)).withColumn("__r", ratio("name", "__name")).filter(F.col("__r") >= alike)
-    best = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy(F.desc("__r"), "__code"))
-    top = scored.withColumn("__n", best).filter("__n = 1").select("doc_id", "name", "__code")
-    joined = rows.join(top, ["doc_id", "name"], "left")
+    most = (F.length("__text") + F.length("__name")) * (den - num)
+    near = keyed.join(spread, ["doc_id", "__key"]).filter(F.abs(F.length("__text") - F.length("__name")) * den <= most).select("doc_id", "__text", "__name", "__code").distinct()
+    scored = near.filter(F.levenshtein("__text", "__name") * den <= most).withColumn("__r", ratio("__text", "__name")).filter(F.col("__r") >= num / den)
+    best = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.desc("__r"), "__code"))
+    top = scored.withColumn("__n", best).filter("__n = 1").select("doc_id", "__text", "__code")
+    joined = rows.withColumn("__text", F.when(has("name"), key("name") if label else F.col("name"))).join(top, ["doc_id", "__text"], "left")
     return joined.withColumn("code", F.when(F.col("code").startswith("PLACEHOLDER_"), F.coalesce("__code", "code")).otherwise(F.col("code"))).select(*rows.columns)
 
 
@@ -409,34 +474,38 @@ def split_by_variant(rows: DataFrame, spans: DataFrame, steps) -> tuple[DataFram
     return routed, routed.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_codes"))
 
 
-def convert_documents(pages: DataFrame, heading: str = r"(?i)year\s*([0-9])\s*semester\s*([0-9])", description: str = r"^[0-9]{8}\b", follow: str = r"(?i)^prerequisite\s*:") -> dict[str, DataFrame]:
-    """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), and `rows`, the repaired rows.
+def convert_documents(
+    pages: DataFrame, heading: str = r"(?i)year\s*([0-9]+)\s*semester\s*([0-9]+|summer)", description: str = r"^[0-9]{8}\b", follow: str = r"(?i)^prerequisite\s*:", variant: str | None = r"(?i)plan (without )?co-?op"
+) -> dict[str, DataFrame]:
+    """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), `rows`, the repaired rows, and `skipped`, the tables without a term.
 
     In the order of the reference: tables with the heading in force (T1, T3,
-    T5), rows and alternatives (T7, T8), description blocks (D1, D2); then
-    codes by name (R4), mixed groups (R24), names by vote (R7), credits from
-    descriptions and series (R13), prerequisites; last the tables (R3). A page
-    without a term heading takes that of the pages before it. A document is
-    the scope; text on pages in no table is only read for descriptions. What
-    tables and descriptions hold is written once, as the repairs read it often.
+    T5), merged rows (T4), rows and alternatives (T7, T8), description blocks
+    (D1, D2); then codes by name (R4), mixed groups (R24), names by vote (R7),
+    credits from descriptions and series (R13), prerequisites; last the tables
+    (R3). A document is the scope; text on pages in no table is only read for
+    descriptions. What tables and descriptions hold is written once, as the
+    repairs read it often.
     """
     tables = explode_tables(pages)
-    order = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when(F.col("text").rlike(heading), F.struct(F.regexp_extract("text", heading, 1).cast("int").alias("year"), F.regexp_extract("text", heading, 2).cast("int").alias("semester")))
-    terms = pages.select("doc_id", "page_no", F.last(own, ignorenulls=True).over(order).alias("t")).select("doc_id", "page_no", "t.year", "t.semester")
-    entries = written(assign_alt_groups(group_entries(group_rowspan_rows(grid_rows(tables))), tables.select("doc_id", "page_no", "table_no").join(terms, ["doc_id", "page_no"])), "entries")
+    read = written(grid_rows(tables), "grids")
+    terms = written(table_terms(pages, read, heading, variant), "terms")
+    known_terms = terms.filter("year is not null and semester is not null")
+    table = ["doc_id", "page_no", "table_no"]
+    lines_of = normalize_grid_rows(read)
+    entries = written(assign_alt_groups(group_entries(group_rowspan_rows(lines_of)), known_terms.drop("variant")).join(known_terms.select(*table, "variant"), table), "entries")
     lines = pages.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"(?is)<table.*?</table>", ""), "\n")).alias("at", "line"), "page_no").select("doc_id", (F.col("page_no") * 1_000_000 + F.col("at")).alias("line_no"), F.trim("line").alias("line"))
     described = written(parse_blocks(description_blocks(lines, description, follow, bare=r"^[0-9]{8}\s*$")), "described")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "table_no", "grp", "entry"))
     rows = entries.withColumn("ordinal", place.cast("long")).withColumn("category", F.lit(None).cast("string"))
-    per_doc = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
-    known = described.select(per_doc(F.col("name")).alias("name"), "code")
-    rows = repair.recover_codes(rows.withColumns({"__name": F.col("name"), "name": per_doc(F.col("name"))}), known).withColumn("name", F.col("__name")).drop("__name", "note")
+    rows = repair.recover_codes(rows, described.select("doc_id", "name", "code"), scope=["doc_id"]).drop("note")
     rows = repair.dissolve_mixed_groups(rows, ["doc_id", "year", "semester"])
-    read = rows.select(per_doc(F.col("code")).alias("code"), "name", F.lit("table").alias("source")).filter("code is not null").unionByName(described.select(per_doc(F.col("code")).alias("code"), "name", F.lit("description").alias("source")))
-    voted = repair.vote_names(read).select("code", F.col("name").alias("__name"))
-    rows = rows.withColumn("__key", per_doc(F.col("code"))).join(voted.withColumnRenamed("code", "__key"), "__key", "left").withColumn("name", F.coalesce("__name", "name")).drop("__key", "__name")
+    per_doc = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
+    named = rows.select(per_doc(F.col("code")).alias("code"), "name", F.lit("table").alias("source")).filter("code is not null").unionByName(described.select(per_doc(F.col("code")).alias("code"), "name", F.lit("description").alias("source")))
+    voted = repair.vote_names(named).select("code", F.col("name").alias("__name"))
+    rows = rows.withColumn("__key", F.when(F.col("code").isNotNull(), per_doc(F.col("code")))).join(voted.withColumnRenamed("code", "__key"), "__key", "left").withColumn("name", F.coalesce("__name", "name")).drop("__key", "__name")
     given = described.select("doc_id", "code", F.col("credits").alias("__credits"), "prerequisite")
     rows = rows.join(given, ["doc_id", "code"], "left").withColumn("credits", F.coalesce(F.nullif("credits", F.lit("")), F.nullif("__credits", F.lit("")))).drop("__credits")
     rows = repair.impute_from_series(rows, ["doc_id"])
-    return {"rows": rows, **convert_rows(rows, ["doc_id"])}
+    skipped = skipped_tables(lines_of.join(terms, table))
+    return {"rows": rows, "skipped": skipped, **convert_rows(rows, ["doc_id"])}

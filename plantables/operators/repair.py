@@ -6,6 +6,7 @@ documents apart; `ordinal` is the order of rows in the document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,22 +57,22 @@ def suffix_wildcards(rows: DataFrame, by: list[str], fingerprint: list[str]) ->
     return joined.withColumn("code", F.when(F.col("__no") > 1, F.concat_ws("_", "code", "__no")).otherwise(F.col("code"))).drop("__no")
 
 
-def recover_codes(rows: DataFrame, known: DataFrame, least: int = 10) -> DataFrame:
+def recover_codes(rows: DataFrame, known: DataFrame, least: int = 10, scope: Sequence[str] = ()) -> DataFrame:
     """A missing code, or one of digits but not eight, becomes that of the one known name that the row's name equals
     or ends with, white space aside, if the digits read stand in that code in order. Wildcards and letters are left.
 
-    known(name, code). Names shorter than `least` aren't used. recovered tells
+    known(name, code), both within scope columns. Names shorter than `least` aren't used. recovered tells
     the changed rows, note what was done, or that several codes fit. Names are
     spread to their endings, so that this is a join on equal text.
     """
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
     read = bare(F.col("code"))
-    asked = rows.filter(read.rlike("^[0-9]*$") & (F.length(read) != 8)).select(read.alias("__read"), bare(F.col("name")).alias("__bare")).filter(F.length("__bare") >= least).distinct()
+    asked = rows.filter(read.rlike("^[0-9]*$") & (F.length(read) != 8)).select(*scope, read.alias("__read"), bare(F.col("name")).alias("__bare")).filter(F.length("__bare") >= least).distinct()
     ends = asked.withColumn("__end", F.explode(F.transform(F.sequence(F.lit(least), F.length("__bare")), lambda n: F.right(F.col("__bare"), n))))
-    names = known.filter(F.col("code").rlike("^[0-9]{8}$")).select(bare(F.col("name")).alias("__end"), F.col("code").alias("__code")).filter(F.length("__end") >= least).distinct()
+    names = known.filter(F.col("code").rlike("^[0-9]{8}$")).select(*scope, bare(F.col("name")).alias("__end"), F.col("code").alias("__code")).filter(F.length("__end") >= least).distinct()
     fits = (F.col("__read") == "") | is_subsequence(F.col("__read"), F.col("__code"))
-    found = ends.join(names, "__end").filter(fits).groupBy("__read", "__bare").agg(F.count_distinct("__code").alias("__n"), F.min("__code").alias("__code"))
-    joined = rows.withColumns({"__read": read, "__bare": bare(F.col("name"))}).join(found, ["__read", "__bare"], "left")
+    found = ends.join(names, [*scope, "__end"]).filter(fits).groupBy(*scope, "__read", "__bare").agg(F.count_distinct("__code").alias("__n"), F.min("__code").alias("__code"))
+    joined = rows.withColumns({"__read": read, "__bare": bare(F.col("name"))}).join(found, [*scope, "__read", "__bare"], "left")
     one = F.coalesce(F.col("__n") == 1, F.lit(False))
     note = F.when(one, F.concat(F.lit("code by name, was "), F.coalesce("code", F.lit("")))).when(F.col("__n") > 1, "name of several codes")
     return joined.withColumns({"recovered": one, "note": note, "code": F.when(one, F.col("__code")).otherwise(F.col("code"))}).drop("__bare", "__read", "__code", "__n")

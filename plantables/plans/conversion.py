@@ -41,18 +41,36 @@ add(
     lambda s, d: convert.convert_rows(extracted(s, d), SCOPE)["prerequisite"],
     oracle(f"{SQL_ROWS} select distinct code, lpad('' || (k + 2), 8, '0') as requires, 'pre' as kind from x where k % 4 = 0 and k % 5 <> 1 and code <> lpad('' || (k + 2), 8, '0')"),
 )
+add(
+    "r3_rejected_rows",
+    lambda s, d: convert.convert_rows(extracted(s, d).withColumn("code", F.expr("case ordinal % 5 when 0 then code when 1 then null when 2 then ' ' when 3 then 'see page 9' else code end")), SCOPE)["rejected"].select("ordinal", "reason"),
+    oracle("select id as ordinal, case when id % 5 < 3 then 'no code' else 'code not read' end as reason from plan_item where id % 5 in (1, 2, 3)"),
+)
 add(
     "r14_printed_credits",
     lambda s, d: convert.printed_credits(pages.table_rows(pages.explode_tables(html_pages(s, d))).filter("row_no > 0").select((F.col("doc_id") % 100).alias("doc_id"), F.element_at("cells", -2).alias("code"), F.element_at("cells", -1).alias("credits"))),
     oracle(f"select k % 100 as doc_id, code, count(distinct credits) as n_values, case when count(distinct credits) = 1 then '' || min(credits) end as usable from ({ITEMS}) group by k % 100, code"),
 )
+#: One grid row a table: several courses and a total in one cell, two cells with and without more behind the code, credits alone, a total, and a whole row.
+MERGED = [
+    "id as doc_id", "1 as page_no", "0 as table_no", "0 as row_no",
+    """case id % 6 when 0 then array(lpad('' || id, 8, '0') || ' name a\nand more 3(3-0-6)\n' || lpad('' || (id + 1), 8, '0') || ' B 2 (2-0-4) 0602xxxx C 1(0-2-1)\nTotal 6\nlost')
+    when 1 then array(lpad('' || id, 8, '0'), 'name ' || year || ' 3(1-0-x)\nTotal 9\n') when 2 then array(lpad('' || id, 8, '0') || ' group\nof it', '\nname 4(1-1-1) end')
+    when 3 then array(' ' || credits || '(1-0-2)') when 4 then array('Total', '21') else array('c', 'n 3(3-0-6)', '') end as cells""",
+]
 add(
     "t4_normalize_rows",
     lambda s, d: convert.normalize_grid_rows(
-        roles.plan_item(s, d).selectExpr("id", "case id % 4 when 0 then array(code || ' name ' || year, credits || '(1-0-x)') when 1 then array(code || '  a b ' || credits || '(2-2-5)') when 2 then array('Total', '21') else array('' || credits) end as cells")
-    ).select("id", "kind", "code", "name", "credits"),
+        roles.plan_item(s, d).selectExpr(*MERGED).withColumns({"inherited": F.transform("cells", lambda _: F.lit(False)), "origin": F.transform("cells", lambda _: F.lit(0))})
+    ).select("doc_id", "row_no", "kind", F.array_join("cells", "|").alias("cells")),
     oracle(
-        ", p as (select *, id % 4 < 2 and regexp_full_match(code, '[0-9]{8}') as c from plan_item) select id, case when c then 'course' when id % 4 = 2 then 'total' when id % 4 = 3 then 'credits' else 'other' end as kind, case when c then code end as code, case when c then case when id % 4 = 0 then 'name ' || year else 'a b' end end as name, case when c then credits || case when id % 4 = 0 then '(1-0-x)' else '(2-2-5)' end end as credits from p"
+        """, w as (select id, lpad('' || id, 8, '0') as a, lpad('' || (id + 1), 8, '0') as b, year, credits, id % 6 as m from plan_item),
+x as (select id, unnest(case m
+  when 0 then [{'k': 'course', 'c': a || '|name a\nand more|3(3-0-6)'}, {'k': 'course', 'c': b || '|B|2 (2-0-4)'}, {'k': 'course', 'c': '0602xxxx|C|1(0-2-1)'}, {'k': 'total', 'c': 'Total|Total|6'}]
+  when 1 then [{'k': 'course', 'c': a || '|name ' || year || '|3(1-0-x)'}, {'k': 'total', 'c': 'Total|Total|9'}]
+  when 2 then [{'k': 'course', 'c': a || '|group\nof it\nname 4(1-1-1) end|'}]
+  when 3 then [{'k': 'credits', 'c': '|| ' || credits || '(1-0-2)'}] when 4 then [{'k': 'row', 'c': 'Total|21'}] else [{'k': 'row', 'c': 'c|n 3(3-0-6)|'}] end) as x, unnest(range(case m when 0 then 4 when 1 then 2 else 1 end)) as n from w)
+select id as doc_id, cast(n as int) as row_no, x.k as kind, replace(x.c, '\n', chr(10)) as cells from x"""
     ),
 )
 #: Rows of a table in runs: three of one code, an elective whose credits go on, a row again without credits.
@@ -93,6 +111,16 @@ add(
     ).select("id", "code"),
     "select p_partkey as id, case when p_partkey % 2 = 1 then 'own' when p_partkey % 8 = 6 then 'PLACEHOLDER_90000XXX' else lpad('' || p_partkey, 8, '0') end as code from part",
 )
+add(
+    # names of 9 and 11 characters with 9 in common are alike at 18/20, just enough; with 8 of 8 and 10 at 16/18 they aren't
+    "t14_code_by_label",
+    lambda s, d: convert.code_by_name(
+        table(s, d, "part").selectExpr("p_partkey as doc_id", "p_partkey as id", "'PLACEHOLDER_90000XXX' as code", "case p_partkey % 4 when 0 then 'Set* abX cdefYghi' when 1 then 'Set* abXcdYefgh' when 2 then 'abcdefghi' else 'Set*abcdefghi' end as name"),
+        table(s, d, "part").selectExpr("p_partkey as doc_id", "lpad('' || p_partkey, 8, '0') as code", "case p_partkey % 4 when 1 then 'Set* abcdefgh' else 'Set* abcdefghi' end as name"),
+        label=r"Set\*",
+    ).select("id", "code"),
+    "select p_partkey as id, case when p_partkey % 4 in (0, 3) then lpad('' || p_partkey, 8, '0') else 'PLACEHOLDER_90000XXX' end as code from part",
+)
 add(
     "d1_description_blocks",
     lambda s, d: convert.description_blocks(lines(s, d).select("doc_id", F.col("page_no").alias("line_no"), F.col("text").alias("line")), "^(The|Of|In) ", "ly\\.?$").select("doc_id", "line_no", "opens", "block"),
@@ -273,25 +301,44 @@ add(
 select doc_id, section, count(*) as n_rows, count(distinct code) as n_codes from k, s where p between a and b or p not between 20 and 90 group by all"""
     ),
 )
-#: An order as a document of two pages: a plan table under a heading, with a pair, a row without credits and a series
-#: whose credits aren't all printed; then descriptions with names, credits and prerequisites.
-K1, K2, K3 = ("lpad('' || (o_orderkey % 10000000 + " + n + "), 8, '1')" for n in ("0", "1", "2"))
-PLAN_PAGE = f"""'Year ' || (o_orderkey % 4 + 1) || ' Semester ' || (o_orderkey % 2 + 1) || '\n<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>'
+#: An order as a document of three pages. A plan table under a heading, with a pair, a row without credits, a series whose credits
+#: aren't all printed, and rows without a code (one whose name ends as a described one, one too short). On the same page a table with
+#: its term in its own header row, of merged rows. Then, without a heading, the table's end on a page of the variant with co-op, and
+#: descriptions with names, credits and prerequisites.
+K1, K2, K3, K4, K5, K6 = ("lpad('' || (o_orderkey % 10000000 + " + n + "), 8, '1')" for n in "012345")
+PLAN_PAGE = f"""'Plan without co-op\nYear ' || (o_orderkey % 4 + 1) || ' Semester ' || (o_orderkey % 2 + 1) || '\n<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>'
 || '<tr><td rowspan=2>' || {K1} || '<br>or ' || {K2} || '</td><td>First course of many</td><td>3(3-0-6)</td></tr><tr><td>Second course of many</td><td></td></tr>'
 || '<tr><td>' || {K3} || '</td><td>Third course of many</td><td></td></tr>'
-|| '<tr><td>0603xxxx</td><td>Skill 1</td><td>1(0-2-1)</td></tr><tr><td>0604xxxx</td><td>Skill 3</td><td></td></tr></table>'"""
-TEXT_PAGE = f"""{K1} || ' First course of many 3(3-0-6)\nPrerequisite: none\nwords\n' || {K3} || ' Third course of many 2(2-0-4)\nPrerequisite: ' || {K1} || '\nmore'"""
+|| '<tr><td>999</td><td>Skill A</td><td>1(0-2-1)</td></tr><tr><td>1111</td><td>advanced Topics in Data</td><td>3(3-0-6)</td></tr>'
+|| '<tr><td>0603xxxx</td><td>Skill 1</td><td>1(0-2-1)</td></tr><tr><td>0604xxxx</td><td>Skill 3</td><td></td></tr>'
+|| '</table>text<table><tr><th colspan=2>Year 5 Semester summer</th></tr><tr><th>Code</th><th>Name</th></tr>'
+|| '<tr><td>' || {K4} || ' Fourth course<br>of many 1(0-2-1)<br>' || {K5} || ' Fifth course 2(2-0-4)<br>Total 3</td></tr></table>'"""
+NEXT_PAGE = f"""'Plan co-op\n<table><tr><td>' || {K5} || '</td><td>Fifth course</td><td>2(2-0-4)</td></tr></table>'"""
+TEXT_PAGE = f"""{K1} || ' First course of many 3(3-0-6)\nPrerequisite: none\nwords\n' || {K3} || ' Third course of many 2(2-0-4)\nPrerequisite: ' || {K1} || '\nmore\n' || {K2} || ' Skill A\nPrerequisite: none\n' || {K6} || ' Topics in Data\nPrerequisite: none'"""
 
 
 def _books(s, d):
-    return table(s, d, "orders").selectExpr("o_orderkey as doc_id", f"explode(array(struct(1 as page_no, {PLAN_PAGE} as text), struct(2 as page_no, {TEXT_PAGE} as text))) as p").select("doc_id", "p.*")
+    listed = ", ".join(f"struct({n} as page_no, {text} as text)" for n, text in enumerate((PLAN_PAGE, NEXT_PAGE, TEXT_PAGE), 1))
+    return table(s, d, "orders").selectExpr("o_orderkey as doc_id", f"explode(array({listed})) as p").select("doc_id", "p.*")
 
 
+add(
+    "t5_table_terms",
+    lambda s, d: (lambda b: pages.table_terms(b, pages.grid_rows(pages.explode_tables(b)), r"(?i)year\s*([0-9]+)\s*semester\s*([0-9]+|summer)", r"(?i)plan (without )?co-?op"))(_books(s, d)),
+    "select o_orderkey as doc_id, unnest([1, 1, 2]) as page_no, unnest([0, 1, 0]) as table_no, unnest([cast(o_orderkey % 4 + 1 as int), 5, 5]) as year, unnest([cast(o_orderkey % 2 + 1 as int), 3, 3]) as semester, unnest(['nocoop', 'nocoop', 'coop']) as variant from orders",
+)
+_ALT = "'alt_y' || (o_orderkey % 4 + 1) || 's' || (o_orderkey % 2 + 1) || '_1'"
 add(
     "r28_convert_plan",
     lambda s, d: convert.convert_documents(_books(s, d))["plan"].select("doc_id", "code", "year", "semester", "credits", "alt_group"),
-    f"""select o_orderkey as doc_id, unnest([{K1}, {K2}, {K3}, 'PLACEHOLDER_0603XXXX', 'PLACEHOLDER_0604XXXX']) as code, cast(o_orderkey % 4 + 1 as int) as year, cast(o_orderkey % 2 + 1 as int) as semester, unnest([3, 3, 2, 1, 3]) as credits,
-unnest(['alt_y' || (o_orderkey % 4 + 1) || 's' || (o_orderkey % 2 + 1) || '_1', 'alt_y' || (o_orderkey % 4 + 1) || 's' || (o_orderkey % 2 + 1) || '_1', null, null, null]) as alt_group from orders""",
+    f"""select o_orderkey as doc_id, unnest([{K1}, {K2}, {K3}, {K6}, 'PLACEHOLDER_0603XXXX', 'PLACEHOLDER_0604XXXX', {K4}, {K5}, {K5}]) as code,
+unnest([cast(o_orderkey % 4 + 1 as int) for x in range(6)] || [5, 5, 5]) as year, unnest([cast(o_orderkey % 2 + 1 as int) for x in range(6)] || [3, 3, 3]) as semester, unnest([3, 3, 2, 3, 1, 3, 1, 2, 2]) as credits,
+unnest([{_ALT}, {_ALT}, null, null, null, null, null, null, null]) as alt_group from orders""",
+)
+add(
+    "r28_convert_rejected",
+    lambda s, d: convert.convert_documents(_books(s, d))["rejected"].select("doc_id", "code", "name", "reason"),
+    "select o_orderkey as doc_id, cast(null as varchar) as code, 'Skill A' as name, 'no code' as reason from orders",
 )
 add(
     "r28_convert_prerequisites",

@@ -271,7 +271,7 @@ _VALUE = "case when (k + node * 3) % 4 = 0 then null else (k * 5 + node) % 3 > 0
 
 def _requirements(s, d):
     nodes = table(s, d, "part").selectExpr("p_partkey as node", f"case when {_BELOW} then {_PARENT} end as parent").withColumn("op", F.when(F.col("parent").isNotNull(), F.expr(_OP.format(p="parent"))))
-    asked = table(s, d, "customer").selectExpr("c_custkey as student", "c_nationkey as k", "c_custkey % 100 * 20 as top")
+    asked = table(s, d, "customer").selectExpr("c_custkey as student", "c_nationkey as k", "c_custkey % 10 * 20 as top")
     leaves = asked.join(nodes.selectExpr("node", "cast(floor(node / 20) as bigint) * 20 as top"), "top").filter("node % 8 > 0").selectExpr("student", "node", f"{_VALUE} as value")
     return cite.evaluate_requirements(leaves, nodes, asked.select("student", F.col("top").alias("node")))
 
@@ -280,11 +280,11 @@ add(
     "n7_requirements",
     _requirements,
     # of false, unknown and true as -1, 0 and 1, all_of is the least and any_of the largest; nodes are folded from the last number to the first
-    f"""with recursive n as (select p_partkey as node, {BLOCK} as b, p_partkey % 20 as i, case when {_BELOW} then {_PARENT} end as parent from part where p_partkey < 2000),
+    f"""with recursive n as (select p_partkey as node, {BLOCK} as b, p_partkey % 20 as i, case when {_BELOW} then {_PARENT} end as parent from part where p_partkey < 200),
 c as (select parent as node, list(node % 20) as l from n where parent is not null group by parent),
 t as (select n.b, list(coalesce(l, []) order by i) as below from n left join c using (node) group by n.b),
 f as (
-  select c_custkey as student, c_nationkey as k, t.b, below, 20 as i, []::integer[] as v from customer join t on t.b = c_custkey % 100
+  select c_custkey as student, c_nationkey as k, t.b, below, 20 as i, []::integer[] as v from customer join t on t.b = c_custkey % 10
   union all
   select student, k, b, below, i - 1, list_prepend(cast(case
     when len(below[i]) = 0 then case when node % 8 = 0 then 0 else coalesce(case when {_VALUE} then 1 else case when not ({_VALUE}) then -1 end end, 0) end

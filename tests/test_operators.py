@@ -162,7 +162,7 @@ def test_broken_table_headers_and_long_spans():
     assert [r["cells"] for r in pages.grid("<tr><th rowspan=2>Code<td>Name</td><td>Credits</td></th></tr><tr><td>1</td><td>a&nbsp;b</td><td>3</td></tr>")] == [["Code", "Name", "Credits"], ["1", "a b", "3"]]
     assert [r["cells"] for r in pages.grid('<tr><th colspan="2" rowspan="2"><td>Code</td><td>Name</td></th></tr>')] == [["Code", "Name"]]
     spans = "<tr><td rowspan='3'>a</td><td>b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>X</td><td>Y</td><td>Z</td></tr>"
-    assert pages.grid(spans)[2] == {"cells": ["X", "Y", "Z"], "inherited": [False] * 3}
+    assert pages.grid(spans)[2] == {"cells": ["X", "Y", "Z"], "inherited": [False] * 3, "origin": [2] * 3}
 
 
 def test_mentions_in_several_passes(spark):
