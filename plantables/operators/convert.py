@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from plantables.functions import text as f
 from plantables.operators.evaluate import align_multipass, field_stats
 from plantables.operators import repair
+from plantables.operators.changes import with_log
 from plantables.operators.pages import HEAD_WORD, TOTAL_WORD, assign_alt_groups, assign_section, explode_tables, grid_rows, group_entries, group_rowspan_rows, skipped_tables, table_terms
 from plantables.sources.scratch import written
 
@@ -477,7 +478,7 @@ def split_by_variant(rows: DataFrame, spans: DataFrame, steps) -> tuple[DataFram
 def convert_documents(
     pages: DataFrame, heading: str = r"(?i)year\s*([0-9]+)\s*semester\s*([0-9]+|summer)", description: str = r"^[0-9]{8}\b", follow: str = r"(?i)^prerequisite\s*:", variant: str | None = r"(?i)plan (without )?co-?op"
 ) -> dict[str, DataFrame]:
-    """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), `rows`, the repaired rows, and `skipped`, the tables without a term.
+    """Pages (doc_id, page_no, text) of marked documents to the tables of convert_rows(), `rows`, the repaired rows, `log`, what each repair changed, and `skipped`, the tables without a term.
 
     In the order of the reference: tables with the heading in force (T1, T3,
     T5), merged rows (T4), rows and alternatives (T7, T8), description blocks
@@ -498,14 +499,25 @@ def convert_documents(
     described = written(parse_blocks(description_blocks(lines, description, follow, bare=r"^[0-9]{8}\s*$")), "described")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "table_no", "grp", "entry"))
     rows = entries.withColumn("ordinal", place.cast("long")).withColumn("category", F.lit(None).cast("string"))
-    rows = repair.recover_codes(rows, described.select("doc_id", "name", "code"), scope=["doc_id"]).drop("note")
-    rows = repair.dissolve_mixed_groups(rows, ["doc_id", "year", "semester"])
     per_doc = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
-    named = rows.select(per_doc(F.col("code")).alias("code"), "name", F.lit("table").alias("source")).filter("code is not null").unionByName(described.select(per_doc(F.col("code")).alias("code"), "name", F.lit("description").alias("source")))
-    voted = repair.vote_names(named).select("code", F.col("name").alias("__name"))
-    rows = rows.withColumn("__key", F.when(F.col("code").isNotNull(), per_doc(F.col("code")))).join(voted.withColumnRenamed("code", "__key"), "__key", "left").withColumn("name", F.coalesce("__name", "name")).drop("__key", "__name")
-    given = described.select("doc_id", "code", F.col("credits").alias("__credits"), "prerequisite")
-    rows = rows.join(given, ["doc_id", "code"], "left").withColumn("credits", F.coalesce(F.nullif("credits", F.lit("")), F.nullif("__credits", F.lit("")))).drop("__credits")
-    rows = repair.impute_from_series(rows, ["doc_id"])
+
+    def names_by_vote(rows: DataFrame) -> DataFrame:
+        named = rows.select(per_doc(F.col("code")).alias("code"), "name", F.lit("table").alias("source")).filter("code is not null").unionByName(described.select(per_doc(F.col("code")).alias("code"), "name", F.lit("description").alias("source")))
+        voted = repair.vote_names(named).select(F.col("code").alias("__key"), F.col("name").alias("__name"))
+        return rows.withColumn("__key", F.when(F.col("code").isNotNull(), per_doc(F.col("code")))).join(voted, "__key", "left").withColumn("name", F.coalesce("__name", "name")).drop("__key", "__name")
+
+    def described_credits(rows: DataFrame) -> DataFrame:
+        given = described.select("doc_id", "code", F.col("credits").alias("__credits"), F.col("prerequisite").alias("__prerequisite"))
+        filled = F.coalesce(F.nullif("credits", F.lit("")), F.nullif("__credits", F.lit("")))
+        return rows.join(given, ["doc_id", "code"], "left").withColumns({"credits": filled, "prerequisite": F.col("__prerequisite")}).drop("__credits", "__prerequisite")
+
+    steps = [
+        ("R4", lambda r: repair.recover_codes(r, described.select("doc_id", "name", "code"), scope=["doc_id"]).drop("note", "recovered")),
+        ("R24", lambda r: repair.dissolve_mixed_groups(r, ["doc_id", "year", "semester"])),
+        ("R7", names_by_vote),
+        ("D4", described_credits),
+        ("R13", lambda r: repair.impute_from_series(r, ["doc_id"])),
+    ]
+    rows, log = with_log(rows.withColumn("prerequisite", F.lit(None).cast("string")), steps, ["doc_id", "ordinal"])
     skipped = skipped_tables(lines_of.join(terms, table))
-    return {"rows": rows, "skipped": skipped, **convert_rows(rows, ["doc_id"])}
+    return {"rows": rows, "log": log, "skipped": skipped, **convert_rows(rows, ["doc_id"])}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plantables.sources.scratch import written
+
 #: The two page marks.
 PAGE_MARKS = (r"<!-- PDF_PAGE ([0-9]+) -->", r"--- Page ([0-9]+) ---")
 
@@ -98,6 +102,55 @@ def verified(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).join(wanted, ["path", "sha256"])
 
 
+def read_files(spark: SparkSession, path: str, root: str = "") -> DataFrame:
+    """Files below a folder, each read whole -> (path, content, sha256); path is relative to root, or else to the folder."""
+    scheme = r"^[a-z0-9]+:(//[^/]*)?(?=/)"
+    base = re.sub(scheme, "", (root or path).rstrip("/") + "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    short = F.substring_index(F.regexp_replace("path", scheme, ""), base, -1)
+    return files.select(short.alias("path"), "content", F.sha2("content", 256).alias("sha256"))
+
+
+def verified_files(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_files() against a registry (path, sha256): files with the registered hash and their text, and (path, reason) of the registered ones that differ or are missing.
+
+    Hashes are taken in the executors, which read the files; no content
+    passes the driver. Back slashes in registered paths are slashes.
+    """
+    wanted = registry.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.lower("sha256").alias("wanted"))
+    good = files.join(wanted, "path").filter("sha256 = wanted").select("path", "sha256", F.decode("content", "utf-8").alias("text"))
+    joined = wanted.join(files.select("path", "sha256"), "path", "left")
+    bad = joined.filter("sha256 is null or sha256 <> wanted").select("path", F.when(F.col("sha256").isNull(), "missing").otherwise("differs").alias("reason"))
+    return good, bad
+
+
+def load_programs(new: DataFrame, path: str, program: list[str], key: list[str], ordinal: str) -> None:
+    """Plan or slot rows into a table on files that is partitioned by program: a program that is loaded has only its new rows, the last of each key.
+
+    Files of other programs aren't touched: only partitions with new rows are
+    put in place, by the commit of one job, when all rows are written. The
+    same load again gives the same rows.
+    """
+    upsert(new, key, ordinal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*program).parquet(path)
+
+
+def load_upsert(new: DataFrame, path: str, program: list[str], key: list[str], ordinal: str) -> None:
+    """Rows into a table on files by key: the last row of each key wins, new ones over those in place.
+
+    Only partitions that the new rows have are read, and written anew from a
+    scratch table, as a job can't read what it replaces.
+    """
+    spark = new.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = new.withColumn("__new", F.lit(1))
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.schema(new.schema).parquet(path)
+        rows = rows.unionByName(old.join(F.broadcast(new.select(*program).distinct()), program, "left_semi").withColumn("__new", F.lit(0)))
+    n = F.row_number().over(Window.partitionBy(*program, *key).orderBy(F.desc("__new"), F.desc(ordinal)))
+    kept = written(rows.withColumn("__n", n).filter("__n = 1").drop("__n", "__new"), "load")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*program).parquet(path)
+
+
 def pack_records(rows: DataFrame, by: list[str], fields: list[str], order: list[str]) -> DataFrame:
     """All rows of a group as one JSON array, in order; groups are single answers, so small."""
     records = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("__record")))), lambda x: x["__record"])

@@ -335,6 +335,13 @@ add(
 unnest([cast(o_orderkey % 4 + 1 as int) for x in range(6)] || [5, 5, 5]) as year, unnest([cast(o_orderkey % 2 + 1 as int) for x in range(6)] || [3, 3, 3]) as semester, unnest([3, 3, 2, 3, 1, 3, 1, 2, 2]) as credits,
 unnest([{_ALT}, {_ALT}, null, null, null, null, null, null, null]) as alt_group from orders""",
 )
+add(
+    # R4 gives a row its code; R7 takes the described names; the description has credits and prerequisites of the third course; the series of skills has other credits for its third
+    "r28_convert_log",
+    lambda s, d: convert.convert_documents(_books(s, d))["log"].select("doc_id", "ordinal", "field", "old", "new", "rule", "step"),
+    f"""select o_orderkey as doc_id, unnest([5, 2, 5, 3, 3, 7]) as ordinal, unnest(['code', 'name', 'name', 'credits', 'prerequisite', 'credits']) as field, unnest([null, 'Second course of many', 'advanced Topics in Data', null, null, null]) as old,
+unnest([{K6}, 'Skill A', 'Topics in Data', '2(2-0-4)', {K1}, '3(0-6-3)']) as new, unnest(['R4', 'R7', 'R7', 'D4', 'D4', 'R13']) as rule, unnest([1, 3, 3, 4, 4, 5]) as step from orders""",
+)
 add(
     "r28_convert_rejected",
     lambda s, d: convert.convert_documents(_books(s, d))["rejected"].select("doc_id", "code", "name", "reason"),

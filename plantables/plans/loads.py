@@ -57,6 +57,35 @@ add(
     lambda s, d: load.replace_programs(roles.plan_item(s, d).select("program", "track", "code", "credits", "id"), roles.plan_item(s, d).filter("program in ('P1', 'P3') and track = 0 and id % 2 = 0").select("program", "track", "code", "credits", "id"), ["program", "track"], ["program", "track", "code"], "id"),
     oracle("select program, track, code, credits, id from plan_item where not (program in ('P1', 'P3') and track = 0) union all select program, track, code, credits, id from (select *, row_number() over (partition by program, code order by id desc) as r from plan_item where program in ('P1', 'P3') and track = 0 and id % 2 = 0) where r = 1"),
 )
+def _loaded(s, d):
+    """All programs, then some of them again in part, read back from files; the second load runs twice."""
+    rows = roles.plan_item(s, d).select("program", "track", "code", "credits", "id")
+    path = shared_path(s, "plans")
+    load.load_programs(rows, path, ["program", "track"], ["program", "track", "code"], "id")
+    for _ in range(2):
+        load.load_programs(rows.filter("program in ('P1', 'P3') and track = 0 and id % 2 = 0"), path, ["program", "track"], ["program", "track", "code"], "id")
+    return s.read.schema(rows.schema).parquet(path)
+
+
+def _upserted(s, d):
+    rows = roles.plan_item(s, d).select("program", "code", "credits", "id")
+    path = shared_path(s, "courses")
+    load.load_upsert(rows.filter("id % 2 = 0"), path, ["program"], ["code"], "id")
+    for _ in range(2):
+        load.load_upsert(rows.filter("id % 2 = 1 and program <> 'P2'").withColumn("credits", F.col("credits") + 100), path, ["program"], ["code"], "id")
+    return s.read.schema(rows.schema).parquet(path)
+
+
+add(
+    "s5_load_programs",
+    _loaded,
+    oracle("select program, track, code, credits, id from (select *, row_number() over (partition by program, track, code order by id desc) as r from plan_item where not (program in ('P1', 'P3') and track = 0 and id % 2 = 1)) where r = 1"),
+)
+add(
+    "s5_load_upsert",
+    _upserted,
+    oracle("select program, code, case when id % 2 = 1 then credits + 100 else credits end as credits, id from (select *, row_number() over (partition by program, code order by id % 2 desc, id desc) as r from plan_item where id % 2 = 0 or program <> 'P2') where r = 1"),
+)
 add(
     "s5_upsert",
     lambda s, d: load.upsert(roles.plan_item(s, d).select("program", "code", "credits", "id"), ["program", "code"], "id"),

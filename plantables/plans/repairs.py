@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantables.operators import cite, repair
+from plantables.operators import changes, cite, repair
 from plantables.plans.registry import add
 from plantables.sources import roles
 from plantables.sources.roles import oracle, table
@@ -411,3 +411,34 @@ add(
 a as (select id, len(regexp_extract_all(t, '[^a-z0-9_]the mit license[^a-z0-9_]')) as c, len(regexp_extract_all(t, '[^a-z0-9_]mit license[^a-z0-9_]')) as m, len(regexp_extract_all(t, '[^a-z0-9_]gnu general public license[^a-z0-9_]')) as d, len(regexp_extract_all(t, '[^a-z0-9_]apache license[^a-z0-9_]')) as e, len(regexp_extract_all(t, '[^a-z0-9_]license[^a-z0-9_]')) as l from t),
 r as (select id, 'the mit license' as alias, 'c' as code, c as n from a union all select id, 'mit license', 'a', m - c from a union all select id, 'gnu general public license', 'd', d from a union all select id, 'apache license', null, e from a union all select id, 'license', 'b', l - m - d - e from a) select id, alias, code, cast(n as bigint) as n from r where n > 0""",
 )
+
+
+def _before_after(s, d):
+    before = roles.plan_item(s, d).select("id", "code", "credits", "alt_group", "pages")
+    kept = before.filter("id % 7 > 0").selectExpr("id", "case when id % 3 = 0 then null else code end as code", "case when id % 5 = 0 then coalesce(credits, 0) + 1 else credits end as credits", "alt_group", "case when id % 11 = 0 then array(0) else pages end as pages")
+    return before, kept.unionByName(before.filter("id % 13 = 0").selectExpr("-id as id", "code", "cast(null as int) as credits", "alt_group", "pages"))
+
+
+add(
+    "repair_log",
+    lambda s, d: changes.repair_log(*_before_after(s, d), ["id"], "made"),
+    oracle(
+        """, p as (select id, code, credits, alt_group, case when pages is not null then '[' || array_to_string(pages, ',') || ']' end as pages from plan_item), k as (select * from p where id % 7 > 0), a as (select * from p where id % 13 = 0)
+select *, 'made' as rule from (
+  select id, 'dropped' as kind, null as field, null as old, null as new from p where id % 7 = 0
+  union all select id, 'changed', 'code', code, null from k where id % 3 = 0 and code is not null
+  union all select id, 'changed', 'credits', '' || credits, '' || (coalesce(credits, 0) + 1) from k where id % 5 = 0
+  union all select id, 'changed', 'pages', pages, '[0]' from k where id % 11 = 0 and pages is distinct from '[0]'
+  union all select -id, 'added', null, null, null from a union all select -id, 'added', 'code', null, code from a where code is not null
+  union all select -id, 'added', 'alt_group', null, alt_group from a where alt_group is not null union all select -id, 'added', 'pages', null, pages from a where pages is not null)"""
+    ),
+)
+add(
+    "repair_log_applied",
+    lambda s, d: (lambda b, a: changes.apply_log(b, changes.repair_log(b, a, ["id"], "made"), ["id"]))(*_before_after(s, d)).select("id", "code", "credits", "alt_group", F.to_json("pages").alias("pages")),
+    oracle(
+        """, p as (select id, code, credits, alt_group, case when pages is not null then '[' || array_to_string(pages, ',') || ']' end as pages from plan_item)
+select id, case when id % 3 > 0 then code end as code, case when id % 5 = 0 then cast(coalesce(credits, 0) + 1 as int) else credits end as credits, alt_group, case when id % 11 = 0 then '[0]' else pages end as pages from p where id % 7 > 0
+union all select -id, code, null, alt_group, pages from p where id % 13 = 0"""
+    ),
+)

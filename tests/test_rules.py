@@ -1,11 +1,15 @@
 """Rules of names, codes, tables and citations on rows made for them: nulls, ties, empty tables."""
 
+import hashlib
 import random
+from difflib import SequenceMatcher
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from plantables.functions import text as f
-from plantables.operators import cite, convert, pages, repair, views
+from plantables.operators import changes, cite, convert, load, pages, repair, spans, views
+from plantables.sources import scratch
 
 
 def rows_of(df, *by):
@@ -110,3 +114,110 @@ def test_requirement_trees_of_any_shape(spark):
     assert len({x[:2] for x in held}) == len(held) and set(held) <= set(wanted) and {(7, "m", False), (8, "m", True), (9, "lone", False)} <= set(held)
     assert rows_of(cite.requirement_cycles(shape), "node") == [("above",), ("c1",), ("c2",)]
     assert cite.evaluate_requirements(given.limit(0), shape.limit(0)).count() == 0
+
+
+GRID = "doc_id int, page_no int, table_no int, row_no int, cells array<string>, inherited array<boolean>, origin array<int>"
+
+
+def grid_of(spark, *tables):
+    rows = [(1, 1, t, n, r["cells"], r["inherited"], r["origin"]) for t, html in enumerate(tables) for n, r in enumerate(pages.grid(html))]
+    return spark.createDataFrame(rows, GRID)
+
+
+def test_items_of_merged_cells(spark):
+    table = (
+        "<tr><td>Code</td><td>Name</td><td>Credits</td></tr><tr><td>lost<br>00000001 A<br>3(3-0-6) 00000002 B 2(2-0-4)<br>Total 5<br>lost</td></tr>"
+        "<tr><td rowspan=2>00000003</td><td>C</td><td>1(0-2-1)</td></tr><tr><td>D 2(2-0-4)</td></tr><tr><td></td></tr><tr><td>00000004</td><td>E</td></tr><tr><td> 6 (0-35-0) </td></tr><tr><td>Total</td><td>9</td></tr>"
+    )
+    got = convert.normalize_grid_rows(grid_of(spark, table))
+    assert [(r.row_no, r.kind, r.cells) for r in got.orderBy("row_no").collect()] == [
+        (0, "row", ["Code", "Name", "Credits"]), (1, "course", ["00000001", "A", "3(3-0-6)"]), (2, "course", ["00000002", "B", "2(2-0-4)"]), (3, "total", ["Total", "Total", "5"]),
+        (4, "row", ["00000003", "C", "1(0-2-1)"]), (5, "row", ["00000003", "D 2(2-0-4)", ""]), (6, "course", ["00000004", "E", ""]), (7, "credits", ["", "", "6 (0-35-0)"]), (8, "row", ["Total", "9", ""]),
+    ]
+    assert convert.normalize_grid_rows(grid_of(spark)).count() == 0
+
+
+def test_headings_of_tables(spark):
+    texts = [
+        (1, 1, "Plan co-op Year 1 Semester 1<table><tr><td>x</td></tr></table>Year 1\nSemester 2 <TABLE><tr><td>y</td></tr></TABLE><table><tr><th>Code</th></tr><tr><td>Year 9 Semester 1</td></tr></table>"),
+        (1, 3, "<table><tr><th>Code, Year 3 Semester summer</th></tr></table>Plan without co-op<table><tr><td>z</td></tr></table>"), (1, 2, None), (2, 1, "<table><tr><td>x</td></tr></table>Year ๒ Semester ๑<table><tr><td>x</td></tr></table>"), (3, 1, ""),
+    ]
+    df = spark.createDataFrame(texts, "doc_id int, page_no int, text string")
+    got = pages.table_terms(df, pages.grid_rows(pages.explode_tables(df)), r"(?i)year\s*([0-9]+)\s*semester\s*([0-9]+|summer)", r"(?i)plan (without )?co-op")
+    assert rows_of(got, "doc_id", "page_no", "table_no") == [
+        (1, 1, 0, 1, 1, "coop"), (1, 1, 1, 1, 2, "coop"), (1, 1, 2, 1, 2, "coop"), (1, 3, 0, 3, 3, "coop"), (1, 3, 1, 3, 3, "nocoop"), (2, 1, 0, None, None, None), (2, 1, 1, 2, 1, None),
+    ]
+
+
+def test_names_just_alike_enough(spark):
+    r = random.Random(2)
+    named = [("".join(r.choice("ab") for _ in range(r.randint(1, 12)))) for _ in range(60)]
+    asked = [x[:i] + r.choice("abX") + x[i:] for x in named for i in (0, len(x) // 2)] + ["abXcdefYghi"]
+    named.append("abcdefghi")
+    rows = spark.createDataFrame([(1, n, "PLACEHOLDER_X", x) for n, x in enumerate(asked)], "doc_id int, id int, code string, name string")
+    known = spark.createDataFrame([(1, f"{n:08d}", x) for n, x in enumerate(named)], "doc_id int, code string, name string")
+    got = {r.id: r.code for r in convert.code_by_name(rows, known).collect()}
+    for n, x in enumerate(asked):
+        score = max((SequenceMatcher(None, x, y, autojunk=False).ratio(), -k) for k, y in enumerate(named))
+        assert got[n] == (f"{-score[1]:08d}" if score[0] >= 0.9 else "PLACEHOLDER_X"), x
+    assert got[len(asked) - 1] == "00000060"  # 18 of 20 characters
+
+
+def test_spans_with_nothing_to_do(spark):
+    rows = spark.createDataFrame([(1, 1, 1, None, None, None, None, None, None, None, None, None, None), (None, 2, None, "00000001", "x", None, "", 1, 1, None, None, "recovered", None)], "doc_id int, ordinal int, page int, code string, name string, name_en string, credits string, year int, semester int, category string, type string, alt_group string, inferred boolean")
+    known, texts = rows.select("doc_id", "name", "code"), spark.createDataFrame([], "doc_id int, page_no int, text string")
+    plain = grid_of(spark, "<tr><td>00000001</td><td>a</td><td>3(3-0-6)</td></tr><tr><td></td></tr>", "", "<tr><td rowspan=3>00000001 00000002</td><td>x</td></tr><tr></tr><tr><td></td></tr>")
+    for grid in (grid_of(spark), plain):
+        assert spans.shared_credits(grid).count() == 0
+        assert spans.codeless_rows(grid, known, rows, "^Group").count() == 0
+        for got in (spans.group_or_rows(rows, grid), spans.split_merged_cells(rows, grid, "Faculty", texts)):
+            assert sorted(map(repr, (tuple(r)[:13] for r in got.collect()))) == sorted(map(repr, (tuple(r) for r in rows.collect())))
+    assert spans.group_or_rows(rows.limit(0), plain).count() == 0
+
+
+def test_log_of_any_step(spark):
+    kind = "k int, a string, b array<int>, c double"
+    before = spark.createDataFrame([(1, "x", [1], 0.1), (2, None, None, None), (None, "n", [], 1e300), (4, "gone", None, None)], kind)
+    after = spark.createDataFrame([(1, "x", [1, 2], 0.1), (2, "", None, None), (None, "n", [], None), (5, None, None, None), (6, "new", [None], 2.0)], kind)
+    log = changes.repair_log(before, after, ["k"], "r")
+    assert sorted(map(repr, map(tuple, changes.apply_log(before, log, ["k"]).collect()))) == sorted(map(repr, map(tuple, after.collect())))
+    assert rows_of(log.filter("k = 2"), "k") == [(2, "changed", "a", None, "", "r")]
+    assert changes.repair_log(before, before, ["k"], "r").count() == 0 and changes.repair_log(before.limit(0), after.limit(0), ["k"], "r").count() == 0
+    rows, log = changes.with_log(before, [("first", lambda r: r.filter("k > 1")), ("second", lambda r: r.withColumn("a", F.lit("z")))], ["k"])
+    assert rows.count() == 2 and {(r.rule, r.step, r.kind) for r in log.collect()} == {("first", 1, "dropped"), ("second", 2, "changed")}
+
+
+def test_verified_files(spark, tmp_path):
+    folder = tmp_path / "books" / "one"
+    folder.mkdir(parents=True)
+    texts = {"a.md": "<!-- PDF_PAGE 1 -->\nfirst\n<!-- PDF_PAGE 2 -->\nsecond", "b.md": "Größe", "c.md": "changed", "e.md": "unlisted"}
+    for name, text in texts.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    sha = {n: hashlib.sha256(t.encode()).hexdigest() for n, t in texts.items()}
+    listed = [("one\\a.md", sha["a.md"].upper()), ("one/b.md", sha["b.md"]), ("one/c.md", sha["b.md"]), ("one/d.md", sha["b.md"])]
+    good, bad = load.verified_files(load.read_files(spark, str(tmp_path / "books")), spark.createDataFrame(listed, "path string, sha256 string"))
+    assert rows_of(good.select("path", "text"), "path") == [("one/a.md", texts["a.md"]), ("one/b.md", "Größe")]
+    assert rows_of(bad, "path") == [("one/c.md", "differs"), ("one/d.md", "missing")]
+    read = load.read_page_text(spark, str(folder)).filter("doc_id like '%a.md'")
+    assert rows_of(read.select("page_no", "text"), "page_no") == [(1, "first"), (2, "second")]
+
+
+def test_loads_leave_other_programs_alone(spark, tmp_path):
+    kind, path = "program string, code string, credits int, id int", str(tmp_path / "plan")
+    load.load_programs(spark.createDataFrame([("A", "1", 3, 1), ("A", "1", 4, 2), ("B", "1", 3, 3), (None, "9", 1, 4)], kind), path, ["program"], ["program", "code"], "id")
+    kept = {f: f.stat().st_mtime_ns for f in (tmp_path / "plan").glob("program=[!A]*/*.parquet")}
+    again = spark.createDataFrame([("A", "2", 1, 5)], kind)
+    for _ in range(2):
+        load.load_programs(again, path, ["program"], ["program", "code"], "id")
+        assert rows_of(spark.read.schema(kind).parquet(path).select("program", "code", "credits", "id"), "id") == [("B", "1", 3, 3), (None, "9", 1, 4), ("A", "2", 1, 5)]
+    assert kept and {f: f.stat().st_mtime_ns for f in kept} == kept
+    load.load_upsert(spark.createDataFrame([("A", "2", 7, 1), ("A", "3", 8, 2), ("C", "1", 1, 1)], kind), path, ["program"], ["code"], "id")
+    assert rows_of(spark.read.schema(kind).parquet(path).filter("program in ('A', 'C')").select("program", "code", "credits"), "program", "code") == [("A", "2", 7), ("A", "3", 8), ("C", "1", 1)]
+
+
+def test_scratch_tables_are_dropped(spark):
+    keep = []
+    with scratch.dropping(keep):
+        keep.append(scratch.written(spark.range(3).toDF("x"), "kept"))
+        gone = scratch.written(spark.range(3).toDF("x"), "gone").inputFiles()
+    assert keep[0].count() == 3 and not any(Path(f.removeprefix("file:")).exists() for f in (x.replace("file://", "file:") for x in gone))
