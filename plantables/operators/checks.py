@@ -154,15 +154,32 @@ def ranges_differ(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, "page", F.when(F.col("l") == 1, "first_only").otherwise("second_only").alias("side"))
 
 
-def student_plans(lines: DataFrame, known: DataFrame, edges: DataFrame, cap: int = 22) -> DataFrame:
-    """Planned lines (student, term, code, credits) -> faults by student and code: unknown, repeated, cap, order."""
+def student_plans(lines: DataFrame, known: DataFrame, edges: DataFrame, cap: int = 22, completed: DataFrame | None = None, approved: DataFrame | None = None) -> DataFrame:
+    """Planned lines (student, term, code, credits) -> faults by student and code: unknown, repeated, cap, order, duplicate term.
+
+    A course counts from its earliest place in plan and record together: what
+    is completed (student, code), or approved as equivalent (student, code),
+    is so before all terms. A required course must be earlier. With a column
+    entry, which tells the lists that a plan is given in, a term in several
+    lists is a fault of its own, under the term's number, and its credits
+    aren't added up.
+    """
     unknown = lines.join(known.select("code"), "code", "left_anti").select("student", "code", F.lit("unknown").alias("fault"))
     repeated = lines.groupBy("student", "code").agg(F.count("*").alias("n")).filter("n > 1").select("student", "code", F.lit("repeated").alias("fault"))
-    over = lines.groupBy("student", "term").agg(F.sum("credits").alias("n")).filter(F.col("n") > cap).select("student", F.col("term").cast("string").alias("code"), F.lit("cap").alias("fault"))
-    at = lines.groupBy("student", "code").agg(F.min("term").alias("at"))
+    entries = F.count_distinct("entry") if "entry" in lines.columns else F.lit(1)
+    terms = lines.groupBy("student", "term").agg(F.sum("credits").alias("n"), entries.alias("entries"))
+    fault = F.when(F.col("entries") > 1, "duplicate term").when(F.col("n") > cap, "cap")
+    over = terms.select("student", F.col("term").cast("string").alias("code"), fault.alias("fault")).filter("fault is not null")
+    at = lines.select("student", "code", "term")
+    for record in (completed, approved):
+        if record is not None:
+            at = at.unionByName(record.select("student", "code", F.lit(None).cast(lines.schema["term"].dataType).alias("term")))
+    # null is before all terms
+    earliest = at.groupBy("student", "code").agg(F.min("term").alias("at"), F.max(F.col("term").isNull()).alias("done"))
     pre = edges.filter("kind = 'pre' and code <> requires").select("code", "requires").distinct()
-    before = at.withColumnsRenamed({"code": "requires", "at": "before"})
-    order = at.join(pre, "code").join(before, ["student", "requires"], "left").filter("before is null or before >= at").select("student", "code", F.lit("order").alias("fault")).distinct()
+    planned = lines.groupBy("student", "code").agg(F.min("term").alias("at"))
+    before = earliest.withColumnsRenamed({"code": "requires", "at": "before"})
+    order = planned.join(pre, "code").join(before, ["student", "requires"], "left").filter("not coalesce(done, false) and (before is null or before >= at)").select("student", "code", F.lit("order").alias("fault")).distinct()
     return unknown.distinct().unionByName(repeated).unionByName(over).unionByName(order)
 
 

@@ -233,7 +233,7 @@ add("c4_credit_mismatch", lambda s, d: checks.credit_mismatch(_plan(s, d), _cour
 add(
     "c5_prerequisite_order",
     lambda s, d: checks.prerequisite_order(_plan(s, d), _pre(s, d)),
-    oracle(f", t as (select distinct {S}, code, year * 10 + semester as at from plan_item) select a.program, a.edition, a.track, a.code, requires, a.at, b.at as requires_at from t a join prerequisite e on e.code = a.code and kind = 'pre' and e.code <> requires join t b on b.code = requires and (a.program, a.edition, a.track) = (b.program, b.edition, b.track) where b.at >= a.at"),
+    oracle(f", t as materialized (select distinct {S}, code, year * 10 + semester as at from plan_item), e as materialized (select distinct code, requires from prerequisite where kind = 'pre' and code <> requires) select a.program, a.edition, a.track, a.code, requires, a.at, b.at as requires_at from t a join e on e.code = a.code join t b on b.code = requires and (a.program, a.edition, a.track) = (b.program, b.edition, b.track) where b.at >= a.at"),
 )
 add("c6_duplicates", lambda s, d: checks.duplicates_in_term(_plan(s, d)), oracle(f"select {T}, code, count(*) as n from plan_item where alt_group is null group by all having count(*) > 1"))
 add(
@@ -298,6 +298,22 @@ select student, '' || term, 'cap' from l group by student, term having sum(credi
 select distinct a.student, a.code, 'order' from a join prerequisite e on e.code = a.code and kind = 'pre' and e.code <> requires left join a b on b.student = a.student and b.code = requires where b.at is null or b.at >= a.at"""
     ),
 )
+add(
+    # each order is a list; what a student has from orders of low priority is the record, and every course that a fifth divides is approved
+    "c12_with_record",
+    lambda s, d: (
+        lambda l, done: checks.student_plans(l.filter("not done"), _course(s, d), _pre(s, d), 30, l.filter("done").select("student", "code"), roles.table(s, d, "orders").selectExpr("o_custkey as student", "lpad('' || (o_custkey % 200 * 5), 8, '0') as code"))
+    )(*[roles.table(s, d, "orders").join(roles.table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_custkey as student", "o_orderkey as entry", "cast(o_orderkey % 8 as int) as term", "lpad('' || l_partkey, 8, '0') as code", "cast(cast(l_quantity as bigint) % 7 as int) as credits", "o_orderpriority like '5%' as done")] * 2),
+    oracle(
+        """, x as materialized (select o_custkey as student, o_orderkey as entry, cast(o_orderkey % 8 as int) as term, lpad('' || l_partkey, 8, '0') as code, cast(cast(l_quantity as bigint) % 7 as int) as credits, o_orderpriority like '5%' as done from orders join lineitem on o_orderkey = l_orderkey),
+l as (select * from x where not done), a as materialized (select student, code, min(term) as at from l group by all),
+r as materialized (select student, code from x where done union select o_custkey, lpad('' || (o_custkey % 200 * 5), 8, '0') from orders)
+select distinct student, code, 'unknown' as fault from l where code not in (select code from course) union all
+select student, code, 'repeated' from l group by student, code having count(*) > 1 union all
+select student, '' || term, case when count(distinct entry) > 1 then 'duplicate term' else 'cap' end from l group by student, term having count(distinct entry) > 1 or sum(credits) > 30 union all
+select distinct a.student, a.code, 'order' from a join prerequisite e on e.code = a.code and kind = 'pre' and e.code <> requires left join a b on b.student = a.student and b.code = requires left join r on r.student = a.student and r.code = requires where r.code is null and (b.at is null or b.at >= a.at)"""
+    ),
+)
 add(
     "c13_missing_terms",
     lambda s, d: checks.missing_terms(_plan(s, d).filter("not (year = 2 and semester = edition + 1)")),
@@ -344,7 +360,7 @@ add(
 add(
     "g4_earlier_year",
     lambda s, d: graph.earlier_year(_plan(s, d), _pre(s, d)),
-    oracle(f", t as (select distinct {S}, code, year from plan_item) select a.program, a.edition, a.track, a.code, a.year, requires, b.year as requires_year from t a join (select distinct code, requires from prerequisite) e on e.code = a.code join t b on b.code = requires and (a.program, a.edition, a.track) = (b.program, b.edition, b.track) where b.year < a.year"),
+    oracle(f", t as materialized (select distinct {S}, code, year from plan_item), e as materialized (select distinct code, requires from prerequisite) select a.program, a.edition, a.track, a.code, a.year, requires, b.year as requires_year from t a join e on e.code = a.code join t b on b.code = requires and (a.program, a.edition, a.track) = (b.program, b.edition, b.track) where b.year < a.year"),
 )
 add("g5_degrees", lambda s, d: graph.degrees(_pre(s, d)), oracle("select kind, count(*) as n_edges, count(distinct code) as n_codes, count(distinct requires) as n_required from prerequisite group by kind"))
 add("g6_dedupe_edges", lambda s, d: graph.dedupe_edges(roles.cyclic_prerequisite(s, d)), oracle("select distinct code, requires, kind from cyclic_prerequisite where code <> requires"))
