@@ -151,6 +151,42 @@ def load_upsert(new: DataFrame, path: str, program: list[str], key: list[str], o
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*program).parquet(path)
 
 
+def nested_report(parts: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Tables of checks, scores and samples -> one row for each program (by), with each table's rows of it as a list of structs, sorted.
+
+    What is put in is summaries and limited samples, so a program's lists are
+    short. A program that a table lacks has an empty list.
+    """
+    out = None
+    for name, df in parts.items():
+        fields = [c for c in df.columns if c not in by]
+        each = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        out = each if out is None else out.join(each, by, "full_outer")
+    return out.select(*by, *(F.coalesce(name, F.array().cast(out.schema[name].dataType)).alias(name) for name in parts))
+
+
+def manifest(inputs: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """(by, input, n_rows, mark) of the tables that a conversion read: mark is the sum of 32 bits of each row's SHA-256, so it doesn't depend on the order."""
+    out = None
+    for name, df in inputs.items():
+        text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
+        part = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+        each = df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(part).alias("mark")).withColumn("input", F.lit(name))
+        out = each if out is None else out.unionByName(each)
+    return out.select(*by, "input", "n_rows", "mark")
+
+
+def write_reports(report: DataFrame, listed: DataFrame, path: str, by: list[str]) -> None:
+    """Reports as JSON under path/report, one file for each program, then the manifest under path/manifest. Programs that aren't in the report keep theirs."""
+    report.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(f"{path}/report")
+    listed.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(f"{path}/manifest")
+
+
+def read_reports(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What write_reports() wrote under path/report or path/manifest, with the columns of `like`."""
+    return spark.read.schema(like.schema).json(path).select(*like.columns)
+
+
 def pack_records(rows: DataFrame, by: list[str], fields: list[str], order: list[str]) -> DataFrame:
     """All rows of a group as one JSON array, in order; groups are single answers, so small."""
     records = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("__record")))), lambda x: x["__record"])

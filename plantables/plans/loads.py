@@ -231,3 +231,35 @@ def _metrics(s, d):
 
 
 add("s8_write_metrics", _metrics, oracle("select program, category, count(*) as n, round(avg(credits), 6) as mean from plan_item group by all"))
+
+
+def _reports(s, d):
+    """Reports and manifest, written twice, read back and laid out as rows."""
+    rows = roles.plan_item(s, d).select("program", "category", "code", "credits", "year")
+    checks = rows.groupBy("program", "category").agg(F.count_if(F.col("credits") == 0).alias("n"))
+    scores = rows.filter("program <> 'P2'").groupBy("program", "year").agg(F.sum("credits").alias("credits"))
+    report, listed = load.nested_report({"checks": checks, "scores": scores}, ["program"]), load.manifest({"plan": rows, "second": rows.filter("year = 2")}, ["program"])
+    path = shared_path(s, "reports")
+    load.write_reports(report, listed, path, ["program"])
+    load.write_reports(report.filter("program = 'P1'"), listed.filter("program = 'P1'"), path, ["program"])
+    back, marks = load.read_reports(s, f"{path}/report", report), load.read_reports(s, f"{path}/manifest", listed)
+    return (
+        back.select("program", F.explode("checks").alias("x")).selectExpr("program", "'check' as part", "x.category as name", "x.n as value")
+        .unionByName(back.select("program", F.explode("scores").alias("x")).selectExpr("program", "'score' as part", "'' || x.year as name", "x.credits as value"))
+        .unionByName(back.selectExpr("program", "'scores' as part", "'' as name", "cast(size(scores) as long) as value"))
+        .unionByName(marks.selectExpr("program", "input as part", "'rows' as name", "n_rows as value")).unionByName(marks.selectExpr("program", "input as part", "'mark' as name", "mark as value"))
+    )
+
+
+add(
+    "s8_nested_report",
+    _reports,
+    oracle(
+        """, m as (select program, year, cast('0x' || substr(sha256(program || '|' || category || '|' || code || '|' || coalesce('' || credits, '\\N') || '|' || year), 1, 8) as bigint) as h from plan_item)
+select program, 'check' as part, category as name, cast(count_if(credits = 0) as bigint) as value from plan_item group by all
+union all select program, 'score', '' || year, cast(sum(credits) as bigint) from plan_item where program <> 'P2' group by program, year
+union all select program, 'scores', '', cast(case when program = 'P2' then 0 else count(distinct year) end as bigint) from plan_item group by program
+union all select program, 'plan', 'rows', count(*) from m group by program union all select program, 'plan', 'mark', cast(sum(h) as bigint) from m group by program
+union all select program, 'second', 'rows', count(*) from m where year = 2 group by program union all select program, 'second', 'mark', cast(sum(h) as bigint) from m where year = 2 group by program"""
+    ),
+)
