@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -195,6 +196,19 @@ MENTIONS = "id long, start int, end int, alias string, code string, codes array<
 LEXICON_PART = 200_000
 
 
+def _automaton(name: str, given, held: dict[str, ahocorasick.Automaton | None] = {}) -> ahocorasick.Automaton | None:  # noqa: B006  kept by the worker on purpose
+    """The automaton of a broadcast part of the lexicon, made once in a worker; one is kept. None without aliases."""
+    if name not in held:
+        held.clear()
+        search = ahocorasick.Automaton()
+        for alias, codes in given.value:
+            search.add_word(alias, (alias, codes))
+        if given.value:
+            search.make_automaton()
+        held[name] = search if given.value else None
+    return held[name]
+
+
 def match_mentions(texts: DataFrame, lexicon: DataFrame, part: int = LEXICON_PART) -> DataFrame:
     """(id, text) against (alias, code) -> spans that don't overlap: the longest first, then the earliest.
 
@@ -212,16 +226,14 @@ def match_mentions(texts: DataFrame, lexicon: DataFrame, part: int = LEXICON_PAR
     named = texts.select(F.col("id").cast("long"), F.col("text").cast("string"))
 
     def scan(given, whole: bool):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = ahocorasick.Automaton()
-            for alias, codes in given.value:
-                search.add_word(alias, (alias, codes))
-            if given.value:
-                search.make_automaton()
+            search = _automaton(name, given)
             for b in batches:
                 out: list[tuple] = []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    hits = mentions(" ".join((text or "").split()).lower(), search if given.value else None)
+                    hits = mentions(" ".join((text or "").split()).lower(), search)
                     out += [(i, *x) for x in (longest(hits) if whole else hits)]
                 yield _spans(out)
 
