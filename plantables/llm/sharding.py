@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation: linked documents move to their neighbours' shards.
 
-Documents start in a shard by hash. In each round every hub (what links its
-documents: here, an equal text) names the shard where most of its rows are,
+Documents start in a shard by hash, but those of large hubs (a hub is what
+links its documents: here, an equal text) in the shard where the hub fits best
+as a whole. In each round every hub names the shard where most of its rows are,
 and its documents move there as far as the shard has room. Then rows are
 ranked and what a shard holds over its quota goes where there is room, rows
 without links first, so that counts are at most one apart.
@@ -23,6 +24,8 @@ ROUNDS = 12
 SLACK = 0.05
 #: Rows ranked together, about; and the least number of such groups in a shard.
 RANKED_ROWS = 20_000
+#: A hub of more than this part of a shard is placed whole before the rounds; there are LARGE * shards of them at most.
+LARGE = 16
 LEAST_GROUPS = 16
 
 
@@ -30,25 +33,36 @@ def _chance(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1_000_003)) / F.lit(1_000_003)
 
 
-def _by_shard(values: dict[int, float], shard: Column, kind: str) -> Column:
-    """A value looked up by shard, from as many as there are shards."""
-    pairs = [x for k, v in values.items() for x in (F.lit(int(k)), F.lit(v).cast(kind))]
+def _by_shard(values: dict[int, float], shard: Column, kind: str, key: str = "int") -> Column:
+    """A value looked up by shard (or hub), from as many as there are shards (or large hubs)."""
+    pairs = [x for k, v in values.items() for x in (F.lit(int(k)).cast(key), F.lit(v).cast(kind))]
     return F.element_at(F.create_map(*pairs), shard)
 
 
 def _parts_of_hubs(links: DataFrame, total: int, shards: int) -> DataFrame:
-    """links(node, hub, rows) -> hubs too large for a shard's half are several, by the node's hash.
+    """links(node, hub, rows) -> hubs too large for a shard are several, by the node's hash, as few as can be.
 
     Hub sizes are summed within tasks and written before they are joined, so
     that Spark knows whether to broadcast them, or where to split a hot hub;
     so are votes below.
     """
-    most = max(1, total // (2 * shards))
+    most = max(1, -(-total // shards))
     sizes = cut(links.groupBy("hub").agg(F.sum("rows").alias("held"), F.count("*").alias("nodes")).filter("nodes > 1 or held > 1"), "hubs")
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("held") / most))
     return links.join(sizes, "hub").select("node", "rows", F.when(F.col("held") <= most, F.col("hub")).otherwise(F.xxhash64("hub", part)).alias("hub"))
 
 
+def best_fit(sizes: dict[int, int], total: int, shards: int) -> dict[int, int]:
+    """A shard for each hub of some size, largest first: where it leaves least room, or where there is most if it fits nowhere."""
+    room = {s: total // shards + (s < total % shards) for s in range(shards)}
+    found = {}
+    for hub, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        fits = [s for s in room if room[s] >= size]
+        found[hub] = min(fits, key=lambda s: (room[s], s)) if fits else max(room, key=lambda s: (room[s], -s))
+        room[found[hub]] -= size
+    return found
+
+
 def start(node: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit("shard")), F.lit(shards)).cast("int")
 
@@ -60,8 +74,11 @@ def propagate(links: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     nodes, linked or not. Only shard totals come to the driver.
     """
     linked = cut(_parts_of_hubs(links, total, shards), "linked")
-    nodes = linked.groupBy("node").agg(F.max("rows").alias("rows"), F.min("hub").alias("hub"))
-    now = Cut(nodes.select("node", "rows", "hub", start(F.col("node"), shards).alias("shard")), "shards")
+    # sums over hubs of more than a part of a shard: LARGE * shards rows at most, as each link's rows count for one hub
+    large = linked.groupBy("hub").agg(F.sum("rows").alias("n")).filter(F.col("n") > max(1, total // (shards * LARGE))).collect()
+    seed = _by_shard(best_fit({r.hub: r.n for r in large}, total, shards), F.col("hub"), "int", "long") if large else F.lit(None).cast("int")
+    nodes = linked.withColumn("seed", seed).groupBy("node").agg(F.max("rows").alias("rows"), F.min("hub").alias("hub"), F.min("seed").alias("seed"))
+    now = Cut(nodes.select("node", "rows", "hub", F.coalesce("seed", start(F.col("node"), shards)).alias("shard")), "shards")
     # only linked rows count between rounds: the others give way to them when rows are ranked
     own = {r["shard"]: r["n"] for r in now.df.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
     held = {s: own.get(s, 0) for s in range(shards)}

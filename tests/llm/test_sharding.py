@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from plantables.llm import sharding
@@ -33,6 +34,53 @@ def test_counts_slots_and_groups(spark):
     assert all(len(x) == 1 for x in groups.values())  # all fit
 
 
+def fewest_cuts(sizes, room):
+    """By trying all placements: 0 if some placement keeps all groups whole, else None."""
+    if not sizes:
+        return 0
+    for s in sorted(set(room), reverse=True):
+        if s >= sizes[0]:
+            rest = list(room)
+            rest[rest.index(s)] -= sizes[0]
+            if fewest_cuts(sizes[1:], rest) == 0:
+                return 0
+    return None
+
+
+def spans_of(spark, sizes, single, shards):
+    """Shards that a group is in beyond one, for each group of equal text that is cut."""
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"single {i}" for i in range(single)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.assign(docs, shards).collect()
+    check(rows, shards)
+    groups = defaultdict(set)
+    for r in rows:
+        groups[texts[r.doc_id]].add(r.shard)
+    return [len(x) - 1 for x in groups.values() if len(x) > 1]
+
+
+@pytest.mark.parametrize("sizes", [[60], [90, 50, 50, 30, 30, 30, 20], [90, 90, 90, 80, 70, 60, 50], [55, 55, 45, 45, 35, 35, 65, 65, 30, 30, 25, 25]], ids=len)
+def test_no_group_is_cut_that_fits(spark, sizes):
+    assert fewest_cuts(sorted(sizes, reverse=True), [100] * 8) == 0
+    assert spans_of(spark, sizes, 800 - sum(sizes), 8) == []
+
+
+def test_a_group_larger_than_a_shard_is_cut_as_seldom_as_can_be(spark):
+    assert spans_of(spark, [150, 90, 50, 30], 480, 8) == [1]
+    assert spans_of(spark, [700], 100, 8) in ([6], [7])
+
+
+def test_groups_that_cannot_all_stay_whole(spark):
+    """Five groups of 0.6 shards in four: one fits nowhere; it and the one that it is placed beside may be cut, the others not."""
+    assert fewest_cuts([60] * 5, [100] * 4) is None
+    assert 1 <= len(spans_of(spark, [60] * 5, 100, 4)) <= 2
+
+
+def test_best_fit_leaves_least_room():
+    assert sharding.best_fit({1: 5, 2: 4, 3: 3, 4: 6}, 20, 2) == {4: 0, 1: 1, 2: 0, 3: 1}
+    assert sharding.best_fit({}, 0, 4) == {}
+
+
 def test_equal_texts_stay_together(spark):
     """All groups of the given documents fit whole."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
