@@ -281,57 +281,143 @@ def write_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
-def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most: int = 2000) -> DataFrame:
-    """(doc_id, block, line_no, line) -> a row for each code: name, name_en, credits, prerequisite, description, n_blocks.
+#: A line of hours only, with or without a number of credits before them.
+CREDIT_LINE = r"^([0-9]{1,2})?\s*\(\s*([0-9]+)\s*-\s*([0-9]+)\s*-\s*([0-9]+)\s*\)$"
+HOURS = r"\(\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\)"
 
-    The head is the block's first line, its name split where it turns to
-    Latin. Credits are the first triple in the block, else a third of the
-    first hours that stand without credits; a number before those hours that
-    equals it is credits and no part of the name, unless the document has
-    other numbers of that name. The prerequisite is the codes of the first
-    label line, and of listed lines; the description the other lines joined
-    and cut. Of a code's blocks the first value that isn't empty counts. With
-    page_no, kind, category or group of description_blocks(): also pages of
-    all its blocks, and headings are no text.
+
+def head_roles(lines: DataFrame, native: str, label: str, note: str | None = None, width: int = 110) -> DataFrame:
+    """Lines of blocks (doc_id, block, line_no, line) with role: head, credits, note, pre, text or other.
+
+    A head runs over several lines. It ends at a label line (pre), at a line
+    with letters of `native` once Latin ones have come, or at one longer than
+    `width`; those two begin the text. Lines of credits alone are no part of
+    it wherever they stand, nor are notes (of electives, say) within it. After
+    the head, lines without native letters are other. kind of
+    description_blocks() tells listed lines, which are pre. Blocks are sorted
+    by lines, each in one pass; null lines are empty ones.
     """
+    w = Window.partitionBy("doc_id", "block").orderBy("line_no")
+    says = lambda pattern: F.col("__text").rlike(pattern) if pattern else F.lit(False)
+    first = F.row_number().over(w) == 1
+    listed = F.coalesce(F.col("kind") == "listed", F.lit(False)) if "kind" in lines.columns else F.lit(False)
+    plain = F.trim(F.regexp_replace(F.coalesce("line", F.lit("")), r"\*", ""))
+    own = lines.filter("block > 0").withColumns({"__first": first, "__text": plain, "__listed": listed})
+    own = own.withColumns({"__text": F.when(F.col("__first"), F.regexp_replace("__text", r"^[0-9]{8}\s*", "")).otherwise(F.col("__text"))})
+    pre = ~F.col("__first") & (says(label) | F.col("__listed"))
+    own = own.withColumns({"__pre": pre, "__paid": ~F.col("__first") & says(CREDIT_LINE), "__note": ~F.col("__first") & says(note)})
+    named = ~F.col("__pre") & ~F.col("__paid") & ~F.col("__note")
+    latin = F.coalesce(F.max(named & says("[A-Za-z]{2}")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    own = own.withColumn("__ends", F.col("__pre") | ~F.col("__first") & named & (latin & says(native) | (F.length("__text") > width)))
+    over = F.max("__ends").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    role = F.when(F.col("__paid"), "credits").when(F.col("__pre"), "pre").when(~over & F.col("__note"), "note").when(~over, "head").when(F.col("__ends") | says(native), "text").otherwise("other")
+    return own.withColumn("role", role).select(*lines.columns, "role")
+
+
+def _with_head_names(blocks: DataFrame, native: str) -> DataFrame:
+    """Blocks with __heads, pieces of a head -> also __two, struct(name, name_en): native stretches joined, Latin ones joined by a space.
+
+    Where a later piece is Latin as a whole, Latin at the end of native pieces belongs to them.
+    """
+    later = F.slice("__heads", 2, 1 << 20)
+    blocks = blocks.withColumn("__whole", F.exists(later, lambda x: ~x.rlike(native) & x.rlike("[A-Za-z]")))
+    two = F.transform("__heads", lambda x: F.when(F.col("__whole") & x.rlike(native), F.struct(F.trim(x).alias("first"), F.lit("").alias("second"))).otherwise(f.split_bilingual_name(x)))
+    blocks = blocks.withColumn("__parts", F.transform(two, lambda x, i: F.struct(x["first"].alias("first"), x["second"].alias("second"), ((i == 0) | x["first"].rlike(native)).alias("mine"))))
+    name = F.array_join(F.transform(F.filter("__parts", lambda x: x["mine"]), lambda x: x["first"]), "")
+    others = F.flatten(F.transform("__parts", lambda x: F.array(F.when(x["mine"], "").otherwise(x["first"]), x["second"])))
+    name_en = F.regexp_replace(F.array_join(F.filter(others, lambda x: x != ""), " "), r"\s+", " ")
+    return blocks.withColumn("__two", F.struct(F.trim(name).alias("name"), F.trim(name_en).alias("name_en")))
+
+
+def _block_parts(lines: DataFrame, label: str, most: int, native: str | None, note: str | None) -> DataFrame:
+    """Lines of blocks -> a row for each block that begins with a code: code, __heads (pieces of its head), credits, __derived, what it requires and its text."""
     has = lambda c: c in lines.columns
     w = Window.partitionBy("doc_id", "block")
     own = lines.filter("block > 0").withColumn("__first", F.col("line_no") == F.min("line_no").over(w)).withColumn("__pre", F.col("line").rlike(label))
     listed = (F.col("kind") == "listed") if has("kind") else F.lit(False)
     if has("kind"):
         own = own.filter("kind not in ('category', 'group')")
-    hours = r"\(\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\)"
+    if native:
+        own = head_roles(own, native, label, note)
+    in_head = (F.col("role") == "head") if native else F.col("__first")
+    in_text = (F.col("role") == "text") if native else ~F.col("__first") & ~F.col("__pre") & ~listed
     triple = F.regexp_extract("line", r"([0-9]{1,2}\([0-9xX]+-[0-9xX]+-[0-9xX]+\))", 1)
-    part = lambda i: F.regexp_extract("line", rf"(?:^|[^0-9]){hours}", i).try_cast("int")
+    part = lambda i: F.regexp_extract("line", rf"(?:^|[^0-9]){HOURS}", i).try_cast("int")
     own = own.withColumn("__h", F.when(F.contains("line", F.lit("(")), F.struct(*(part(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c")))))).withColumn("__triple", F.when(F.contains("line", F.lit("(")), triple))
     part = [F.col(f"__h.{n}") for n in "abc"]
     own = own.withColumn("__d", F.when(f.credits_from_hours(*part).isNotNull(), F.format_string("%d(%d-%d-%d)", f.credits_from_hours(*part), *part)))
-    triple, derived = F.col("__triple"), F.col("__d")
-    body = F.when(~F.col("__first") & ~F.col("__pre") & ~listed, F.struct("line_no", "line"))
-    head = F.regexp_replace(F.regexp_replace("line", "^[0-9]{8}", ""), rf"[0-9]{{1,2}}\([0-9xX-]+\)|{hours}", "")
-    late = F.when(F.col("__pre"), f.normalize_prerequisite(F.col("line")))
-    more = F.when(listed, F.struct("line_no", "line"))
+    triple, derived, at = F.col("__triple"), F.col("__d"), F.col("line_no")
+    rest = F.regexp_replace("line", r"^[0-9]{8}", "")
+    head = F.trim(F.regexp_replace(rest, rf"[0-9]{{1,2}}\([0-9xX-]+\)|{HOURS}", ""))
+    told = F.min_by(triple, F.when(triple != "", at))
+    late = F.lit(None).cast("string")
+    if native:
+        rest = F.trim(F.regexp_replace(rest, r"\*", ""))
+        alone = F.regexp_replace(rest, r"\s+", "").rlike(r"^([0-9]|1[0-2])\(") & rest.rlike(CREDIT_LINE)
+        none = F.regexp_extract(rest, rf"(?:^|[^0-9.])(0\s+{HOURS})$", 1)
+        sure = F.when(alone, F.regexp_replace(rest, r"\s+", "")).when(none != "", F.regexp_replace(none, r"\s+", "")).when(triple.rlike(r"^0?([0-9]|1[0-2])\("), triple)
+        own = own.withColumn("__sure", F.when(in_head, sure))
+        head = F.when(rest.rlike(CREDIT_LINE), "").otherwise(F.trim(F.regexp_replace(rest, rf"(?<![0-9.])0\s+{HOURS}$|[0-9]{{1,2}}\([0-9xX-]+\)|{HOURS}", "")))
+        told, late = F.min_by("__sure", F.when(F.col("__sure").isNotNull(), at)), F.min_by(triple, F.when((F.col("role") == "credits") & (triple != ""), at))
+        derived = F.when(F.col("role").isin("head", "credits"), derived)
+    first_derived = F.min_by(derived, F.when(derived.isNotNull() & in_head, at))
+    any_derived = F.coalesce(first_derived, F.min_by(derived, F.when(derived.isNotNull(), at))) if native else F.min_by(derived, F.when(derived.isNotNull(), at))
+    said = F.when(F.col("__pre"), f.normalize_prerequisite(F.col("line")))
+    line, texts = F.struct("line_no", "line"), lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"])
     blocks = own.groupBy("doc_id", "block").agg(
         F.min(F.when(F.col("__first"), F.regexp_extract("line", "^([0-9]{8})", 1))).alias("code"),
-        F.min(F.when(F.col("__first"), F.trim(head))).alias("__head"),
-        F.coalesce(F.min_by(triple, F.when(triple != "", F.col("line_no"))), F.min_by(derived, F.when(derived.isNotNull(), F.col("line_no")))).alias("credits"),
-        F.min_by(derived, F.when(derived.isNotNull() & F.col("__first"), F.col("line_no"))).alias("__derived"),
-        F.min_by(late, F.when(F.col("__pre"), F.col("line_no"))).alias("__said"),
-        f.normalize_prerequisite(F.array_join(F.transform(F.array_sort(F.collect_list(more)), lambda x: x["line"]), " ")).alias("__listed"),
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), " "), 1, most).alias("description"),
+        F.filter(texts(F.when(in_head, F.struct("line_no", head.alias("line")))), lambda x: x != "").alias("__heads"),
+        F.coalesce(told, late, any_derived).alias("credits"),
+        F.coalesce(told, late).alias("__told"),
+        first_derived.alias("__derived"),
+        F.min_by(said, F.when(F.col("__pre"), at)).alias("__said"),
+        f.normalize_prerequisite(F.array_join(texts(F.when(listed, line)), " ")).alias("__listed"),
+        F.substring(F.array_join(texts(F.when(in_text, line)), " "), 1, most).alias("description"),
         *([F.collect_set("page_no").alias("pages")] if has("page_no") else []),
         *(F.min_by(c, "line_no").alias(c) for c in ("category", "group") if has(c)),
     )
+    return blocks.filter("code <> ''")
+
+
+def parse_blocks(lines: DataFrame, label: str = r"(?i)^prerequisite\s*:", most: int = 2000, native: str | None = None, note: str | None = None) -> DataFrame:
+    """(doc_id, block, line_no, line) -> a row for each code: name, name_en, credits, prerequisite, description, n_blocks.
+
+    The head is the block's first line, its name split where it turns to
+    Latin. Credits are the first triple in the block, else a third of the
+    first hours that stand without credits; a number before those hours that
+    equals it is credits and no part of the name, unless the document has
+    other numbers of that name. The prerequisite is the codes of the first
+    label line, and of listed lines; the description the other lines joined
+    and cut. Of a code's blocks the first value that isn't empty counts. With
+    page_no, kind, category or group of description_blocks(): also pages of
+    all its blocks, and headings are no text.
+
+    With `native`, a pattern of the first script's letters, a head may run
+    over several lines (see head_roles(), also for `note`): native stretches
+    are the name, Latin ones name_en. Credits are then those within the head,
+    else a line of credits alone, else from hours of either; a head line of
+    nothing else says credits for sure, and so does a 0 before hours. The
+    description is native lines only.
+    """
+    has = lambda c: c in lines.columns
+    blocks = _block_parts(lines, label, most, native, note)
     codes = F.filter(F.split(F.concat_ws(" ", F.col("__said"), F.col("__listed")), " "), lambda x: x != "")
-    blocks = blocks.filter("code <> ''").withColumn("prerequisite", F.array_join(F.array_sort(F.array_distinct(codes)), " ")).withColumn("__stem", f.stem_and_number(F.col("__head")))
+    blocks = blocks.withColumn("prerequisite", F.array_join(F.array_sort(F.array_distinct(codes)), " "))
+    alone = F.struct(F.coalesce(F.get("__heads", F.lit(0)), F.lit("")).alias("name"), F.lit("").alias("name_en"))
+    blocks = _with_head_names(blocks, native) if native else blocks.withColumn("__two", alone)
+    blocks = blocks.withColumn("__head", F.col("__two.name")).withColumn("__stem", f.stem_and_number(F.col("__head")))
     alike = Window.partitionBy("doc_id", "__stem.stem")
     numbered = F.when(F.col("__stem.number").isNotNull(), F.col("code"))
     joined = blocks.withColumn("__alone", F.min(numbered).over(alike) == F.max(numbered).over(alike))
     paid = F.col("__alone") & (F.col("__stem.number").cast("string") == F.regexp_extract("__derived", "^([0-9]+)", 1))
+    if native:
+        paid = paid & F.col("__told").isNull()
     name = F.when(F.coalesce(paid, F.lit(False)), F.trim(F.regexp_replace("__head", "[0-9]+$", ""))).otherwise(F.col("__head"))
-    halves = joined.withColumn("name", name).withColumn("__two", f.split_bilingual_name(F.col("name")))
-    both = (F.col("__two.first") != "") & (F.col("__two.second") != "")
-    told = halves.withColumns({"name": F.when(both, F.col("__two.first")).otherwise(F.col("name")), "name_en": F.when(both, F.col("__two.second"))})
+    told = joined.withColumns({"name": name, "name_en": F.col("__two.name_en")})
+    if not native:
+        told = told.withColumn("__two", f.split_bilingual_name(F.col("name")))
+        both = (F.col("__two.first") != "") & (F.col("__two.second") != "")
+        told = told.withColumns({"name": F.when(both, F.col("__two.first")).otherwise(F.col("name")), "name_en": F.when(both, F.col("__two.second"))})
     filled = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("block"))).alias(c)
     pages = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages")] if has("page_no") else []
     kept = ("name", "name_en", "credits", "prerequisite", "description", *(c for c in ("category", "group") if has(c)))

@@ -152,6 +152,39 @@ add(
 unnest([case when o_orderkey % 2 = 0 then [0, 1] else [0, 1, 2] end, [2]]) as pages, unnest(['Category ' || o_orderpriority, 'Category two']) as category, unnest(['Group ' || o_orderstatus, null]) as "group" from orders
 union all select o_orderkey, '00000004', null, null, '00000001', 'a second name', [1, 2], 'Category two', null from orders where o_orderkey % 2 = 0""",
 )
+#: Letters of the first script in LONG.
+THAI = "[\u0e01-\u0e5b]"
+#: An order as blocks: a head over five lines with a note, one that text ends, numbers of a series, and credits alone, of nothing and behind a label.
+LONG = [
+    "'00000001 วิชาหนึ่ง'", "'เลือก 3 หน่วยกิต'", "case when o_orderkey % 3 = 0 then 'และสอง AI' else 'และสอง' end", "'3(3-0-6)'", "'FIRST COURSE'", "'AND ' || o_orderstatus", "'Prerequisite: 00000009'", "'ข้อความ'", "'left out'", "'เลือก 3 หน่วยกิต'",
+    "'00000002 3 (3-0-6)'", "'ชื่อ ' || o_orderkey || ' Name Two'", "'ตอน 9(9-9-9)'", "'more'", "'จบ'",
+    "'00000003 หัวข้อ 3 (3-0-6)'", "case when o_orderkey % 2 = 0 then '00000004 หัวข้อ 2 (6-0-12)' else '*note*' end", "'00000005 ฝึกงาน 0 (0-0-45)'", "'PRACTICE'", "'00000006 (1-0-2)'", "'Prerequisite: none'", "'4(4-0-8)'",
+]
+
+
+def _long(s, d):
+    at = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.expr, LONG))).alias("line_no", "line"))
+    return convert.description_blocks(at, r"^[0-9]{8}\b", "^Prerequisite", bare=r"^[0-9]{8}\s*$").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "block", "line")
+
+
+add(
+    "d2_head_roles",
+    lambda s, d: convert.head_roles(_long(s, d), THAI, "^Prerequisite", "^เลือก [0-9]+ หน่วยกิต").select("doc_id", "line_no", "block", "role"),
+    f"""with l as (select o_orderkey as k, unnest(range(0, {len(LONG)})) as n from orders)
+select k as doc_id, n as line_no, cast(1 + (n >= 10) :: int + (n >= 15) :: int + (n >= 16 and k % 2 = 0) :: int + (n >= 17) :: int + (n >= 19) :: int as bigint) as block,
+case when n in (6, 20) then 'pre' when n in (3, 21) then 'credits' when n = 1 then 'note' when n in (7, 9, 12, 14) then 'text' when n in (8, 13) then 'other' else 'head' end as role from l""",
+)
+add(
+    "d2_long_heads",
+    lambda s, d: convert.parse_blocks(_long(s, d), "^Prerequisite", native=THAI, note="^เลือก [0-9]+ หน่วยกิต").selectExpr("doc_id", "code", "name", "name_en", "credits", "prerequisite", "description", "n_blocks"),
+    """with o as (select o_orderkey as k, o_orderstatus as s from orders)
+select k as doc_id, '00000001' as code, 'วิชาหนึ่งและสอง' || case when k % 3 = 0 then ' AI' else '' end as name, 'FIRST COURSE AND ' || s as name_en, '3(3-0-6)' as credits, '00000009' as prerequisite, 'ข้อความ เลือก 3 หน่วยกิต' as description, 1 :: bigint as n_blocks from o
+union all select k, '00000002', 'ชื่อ ' || k, 'Name Two', '3(3-0-6)', null, 'ตอน 9(9-9-9) จบ', 1 from o
+union all select k, '00000003', case when k % 2 = 0 then 'หัวข้อ 3' else 'หัวข้อ' end, case when k % 2 = 0 then null else 'note' end, '3(3-0-6)', null, null, 1 from o
+union all select k, '00000004', 'หัวข้อ 2', null, '6(6-0-12)', null, null, 1 from o where k % 2 = 0
+union all select k, '00000005', 'ฝึกงาน', 'PRACTICE', '0(0-0-45)', null, null, 1 from o
+union all select k, '00000006', null, null, '4(4-0-8)', null, null, 1 from o""",
+)
 add(
     "a6_evaluate_extraction",
     lambda s, d: convert.evaluate_extraction(

@@ -221,3 +221,23 @@ def test_scratch_tables_are_dropped(spark):
         keep.append(scratch.written(spark.range(3).toDF("x"), "kept"))
         gone = scratch.written(spark.range(3).toDF("x"), "gone").inputFiles()
     assert keep[0].count() == 3 and not any(Path(f.removeprefix("file:")).exists() for f in (x.replace("file://", "file:") for x in gone))
+
+
+def test_heads_run_over_lines(spark):
+    """Heads over lines with nulls, a long line and a number within a series; a document of nothing gives no row."""
+    blocks = [
+        ["00000001 ก SDGs", None, "SCIENCE FOR SDGS", "2(2-0-4)", "ข", "ค", "tail"], ["00000002 " + "ก" * 20, "ข" * 120, "ค"],
+        ["00000003 ก 2 (2-0-4)"], ["00000004 ก 3 (3-0-6)"], ["00000005 จ 3 (3-0-6)"], ["00000006", "13 (3-0-6)"],
+    ]
+    rows = [(1, n, i + 1, x) for i, block in enumerate(blocks) for n, x in enumerate(block)]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, block int, line string")
+    got = rows_of(convert.parse_blocks(lines, native="[ก-๛]").select("code", "name", "name_en", "credits", "description"), "code")
+    assert got == [
+        ("00000001", "ก SDGs", "SCIENCE FOR SDGS", "2(2-0-4)", "ข ค"),
+        ("00000002", "ก" * 20, None, None, "ข" * 120 + " ค"),
+        ("00000003", "ก 2", None, "2(2-0-4)", None),
+        ("00000004", "ก 3", None, "3(3-0-6)", None),
+        ("00000005", "จ", None, "3(3-0-6)", None),
+        ("00000006", None, None, "3(3-0-6)", None),
+    ]
+    assert convert.parse_blocks(lines.limit(0), native="[ก-๛]").isEmpty()
