@@ -136,6 +136,29 @@ def report(found: dict[str, DataFrame], scopes: DataFrame, examples: int = 5) ->
     return joined.select(*SCOPE, "check", (n == 0).alias("ok"), n.alias("n"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
+def every_check(plan: DataFrame, course: DataFrame, program: DataFrame, edges: DataFrame | None = None, slots: DataFrame | None = None, load: tuple[int, int] = (9, 22), bounds: tuple[int, int] = (9, 25)) -> dict[str, DataFrame]:
+    """C11: the faults of all checks of a plan, by check, as report() takes them: scope and `example`.
+
+    program has the declared total_credits. Without edges no order is checked.
+    """
+
+    def told(faults: DataFrame, *columns: str) -> DataFrame:
+        return faults.select(*SCOPE, F.concat_ws("/", *columns).alias("example"))
+
+    found = {
+        "CHK0": told(program_present(plan, program), "program"),
+        "CHK1": told(total_credits(plan, program, slots).filter("not ok"), "total_credits", "computed"),
+        "CHK2": told(orphans(plan, course), "code"),
+        "CHK3": told(plan.select(*SCOPE, "code").distinct().join(bad_codes(plan), "code"), "code"),
+        "CHK4": told(credit_mismatch(plan, course), "id", "credits", "course_credits"),
+        "CHK6": told(duplicates_in_term(plan), "year", "semester", "code"),
+        "CHK7": told(term_load(plan, *load), "year", "semester", "credits"),
+        "CHK9": told(term_bounds(plan, *bounds), "year", "semester", "fault"),
+        "CHK13": told(missing_terms(plan), "year", "semester"),
+    }
+    return found | ({"CHK5": told(prerequisite_order(plan, edges), "code", "requires")} if edges is not None else {})
+
+
 def missing_terms(plan: DataFrame) -> DataFrame:
     """Years up to the last and semesters 1 and 2 that a scope doesn't have."""
     years = plan.groupBy(*SCOPE).agg(F.max("year").alias("last")).withColumn("year", F.explode(F.sequence(F.lit(1), F.col("last"))))

@@ -282,6 +282,35 @@ k as (select distinct {S}, c as "check" from plan_item, (values ('CHK2'), ('CHK6
 select {S}, "check", count(example) = 0 as ok, count(example) as n, coalesce(array_to_string(list_sort(list(example) filter (example is not null))[1:5], '; '), '') as detail from k left join f using ({S}, "check") group by all"""
     ),
 )
+#: Rows of the plan whose code is spoilt.
+SPOILT = "case when id % 97 = 0 then code || 'x' else code end"
+
+
+def _every_check(s, d):
+    plan = _plan(s, d).withColumn("code", F.expr(SPOILT))
+    program = views.semester_credits(plan).filter("program <> 'P4'").groupBy(*SCOPE).agg((F.sum("credits") + F.col("edition")).alias("total_credits"))
+    return checks.report(checks.every_check(plan, _course(s, d), program, load=(400, 600), bounds=(400, 600)), plan)
+
+
+add(
+    "c11_every_check",
+    _every_check,
+    oracle(
+        f"""{V3}, p as (select * replace ({SPOILT} as code) from plan_item), c as (select {S}, cast(sum(credits) as bigint) as planned from v3 group by all),
+g as (select {T}, coalesce(alt_group, 'x' || id) as g, max(credits) as credits from p group by all), t as (select {T}, cast(sum(credits) as bigint) as credits, max(credits) as m from g group by {T}), y as (select {S}, unnest(range(1, max(year) + 1)) :: int as year from p group by {S}),
+f as (select distinct {S}, 'CHK0' as "check", program as example from p where program = 'P4'
+union all select {S}, 'CHK1', (planned + edition) || '/' || planned from c where edition <> 0 and program <> 'P4'
+union all select distinct {S}, 'CHK2', code from p where code not in (select code from course)
+union all select distinct {S}, 'CHK3', code from p where not {REAL} and not starts_with(code, 'PLACEHOLDER_')
+union all select {S}, 'CHK4', id || '/' || p.credits || '/' || course.credits from p join course using (code) where p.credits <> course.credits
+union all select {S}, 'CHK6', year || '/' || semester || '/' || code from p where alt_group is null group by {T}, code having count(*) > 1
+union all select {S}, 'CHK7', year || '/' || semester || '/' || credits from v3 where semester <> 3 and not credits between 400 and 600 and ({T}) not in (select ({T}) from p where credits >= 6)
+union all select {S}, 'CHK9', year || '/' || semester || '/' || case when credits > 600 then 'above' else 'below' end from t where credits > 600 or credits < 400 and m < 6
+union all select {S}, 'CHK13', year || '/' || s from y, (values (1), (2)) v(s) where ({S}, year, s) not in (select ({T}) from p)),
+k as (select distinct {S}, c as "check" from p, (values ('CHK0'), ('CHK1'), ('CHK2'), ('CHK3'), ('CHK4'), ('CHK6'), ('CHK7'), ('CHK9'), ('CHK13')) v(c))
+select {S}, "check", count(example) = 0 as ok, count(example) as n, coalesce(array_to_string(list_sort(list(example) filter (example is not null))[1:5], '; '), '') as detail from k left join f using ({S}, "check") group by all"""
+    ),
+)
 add(
     "c12_student_plans",
     lambda s, d: checks.student_plans(

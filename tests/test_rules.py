@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plantables.functions import text as f
-from plantables.operators import changes, cite, convert, load, pages, repair, spans, views
+from plantables.operators import changes, checks, cite, convert, load, pages, repair, spans, views
 from plantables.sources import scratch
 
 
@@ -241,3 +241,21 @@ def test_heads_run_over_lines(spark):
         ("00000006", None, None, "3(3-0-6)", None),
     ]
     assert convert.parse_blocks(lines.limit(0), native="[ก-๛]").isEmpty()
+
+
+def test_report_of_every_check(spark):
+    """A course before what it requires, an unknown and a spoilt code, a missing program and term; another scope is clean."""
+    plan = [
+        ("A", 1, 0, 1, "00000001", 1, 1, 3, None), ("A", 1, 0, 2, "00000002", 1, 2, 3, None), ("A", 1, 0, 3, "bad", 2, 1, 3, None),
+        ("B", 1, 0, 4, "00000001", 1, 1, 3, None), ("B", 1, 0, 5, "00000002", 1, 2, 3, None),
+    ]
+    plan = spark.createDataFrame(plan, "program string, edition int, track int, id long, code string, year int, semester int, credits int, alt_group string").withColumns({"category": F.lit("x"), "type": F.lit("y")})
+    course = spark.createDataFrame([("00000001", 3), ("00000002", 3)], "code string, credits int")
+    program = spark.createDataFrame([("B", 1, 0, 6)], "program string, edition int, track int, total_credits long")
+    edges = spark.createDataFrame([("00000001", "00000002", "pre")], "code string, requires string, kind string")
+    got = checks.report(checks.every_check(plan, course, program, edges, load=(3, 6), bounds=(3, 6)), plan)
+    faults = {(r["program"], r["check"], r["detail"]) for r in got.filter("not ok").collect()}
+    wrong = {(p, "CHK5", "00000001/00000002") for p in "AB"}
+    assert faults == wrong | {("A", "CHK0", "A"), ("A", "CHK2", "bad"), ("A", "CHK3", "bad"), ("A", "CHK13", "2/2")}
+    assert got.count() == 20
+    assert "CHK5" not in checks.every_check(plan, course, program)
