@@ -2,7 +2,9 @@
 
 Grid rows are those of pages.grid_rows(): (doc_id, page_no, table_no, row_no,
 cells, inherited, origin). The code column is the first. Rules join rows to
-the span that covers them; nothing is read from the text again.
+the span that covers them; nothing is read from the text again. Both sides of
+a join are made of exploded tables, which are larger than Spark estimates, so
+they are merged and never broadcast by that estimate.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantables.operators.pages import OR_WORD
+from plantables.sources.scratch import written
 
 TABLE = ["doc_id", "page_no", "table_no"]
 #: A code or wildcard alone, credits with hours, and a letter of the first script.
@@ -47,18 +50,21 @@ def shared_credits(grid: DataFrame) -> DataFrame:
     The last such cell of the row counts. usable is the value where all cells
     agree, first the first one in the document.
     """
-    each = spans(grid)
-    choice = each.filter("col = 0").withColumn("codes", _codes(F.col("text"))).filter((F.size("codes") >= 2) & F.col("text").rlike(OR_WORD)).select(*TABLE, "first", "codes")
-    paid = each.filter((F.col("col") > 0) & (F.col("last") > F.col("first")) & F.col("text").rlike(CREDITS)).groupBy(*TABLE, "first").agg(F.max_by("text", "col").alias("credits"))
+    is_choice = (F.col("col") == 0) & (F.size("codes") >= 2) & F.col("text").rlike(OR_WORD)
+    is_paid = (F.col("col") > 0) & (F.col("last") > F.col("first")) & F.col("text").rlike(CREDITS)
+    # written, so that tables are read once for both
+    each = written(spans(grid).withColumn("codes", _codes(F.col("text"))).filter(is_choice | is_paid), "shared")
+    choice = each.filter(is_choice).select(*TABLE, "first", "codes")
+    paid = each.filter(is_paid).groupBy(*TABLE, "first").agg(F.max_by("text", "col").alias("credits"))
     value = _bare(F.regexp_extract("credits", f"({CREDITS})", 1))
-    told = choice.join(paid, [*TABLE, "first"]).select("doc_id", F.explode("codes").alias("code"), value.alias("v"), F.struct("page_no", "table_no", "first").alias("at"))
+    told = choice.join(paid.hint("merge"), [*TABLE, "first"]).select("doc_id", F.explode("codes").alias("code"), value.alias("v"), F.struct("page_no", "table_no", "first").alias("at"))
     return told.groupBy("doc_id", "code").agg(F.when(F.count_distinct("v") == 1, F.min("v")).alias("usable"), F.min_by("v", "at").alias("first"))
 
 
 def with_shared(printed: DataFrame, shared: DataFrame) -> DataFrame:
     """Printed credits (doc_id, code, usable, first) and shared_credits() of the codes that have none printed."""
     own = printed.select("doc_id", "code", "usable", "first")
-    return own.unionByName(shared.join(own, ["doc_id", "code"], "left_anti"))
+    return own.unionByName(shared.join(own.hint("merge"), ["doc_id", "code"], "left_anti"))
 
 
 def codeless_rows(grid: DataFrame, known: DataFrame, rows: DataFrame, label: str, least: int = 10) -> DataFrame:
@@ -81,13 +87,13 @@ def codeless_rows(grid: DataFrame, known: DataFrame, rows: DataFrame, label: str
     covered = covered.filter(F.size("own") > 1).withColumn("credits", _bare(F.regexp_extract(F.get(paid, F.size(paid) - 1), f"({CREDITS})", 1))).filter("credits <> ''")
     lines = F.split(F.get("own", F.lit(0)), "\n")
     each = covered.select(*TABLE, "row_no", "above", "credits", lines.alias("lines"), F.posexplode(lines).alias("at", "line")).filter(~F.col("line").rlike(label))
-    met = each.withColumn("key", _bare(F.col("line"))).join(single, ["doc_id", "key"])
+    met = each.withColumn("key", _bare(F.col("line"))).join(single.hint("merge"), ["doc_id", "key"])
     following = F.get("lines", F.col("at") + 1)
     one = met.groupBy(*TABLE, "row_no", "above", "credits").agg(F.count_distinct("code").alias("n"), F.min("code").alias("code"), F.min_by(F.struct(F.trim("line").alias("name"), F.when(~following.rlike(FIRST_SCRIPT), F.trim(following)).alias("name_en")), "at").alias("x")).filter("n = 1")
-    new = one.join(rows.select("doc_id", F.col("page").alias("page_no"), "code").distinct(), ["doc_id", "page_no", "code"], "left_anti")
+    new = one.join(rows.select("doc_id", F.col("page").alias("page_no"), "code").distinct().hint("merge"), ["doc_id", "page_no", "code"], "left_anti")
     new = new.groupBy("doc_id", "page_no", "code").agg(F.min_by(F.struct("above", "credits", "x"), F.struct("table_no", "row_no")).alias("r"))
     placed = rows.filter("year is not null and semester is not null").groupBy("doc_id", F.col("page").alias("page_no"), F.upper(_bare(F.col("code"))).alias("above")).agg(F.min_by(F.struct("year", "semester", "category", "type"), "ordinal").alias("s"))
-    found = new.withColumn("above", F.upper("r.above")).join(placed, ["doc_id", "page_no", "above"])
+    found = new.withColumn("above", F.upper("r.above")).join(placed.hint("merge"), ["doc_id", "page_no", "above"])
     return found.select("doc_id", F.col("page_no").alias("page"), "code", "r.x.name", "r.x.name_en", "r.credits", "s.year", "s.semester", "s.category", "s.type", F.concat(F.lit("no code in its row, below "), "above").alias("note"))
 
 
@@ -99,19 +105,25 @@ def group_or_rows(rows: DataFrame, grid: DataFrame) -> DataFrame:
     back (RECOVERED) for the line that begins with "or" go. A code in several
     such cells is of the last one.
     """
-    cells = spans(grid).filter("last > first").select(*TABLE, "first", "last", "text").distinct().filter(F.col("text").rlike(r"^(?:[0-9]{8}\s*){2,}$")).withColumn("codes", _codes(F.col("text"))).filter("size(codes) >= 2")
-    says = _own(grid).filter(_bare(F.get("own", F.lit(0))).rlike(OPENS_OR)).select(*TABLE, "row_no")
+    # each row says its cells and, as column -1, whether it begins with "or"; written, so that tables are read once for both
+    each = F.transform(F.arrays_zip("cells", "origin"), lambda x, i: F.struct(i.alias("col"), x["origin"].alias("first"), x["cells"].alias("text")))
+    opens = F.when(_bare(F.get("own", F.lit(0))).rlike(OPENS_OR), F.array(F.struct(F.lit(-1).alias("col"), F.col("row_no").alias("first"), F.lit("").alias("text"))))
+    marks = _own(grid).select(*TABLE, "row_no", F.explode(F.concat(F.filter(each, lambda x: x["first"].isNotNull()), F.coalesce(opens, F.array()))).alias("x"))
+    marks = marks.groupBy(*TABLE, "x.col", "x.first").agg(F.max("row_no").alias("last"), F.min("x.text").alias("text")).filter((F.col("col") < 0) | (F.col("last") > F.col("first")) & F.col("text").rlike(r"^(?:[0-9]{8}\s*){2,}$"))
+    marks = written(marks, "marks")
+    cells = marks.filter("col >= 0").select(*TABLE, "first", "last", "text").distinct().withColumn("codes", _codes(F.col("text"))).filter("size(codes) >= 2")
+    says = marks.filter("col < 0").select(*TABLE, F.col("first").alias("row_no"))
     inside = (F.col("row_no") > F.col("first")) & (F.col("row_no") <= F.col("last"))
     # a table's rows are few: an equal table, then the interval
-    choice = cells.join(says, TABLE).filter(inside).select(*TABLE, "first", "codes").distinct()
+    choice = cells.join(says.hint("merge"), TABLE).filter(inside).select(*TABLE, "first", "codes").distinct()
     asked = choice.select(F.col("doc_id"), F.col("page_no").alias("page"), "table_no", "first", "codes", F.explode("codes").alias("code"))
     again = F.coalesce(F.col("alt_group").startswith(RECOVERED) & F.ltrim("name").rlike(OPENS_OR), F.lit(False))
-    met = rows.withColumn("__again", again).join(asked, ["doc_id", "page", "code"]).select("doc_id", "page", "table_no", "first", "codes", "code", "ordinal", "__again", F.when(~F.col("__again"), F.struct("year", "semester")).alias("t"), (F.col("year").isNotNull() & F.col("semester").isNotNull() & ~F.col("__again")).alias("placed"))
+    met = rows.withColumn("__again", again).join(asked.hint("merge"), ["doc_id", "page", "code"]).select("doc_id", "page", "table_no", "first", "codes", "code", "ordinal", "__again", F.when(~F.col("__again"), F.struct("year", "semester")).alias("t"), (F.col("year").isNotNull() & F.col("semester").isNotNull() & ~F.col("__again")).alias("placed"))
     key = ["doc_id", "page", "table_no", "first"]
     held = met.groupBy(*key).agg(F.count_distinct(F.when(F.col("placed"), F.col("code"))).alias("n"), F.min(F.when(F.col("placed"), F.col("t"))).alias("lo"), F.max(F.when(F.col("placed"), F.col("t"))).alias("hi"), F.min(F.get("codes", F.lit(0))).alias("c")).filter("n >= 2 and lo = hi")
     name = F.concat(F.lit("alt_y"), "lo.year", F.lit("s"), "lo.semester", F.lit("_or_"), "c")
-    decided = met.join(held, key).groupBy("doc_id", "ordinal").agg(F.max("__again").alias("__drop"), F.max_by(F.when(F.col("placed"), name), F.struct("page", "table_no", "first")).alias("__g"))
-    joined = rows.join(decided, ["doc_id", "ordinal"], "left").filter("__drop is null or not __drop")
+    decided = met.join(held.hint("merge"), key).groupBy("doc_id", "ordinal").agg(F.max("__again").alias("__drop"), F.max_by(F.when(F.col("placed"), name), F.struct("page", "table_no", "first")).alias("__g"))
+    joined = rows.join(decided.hint("merge"), ["doc_id", "ordinal"], "left").filter("__drop is null or not __drop")
     return joined.withColumn("alt_group", F.coalesce("__g", "alt_group")).select(*rows.columns)
 
 
@@ -139,19 +151,20 @@ def split_merged_cells(rows: DataFrame, grid: DataFrame, separator: str, next_pa
     third = F.split(F.get("below", F.lit(0)), "\n")
     own = own.withColumns({"a": F.slice("lines", F.lit(1), at - 1), "b": F.slice("lines", at + 1, F.size("lines"))})
     cell = own.select("doc_id", F.col("page_no").alias("page"), "table_no", "row_no", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"), first_script("a").alias("n1"), other("a").alias("e1"), first_script("b").alias("n2"), other("b").alias("e2"), first_script(third).alias("n3")).filter("n1 <> '' and n2 <> '' and e1 <> '' and e2 <> '' and n3 <> ''")
+    cell = written(cell, "cells")
     key = ["doc_id", "page", "table_no", "row_no"]
     keyed = rows.select("doc_id", "page", F.lower("code").alias("__c"), _bare(F.col("name")).alias("__n"), "ordinal", "year", "semester")
-    hit = lambda code, name: cell.join(keyed, ["doc_id", "page"]).filter((F.lower(code) == F.col("__c")) & (name == F.col("__n"))).groupBy(*key)
+    hit = lambda code, name: cell.join(keyed.hint("merge"), ["doc_id", "page"]).filter((F.lower(code) == F.col("__c")) & (name == F.col("__n"))).groupBy(*key)
     one = hit(F.col("c1"), F.concat(_bare(F.col("n1")), _bare(F.col("n2")))).agg(F.min("ordinal").alias("o1"))
     two = hit(F.col("c2"), _bare(F.col("n3"))).agg(F.min("ordinal").alias("o2"), F.min_by(F.struct("year", "semester"), "ordinal").alias("t"))
-    sure = cell.join(one, key).join(two, key)
+    sure = written(cell.join(one.hint("merge"), key).join(two.hint("merge"), key), "sure")
     same = rows.select("doc_id", F.lower("code").alias("__c"), _bare(F.col("name")).alias("__n"), "ordinal", "credits", "type", "category")
     agreed = lambda c: F.when((F.count_distinct(F.when(F.col(c) != "", F.col(c))) == 1), F.max(F.when(F.col(c) != "", F.col(c))))
     like = lambda code, name, but: sure.select(*key, F.lower(code).alias("__c"), _bare(F.col(name)).alias("__n"), F.col(but).alias("__but"))
-    others = lambda code, name, but: like(code, name, but).join(same, ["doc_id", "__c", "__n"]).filter("ordinal <> __but").groupBy(*key)
+    others = lambda code, name, but: like(code, name, but).join(same.hint("merge"), ["doc_id", "__c", "__n"]).filter("ordinal <> __but").groupBy(*key)
     credits = others("c1", "n1", "o1").agg(agreed("credits").alias("k1"))
     kinds = others("c2", "n2", "o2").agg(agreed("type").alias("type2"), agreed("category").alias("category2"))
-    sure = sure.join(credits, key, "left").join(kinds, key, "left")
+    sure = written(sure.join(credits.hint("merge"), key, "left").join(kinds.hint("merge"), key, "left"), "sure")
     told = ["name", "name_en", "credits", "type", "category", "year", "semester", "page"]
     none = F.lit(None).cast("string")
     number = lambda c: F.col(c).cast("int")
@@ -159,10 +172,10 @@ def split_merged_cells(rows: DataFrame, grid: DataFrame, separator: str, next_pa
     fixed = fix("o1", "name parted from the next one of its cell", name=F.col("n1"), name_en=F.col("e1"), credits=F.when(F.col("k1").rlike(OR_WORD), F.col("k1")))
     fixed = fixed.unionByName(fix("o2", "had the name of the row below its cell", name=F.col("n2"), name_en=F.col("e2"), type=F.col("type2"), category=F.col("category2")))
     later = rows.filter(F.col("inferred") & F.lower("code").contains("x")).select("doc_id", (F.col("page") - 1).alias("page"), _bare(F.col("name")).alias("__n"), F.col("ordinal").alias("o3"))
-    moved = sure.withColumn("__n", _bare(F.col("n3"))).join(later, ["doc_id", "page", "__n"]).groupBy(*key, "n3", "t").agg(F.min("o3").alias("o3"))
+    moved = sure.withColumn("__n", _bare(F.col("n3"))).join(later.hint("merge"), ["doc_id", "page", "__n"]).groupBy(*key, "n3", "t").agg(F.min("o3").alias("o3"))
     text = next_pages.select("doc_id", (F.col("page_no") - 1).alias("page"), _bare(F.regexp_replace("text", "<[^>]+>", " ")).alias("__text"))
-    moved = moved.join(text, ["doc_id", "page"], "left").filter(~F.contains(F.coalesce("__text", F.lit("")), _bare(F.col("n3"))))
+    moved = moved.join(text.hint("merge"), ["doc_id", "page"], "left").filter(~F.contains(F.coalesce("__text", F.lit("")), _bare(F.col("n3"))))
     moved = moved.select("doc_id", F.col("o3").alias("ordinal"), *(none.alias(f"__{c}") for c in told[:5]), F.col("t.year").cast("int").alias("__year"), F.col("t.semester").cast("int").alias("__semester"), number("page").alias("__page"), F.lit("moved to the page that prints its name").alias("note"))
     changes = fixed.unionByName(moved).groupBy("doc_id", "ordinal").agg(*(F.max(f"__{c}").alias(f"__{c}") for c in told), F.min("note").alias("note"))
-    joined = rows.join(changes, ["doc_id", "ordinal"], "left")
+    joined = rows.join(changes.hint("merge"), ["doc_id", "ordinal"], "left")
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in told}).select(*rows.columns, "note")

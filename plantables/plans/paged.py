@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantables.operators import pages
 from plantables.plans.registry import add
 from plantables.sources import roles
-from plantables.sources.roles import table
+from plantables.sources.roles import spread, table
 
 
 def lines(s, d):
@@ -153,7 +153,7 @@ SHAPE = "case o_orderkey % 8 " + " ".join(f"when {i} then {x}" for i, x in enume
 
 
 def _grouped(s, d):
-    html = table(s, d, "orders").selectExpr("cast(floor(o_orderkey / 64) as bigint) as doc_id", "o_orderkey as page_no", f"'<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>' || {SHAPE} || '<tr><td>Total</td><td></td><td>9</td></tr></table>' as text")
+    html = spread(table(s, d, "orders"), "o_orderkey").selectExpr("cast(floor(o_orderkey / 64) as bigint) as doc_id", "o_orderkey as page_no", f"'<table><tr><th>Code</th><th>Name</th><th>Credits</th></tr>' || {SHAPE} || '<tr><td>Total</td><td></td><td>9</td></tr></table>' as text")
     return pages.group_rowspan_rows(pages.grid_rows(pages.explode_tables(html)))
 
 
@@ -178,7 +178,7 @@ select page_no, grp, entry, case when choice then 'alt_y' || (page_no % 3 + 1) |
 )
 add(
     "t6_skipped_tables",
-    lambda s, d: pages.skipped_tables(pages.grid_rows(pages.explode_tables(table(s, d, "orders").selectExpr("o_orderkey as doc_id", "1 as page_no", f"'<table>' || case when o_orderkey % 5 > 0 then '<tr><th>Code</th><th>Name</th></tr>' else '' end || '<tr><td>' || case when o_orderkey % 7 = 0 then 'none' else {C1} end || '</td><td>n</td></tr></table>' as text"))).withColumns({"year": F.when(F.col("doc_id") % 3 > 0, 1), "semester": F.lit(1)})).select("doc_id", "reason", "codes"),
+    lambda s, d: pages.skipped_tables(pages.grid_rows(pages.explode_tables(spread(table(s, d, "orders"), "o_orderkey").selectExpr("o_orderkey as doc_id", "1 as page_no", f"'<table>' || case when o_orderkey % 5 > 0 then '<tr><th>Code</th><th>Name</th></tr>' else '' end || '<tr><td>' || case when o_orderkey % 7 = 0 then 'none' else {C1} end || '</td><td>n</td></tr></table>' as text"))).withColumns({"year": F.when(F.col("doc_id") % 3 > 0, 1), "semester": F.lit(1)})).select("doc_id", "reason", "codes"),
     f"select o_orderkey as doc_id, case when o_orderkey % 5 > 0 then 'no term' else 'no header and no term' end as reason, [{C1}] as codes from orders where o_orderkey % 3 = 0 and o_orderkey % 7 > 0",
 )
 add(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plantables.operators import pages, spans
 from plantables.plans.registry import add
-from plantables.sources.roles import table
+from plantables.sources.roles import spread, table
 
 N1, N2, N3, N4, N5, N6, N7 = ("lpad('' || (o_orderkey % 10000000 + " + n + "), 8, '2')" for n in "0123456")
 #: An order as a page whose table has a choice with one credits cell, two codes with an "or" row (for even orders), a row without a code, and a cell of two codes with a separator (but for every third order).
@@ -35,13 +35,13 @@ def _values(row: str) -> list[str]:
 
 
 def _grid(s, d):
-    return pages.grid_rows(pages.explode_tables(table(s, d, "orders").selectExpr("o_orderkey as doc_id", "1 as page_no", f"{PAGE} as text")))
+    return pages.grid_rows(pages.explode_tables(spread(table(s, d, "orders"), "o_orderkey").selectExpr("o_orderkey as doc_id", "1 as page_no", f"{PAGE} as text")))
 
 
 def _rows(s, d):
     names = [x.split()[0] for x in FIELDS.split(", ")]
     typed = ", ".join("named_struct(" + ", ".join(f"'{n}', cast({v} as {k.split()[1]})" for n, v, k in zip(names, _values(r), FIELDS.split(", "), strict=True)) + ")" for r in READ)
-    return table(s, d, "orders").selectExpr("o_orderkey as doc_id", f"explode(array({typed})) as r").select("doc_id", "r.*")
+    return spread(table(s, d, "orders"), "o_orderkey").selectExpr("o_orderkey as doc_id", f"explode(array({typed})) as r").select("doc_id", "r.*")
 
 
 SQL_ROWS = f"r as (select * from ({' union all '.join('select o_orderkey as doc_id, ' + ', '.join(f'{v} as {n.split()[0]}' for v, n in zip(_values(r), FIELDS.split(', '), strict=True)) + ' from orders' for r in READ)}))"
