@@ -26,3 +26,23 @@ def test_exploded_tables_are_not_broadcast(spark, name):
 @pytest.mark.parametrize("name", ["r20_codeless_rows", "t5_table_terms", "t6_skipped_tables", "t7_rowspan_groups", "t10_drop_repeated", "d2_long_heads", "d2_parse_listed", "d2_head_roles"])
 def test_rows_are_dealt_before_texts_are_made(spark, name):
     assert "Exchange hashpartitioning(o_orderkey" in plan_of(spark, name)
+
+
+def test_pieces_of_names_are_not_broadcast(spark):
+    joins = [line for line in plan_of(spark, "t14_code_by_name").splitlines() if "Join" in line and "__key" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_c11_report_tells_terms_above_the_bound(spark, tmp_path):
+    """A term of 120,000 credits, as tables of 36 million items have."""
+    import duckdb
+
+    from tests.compare import TABLES, compare
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SMOKE}/{t}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    one = f"(select * replace (6.0 as l_quantity, 0.0 as l_discount) from '{SMOKE}/lineitem.parquet' where l_linenumber = 1 limit 1)"
+    duckdb.sql(f"copy (select x.* replace (x.l_orderkey + 240 * i.range as l_orderkey) from {one} x, range(20000) i) to '{tmp_path}/lineitem.parquet'")
+    assert compare(spark, str(tmp_path), __spark_entry__.queries()["c11_report"], __spark_entry__.oracle_sql()["c11_report"]) is None
+    assert "above" in {x.detail.split("; ")[0] for x in __spark_entry__.queries()["c11_report"](spark, str(tmp_path)).collect()}
