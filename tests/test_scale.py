@@ -60,3 +60,14 @@ def test_digits_that_are_none_or_too_many_are_null(spark):
 
     rows = spark.createDataFrame([("12",), ("",), ("99999999999",), (None,)], "x string").select(digits_as(F.col("x"))).collect()
     assert [r[0] for r in rows] == [12, None, None, None]
+
+
+def test_cells_of_one_code_or_none_are_not_cut(spark):
+    """Cutting a cell takes some ten patterns, in a lambda that isn't compiled: only for cells that neither are one code nor without any."""
+    from plantables.functions.text import split_code_alternatives
+
+    cells = {"12345678": ["12345678"], "12345678\n": ["12345678"], " 12345678": ["12345678"], "12345678 9": ["12345678"], "๑๒๓๔๕๖๗๘": ["12345678"], "123456789": [], "xxxxxx": ["xxxxxxxx"], "0602XXXX": ["0602xxxx"], "name or": [], "": [], None: [], "12345678 or\n87654321": ["12345678", "87654321"]}
+    df = spark.createDataFrame([(x,) for x in cells], "x string").select("x", split_code_alternatives(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == cells
+    told = df._jdf.queryExecution().executedPlan().toString()
+    assert -1 < told.find("{8}\\z") < told.find("split(")
