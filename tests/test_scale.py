@@ -82,3 +82,9 @@ def test_spans_of_many_columns_reach_the_next_rows():
     rows = grid(table)
     assert [r["cells"] for r in rows] == [["a b"] * wide, ["", *["a b"] * (wide - 1)]]
     assert [r["origin"][:2] for r in rows] == [[0, 0], [1, 0]] and [r["inherited"][:2] for r in rows] == [[False, False], [False, True]]
+
+
+def test_merged_cells_are_read_in_one_pass(spark):
+    """Three readings of the rows, and a grouping of lines that stand in one row, took most of t4_normalize_rows."""
+    plan = plan_of(spark, "t4_normalize_rows")
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "collect_list" not in plan
