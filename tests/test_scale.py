@@ -88,3 +88,10 @@ def test_merged_cells_are_read_in_one_pass(spark):
     """Three readings of the rows, and a grouping of lines that stand in one row, took most of t4_normalize_rows."""
     plan = plan_of(spark, "t4_normalize_rows")
     assert plan.count("FileScan") == 1 and "Union" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("name", ["a5_align_multipass", "a6_evaluate_extraction"])
+def test_alignment_reads_each_side_once(spark, name):
+    """Left-overs come from each pass's full join: no anti joins, first appearances or fields joined back."""
+    plan = plan_of(spark, name)
+    assert "LeftAnti" not in plan and plan.count("lineitem.parquet") == 0
