@@ -95,3 +95,21 @@ def test_alignment_reads_each_side_once(spark, name):
     """Left-overs come from each pass's full join: no anti joins, first appearances or fields joined back."""
     plan = plan_of(spark, name)
     assert "LeftAnti" not in plan and plan.count("lineitem.parquet") == 0
+
+
+def test_closure_takes_several_steps_a_round(spark, monkeypatch):
+    """A chain of 40 with a cycle at its end took a round, and a reading of all earlier ones, for each of its steps."""
+    from plantables.operators import graph
+
+    made = []
+    written = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, what: made.append(what) or written(df, what))
+    pairs = [(i, i + 1) for i in range(40)] + [(40, 37), (5, 12), (100, 5)]
+    edges = spark.createDataFrame([(f"{a:03}", f"{b:03}", "pre") for a, b in pairs], "code string, requires string, kind string")
+    wanted, more = set(pairs), True
+    while more:
+        more = {(a, d) for a, b in wanted for c, d in pairs if b == c} - wanted
+        wanted |= more
+    got = graph.closure(edges, edges.select("code").distinct()).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"{a:03}", f"{b:03}") for a, b in wanted)
+    assert len(made) < 15
