@@ -113,3 +113,14 @@ def test_closure_takes_several_steps_a_round(spark, monkeypatch):
     got = graph.closure(edges, edges.select("code").distinct()).collect()
     assert sorted(tuple(r) for r in got) == sorted((f"{a:03}", f"{b:03}") for a, b in wanted)
     assert len(made) < 15
+
+
+def test_canonical_texts_stay_in_arrow():
+    """Texts as Python's, for a whole batch at once, took most of a worker's memory."""
+    import pyarrow as pa
+
+    from plantables.functions.text import TEXTS, canonical
+
+    given = ["Ａﬁ ẞ", None, ""] * TEXTS
+    assert canonical.func(pa.array(given)).to_pylist() == ["afi ss", None, ""] * TEXTS
+    assert canonical.func(pa.array([], pa.string())).to_pylist() == []
