@@ -124,3 +124,14 @@ def test_canonical_texts_stay_in_arrow():
     given = ["Ａﬁ ẞ", None, ""] * TEXTS
     assert canonical.func(pa.array(given)).to_pylist() == ["afi ss", None, ""] * TEXTS
     assert canonical.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_sorted_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Plan items were sorted in as many tasks as the session says, whatever the table's size; r15's were joined so too."""
+    from plantables.sources import roles
+
+    count = lambda name: plan_of(spark, name).count("REPARTITION_BY_NUM")
+    assert count("r25_post_clean") == count("r15_repair_credits") == 0
+    monkeypatch.setattr(roles, "SORTED_ROWS", 100)
+    assert roles.plan_item(spark, SMOKE).rdd.getNumPartitions() == -(-roles.table(spark, SMOKE, "lineitem").count() // 100)
+    assert count("r25_post_clean") > 0 and count("r15_repair_credits") == 2
