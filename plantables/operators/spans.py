@@ -153,28 +153,32 @@ def split_merged_cells(rows: DataFrame, grid: DataFrame, separator: str, next_pa
     cell = own.select("doc_id", F.col("page_no").alias("page"), "table_no", "row_no", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"), first_script("a").alias("n1"), other("a").alias("e1"), first_script("b").alias("n2"), other("b").alias("e2"), first_script(third).alias("n3")).filter("n1 <> '' and n2 <> '' and e1 <> '' and e2 <> '' and n3 <> ''")
     cell = written(cell, "cells")
     key = ["doc_id", "page", "table_no", "row_no"]
-    keyed = rows.select("doc_id", "page", F.lower("code").alias("__c"), _bare(F.col("name")).alias("__n"), "ordinal", "year", "semester")
-    hit = lambda code, name: cell.join(keyed.hint("merge"), ["doc_id", "page"]).filter((F.lower(code) == F.col("__c")) & (name == F.col("__n"))).groupBy(*key)
-    one = hit(F.col("c1"), F.concat(_bare(F.col("n1")), _bare(F.col("n2")))).agg(F.min("ordinal").alias("o1"))
-    two = hit(F.col("c2"), _bare(F.col("n3"))).agg(F.min("ordinal").alias("o2"), F.min_by(F.struct("year", "semester"), "ordinal").alias("t"))
-    sure = written(cell.join(one.hint("merge"), key).join(two.hint("merge"), key), "sure")
-    same = rows.select("doc_id", F.lower("code").alias("__c"), _bare(F.col("name")).alias("__n"), "ordinal", "credits", "type", "category")
-    agreed = lambda c: F.when((F.count_distinct(F.when(F.col(c) != "", F.col(c))) == 1), F.max(F.when(F.col(c) != "", F.col(c))))
-    like = lambda code, name, but: sure.select(*key, F.lower(code).alias("__c"), _bare(F.col(name)).alias("__n"), F.col(but).alias("__but"))
-    others = lambda code, name, but: like(code, name, but).join(same.hint("merge"), ["doc_id", "__c", "__n"]).filter("ordinal <> __but").groupBy(*key)
-    credits = others("c1", "n1", "o1").agg(agreed("credits").alias("k1"))
-    kinds = others("c2", "n2", "o2").agg(agreed("type").alias("type2"), agreed("category").alias("category2"))
-    sure = written(sure.join(credits.hint("merge"), key, "left").join(kinds.hint("merge"), key, "left"), "sure")
+    # each name that a cell asks of rows, so that rows are sorted and met once for all of them
+    entry = lambda kind, code, *names: F.struct(F.lit(kind).alias("kind"), F.lower(code).alias("c"), F.concat(*(_bare(F.col(n)) for n in names)).alias("__n"))
+    asked = cell.select(*key, F.explode(F.array(entry("one", F.col("c1"), "n1", "n2"), entry("two", F.col("c2"), "n3"), entry("first", F.col("c1"), "n1"), entry("second", F.col("c2"), "n2"), entry("third", F.lit(None).cast("string"), "n3"))).alias("x")).select(*key, "x.*")
+    said = rows.select("doc_id", _bare(F.col("name")).alias("__n"), F.lower("code").alias("__c"), F.col("page").alias("__at"), "ordinal", "year", "semester", "credits", "type", "category", "inferred")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    fits = F.when(is_("third"), F.col("inferred") & F.col("__c").contains("x") & (F.col("__at") - 1 == F.col("page"))).otherwise((F.col("c") == F.col("__c")) & (is_("first", "second") | (F.col("__at") == F.col("page"))))
+    first_of = lambda kind: F.min(F.when(is_(kind), F.col("ordinal"))).over(Window.partitionBy(*key))
+    met = asked.join(said.hint("merge"), ["doc_id", "__n"]).filter(fits).select(*key, "kind", "ordinal", "year", "semester", "credits", "type", "category").withColumns({"o1": first_of("one"), "o2": first_of("two")})
+
+    def agreed(c: str, kind: str, but: str) -> Column:
+        value = F.when(is_(kind) & (F.col("ordinal") != F.col(but)) & (F.col(c) != ""), F.col(c))
+        return F.when(F.min(value) == F.max(value), F.min(value))
+
+    found = met.groupBy(*key).agg(
+        F.min("o1").alias("o1"), F.min("o2").alias("o2"), F.min_by(F.struct("year", "semester"), F.when(is_("two"), F.col("ordinal"))).alias("t"),
+        agreed("credits", "first", "o1").alias("k1"), agreed("type", "second", "o2").alias("type2"), agreed("category", "second", "o2").alias("category2"), F.min(F.when(is_("third"), F.col("ordinal"))).alias("o3"),
+    ).filter("o1 is not null and o2 is not null")
+    sure = written(cell.join(found.hint("merge"), key), "sure")
     told = ["name", "name_en", "credits", "type", "category", "year", "semester", "page"]
     none = F.lit(None).cast("string")
     number = lambda c: F.col(c).cast("int")
     fix = lambda ordinal, note, **have: sure.select("doc_id", F.col(ordinal).alias("ordinal"), *(have.get(c, none if c in told[:5] else F.lit(None).cast("int")).alias(f"__{c}") for c in told), F.lit(note).alias("note"))
     fixed = fix("o1", "name parted from the next one of its cell", name=F.col("n1"), name_en=F.col("e1"), credits=F.when(F.col("k1").rlike(OR_WORD), F.col("k1")))
     fixed = fixed.unionByName(fix("o2", "had the name of the row below its cell", name=F.col("n2"), name_en=F.col("e2"), type=F.col("type2"), category=F.col("category2")))
-    later = rows.filter(F.col("inferred") & F.lower("code").contains("x")).select("doc_id", (F.col("page") - 1).alias("page"), _bare(F.col("name")).alias("__n"), F.col("ordinal").alias("o3"))
-    moved = sure.withColumn("__n", _bare(F.col("n3"))).join(later.hint("merge"), ["doc_id", "page", "__n"]).groupBy(*key, "n3", "t").agg(F.min("o3").alias("o3"))
     text = next_pages.select("doc_id", (F.col("page_no") - 1).alias("page"), _bare(F.regexp_replace("text", "<[^>]+>", " ")).alias("__text"))
-    moved = moved.join(text.hint("merge"), ["doc_id", "page"], "left").filter(~F.contains(F.coalesce("__text", F.lit("")), _bare(F.col("n3"))))
+    moved = sure.filter("o3 is not null").join(text.hint("merge"), ["doc_id", "page"], "left").filter(~F.contains(F.coalesce("__text", F.lit("")), _bare(F.col("n3"))))
     moved = moved.select("doc_id", F.col("o3").alias("ordinal"), *(none.alias(f"__{c}") for c in told[:5]), F.col("t.year").cast("int").alias("__year"), F.col("t.semester").cast("int").alias("__semester"), number("page").alias("__page"), F.lit("moved to the page that prints its name").alias("note"))
     changes = fixed.unionByName(moved).groupBy("doc_id", "ordinal").agg(*(F.max(f"__{c}").alias(f"__{c}") for c in told), F.min("note").alias("note"))
     joined = rows.join(changes.hint("merge"), ["doc_id", "ordinal"], "left")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantables.functions import text
-from plantables.operators import cite, evaluate, graph, load, pages, query, repair
+from plantables.operators import cite, evaluate, graph, load, pages, query, repair, spans
 
 SCOPE = ("P", 1, 0)
 
@@ -192,3 +192,19 @@ def test_alike_names_are_found_wherever_they_differ(spark):
         scores = [(SequenceMatcher(None, name, n, autojunk=False).ratio(), -k) for k, n in enumerate(base)]
         best = max(scores)
         assert got[i] == (f"{-best[1]:08d}" if best[0] >= 0.9 else "PLACEHOLDER_X"), (name, got[i])
+
+
+def test_rows_meet_merged_cells_once(spark, monkeypatch):
+    """Rows are read for one join with all that cells ask, and for their changes; what several rows of a code say must agree."""
+    rows = spark.range(1, 9).selectExpr("'d' as doc_id", "cast(id as int) as ordinal", "cast(elt(id, 1, 1, 2, 5, 5, 5, 5, 1) as int) as page", "elt(id, '0601xxxx', '22222222', '0602xxxx', '22222222', '0601xxxx', '0601xxxx', '22222222', '22222222') as code",
+        "elt(id, 'ก 1 ข', 'ค 1', 'ค 1', 'ข', 'ก 1', 'ก 1', 'ข', 'ค 1') as name", "cast(null as string) as name_en", "if(id in (5, 6), '3(3-0-6) or 3(2-2-5)', '3(3-0-6)') as credits", "cast(3 as int) as year", "cast(1 as int) as semester", "if(id = 7, 'D', 'C') as category", "'core' as type", "id = 3 as inferred")
+    grid = spark.createDataFrame(
+        [("d", 1, 0, 0, ["0601xxxx\n22222222", "ก 1\nElective 1\n(Faculty)\nข\nModern business", "3(3-0-6)"], [False] * 3, [0] * 3), ("d", 1, 0, 1, ["0601xxxx\n22222222", "ค 1\nGeneral 1", "3(3-0-6)"], [True, False, False], [0, 1, 1])],
+        "doc_id string, page_no int, table_no int, row_no int, cells array<string>, inherited array<boolean>, origin array<int>",
+    )
+    plans = []
+    monkeypatch.setattr(spans, "written", lambda df, what, plain=spans.written: plans.append(df) or plain(df, what))
+    out = spans.split_merged_cells(rows, grid, "Faculty", spark.createDataFrame([("d", 2, "other")], "doc_id string, page_no int, text string"))
+    got = {r.ordinal: (r.page, r.name, r.name_en, r.credits, r.category, r.type) for r in out.filter("note is not null").collect()}
+    assert got == {1: (1, "ก 1", "Elective 1", "3(3-0-6) or 3(2-2-5)", "C", "core"), 2: (1, "ข", "Modern business", "3(3-0-6)", "C", "core"), 3: (1, "ค 1", None, "3(3-0-6)", "C", "core")}
+    assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("Range (1, 9") for df in [*plans, out]) == 2
