@@ -208,3 +208,12 @@ def test_rows_meet_merged_cells_once(spark, monkeypatch):
     got = {r.ordinal: (r.page, r.name, r.name_en, r.credits, r.category, r.type) for r in out.filter("note is not null").collect()}
     assert got == {1: (1, "ก 1", "Elective 1", "3(3-0-6) or 3(2-2-5)", "C", "core"), 2: (1, "ข", "Modern business", "3(3-0-6)", "C", "core"), 3: (1, "ค 1", None, "3(3-0-6)", "C", "core")}
     assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("Range (1, 9") for df in [*plans, out]) == 2
+
+
+def test_alternative_groups_read_their_entries_once(spark):
+    """Entries are made of whole tables, so they are run once; groups that follow by an "or" share one, numbered in the term."""
+    entries = spark.range(8).selectExpr("'d' as doc_id", "1 as page_no", "cast(id / 6 as int) as table_no", "cast(elt(id + 1, 1, 1, 2, 3, 4, 5, 1, 1) as int) as grp", "cast(elt(id + 1, 0, 1, 0, 0, 0, 0, 0, 1) as int) as entry", "'' || id as code", "'n' as name", "'3' as credits", "id in (0, 1, 6, 7) as alternative", "id in (2, 5) as follows")
+    terms = spark.createDataFrame([("d", 1, 0, 2, 1), ("d", 1, 1, 2, 1)], "doc_id string, page_no int, table_no int, year int, semester int")
+    out = pages.assign_alt_groups(entries, terms)
+    assert sorted((int(r.code), r.alt_group) for r in out.collect()) == [(0, "alt_y2s1_1"), (1, "alt_y2s1_1"), (2, "alt_y2s1_1"), (3, None), (4, "alt_y2s1_2"), (5, "alt_y2s1_2"), (6, "alt_y2s1_3"), (7, "alt_y2s1_3")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 8") == 1
